@@ -5,10 +5,50 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmill.llm import decontam, langid, linedup, minhash, packing
 from leafmill.llm.common import shared_dir
 
-STAGES: list = []
+#: Documents whose language is known with less than this share are rejected.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a recognised language."""
+    said = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
+    return docs.join(said, "doc_id", "left_semi").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated three-line passages; documents that lose all their text that way go."""
+    out = linedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group."""
+    gone = minhash.near_groups(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a benchmark passage."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all remaining documents into sequences of 1024 ids."""
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 #: No SQL for the whole: tokenization and packing can't be expressed in it.
 ORACLE_SQL = None
 
