@@ -1,4 +1,259 @@
 """All queries outside the llm subpackage, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as tx
+from leafmill.functions.similarity import cosine
+from leafmill.operators import cards as cd
+from leafmill.operators import chunking as ch
+from leafmill.operators import deck, dedup, identity, profile, registry, retrieval, structure, telemetry, validate
+from leafmill.plans import views as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---- SQL building blocks -------------------------------------------------------------------------------------------
+
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+COLLAPSE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+CLOZE_RE = r"\{\{c[0-9]+::[^}]+\}\}"
+UNCLOZE = r"regexp_replace({0}, '\{\{{c[0-9]+::(.*?)\}\}', '\1', 'g')".replace("{{c", "{c").replace(r"\}\}", r"\}\}")
+
+
+def strip(x: str) -> str:
+    return STRIP.replace("{0}", x)
+
+
+def collapse(x: str) -> str:
+    return COLLAPSE.replace("{0}", x)
+
+
+def uncloze(x: str) -> str:
+    return r"regexp_replace(" + x + r", '\{\{c[0-9]+::(.*?)\}\}', '\1', 'g')"
+
+
+def run_ctes(units: str, budget: int, carry: int, name: str = "runs", joint: int = 2) -> str:
+    """CTEs that give k, s, e of greedy runs over ``units`` (k, i from 0, len), stepping row by row."""
+    if carry == 0:
+        start, cur = "i", "len"
+    elif carry == 1:
+        start, cur = "i - 1", f"p1 + {joint} + len"
+    else:
+        start, cur = "CASE WHEN kept // 4 <= T THEN i - CASE WHEN i - s >= 2 THEN 2 ELSE 1 END ELSE i END", "CASE WHEN kept // 4 <= T THEN kept ELSE len END"
+    return f"""{name}_p(k, i, s, cur, p1, p2) AS (
+      SELECT k, i, CAST(0 AS BIGINT), CAST(len AS BIGINT), CAST(len AS BIGINT), CAST(0 AS BIGINT) FROM {units} WHERE i = 0
+      UNION ALL SELECT k, i, CAST(CASE WHEN o THEN {start} ELSE s END AS BIGINT), CAST(CASE WHEN o THEN {cur} ELSE cur + {joint} + len END AS BIGINT), CAST(len AS BIGINT), p1
+      FROM (SELECT u.k, u.i, u.len, p.s, p.cur, p.p1, {budget} AS T, (p.cur + {joint} + u.len) // 4 > {budget} AS o, CASE WHEN u.i - p.s >= 2 THEN p.p2 + {joint} + p.p1 ELSE p.p1 END + {joint} + u.len AS kept
+            FROM {name}_p p JOIN {units} u ON u.k = p.k AND u.i = p.i + 1)),
+    {name} AS (SELECT k, s, i AS e FROM (SELECT k, s, i, lead(s) OVER (PARTITION BY k ORDER BY i) AS nxt, lead(i) OVER (PARTITION BY k ORDER BY i) AS ni FROM {name}_p) WHERE ni IS NULL OR nxt <> s)"""
+
+
+def joined(units: str, runs: str, joint: str = "chr(10) || chr(10)") -> str:
+    """k, s, e, text of runs over units (k, i, t)."""
+    return f"SELECT r.k, r.s, r.e, string_agg(u.t, {joint} ORDER BY u.i) AS text FROM {runs} r JOIN {units} u ON u.k = r.k AND u.i BETWEEN r.s AND r.e GROUP BY r.k, r.s, r.e"
+
+
+def paragraph_ctes(source: str, budget: int, name: str = "para") -> str:
+    """CTE ``name`` (k, i, t, len): paragraphs of source (k, t); long ones as groups of sentences."""
+    return rf"""{name}_b AS (SELECT k, b, {strip('p')} AS p FROM (SELECT k, unnest(string_split_regex(t, '\n\s*\n')) AS p, unnest(range(len(string_split_regex(t, '\n\s*\n')))) AS b FROM {source})),
+    {name}_n AS (SELECT *, length(p) > 1000 OR length(p) // 4 > {budget} AS long FROM {name}_b WHERE p <> ''),
+    {name}_s AS (SELECT k AS k0, b, x, row_number() OVER (PARTITION BY k, b ORDER BY j) - 1 AS i FROM (SELECT k, b, unnest(string_split_regex(p, '[.!?]+\s+')) AS x, unnest(range(len(string_split_regex(p, '[.!?]+\s+')))) AS j FROM {name}_n WHERE long) WHERE {strip('x')} <> ''),
+    {name}_u AS (SELECT row(k0, b) AS k, i, x AS t, length(x) AS len FROM {name}_s),
+    {run_ctes(name + '_u', budget, 0, name + '_r')},
+    {name}_g AS ({joined(name + '_u', name + '_r', "'. '")}),
+    {name}_a AS (SELECT k, b, 0 AS s, p AS t FROM {name}_n WHERE NOT long UNION ALL SELECT k[1], k[2], s, {strip('text')} FROM {name}_g),
+    {name} AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY b, s) - 1 AS i, t, length(t) AS len FROM {name}_a)"""
+
+
+# ---- chunking ------------------------------------------------------------------------------------------------------
+
+PAGE_BUDGET, PARA_BUDGET, SPLIT_TARGET, WHOLE_BUDGET = 600, 150, 300, 900
+
+
+def chunk_digest(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), F.col("start_page").cast("bigint").alias("start_page"), F.col("end_page").cast("bigint").alias("end_page"), F.col("token_count").cast("bigint").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"), *more)
+
+
+# pages over the budget are cut on their own, before the run that was open when they came
+PAGES_CHUNK_SQL = f"""{v.ctes('pages')},
+pg AS (SELECT doc_id, page_num, {strip('raw_text')} AS t FROM pages WHERE {strip('raw_text')} <> ''),
+small AS (SELECT doc_id AS k, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS i, page_num, t, length(t) AS len FROM pg WHERE length(t) // 4 <= {PAGE_BUDGET}),
+large AS (SELECT row(doc_id, page_num) AS k, t FROM pg WHERE length(t) // 4 > {PAGE_BUDGET}),
+{run_ctes('small', PAGE_BUDGET, 0)},
+a AS (SELECT j.k AS doc_id, j.text, x.page_num AS start_page, y.page_num AS end_page, coalesce(z.page_num, 2147483647) AS o1, 1 AS o2, 0 AS o3 FROM ({joined('small', 'runs')}) j
+  JOIN small x ON x.k = j.k AND x.i = j.s JOIN small y ON y.k = j.k AND y.i = j.e LEFT JOIN small z ON z.k = j.k AND z.i = j.e + 1),
+{paragraph_ctes('large', PAGE_BUDGET)},
+{run_ctes('para', PAGE_BUDGET, 2, 'cut')},
+b AS (SELECT k[1] AS doc_id, text, k[2] AS start_page, k[2] AS end_page, k[2] AS o1, 0 AS o2, s AS o3 FROM ({joined('para', 'cut')})),
+c AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o1, o2, o3) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM c
+"""
+
+
+@query("chunk_pages", PAGES_CHUNK_SQL)
+def chunk_pages(spark, sf):
+    return chunk_digest(ch.by_pages(v.pages(spark, sf), PAGE_BUDGET))
+
+
+PARAS_CHUNK_SQL = f"""{v.ctes('pages')}, src AS (SELECT row(doc_id, page_num) AS k, raw_text AS t FROM pages), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', PARA_BUDGET, 0, 'cut')},
+last AS (SELECT doc_id, max(page_num) AS last FROM pages GROUP BY doc_id),
+c AS (SELECT k[1] AS doc_id, k[2] AS page_num, s, text, s = max(s) OVER (PARTITION BY k) AS rest FROM ({joined('para', 'cut')})),
+d AS (SELECT c.* FROM c JOIN last l ON l.doc_id = c.doc_id WHERE NOT rest OR page_num = last OR length(text) // 4 >= 100)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, s) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CAST(page_num AS BIGINT) AS start_page, CAST(page_num AS BIGINT) AS end_page, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM d
+"""
+
+
+@query("chunk_paragraphs", PARAS_CHUNK_SQL)
+def chunk_paragraphs(spark, sf):
+    return chunk_digest(ch.by_paragraphs(v.pages(spark, sf), PARA_BUDGET))
+
+
+@query("paragraph_split", f"""{v.ctes('pages')}, src AS (SELECT row(doc_id, page_num) AS k, raw_text AS t FROM pages), {paragraph_ctes('src', PARA_BUDGET)}
+SELECT k[1] AS doc_id, CAST(k[2] AS BIGINT) AS page_num, i AS para_no, md5(t) AS text_md5 FROM para""")
+def paragraph_split(spark, sf):
+    p = v.pages(spark, sf).select("doc_id", F.col("page_num").cast("bigint").alias("page_num"), F.posexplode(ch.paragraphs(F.col("raw_text"), PARA_BUDGET)).alias("para_no", "t"))
+    return p.select("doc_id", "page_num", F.col("para_no").cast("bigint").alias("para_no"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+@query("split_overlap", f"""{v.ctes('pages')}, src AS (SELECT row(doc_id, page_num) AS k, {strip('raw_text')} AS t FROM pages WHERE length({strip('raw_text')}) // 4 > {SPLIT_TARGET}), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', SPLIT_TARGET, 2, 'cut')}
+SELECT k[1] AS doc_id, CAST(k[2] AS BIGINT) AS page_num, row_number() OVER (PARTITION BY k ORDER BY s, e) - 1 AS piece, md5(text) AS text_md5 FROM ({joined('para', 'cut')})
+UNION ALL SELECT doc_id, page_num, 0, md5({strip('raw_text')}) FROM pages WHERE length({strip('raw_text')}) // 4 <= {SPLIT_TARGET}""")
+def split_overlap(spark, sf):
+    p = v.pages(spark, sf).select("doc_id", F.col("page_num").cast("bigint").alias("page_num"), F.posexplode(ch.split_text(tx.strip(F.col("raw_text")), SPLIT_TARGET, PARA_BUDGET)).alias("piece", "t"))
+    return p.select("doc_id", "page_num", F.col("piece").cast("bigint").alias("piece"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+TERMS = "|".join(ch.TERMINAL)
+TRIM = strip(rf"regexp_replace(text, '\n\s*({TERMS})\s*\n.*$', chr(10), 'is')")
+HEADS = "|".join(f"(?:{h})" for h in ch.SECTION_HEADS)
+SECTION_CTES = rf"""sl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM src_text),
+sh AS (SELECT *, regexp_matches({strip('line')}, '^(?:{HEADS})\s*$') AS head FROM sl), sg AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM sh),
+sa AS (SELECT doc_id, grp, coalesce(max(CASE WHEN head THEN {strip('line')} END), 'Beginning') AS title, coalesce(max(CASE WHEN head THEN n END), 0) AS start_line, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head), '')")} AS text FROM sg GROUP BY doc_id, grp),
+secs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS sec_no, title, start_line, text FROM sa WHERE text <> '')"""
+
+
+@query("full_text", f"{v.ctes('pages')} SELECT doc_id, md5(string_agg({strip('raw_text')}, chr(10) || chr(10) ORDER BY page_num)) AS text_md5 FROM pages WHERE {strip('raw_text')} <> '' GROUP BY doc_id")
+def full_text(spark, sf):
+    return ch.full_text(v.pages(spark, sf)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("trim_terminal", f"{v.ctes('papers')} SELECT doc_id, CAST(length({TRIM}) AS BIGINT) AS n_chars, md5({TRIM}) AS text_md5 FROM papers")
+def trim_terminal(spark, sf):
+    p = v.papers(spark, sf).select("doc_id", ch.trim_terminal(F.col("text")).alias("t"))
+    return p.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+@query("section_boundaries", f"{v.ctes('papers')}, src_text AS (SELECT * FROM papers), {SECTION_CTES} SELECT doc_id, sec_no, title, CAST(start_line AS BIGINT) AS start_line, md5(text) AS text_md5 FROM secs")
+def section_boundaries(spark, sf):
+    return ch.section_boundaries(v.papers(spark, sf)).select("doc_id", F.col("sec_no").cast("bigint").alias("sec_no"), "title", F.col("start_line").cast("bigint").alias("start_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("chunk_entire", f"""{v.ctes('papers')}, whole AS (SELECT doc_id, {TRIM} AS text FROM papers), src_text AS (SELECT * FROM whole WHERE length(text) // 4 > {WHOLE_BUDGET}), {SECTION_CTES},
+many AS (SELECT doc_id FROM secs GROUP BY doc_id HAVING count(*) > 1),
+su AS (SELECT doc_id AS k, sec_no AS i, text AS t, title, length(text) AS len FROM secs WHERE doc_id IN (SELECT doc_id FROM many)), {run_ctes('su', WHOLE_BUDGET, 0, 'sr')},
+src AS (SELECT doc_id AS k, text AS t FROM src_text WHERE doc_id NOT IN (SELECT doc_id FROM many)), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', WHOLE_BUDGET, 1, 'cut')},
+c AS (SELECT doc_id, 0 AS o, text, 'Entire Document' AS section FROM whole WHERE text <> '' AND length(text) // 4 <= {WHOLE_BUDGET}
+  UNION ALL SELECT r.k, r.s, string_agg(u.t, chr(10) || chr(10) ORDER BY u.i), string_agg(u.title, ' + ' ORDER BY u.i) FROM sr r JOIN su u ON u.k = r.k AND u.i BETWEEN r.s AND r.e GROUP BY r.k, r.s, r.e
+  UNION ALL SELECT k, s, text, 'Document Part ' || CAST(row_number() OVER (PARTITION BY k ORDER BY s, e) AS VARCHAR) FROM ({joined('para', 'cut')}))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, section, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM c""")
+def chunk_entire(spark, sf):
+    d = v.papers(spark, sf).withColumn("page_count", F.lit(1))
+    c = ch.entire(d, WHOLE_BUDGET, PARA_BUDGET)
+    return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), "section", F.col("token_count").cast("bigint").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+SECT_SQL = """isl AS (SELECT *, sum(CASE WHEN level <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS grp FROM headings),
+sections AS (SELECT doc_id, CAST(grp - 1 AS INT) AS sec_no, arg_min(text, ord) AS title, arg_min(page, ord) AS start_page, coalesce(arg_max(page, ord) FILTER (WHERE level > 2), arg_min(page, ord)) AS end_page FROM isl WHERE grp > 0 GROUP BY doc_id, grp)"""
+
+
+@query("section_islands", f"{v.ctes('headings')}, {SECT_SQL} SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, title, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM sections")
+def section_islands(spark, sf):
+    return structure.sections(v.headings(spark, sf)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("sec_no", "start_page", "end_page")], "title")
+
+
+SECTION_TEXT = f"sp AS (SELECT s.doc_id, s.sec_no, s.title, s.start_page, s.end_page, string_agg({strip('p.raw_text')}, chr(10) || chr(10) ORDER BY p.page_num) AS t FROM sections s JOIN pages p ON p.doc_id = s.doc_id AND p.page_num BETWEEN s.start_page AND s.end_page WHERE {strip('p.raw_text')} <> '' GROUP BY ALL)"
+
+
+@query("section_text_rangejoin", f"{v.ctes('pages', 'headings')}, {SECT_SQL}, {SECTION_TEXT} SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, md5(t) AS text_md5 FROM sp")
+def section_text_rangejoin(spark, sf):
+    return ch.section_text(structure.sections(v.headings(spark, sf)), v.pages(spark, sf)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("sec_no", "start_page", "end_page")], F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("chunk_sections", f"""{v.ctes('pages', 'headings')}, {SECT_SQL}, {SECTION_TEXT}, src AS (SELECT row(doc_id, sec_no) AS k, t FROM sp WHERE length(t) // 4 > {SPLIT_TARGET}), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', SPLIT_TARGET, 2, 'cut')},
+c AS (SELECT k[1] AS doc_id, k[2] AS sec_no, row_number() OVER (PARTITION BY k ORDER BY s, e) AS j, text FROM ({joined('para', 'cut')}) UNION ALL SELECT doc_id, sec_no, 0, t FROM sp WHERE length(t) // 4 <= {SPLIT_TARGET})
+SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.sec_no, j) - 1 AS chunk_index, count(*) OVER (PARTITION BY c.doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, title AS section, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5
+FROM c JOIN sections s ON s.doc_id = c.doc_id AND s.sec_no = c.sec_no""")
+def chunk_sections(spark, sf):
+    s = structure.sections(v.headings(spark, sf))
+    p = v.pages(spark, sf).join(s.select("doc_id").distinct(), "doc_id", "left_semi")
+    return chunk_digest(ch.by_sections(s, p, SPLIT_TARGET, PARA_BUDGET), "section")
+
+
+@query("chunk_smart")
+def chunk_smart(spark, sf):
+    h = v.headings(spark, sf)
+    return chunk_digest(ch.smart(v.pages(spark, sf), h, structure.sections(h).where("doc_id % 2 = 0"), PAGE_BUDGET, 200, SPLIT_TARGET), "section")
+
+
+# ---- structure and profile -----------------------------------------------------------------------------------------
+
+
+@query("heading_detect", rf"""{v.ctes('spans')}, l AS (SELECT doc_id, page_num, block_no, line_no, {strip("string_agg(" + strip('text') + ", ' ' ORDER BY span_no)")} AS text, max(size) AS font_size, bool_or(flags & 16 <> 0) AS is_bold FROM spans GROUP BY ALL),
+h AS (SELECT * FROM l WHERE text <> '' AND length(text) < 200 AND NOT ends_with(text, '.') AND len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) < 20 AND (font_size > 14 OR is_bold))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_no, line_no) - 1 AS ord, text, CAST(page_num AS BIGINT) AS page, CAST(CASE WHEN font_size >= 18 THEN 1 WHEN font_size >= 16 THEN 2 WHEN font_size >= 14 OR is_bold THEN 3 ELSE 4 END AS BIGINT) AS level, font_size, is_bold FROM h""".replace("GROUP BY ALL", "GROUP BY doc_id, page_num, block_no, line_no"))
+def heading_detect(spark, sf):
+    return structure.headings(v.spans(spark, sf)).withColumns({c: F.col(c).cast("bigint") for c in ("ord", "page", "level")})
+
+
+@query("chapter_filter", f"""{v.ctes('headings')} SELECT doc_id, ord, text AS title, page, level FROM headings WHERE level = 1 OR contains(lower(text), 'chapter') OR contains(lower(text), 'part') OR contains(lower(text), 'section') OR contains(lower(text), 'unit') OR regexp_matches(substr(text, 1, 10), '[0-9]')""")
+def chapter_filter(spark, sf):
+    return structure.chapters(v.headings(spark, sf))
+
+
+@query("doc_text_hash", f"{v.ctes('pages')} SELECT doc_id, substr(sha256(string_agg(raw_text, '' ORDER BY page_num)), 1, 16) AS text_hash FROM pages WHERE page_num <= 5 GROUP BY doc_id")
+def doc_text_hash(spark, sf):
+    return structure.text_hash(v.pages(spark, sf))
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+PROFILE_SQL = rf"""{v.ctes('papers')}, pn AS (SELECT doc_id, text, CAST(1 + doc_id % 60 AS INT) AS page_count FROM papers),
+f AS (SELECT doc_id, page_count, regexp_matches(text, '{_re(profile.CHAPTER)}') AS chapters_detected, regexp_matches(text, '{_re(profile.ABSTRACT)}') AS abstract_present, regexp_matches(text, '{_re(profile.REFERENCES)}') AND page_count <= 5 AS references_present, regexp_matches(text, '{_re(profile.DOI)}') AS has_doi, doc_id % 6 = 0 AS toc_present FROM pn),
+g AS (SELECT *, CASE WHEN 2 * abstract_present::INT + 2 * references_present::INT + 3 * has_doi::INT + (page_count BETWEEN 5 AND 30)::INT >= 4 THEN 'research_paper' WHEN 3 * chapters_detected::INT + 2 * toc_present::INT + 2 * (page_count > 50)::INT >= 4 THEN 'textbook' ELSE 'unknown' END AS doc_type FROM f)"""
+
+
+def _profiles(spark, sf):
+    p = v.papers(spark, sf).withColumn("n", (1 + F.col("doc_id") % 60).cast("int"))
+    pages = p.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(1), "n"))).alias("page_num"), "text")
+    pages = pages.select("doc_id", "page_num", F.when(F.col("page_num") == 1, F.col("text")).otherwise("").alias("raw_text"))
+    return profile.features(pages, v.table(spark, sf, "documents").where("doc_id % 6 = 0").select("doc_id"))
+
+
+@query("doc_profile_classify", PROFILE_SQL + " SELECT doc_id, CAST(page_count AS BIGINT) AS page_count, chapters_detected, abstract_present, references_present, has_doi, toc_present, doc_type FROM g")
+def doc_profile_classify(spark, sf):
+    return _profiles(spark, sf).drop("two_column_layout").withColumn("page_count", F.col("page_count").cast("bigint"))
+
+
+@query("heuristic_defaults", PROFILE_SQL + """ SELECT doc_id, CASE doc_type WHEN 'research_paper' THEN 'sections' WHEN 'textbook' THEN 'smart' ELSE 'pages' END AS mode,
+CAST(CASE WHEN page_count > 100 THEN greatest(CASE doc_type WHEN 'research_paper' THEN 1500 WHEN 'textbook' THEN 2500 ELSE 2000 END, 3000) ELSE CASE doc_type WHEN 'research_paper' THEN 1500 WHEN 'textbook' THEN 2500 ELSE 2000 END END AS BIGINT) AS tokens_per_chunk,
+CASE doc_type WHEN 'research_paper' THEN 'key_points,cloze_definitions' WHEN 'textbook' THEN 'key_points,figure_based' ELSE 'key_points' END AS strategies FROM g""")
+def heuristic_defaults(spark, sf):
+    return profile.defaults(_profiles(spark, sf)).select("doc_id", "mode", F.col("tokens_per_chunk").cast("bigint").alias("tokens_per_chunk"), F.array_join("strategies", ",").alias("strategies"))
