@@ -26,7 +26,7 @@ def layered(registry: DataFrame, defaults: dict, cli: dict | None = None) -> Dat
     ``registry`` has override_<name> and heuristic_<name> columns for each name of ``defaults``."""
     cli = cli or {}
     have = set(registry.columns)
-    pick = lambda n: F.coalesce(*[F.lit(cli[n])] * (n in cli), *[F.col(c) for c in (f"override_{n}", f"heuristic_{n}") if c in have], F.lit(defaults[n])).alias(n)
+    pick = lambda n: F.coalesce(*([F.lit(cli[n])] if n in cli else []), *[F.col(c) for c in (f"override_{n}", f"heuristic_{n}") if c in have], F.lit(defaults[n])).alias(n)
     return registry.select("key", *[pick(n) for n in defaults])
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
-from leafmill.functions.similarity import cosine
 from leafmill.operators import cards as cd
 from leafmill.operators import chunking as ch
 from leafmill.operators import deck, dedup, identity, profile, registry, retrieval, structure, telemetry, validate
@@ -33,7 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable:
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 COLLAPSE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 CLOZE_RE = r"\{\{c[0-9]+::[^}]+\}\}"
-UNCLOZE = r"regexp_replace({0}, '\{\{{c[0-9]+::(.*?)\}\}', '\1', 'g')".replace("{{c", "{c").replace(r"\}\}", r"\}\}")
 
 
 def strip(x: str) -> str:
@@ -257,3 +255,356 @@ CAST(CASE WHEN page_count > 100 THEN greatest(CASE doc_type WHEN 'research_paper
 CASE doc_type WHEN 'research_paper' THEN 'key_points,cloze_definitions' WHEN 'textbook' THEN 'key_points,figure_based' ELSE 'key_points' END AS strategies FROM g""")
 def heuristic_defaults(spark, sf):
     return profile.defaults(_profiles(spark, sf)).select("doc_id", "mode", F.col("tokens_per_chunk").cast("bigint").alias("tokens_per_chunk"), F.array_join("strategies", ",").alias("strategies"))
+
+
+# ---- cards ---------------------------------------------------------------------------------------------------------
+
+
+def cards(spark, sf):
+    return v.cards(spark, sf)
+
+
+def tagged(spark, sf):
+    return v.cards(spark, sf).withColumn("tags", cd.tag_list(F.col("tags")))
+
+
+C = v.ctes("cards")
+
+
+@query("cloze_format", rf"{C} SELECT card_ord, CAST(len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) AS BIGINT) AS n_cloze, len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) BETWEEN 1 AND 3 AS ok FROM cards")
+def cloze_format(spark, sf):
+    return cards(spark, sf).select("card_ord", cd.cloze_count(F.col("cloze_text")).cast("bigint").alias("n_cloze"), cd.cloze_ok(F.col("cloze_text")).alias("ok"))
+
+
+JSON_SQL = """resp AS (SELECT doc_id, 0 AS chunk_index, CAST(1 + doc_id % 9 AS INT) AS start_page, CASE WHEN doc_id % 3 = 0 THEN 'cloze_definitions' ELSE 'key_points' END AS strategy,
+  CASE WHEN doc_id % 17 = 0 THEN 'not json' WHEN doc_id % 19 = 0 THEN '[1,2]' WHEN doc_id % 23 = 0 THEN '{"other": 1}'
+  WHEN doc_id % 29 = 0 THEN '{"cards": [{"front": 5, "back": "x"}]}'
+  WHEN doc_id % 3 = 0 THEN '{"cards": [{"cloze_text": "{{c1::a' || CAST(doc_id AS VARCHAR(20)) || '}} b", "tags": "P;q"}, {"cloze_text": "{{c1::a}} {{c2::b}}", "difficulty": "easy"}]}'
+  ELSE '{"cards": [{"front": " f' || CAST(doc_id AS VARCHAR(20)) || ' ", "back": "b", "difficulty": "odd", "tags": ["X", " y "]}, {"front": "g", "back": "h", "page_citation": "p. 3"}]}' END AS content FROM documents)"""
+
+
+@query("json_cards_parse", "WITH " + JSON_SQL + r""", good AS (SELECT * FROM resp WHERE json_valid(content) AND json_type(content) = 'OBJECT' AND json_type(content, '$.cards') = 'ARRAY'),
+e AS (SELECT doc_id, start_page, strategy, unnest(CAST(json_extract(content, '$.cards') AS JSON[])) AS c, unnest(range(CAST(json_array_length(content, '$.cards') AS BIGINT))) AS n FROM good),
+k AS (SELECT *, CASE WHEN strategy = 'cloze_definitions' THEN json_type(c, '$.cloze_text') = 'VARCHAR' ELSE json_type(c, '$.front') = 'VARCHAR' AND json_type(c, '$.back') = 'VARCHAR' END AS ok FROM e),
+g AS (SELECT doc_id FROM k GROUP BY doc_id HAVING bool_and(coalesce(ok, FALSE)))
+SELECT doc_id, CAST(n AS BIGINT) AS card_no, CASE WHEN strategy = 'key_points' THEN 'Basic' ELSE 'Cloze' END AS note_type, coalesce(c->>'$.page_citation', 'p. ' || CAST(start_page AS VARCHAR)) AS page_citation,
+CASE WHEN (c->>'$.difficulty') IN ('easy', 'medium', 'hard') THEN (c->>'$.difficulty') ELSE 'medium' END AS difficulty, trim(coalesce(c->>'$.front', '')) AS front, trim(coalesce(c->>'$.back', '')) AS back, trim(coalesce(c->>'$.cloze_text', '')) AS cloze_text,
+CASE WHEN strategy = 'key_points' THEN CASE WHEN (c->'$.tags') IS NULL THEN 'key-points' ELSE 'key-points,x,y' END ELSE CASE WHEN (c->'$.tags') IS NULL THEN 'cloze-definitions' ELSE 'cloze-definitions,p,q' END END AS tags FROM k WHERE doc_id IN (SELECT doc_id FROM g)""")
+def json_cards_parse(spark, sf):
+    r = spark.sql("WITH " + v._named(JSON_SQL, {"documents": 0}) + " SELECT * FROM resp", documents=v.table(spark, sf, "documents"))
+    c = cd.parse_responses(r)
+    return c.select("doc_id", F.col("card_no").cast("bigint").alias("card_no"), "note_type", "page_citation", "difficulty", "front", "back", "cloze_text", F.array_join("tags", ",").alias("tags"))
+
+
+@query("tag_normalize", f"""{C}, t AS (SELECT card_ord, strategy, unnest(string_split(tags, ';')) AS t, unnest(range(len(string_split(tags, ';')))) AS i FROM cards),
+u AS (SELECT card_ord, CASE WHEN strategy = 'key_points' THEN 'key-points' ELSE 'cloze-definitions' END AS t, -1 AS i FROM cards UNION ALL SELECT card_ord, lower({strip('t')}), i FROM t WHERE {strip('t')} <> ''),
+d AS (SELECT card_ord, t, min(i) AS i FROM u GROUP BY card_ord, t) SELECT card_ord, string_agg(t, ',' ORDER BY i) AS tags FROM d GROUP BY card_ord""")
+def tag_normalize(spark, sf):
+    own = F.when(F.col("strategy") == "key_points", "key-points").otherwise("cloze-definitions")
+    return tagged(spark, sf).select("card_ord", F.array_join(cd.normal_tags(F.col("tags"), own), ",").alias("tags"))
+
+
+@query("mock_generation", f"""{v.ctes('pages')}, c AS (SELECT doc_id, page_num, list_filter(string_split(raw_text, chr(10)), lambda x: {strip('x')} <> '')[1:2] AS l FROM pages),
+e AS (SELECT doc_id, page_num, unnest(l) AS x, unnest(range(len(l))) AS n FROM c) SELECT doc_id, CAST(page_num AS BIGINT) AS page_num, CAST(n AS BIGINT) AS card_no, {strip("'What about ' || substr(x, 1, 20) || '?'")} AS front, {strip('x')} AS back FROM e
+WHERE (doc_id, page_num) NOT IN (SELECT doc_id, page_num FROM e WHERE {strip('x')} = '')""")
+def mock_generation(spark, sf):
+    p = v.pages(spark, sf).select("doc_id", F.col("page_num").alias("chunk_index"), F.col("page_num").alias("start_page"), F.col("raw_text").alias("text"))
+    c = cd.parse_responses(cd.mock_responses(p))
+    return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("page_num"), F.col("card_no").cast("bigint").alias("card_no"), "front", "back")
+
+
+@query("card_provenance", f"""{v.ctes('pages', 'cards')} SELECT card_ord, c.front, CASE WHEN length(raw_text) > 500 THEN substr(raw_text, 1, 500) || '...' ELSE raw_text END AS original_text, 'p. ' || CAST(page_num AS VARCHAR) AS ref_citation, 'f' || CAST(p.doc_id % 7 AS VARCHAR) || '.pdf' AS source_pdf
+FROM cards c JOIN pages p ON p.doc_id = c.card_ord AND p.page_num = 1""")
+def card_provenance(spark, sf):
+    p = v.pages(spark, sf).select("doc_id", F.col("page_num").alias("chunk_index"), F.col("page_num").alias("start_page"), F.col("page_num").alias("end_page"), F.lit(None).cast("string").alias("section"), F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string"), F.lit(".pdf")).alias("source_pdf"), F.col("raw_text").alias("text"))
+    c = cards(spark, sf).select("card_ord", "front", F.col("card_ord").alias("doc_id"), F.lit(1).alias("chunk_index"))
+    return cd.with_provenance(c, p, "mock").select("card_ord", "front", "original_text", "ref_citation", "source_pdf")
+
+
+# every third quote is taken from the chunk itself, the others from elsewhere
+QUOTED = """SELECT doc_id AS card_ord, doc_id, 1 AS chunk_index, 'It says "' || CASE WHEN doc_id % 3 = 0 THEN substr(text, 3, 25) WHEN doc_id % 3 = 1 THEN 'short one' ELSE 'certainly not in there' END || '" and more' AS front, 'b' AS back, '' AS cloze_text, '' AS extra,
+  CASE WHEN doc_id % 12 = 0 THEN ' ' ELSE 'p. 1' END AS page_citation, 'p. 1' AS ref_citation FROM documents"""
+
+
+@query("quote_verification", rf"""WITH cards AS ({QUOTED}), q AS (SELECT card_ord, unnest(regexp_extract_all(front || ' ' || back || ' ' || cloze_text || ' ' || extra || ' ', '"([^"]*)"', 1)) AS q FROM cards),
+bad AS (SELECT DISTINCT card_ord FROM q JOIN documents d ON d.doc_id = q.card_ord WHERE length(q) > 10 AND NOT contains(lower(d.text), lower(q)))
+SELECT card_ord, trim(page_citation) <> '' AND trim(ref_citation) <> '' AND card_ord NOT IN (SELECT card_ord FROM bad) AS valid FROM cards""")
+def quote_verification(spark, sf):
+    d = v.table(spark, sf, "documents")
+    c = v._sql(spark, QUOTED, documents=d)
+    return cd.verified(c, d.select("doc_id", F.lit(1).alias("chunk_index"), "text"), drop=False).select("card_ord", "valid")
+
+
+@query("figure_chunk_semijoin", f"""{v.ctes('papers')}, im AS (SELECT doc_id, 1 + doc_id % 2 AS p FROM documents WHERE doc_id % 3 = 0), t AS (SELECT doc_id, lower(text) AS x FROM papers),
+w AS (SELECT *, list_bool_or([contains(x, w) FOR w IN [{', '.join("'" + w + "'" for w in cd.VISUAL)}]]) AS any_word, list_bool_or([contains(x, w) FOR w IN [{', '.join("'" + w + "'" for w in cd.VISUAL[:4])}]]) AS named FROM t)
+SELECT doc_id FROM w WHERE any_word AND (named OR doc_id IN (SELECT doc_id FROM im WHERE p = 1))""")
+def figure_chunk_semijoin(spark, sf):
+    p = v.papers(spark, sf).withColumns({"start_page": F.lit(1), "end_page": F.lit(1)})
+    i = v.table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", (1 + F.col("doc_id") % 2).alias("page_num"))
+    return cd.figure_chunks(p, i).select("doc_id")
+
+
+REVIEWS = """SELECT doc_id AS card_ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) + 0.5 END AS score, CASE WHEN doc_id % 4 = 0 THEN 'edited ' || CAST(doc_id AS VARCHAR(20)) ELSE '' END AS edit_front, CASE WHEN doc_id % 6 = 0 THEN ' back ' ELSE NULL END AS edit_back FROM documents WHERE doc_id % 7 <> 0"""
+
+
+@query("review_apply", f"""{C}, r AS (SELECT card_ord, coalesce(score, 5.0) AS s, trim(coalesce(edit_front, '')) AS ef, trim(coalesce(edit_back, '')) AS eb FROM ({REVIEWS}))
+SELECT c.card_ord, CASE WHEN ef <> '' AND note_type <> 'Cloze' THEN ef ELSE front END AS front, CASE WHEN eb <> '' THEN eb ELSE back END AS back, CASE WHEN ef <> '' AND note_type = 'Cloze' THEN ef ELSE cloze_text END AS cloze_text, coalesce(s, -1.0) AS score, coalesce(ef <> '', FALSE) OR coalesce(eb <> '', FALSE) AS edited
+FROM cards c LEFT JOIN r ON r.card_ord = c.card_ord WHERE s IS NULL OR s >= 7""")
+def review_apply(spark, sf):
+    r = v._sql(spark, REVIEWS, documents=v.table(spark, sf, "documents")).withColumn("issues", F.array(F.lit("none")))
+    return cd.reviewed(cards(spark, sf), r).select("card_ord", "front", "back", "cloze_text", F.coalesce("review_score", F.lit(-1.0)).alias("score"), F.col("review_edited").alias("edited"))
+
+
+@query("review_metrics", f"""WITH r AS (SELECT coalesce(score, 5.0) >= 7 AS kept, edit_front <> '' AS e FROM ({REVIEWS})), m AS (SELECT count(*) AS reviewed, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE kept AND e) AS edited FROM r)
+SELECT *, round_even(dropped / greatest(reviewed, 1), 3) AS drop_rate, round_even(edited / greatest(reviewed, 1), 3) AS edit_rate FROM m""")
+def review_metrics(spark, sf):
+    r = v._sql(spark, REVIEWS, documents=v.table(spark, sf, "documents"))
+    return telemetry.review_metrics(r.select("score", (F.col("edit_front") != "").alias("edited")))
+
+
+@query("truncate_text", """SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...[truncated]' ELSE text END AS head, CASE WHEN length(text) > 400 THEN '[truncated]...' || right(text, 400) ELSE text END AS tail, CASE WHEN length(text) > 400 THEN substr(text, 1, 200) || '...[middle truncated]...' || right(text, 200) ELSE text END AS both FROM documents""")
+def truncate_text(spark, sf):
+    t = F.col("text")
+    return v.table(spark, sf, "documents").select("doc_id", tx.truncate_tokens(t, 100).alias("head"), tx.truncate_tokens(t, 100, "start").alias("tail"), tx.truncate_tokens(t, 100, "middle").alias("both"))
+
+
+@query("text_filters", rf"""SELECT doc_id, md5(replace({collapse('text')}, '"', '''')) AS clean_md5, CASE WHEN len(string_split({collapse('text')}, ' ')) > 30 THEN array_to_string(string_split({collapse('text')}, ' ')[1:30], ' ') || '...' ELSE text END AS first_words FROM documents""")
+def text_filters(spark, sf):
+    t = F.col("text")
+    return v.table(spark, sf, "documents").select("doc_id", F.md5(tx.clean_text(t).cast("binary")).alias("clean_md5"), tx.truncate_words(t, 30).alias("first_words"))
+
+
+@query("generation_plan", f"{v.ctes('pages')}, f AS (SELECT doc_id, string_agg({strip('raw_text')}, chr(10) || chr(10) ORDER BY page_num) AS t FROM pages WHERE page_num <= 3 AND {strip('raw_text')} <> '' GROUP BY doc_id) SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS preview FROM f")
+def generation_plan(spark, sf):
+    first = ch.by_pages(v.pages(spark, sf).where("page_num <= 3"), 10**6).where("chunk_index = 0")
+    return first.select("doc_id", tx.preview(F.col("text"), 200).alias("preview"))
+
+
+# ---- identity and duplicates ---------------------------------------------------------------------------------------
+
+CMP = f"CASE note_type WHEN 'Basic' THEN front || ' | ' || back WHEN 'Cloze' THEN {uncloze('cloze_text')} || ' | ' || coalesce(extra, '') ELSE front || ' | ' || back || ' | ' || cloze_text || ' | ' || coalesce(extra, '') END"
+NORMAL = "CASE note_type WHEN 'Basic' THEN front || '||' || back WHEN 'Cloze' THEN cloze_text || '||' || coalesce(extra, '') ELSE front || '||' || back || '||' || cloze_text || '||' || coalesce(extra, '') END"
+KEY = f"concat_ws('|', 'salt', note_type, lower({collapse(NORMAL)}), source_pdf, CAST(page_start AS VARCHAR) || '-' || coalesce(CAST(page_end AS VARCHAR), ''))"
+
+
+@query("content_key_md5", f"{C} SELECT card_ord, md5({KEY}) AS key_md5 FROM cards")
+def content_key_md5(spark, sf):
+    return cards(spark, sf).select("card_ord", F.md5(identity.content_key("salt").cast("binary")).alias("key_md5"))
+
+
+@query("content_hash_blake2b")
+def content_hash_blake2b(spark, sf):
+    return identity.content_ids(cards(spark, sf), "salt").select("card_ord", "id")
+
+
+PKEY = "concat_ws('|', source_pdf, CAST(page_start AS VARCHAR), core_concept, note_type, strategy)"
+
+
+@query("persistent_ids", f"""{C}, k AS (SELECT *, {PKEY} AS key FROM cards), old AS (SELECT key, 'salt_' || lpad(CAST(max(card_ord) + 1 AS VARCHAR), 6, '0') AS id FROM k WHERE card_ord < 200 AND card_ord % 2 = 0 GROUP BY key),
+mx AS (SELECT max(CAST(substr(id, 6) AS INT)) AS m FROM old), n AS (SELECT key, min(card_ord) AS f FROM k WHERE key NOT IN (SELECT key FROM old) GROUP BY key),
+new AS (SELECT key, 'salt_' || lpad(CAST(m + row_number() OVER (ORDER BY f) AS VARCHAR), 6, '0') AS id FROM n, mx) SELECT card_ord, coalesce(old.id, new.id) AS id FROM k LEFT JOIN old ON old.key = k.key LEFT JOIN new ON new.key = k.key""")
+def persistent_ids(spark, sf):
+    c = cards(spark, sf)
+    old = identity.known_ids(c.where("card_ord < 200 and card_ord % 2 = 0").withColumn("id", F.format_string("salt_%06d", F.col("card_ord") + 1)))
+    return identity.persistent_ids(c.drop("id"), old, "salt").select("card_ord", "id")
+
+
+@query("dedup_exact_hash", f"{C}, h AS (SELECT card_ord, md5({collapse('lower(' + CMP + ')')}) AS h FROM cards) SELECT min(card_ord) AS card_ord, h AS content_hash FROM h GROUP BY h")
+def dedup_exact_hash(spark, sf):
+    c = cards(spark, sf).withColumn("content_hash", dedup.content_hash(dedup.comparison_text()))
+    return dedup.first_of(c, F.col("content_hash")).select("card_ord", "content_hash")
+
+
+@query("dedup_front", f"""{C}, k AS (SELECT card_ord, source_pdf, CASE WHEN lower({strip('front')}) <> '' THEN 'f:' || lower({strip('front')}) WHEN lower({strip(uncloze('cloze_text'))}) <> '' THEN 'c:' || lower({strip(uncloze('cloze_text'))}) ELSE 'w:' || {CMP} END AS k FROM cards) SELECT min(card_ord) AS card_ord FROM k GROUP BY source_pdf, k""")
+def dedup_front(spark, sf):
+    return dedup.by_front(cards(spark, sf), ["source_pdf"]).select("card_ord")
+
+
+@query("dedup_cloze", f"{C} SELECT min(card_ord) AS card_ord FROM cards WHERE {strip('cloze_text')} <> '' GROUP BY {collapse('lower(' + uncloze('cloze_text') + ')')}")
+def dedup_cloze(spark, sf):
+    return dedup.by_cloze(cards(spark, sf)).select("card_ord")
+
+
+@query("dedup_persistent_antijoin", f"{C}, h AS (SELECT card_ord, md5({collapse('lower(' + CMP + ')')}) AS h FROM cards) SELECT min(card_ord) AS card_ord FROM h WHERE h NOT IN (SELECT h FROM h WHERE card_ord % 5 = 0) GROUP BY h")
+def dedup_persistent_antijoin(spark, sf):
+    c = cards(spark, sf)
+    old = c.where("card_ord % 5 = 0").select(dedup.content_hash(dedup.comparison_text()).alias("content_hash"))
+    return dedup.against_index(c, old)[0].select("card_ord")
+
+
+@query("dedup_fuzzy")
+def dedup_fuzzy(spark, sf):
+    """Too many pairs for SQL; tested against a sequential pass on small tables."""
+    return dedup.within_run(cards(spark, sf)).select("card_ord")
+
+
+# ---- retrieval -----------------------------------------------------------------------------------------------------
+
+UNIT = "nrm AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS e FROM nrm)"
+TOP = f"WITH {UNIT}, s AS (SELECT q.vec_id AS query_id, i.vec_id, round(list_dot_product(q.e, i.e), 6) AS score, list_dot_product(q.e, i.e) AS full_score FROM u q, u i WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(full_score, 9) DESC, vec_id) AS rank FROM s)"
+
+
+def hits(spark, sf, k):
+    e = v.table(spark, sf, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.top_k(q, e, k)
+
+
+@query("rag_topk_cosine", f"{TOP} SELECT query_id, vec_id, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5")
+def rag_topk_cosine(spark, sf):
+    return hits(spark, sf, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("rag_context", f"""{TOP}, t AS (SELECT doc_id, substr(text, 1, 300) AS text, 1 + doc_id % 9 AS p FROM documents),
+c AS (SELECT query_id, string_agg('[Context from p.' || CAST(p AS VARCHAR) || '-' || CAST(p + 1 AS VARCHAR) || ']: ' || substr(text, 1, 200) || '...', chr(10) || chr(10) ORDER BY rank) AS x FROM r JOIN t ON t.doc_id = r.vec_id WHERE rank <= 3 AND score > 0.2 GROUP BY query_id)
+SELECT t.doc_id AS chunk_id, md5(text || coalesce(chr(10) || chr(10) || '--- Additional Context ---' || chr(10) || x, '')) AS text_md5 FROM t LEFT JOIN c ON c.query_id = t.doc_id""")
+def rag_context(spark, sf):
+    p = (1 + F.col("doc_id") % 9).cast("int")
+    c = v.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(300)).alias("text"), p.alias("start_page"), (p + 1).alias("end_page"))
+    return retrieval.with_context(c, hits(spark, sf, 3), 3, 0.2).select("chunk_id", F.md5(F.col("context_text").cast("binary")).alias("text_md5"))
+
+
+@query("dedup_embedding_pairs", f"WITH {UNIT} SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.e, b.e), 6) >= 0.5")
+def dedup_embedding_pairs(spark, sf):
+    return retrieval.similar_pairs(v.table(spark, sf, "embeddings"), 0.5)
+
+
+# ---- validation, decks, telemetry, registry ------------------------------------------------------------------------
+
+
+def _rule(severity: str, rule: str, field: str, kind: str, where: str) -> str:
+    return f"SELECT '{severity}' AS severity, '{rule}' AS rule, '{field}' AS field, '{kind}' AS note_type, count(*) AS n FROM cards WHERE {where}"
+
+
+def _blank(c: str) -> str:
+    return f"coalesce({strip(c)} = '', TRUE)"
+
+
+VALIDATE_SQL = f"{C}, i AS (" + " UNION ALL ".join([
+    _rule("error", "empty_id", "id", "", _blank("id")), _rule("warning", "id_length", "id", "", f"NOT {_blank('id')} AND NOT length(id) BETWEEN 4 AND 100"),
+    _rule("warning", "unknown_note_type", "note_type", "", "note_type NOT IN ('Basic', 'Cloze')"),
+    *[_rule("error", "empty_field", f, t, f"note_type = '{t}' AND {_blank(f)}") for t, f in (("Basic", "front"), ("Basic", "back"), ("Cloze", "cloze_text"))],
+    _rule("error", "no_cloze", "cloze_text", "Cloze", f"note_type = 'Cloze' AND NOT {_blank('cloze_text')} AND len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) = 0"),
+    *[_rule("warning", "short_content", f, "", f"length({strip(f)}) BETWEEN 1 AND 4") for f in ("front", "back", "cloze_text")],
+    "SELECT 'error', 'duplicate_id', 'id', '', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM cards GROUP BY id)",
+    f"SELECT 'warning', 'missing_media', 'media', '', count(*) FROM (SELECT DISTINCT {strip('x')} AS x FROM (SELECT unnest(string_split(media, ';')) AS x FROM cards)) WHERE x <> '' AND x NOT IN ('a0.png', 'b.png')",
+]) + ") SELECT * FROM i WHERE n > 0"
+
+
+@query("validate_report", VALIDATE_SQL)
+def validate_report(spark, sf):
+    return validate.issues(cards(spark, sf), spark.createDataFrame([("a0.png",), ("b.png",)], "name string"))
+
+
+@query("duplicate_ids", f"{C} SELECT coalesce(id, '(none)') AS id, CAST(count(*) - 1 AS BIGINT) AS extra FROM cards GROUP BY cards.id HAVING count(*) > 1")
+def duplicate_ids(spark, sf):
+    return validate.duplicate_ids(cards(spark, sf)).withColumn("id", F.coalesce("id", F.lit("(none)")))
+
+
+@query("card_stats", C + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM cards WHERE {f} IS NOT NULL GROUP BY {f}" for f in ("note_type", "strategy", "difficulty")))
+def card_stats(spark, sf):
+    return validate.statistics(cards(spark, sf))
+
+
+@query("metadata_completeness", C + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {_blank('CAST(' + f + ' AS VARCHAR)')} THEN 0.0 ELSE 1.0 END) * 100, 6) AS percent FROM cards" for f in ("source_pdf", "page_start", "page_end", "section", "ref_citation", "strategy")))
+def metadata_completeness(spark, sf):
+    return validate.completeness(cards(spark, sf)).withColumn("percent", F.round("percent", 6))
+
+
+@query("media_antijoin", f"{C}, m AS (SELECT DISTINCT {strip('x')} AS name FROM (SELECT unnest(string_split(media, ';')) AS x FROM cards)) SELECT name FROM m WHERE name NOT IN ('', 'a0.png')")
+def media_antijoin(spark, sf):
+    return validate.missing_media(cards(spark, sf), spark.createDataFrame([("a0.png",)], "name string"))
+
+
+@query("deck_name_check", rf"""WITH n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'A::B' WHEN 1 THEN ' lead' WHEN 2 THEN 'fine name' WHEN 3 THEN ' ' ELSE 'a/b' END AS name FROM documents) SELECT doc_id, {strip('name')} <> '' AND {strip('name')} = name AND NOT regexp_matches(name, '[<>:"|?*/\\]') AS ok FROM n""")
+def deck_name_check(spark, sf):
+    k = F.col("doc_id") % 5
+    return v.table(spark, sf, "documents").select("doc_id", validate.deck_name_ok(F.when(k == 0, "A::B").when(k == 1, " lead").when(k == 2, "fine name").when(k == 3, " ").otherwise("a/b")).alias("ok"))
+
+
+DECK = "CASE WHEN coalesce(trim(section), '') <> '' THEN 'D::' || section ELSE 'D' END"
+INFO = "concat_ws(', ', CASE WHEN source_pdf = '' THEN 'Unknown' ELSE string_split(source_pdf, '/')[-1] END, CASE WHEN page_end IS NULL OR page_end = page_start THEN 'p. ' || CAST(page_start AS VARCHAR) ELSE 'pp. ' || CAST(page_start AS VARCHAR) || '-' || CAST(page_end AS VARCHAR) END, section)"
+TAGS = f"""dt AS (SELECT card_ord, unnest(string_split(tags, ';')) AS t, unnest(range(len(string_split(tags, ';')))) AS i FROM cards UNION ALL SELECT card_ord, 'strategy:' || strategy, 100 FROM cards UNION ALL SELECT card_ord, 'type:' || note_type, 101 FROM cards),
+du AS (SELECT card_ord, lower(replace({strip('t')}, ' ', '_')) AS t, min(i) AS i FROM dt WHERE {strip('t')} <> '' GROUP BY 1, 2), dtags AS (SELECT card_ord, string_agg(t, ',' ORDER BY i) AS tags FROM du GROUP BY card_ord)"""
+
+
+@query("deck_assignment", f"{C} SELECT {DECK} AS deck, count(*) AS n_cards FROM cards GROUP BY 1")
+def deck_assignment(spark, sf):
+    return deck.decks(cards(spark, sf), "D", "by_chapter")
+
+
+@query("deck_themes", f"{C} SELECT card_ord, 'D::' || CASE strategy WHEN 'key_points' THEN 'Key Points' ELSE 'Cloze Definitions' END AS deck FROM cards")
+def deck_themes(spark, sf):
+    return cards(spark, sf).select("card_ord", deck.deck_of("D", "by_theme").alias("deck"))
+
+
+@query("source_info", f"{C} SELECT card_ord, {INFO} AS source FROM cards")
+def source_info(spark, sf):
+    return cards(spark, sf).select("card_ord", deck.source_info().alias("source"))
+
+
+@query("deck_tags", f"{C}, {TAGS} SELECT card_ord, tags FROM dtags")
+def deck_tags(spark, sf):
+    return tagged(spark, sf).select("card_ord", F.array_join(deck.deck_tags(), ",").alias("tags"))
+
+
+@query("build_notes", f"""{C}, {TAGS} SELECT c.card_ord, {DECK} AS deck, note_type AS model, CASE note_type WHEN 'Basic' THEN concat_ws('~', front, back, coalesce(extra, ''), {INFO}, ref_citation, core_concept, coalesce(id, '')) ELSE concat_ws('~', cloze_text, coalesce(extra, ''), {INFO}, ref_citation, core_concept, coalesce(id, '')) END AS fields, d.tags FROM cards c JOIN dtags d ON d.card_ord = c.card_ord WHERE note_type IN ('Basic', 'Cloze')""")
+def build_notes(spark, sf):
+    c = tagged(spark, sf).where(F.col("note_type").isin("Basic", "Cloze"))
+    # the notes carry no ordinal; it rides along as the id here
+    n = deck.notes(c.withColumns({"_id": F.coalesce("id", F.lit("")), "id": F.col("card_ord").cast("string")}), "D", "by_chapter")
+    ids = c.select(F.col("card_ord").cast("string").alias("guid"), "card_ord", F.coalesce("id", F.lit("")).alias("_id"))
+    n = n.join(ids, "guid")
+    whole = F.concat(F.slice("fields", 1, F.size("fields") - 1), F.array("_id"))
+    return n.select("card_ord", "deck", "model", F.array_join(whole, "~").alias("fields"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("preview_projection", f"""{C} SELECT card_ord, coalesce(substr(id, 1, 12), '') AS short_id, CASE WHEN length(a) > 80 THEN substr(a, 1, 80) || '...' ELSE a END AS side_a, array_to_string(t[1:3], ', ') || CASE WHEN len(t) > 3 THEN ' (+' || CAST(len(t) - 3 AS VARCHAR) || ')' ELSE '' END AS tags
+FROM (SELECT *, CASE WHEN note_type = 'Cloze' THEN cloze_text ELSE front END AS a, list_filter(list_transform(string_split(cards.tags, ';'), lambda x: trim(x)), lambda x: x <> '') AS t FROM cards) ORDER BY card_ord LIMIT 10""")
+def preview_projection(spark, sf):
+    p = deck.previews(tagged(spark, sf), 10)
+    return p.select("card_ord", F.coalesce("short_id", F.lit("")).alias("short_id"), "side_a", "tags")
+
+
+REG = "reg AS (SELECT 'f' || CAST(doc_id AS VARCHAR(20)) AS key, doc_id % 4 <> 0 AS enabled, CASE WHEN doc_id % 2 = 0 THEN 'textbook' ELSE 'unknown' END AS doc_type, doc_id % 90 AS page_count, CASE WHEN doc_id % 3 = 0 THEN 'smart' ELSE NULL END AS override_mode, CASE WHEN doc_id % 5 = 0 THEN 'sections' ELSE NULL END AS heuristic_mode, CASE WHEN doc_id % 7 = 0 THEN 1500 ELSE NULL END AS heuristic_tokens FROM documents WHERE doc_id < 600)"
+SCAN = "scan AS (SELECT 'f' || CAST(doc_id AS VARCHAR(20)) AS key, 'research_paper' AS doc_type, doc_id % 80 + 1 AS page_count, 'day2' AS last_scanned FROM documents WHERE doc_id >= 400)"
+
+
+def _reg(spark, sf):
+    return spark.sql("WITH " + v._named(REG, {"documents": 0}) + " SELECT *, 'day1' AS last_scanned FROM reg", documents=v.table(spark, sf, "documents"))
+
+
+@query("registry_upsert", f"""WITH {REG}, {SCAN} SELECT key, coalesce(r.enabled, TRUE) AS enabled, coalesce(s.doc_type, r.doc_type) AS doc_type, coalesce(s.page_count, r.page_count) AS page_count, coalesce(s.last_scanned, 'day1') AS last_scanned, coalesce(r.override_mode, '') AS override_mode FROM reg r FULL JOIN scan s USING (key)""")
+def registry_upsert(spark, sf):
+    s = spark.sql("WITH " + v._named(SCAN, {"documents": 0}) + " SELECT * FROM scan", documents=v.table(spark, sf, "documents"))
+    return registry.upserted(_reg(spark, sf), s).withColumn("override_mode", F.coalesce("override_mode", F.lit("")))
+
+
+@query("config_layering", f"WITH {REG} SELECT key, coalesce(override_mode, heuristic_mode, 'pages') AS mode, CAST(coalesce(heuristic_tokens, 2000) AS BIGINT) AS tokens, 9 AS overlap FROM reg")
+def config_layering(spark, sf):
+    out = registry.layered(_reg(spark, sf), {"mode": "pages", "tokens": 2000, "overlap": 200}, {"overlap": 9})
+    return out.withColumn("tokens", F.col("tokens").cast("bigint"))
+
+
+@query("registry_type_counts", f"WITH {REG} SELECT doc_type, count(*) AS n FROM reg WHERE enabled GROUP BY doc_type")
+def registry_type_counts(spark, sf):
+    return registry.type_counts(registry.enabled(_reg(spark, sf)))
+
+
+COST = "tokens_in / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.03 WHEN 'gpt-3.5-turbo' THEN 0.001 ELSE 0.01 END + tokens_out / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.06 WHEN 'gpt-3.5-turbo' THEN 0.002 ELSE 0.03 END"
+
+
+@query("model_cost", f"{v.ctes('calls')} SELECT model, count(*) AS calls, round(sum(CAST({COST} AS DOUBLE)), 4) AS cost FROM calls GROUP BY model")
+def model_cost(spark, sf):
+    return telemetry.with_cost(v.calls(spark, sf)).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+@query("telemetry_rollup", f"{v.ctes('calls')} SELECT coalesce(strategy, '(all)') AS strategy, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens, round(sum(CAST({COST} AS DOUBLE)), 4) AS cost, CAST(sum(cached::INT) AS BIGINT) AS cache_hits, count(*) AS calls, CAST(sum(cards) AS BIGINT) AS cards FROM calls GROUP BY ROLLUP (calls.strategy)")
+def telemetry_rollup(spark, sf):
+    c = telemetry.with_cost(v.calls(spark, sf)).withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))
+    return telemetry.rolled_up(c).withColumn("strategy", F.coalesce("strategy", F.lit("(all)"))).withColumn("cost", F.round("cost", 4))
+
+
+@query("cache_hit_rate", f"{v.ctes('calls')} SELECT strategy, CAST(sum(cached::INT) AS BIGINT) AS hits, count(*) AS calls, round_even(sum(cached::INT) / greatest(count(*), 1), 3) AS hit_rate FROM calls GROUP BY strategy")
+def cache_hit_rate(spark, sf):
+    return telemetry.hit_rates(v.calls(spark, sf))

@@ -49,6 +49,7 @@ def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 
 
 def _named(text: str, tables: dict) -> str:
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return text.replace("VARCHAR(20)", "STRING")
