@@ -1,0 +1,159 @@
+"""Run settings: a tree of dataclasses read from YAML on the driver."""
+
+from __future__ import annotations
+
+import os
+import re
+import warnings
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from typing import Any
+
+
+@dataclass
+class Inputs:
+    paths: list[str] = field(default_factory=list)
+    patterns: list[str] = field(default_factory=lambda: ["*.pdf"])
+    recursive: bool = True
+
+
+@dataclass
+class Chunking:
+    mode: str = "smart"
+    tokens_per_chunk: int = 2000
+    overlap_tokens: int = 200
+    min_chunk_tokens: int = 100
+    max_chunk_tokens: int = 4000
+    token_budget: int = 8000
+    trim_terminal: bool = True
+    respect_page_bounds: bool = True
+
+
+@dataclass
+class Model:
+    name: str = "gpt-4-1106-preview"
+    provider: str = "openai"
+    temperature: float = 0.0
+    max_retries: int = 3
+    timeout: int = 120
+    api_key: str = ""
+
+    def __post_init__(self) -> None:
+        if m := re.fullmatch(r"\$\{(\w+)\}", self.api_key or ""):
+            self.api_key = os.environ.get(m[1], "")
+
+
+@dataclass
+class Strategy:
+    enabled: bool = True
+    template_version: str = "1.0"
+    max_cards: int = 5
+
+
+@dataclass
+class Strategies:
+    key_points: Strategy = field(default_factory=Strategy)
+    cloze_definitions: Strategy = field(default_factory=Strategy)
+    figure_based: Strategy = field(default_factory=Strategy)
+
+    def enabled(self) -> list[str]:
+        """In declared order."""
+        return [f.name for f in fields(self) if getattr(self, f.name).enabled]
+
+
+@dataclass
+class Retrieval:
+    enabled: bool = False
+    k: int = 5
+    context_chunks: int = 3
+    least_score: float = 0.7
+
+
+@dataclass
+class Dedup:
+    enabled: bool = True
+    fuzzy_threshold: float = 0.85
+    embedding_threshold: float = 0.0
+    policy: str = "OR"
+    persistent: bool = False
+
+
+@dataclass
+class Checks:
+    require_citations: bool = True
+    verify_quotes: bool = True
+    drop_on_failure: bool = True
+
+
+@dataclass
+class Review:
+    enabled: bool = False
+    min_score: float = 7.0
+    allow_edits: bool = True
+
+
+@dataclass
+class Ids:
+    strategy: str = "content_hash"
+    salt: str = "leafmill"
+
+
+@dataclass
+class Decks:
+    name: str = "Leafmill"
+    structure: str = "flat"
+
+
+@dataclass
+class Config:
+    inputs: Inputs = field(default_factory=Inputs)
+    chunking: Chunking = field(default_factory=Chunking)
+    model: Model = field(default_factory=Model)
+    strategies: Strategies = field(default_factory=Strategies)
+    retrieval: Retrieval = field(default_factory=Retrieval)
+    dedup: Dedup = field(default_factory=Dedup)
+    checks: Checks = field(default_factory=Checks)
+    review: Review = field(default_factory=Review)
+    ids: Ids = field(default_factory=Ids)
+    decks: Decks = field(default_factory=Decks)
+
+    def __post_init__(self) -> None:
+        from leafmill.operators.chunking import MODES
+        from leafmill.operators.deck import STRUCTURES
+
+        for value, allowed in ((self.chunking.mode, MODES), (self.decks.structure, STRUCTURES), (self.ids.strategy, ("content_hash", "persistent")), (self.dedup.policy, ("OR", "AND"))):
+            if value not in allowed:
+                raise ValueError(f"{value!r} is none of {', '.join(allowed)}")
+
+    @classmethod
+    def from_dict(cls, data: dict[str, Any]) -> Config:
+        return _build(cls, data)
+
+    @classmethod
+    def from_yaml(cls, path: str) -> Config:
+        """Settings from a file. Sections may also stand under ``pipeline`` or ``generate``, as older files have them."""
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            data = yaml.safe_load(f) or {}
+        for old in ("pipeline", "generate"):
+            if isinstance(data.get(old), dict):
+                warnings.warn(f"section {old!r} is read as if its parts stood on top", DeprecationWarning, stacklevel=2)
+                data = {**data.pop(old), **data}
+        return cls.from_dict(data)
+
+    def to_yaml(self, path: str) -> None:
+        import yaml
+
+        with open(path, "w", encoding="utf-8") as f:
+            yaml.safe_dump(asdict(self), f, sort_keys=False)
+
+
+def _build(cls: type, data: dict[str, Any] | None):
+    known = {f.name: f for f in fields(cls)}
+    out = {}
+    for k, x in (data or {}).items():
+        if k not in known:
+            continue
+        default = known[k].default_factory() if callable(known[k].default_factory) else known[k].default
+        out[k] = _build(type(default), x) if is_dataclass(default) else x
+    return cls(**out)

@@ -1,0 +1,87 @@
+"""Settings, templates, sources and sinks, the whole chain, incremental runs."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from leafmill.operators import deck
+from leafmill.plans import cards as plan
+from leafmill.plans import templates
+from leafmill.plans.config import Config
+from leafmill.sources import files, sinks
+from leafmill.streaming import incremental
+
+
+def test_config_round_trip(tmp_path, monkeypatch):
+    monkeypatch.setenv("SOME_KEY", "s3")
+    c = Config.from_dict({"chunking": {"mode": "pages", "tokens_per_chunk": 9}, "model": {"api_key": "${SOME_KEY}"}, "strategies": {"figure_based": {"enabled": False}}, "unknown": 1})
+    assert c.model.api_key == "s3" and c.strategies.enabled() == ["key_points", "cloze_definitions"]
+    c.to_yaml(str(tmp_path / "c.yaml"))
+    assert Config.from_yaml(str(tmp_path / "c.yaml")) == c
+    (tmp_path / "old.yaml").write_text("pipeline:\n  chunking: {mode: entire}\n")
+    with pytest.warns(DeprecationWarning):
+        assert Config.from_yaml(str(tmp_path / "old.yaml")).chunking.mode == "entire"
+    with pytest.raises(ValueError):
+        Config.from_dict({"chunking": {"mode": "none"}})
+
+
+def test_templates(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("name: p\nversion: '1.0'\ntemplate: old\n")
+    (tmp_path / "b.yaml").write_text("name: p\nversion: '2.0'\nsafety_rule: be safe\nmax_chunk_tokens: 2\nparameters: {max_cards: {type: int, default: 5}}\ntemplate: 'Make {{ max_cards }} of {{chunk_text}} like {{c1::x}}. {{ safety_rule }}'\n")
+    (tmp_path / "c.yaml").write_text("name: [bad\n")
+    p = templates.prompts(str(tmp_path))["p"]
+    d = spark.createDataFrame([("abcdefghij",)], "t string")
+    assert d.select(templates.render(p, chunk_text=F.col("t"))).first()[0] == "Make 5 of abcdefgh...[truncated] like {{c1::x}}. be safe"
+    with pytest.raises(KeyError):
+        templates.render(p)
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/basic.yaml").write_text("name: basic\nfields: [{name: front}, {name: back}]\n")
+    got = templates.note_types(str(tmp_path / "notes"))["basic"].csv_fields()
+    assert got[:2] == ["front", "back"] and len(got) == 22
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, t in (("b.pdf", "p1\fp2\fp3"), ("a.pdf", "q1"), ("bad.pdf", "!"), ("x.txt", "no")):
+        (tmp_path / "in" / n).write_text(t)
+    assert [r["path"].rsplit("/", 1)[1] for r in files.discover(spark, [str(tmp_path / "in")]).collect()] == ["a.pdf", "b.pdf", "bad.pdf"]
+
+    def extractor(path, content):
+        if content == b"!":
+            raise ValueError("unreadable")
+        return content.decode().split("\f")
+
+    got = [(r["path"].rsplit("/", 1)[1], r["page_num"], r["raw_text"]) for r in files.extract(spark, [str(tmp_path / "in")], extractor, last=2).orderBy("path", "page_num").collect()]
+    assert got == [("a.pdf", 1, "q1"), ("b.pdf", 1, "p1"), ("b.pdf", 2, "p2")]
+    assert files.metadata(files.discover(spark, [str(tmp_path / "in")])).first()["title"] == "a"
+    sha = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in files.with_digest(spark, [str(tmp_path / "in")]).collect()}
+    assert sha["x.txt"] == hashlib.sha256(b"no").hexdigest()
+    assert files.dedup_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_whole_chain_and_files(spark, tmp_path):
+    pages = spark.createDataFrame([(d, p, "\n\n".join(f"doc {d} page {p} line {i} has words of its own {hashlib.md5(f'{d}{p}{i}'.encode()).hexdigest()}" for i in range(3))) for d in (1, 2) for p in (1, 2)], "doc_id bigint, page_num int, raw_text string")
+    out = plan.build(pages, Config.from_dict({"chunking": {"mode": "pages", "tokens_per_chunk": 100}, "strategies": {"figure_based": {"enabled": False}}, "dedup": {"fuzzy_threshold": 0.97}}), now=F.lit("now")).persist()
+    assert out.count() > 4 and out.select("id").distinct().count() == out.count() and set(r["note_type"] for r in out.collect()) == {"Basic", "Cloze"}
+    sinks.save_cards(out, str(tmp_path / "csv"), single=True)
+    back = files.cards_csv(spark, str(tmp_path / "csv"))
+    assert back.count() == out.count() and set(files.CARD_COLUMNS) <= set(back.columns) and isinstance(back.first()["tags"], list)
+    sinks.save_package(deck.notes(out, "D"), deck.decks(out, "D"), str(tmp_path / "deck"))
+    assert spark.read.parquet(str(tmp_path / "deck/notes")).count() == out.count()
+    with pytest.raises(ValueError):
+        sinks.save_package(deck.notes(out.where("false"), "D"), deck.decks(out, "D"), str(tmp_path / "none"))
+    sinks.save_manifest({"a": 1}, str(tmp_path / "m.json"))
+    assert sinks.load_manifest(str(tmp_path / "m.json"))["a"] == 1 and sinks.load_manifest(str(tmp_path / "gone")) == {}
+    assert sinks.sample_schema({"b": ["x"], "a": ["y"]})[0] == {"note_type": "a", "x": "", "y": "Example y"}
+
+
+def test_incremental(spark, tmp_path):
+    schema = "card_ord bigint, note_type string, front string, back string, cloze_text string, extra string"
+    put = lambda rows: spark.createDataFrame([(i, "Basic", f, "b", "", "") for i, f in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: incremental.new_cards(incremental.read_cards(spark, str(tmp_path / "in"), schema), str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    put([(1, "x"), (2, "X "), (3, "y")])
+    run()
+    put([(4, "x"), (5, "z")])
+    run()
+    assert sorted(r["card_ord"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) in ([1, 2, 3, 5], [1, 3, 5])
