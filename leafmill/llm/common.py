@@ -85,7 +85,7 @@ def _scanner(schema: str, make: Callable) -> Callable[[Iterator[pa.RecordBatch]]
 
         for b in batches:
             # long texts: a few megabytes at a time
-            step = max(1, int(b.num_rows * 16e6 / max(b.nbytes, 1)))
+            step = max(1, int(b.num_rows * 4e6 / max(b.nbytes, 1)))
             for i in range(0, b.num_rows, step):
                 if (x := one(b.slice(i, step))) is not None:
                     yield out(x)
@@ -95,22 +95,42 @@ def _scanner(schema: str, make: Callable) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-class Cache(dict):
-    """Word to value, filled by ``fill(list of words) -> list of values``; starts anew beyond ``most`` entries."""
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """The object of a key, made once in a worker process. A worker holds one at a time: Spark uses it again for other
+    operators' tasks, whose models and caches would add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Cache:
+    """Word to value, filled by ``fill(list of words) -> list of values``.
+
+    Two generations of at most half of ``most`` entries each: when the young one is full it replaces the old one, and
+    words that are met again move over.
+    """
 
     def __init__(self, fill: Callable[[list], list], most: int = CACHE_ENTRIES):
-        super().__init__()
-        self.fill, self.most = fill, most
+        self.young: dict = {}
+        self.old: dict = {}
+        self.fill, self.half = fill, max(1, most // 2)
 
     def values_of(self, words: list) -> list:
-        got = list(map(self.get, words))
+        got = list(map(self.young.get, words))
         if None in got:
-            if len(self) > self.most:
-                self.clear()
-                got = [None] * len(words)
             new = list({w for w, v in zip(words, got) if v is None})
-            self.update(zip(new, self.fill(new)))
-            got = [self[w] if v is None else v for w, v in zip(words, got)]
+            if len(self.young) > self.half:
+                self.old, self.young = self.young, {}
+            found = list(map(self.old.get, new))
+            fresh = [w for w, v in zip(new, found) if v is None]
+            local = {w: v for w, v in zip(new, found) if v is not None}
+            local.update(zip(fresh, self.fill(fresh) if fresh else []))
+            self.young.update(local)
+            got = [local[w] if v is None else v for w, v in zip(words, got)]
         return got
 
 

@@ -13,10 +13,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import Cache, only, scan, tokenizer_path
+from leafmill.llm.common import Cache, held, only, scan, tokenizer_path
 
 SPACE = "▁"
-_ready: dict[str, UnigramCounter] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -79,9 +78,7 @@ class UnigramCounter:
 
 
 def counter(path: str) -> UnigramCounter:
-    if path not in _ready:
-        _ready[path] = UnigramCounter(vocabulary(path))
-    return _ready[path]
+    return held(f"unigram {path}", lambda: UnigramCounter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
