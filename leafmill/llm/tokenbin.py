@@ -81,21 +81,33 @@ def decode_table(widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, bits
 
 
-def encode(ids: np.ndarray, codes: np.ndarray, widths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of one run of ids, and the bit offset of each id."""
-    w = widths[ids].astype(np.int64)
-    at = starts_of(w)
-    total, at = int(at[-1]), at[:-1]
-    # each code lands in one 32-bit word or in two
-    words = np.zeros(total // 32 + 2, np.uint64)
-    wide = codes[ids].astype(np.uint64) << (64 - (at & 31) - w).astype(np.uint64)
-    k = at >> 5
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+def encode_table(widths: np.ndarray) -> np.ndarray:
+    """Code in the low bits and width in the top byte, for each id."""
+    return canonical(widths).astype(np.uint64) | widths.astype(np.uint64) << np.uint64(56)
+
+
+def encode(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+    """The bits of runs of ids (``counts`` of them each, one after another), and each run's checkpoints."""
+    both = np.take(codes, ids)
+    w = (both >> np.uint64(56)).view(np.int64)
+    at, first = starts_of(w), starts_of(counts)
+    begin = at[first]
+    size = np.diff(begin)
+    base = starts_of((size + 31) // 32)  # each run begins at a 32-bit word of its own
+    place = at[:-1] + np.repeat(base[:-1] * 32 - begin[:-1], counts)
+    # each code lands in one word or in two
+    words = np.zeros(int(base[-1]) + 1, np.uint64)
+    wide = both << (64 - (place & 31) - w).view(np.uint64)
+    k = place >> 5
     if len(k):
-        got = np.bitwise_or.reduceat(wide, first)
-        words[k[first]] |= got >> np.uint64(32)
-        words[k[first] + 1] |= got & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").tobytes()[: (total + 7) // 8], at
+        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        got = np.bitwise_or.reduceat(wide, heads)
+        words[k[heads]] |= got >> np.uint64(32)
+        words[k[heads] + 1] |= got & np.uint64(0xFFFFFFFF)
+    raw = words.astype(">u4").tobytes()
+    starts, lengths = (base[:-1] * 4).tolist(), ((size + 7) // 8).tolist()
+    first = first.tolist()
+    return [raw[i : i + n] for i, n in zip(starts, lengths)], [at[i:j:EVERY] - at[i] for i, j in zip(first[:-1], first[1:])]
 
 
 def decode(bits: np.ndarray, at: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -127,23 +139,24 @@ def _arrays(column: pa.Array, dtype: str) -> list[np.ndarray]:
 @lru_cache(maxsize=2)
 def _coder(widths: bytes) -> tuple:
     w = np.frombuffer(widths, np.uint8)
-    return canonical(w), w, decode_table(w)
+    return encode_table(w), decode_table(w)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     """doc_id and ids (binary, little-endian, 16 bits each where the vocabulary allows), the end id last; one more row
     at each task's end has a null ``ids`` and the task's counts of ids."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    end = int(end_id).to_bytes(4, "little")
 
     def make():
         counts = np.zeros(vocabulary, np.int64)
 
         def one(b: pa.RecordBatch) -> dict:
-            out = []
-            for raw in bpe(tokenizer).encode(b.column("text").to_pylist()):
-                a = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind)
-                out.append(a.tobytes())
-            counts.__iadd__(np.bincount(np.frombuffer(b"".join(out), kind), minlength=vocabulary))
+            texts = [raw + end for raw in bpe(tokenizer).encode(b.column("text").to_pylist())]
+            whole = np.frombuffer(b"".join(texts), "<u4")
+            counts.__iadd__(np.bincount(whole, minlength=vocabulary))
+            raw, at = whole.astype(kind).tobytes(), (starts_of([len(x) // 4 for x in texts]) * np.dtype(kind).itemsize).tolist()
+            out = [raw[i:j] for i, j in zip(at[:-1], at[1:])]
             return {"doc_id": b.column("doc_id"), "ids": out, "counts": [None] * len(out)}
 
         def last() -> dict | None:
@@ -204,13 +217,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def one(b: pa.RecordBatch) -> dict:
-        codes, w, _ = _coder(widths)
-        bits, marks, n = [], [], []
-        for ids in _arrays(b.column("ids"), kind):
-            x, at = encode(ids, codes, w)
-            bits.append(x)
-            marks.append(at[::EVERY].astype("<u4").tobytes())
-            n.append(len(ids))
+        codes = _coder(widths)[0]
+        runs = b.column("ids").to_pylist()
+        n = np.array([len(x) // np.dtype(kind).itemsize for x in runs], np.int64)
+        bits, marks = encode(np.frombuffer(b"".join(runs), kind), n, codes)
+        marks = [m.astype("<u4").tobytes() for m in marks]
         return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_ids": n, "bits": bits, "marks": marks}
 
     rows = staged.where("ids is not null").select(bucket_of("doc_id", bounds).cast("int").alias("shard"), "doc_id", "ids")
@@ -231,7 +242,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, of) -> DataFrame:
     widths = code["width"].to_numpy(np.uint8).tobytes()
 
     def one(b: pa.RecordBatch) -> dict:
-        table = _coder(widths)[2]
+        table = _coder(widths)[1]
         n = b.column("n_ids").to_numpy()
         blobs = b.column("bits").to_pylist()
         marks = _arrays(b.column("marks"), "<u4")
