@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, held_out, only, scan, scan_with, starts_of
+from leafmill.llm.common import Cache, held, held_out, only, scan, scan_with, starts_of
 
 SAMPLE = 2_000
 LANGUAGES = 64
 WORDS = 40_000
 LONGEST = 5
 CERTAIN = 12
-_ready: dict[str, LanguageModel] = {}
 
 
 def letters(word: str) -> str:
@@ -110,12 +109,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> bytes | None:
         return one, last
 
     counts = scan_with(only(chosen, "lang", "text"), "lang string, word string, n bigint", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "lang", "word").limit(WORDS * min(len(langs), 8)).toPandas()
+    top = counts.where("n > 1").orderBy(F.desc("n"), "lang", "word").limit(WORDS * min(len(langs), 8)).toArrow()
     by = {x: i for i, x in enumerate(langs)}
     total = np.zeros(len(langs))
     words: dict[str, np.ndarray] = {}
     grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST)]
-    for lang, w, n in top.itertuples(index=False):
+    for lang, w, n in zip(*(top[c].to_pylist() for c in ("lang", "word", "n"))):
         k = by[lang]
         total[k] += n
         words.setdefault(w, np.zeros(len(langs)))[k] += n
@@ -132,11 +131,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> bytes | None:
 
 
 def model(key: str, load) -> LanguageModel:
-    """Once in each worker process."""
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = LanguageModel(*pickle.loads(load()))
-    return _ready[key]
+    """The one of a worker process."""
+    return held(f"language {key}", lambda: LanguageModel(*pickle.loads(load())))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
