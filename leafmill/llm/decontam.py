@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, mix, odd, only, scan, starts_of, word_hashes
+from leafmill.llm.common import Cache, held, mix, odd, only, scan, starts_of, word_hashes
 
-MASKS = ("1101100111", "1110010111", "1011011011", "11111111")
+#: The fifth and sixth hold where every fifth or every fourth word is another.
+MASKS = ("1101100111", "1110010111", "1011011011", "11111111", "1011110111", "1011101110")
 LEAST = 8
 STRETCH = 20
 SHARE = 0.75
 #: Words of the benchmark that one block may hold.
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
-_ready: list[Cache] = []
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,9 +37,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def hashes_of(words: list[str]) -> np.ndarray:
-    if not _ready:
-        _ready.append(Cache(lambda ws: word_hashes([w.encode("utf-8", "replace") for w in ws])))
-    return np.array(_ready[0].values_of(words), dtype=np.uint64) if words else np.zeros(0, np.uint64)
+    cache = held("terms", lambda: Cache(lambda ws: word_hashes([w.encode("utf-8", "replace") for w in ws])))
+    return np.array(cache.values_of(words), dtype=np.uint64) if words else np.zeros(0, np.uint64)
 
 
 def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -140,12 +139,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, shar
 
 
 def _finder(sent, stretch: int, share: float, least: int):
-    held: list[Block] = []
+    made: list[Block] = []
 
     def one(b: pa.RecordBatch) -> dict | None:
-        if not held:
-            held.append(Block(*sent.value))
-        block, rows = held[0], []
+        if not made:
+            made.append(Block(*sent.value))
+        block, rows = made[0], []
         words, counts = [], []
         for x in b.column("text").to_pylist():
             w = words_of(x)
