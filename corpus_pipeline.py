@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontam, langid, linedup, minhash, packing
-from leafmill.llm.common import shared_dir
+from leafmill.llm.common import broadcast_if_small, shared_dir, stage
 
 #: Documents whose language is known with less than this share are rejected.
 LEAST_SHARE = 0.5
@@ -16,8 +16,7 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language."""
-    said = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(said, "doc_id", "left_semi").select(docs.columns)
+    return langid.recognised(docs, LEAST_SHARE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group."""
-    gone = minhash.near_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stage(minhash.near_groups(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, held, mix, odd, only, scan, starts_of, word_hashes
+from leafmill.llm.common import Cache, broadcast_if_small, held, mix, odd, only, scan, stage, starts_of, word_hashes
 
 #: The fifth and sixth hold where every fifth or every fourth word is another.
 MASKS = ("1101100111", "1110010111", "1011011011", "11111111", "1011110111", "1011101110")
@@ -172,5 +172,5 @@ def _finder(sent, stretch: int, share: float, least: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; null ids stay."""
-    bad = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = stage(overlaps(docs, benchmark).select("doc_id").distinct(), "bad")
+    return docs.join(broadcast_if_small(bad, bad.count()), "doc_id", "left_anti").select(docs.columns)

@@ -154,3 +154,19 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": lang, "score": score}
 
     return scan(rows, "doc_id bigint, held_out boolean, lang_pred string, score double", one)
+
+
+def recognised(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is known with at least this share; one pass, nothing is joined."""
+    fitted = fit(docs.select("doc_id", "text", "lang"), sample)
+    if fitted is None:
+        return docs.limit(0)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(fitted)  # bounded by WORDS and LANGUAGES
+    key = f"{spark.sparkContext.applicationId}-{id(sent)}"
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = model(key, lambda: sent.value).predict(b.column("text").to_pylist())
+        return b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return scan(docs, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes), one)
