@@ -77,13 +77,15 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     if not firsts:
         return rows.withColumn("next_text", F.lit(None).cast("string"))
     before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    heads = F.create_map(*[F.lit(x) for b, f in firsts for x in (b, f)]) if not all(f is None for _, f in firsts) else None
-    to = F.create_map(*[F.lit(x) for b, p in before.items() for x in (b, p)])
+    # by range number, so a row finds its entry at once
+    known = dict(firsts)
+    heads = F.array(*[F.lit(known.get(b)).cast("bigint") for b in range(len(bounds) + 1)])
+    to = F.array(*[F.lit(before.get(b, b)).cast("int") for b in range(len(bounds) + 1)])
     rows = rows.withColumn("_b", bucket)
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(heads, F.col("_b"))) if heads is not None else F.col("doc_id").isNull()
+    is_first = F.col("doc_id").eqNullSafe(F.get(heads, F.col("_b")))
     copies = F.array(
         F.struct(F.col("_b").alias("b"), F.lit(0).alias("ghost")),
-        F.when(is_first, F.struct(F.element_at(to, F.col("_b")).alias("b"), F.lit(1).alias("ghost"))),
+        F.when(is_first, F.struct(F.get(to, F.col("_b")).alias("b"), F.lit(1).alias("ghost"))),
     )
     rows = rows.select("doc_id", "text", F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("_c"))
     rows = rows.select("doc_id", "text", F.col("_c.b").alias("_b"), F.col("_c.ghost").alias("_ghost"))
