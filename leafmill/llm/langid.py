@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if fitted is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = spark.sparkContext.broadcast(fitted)  # bounded by WORDS and LANGUAGES
-    key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent)}"
+    key = uuid.uuid4().hex
 
     def one(b: pa.RecordBatch) -> dict:
         lang, score = model(key, lambda: sent.value).predict(b.column("text").to_pylist())
@@ -163,7 +164,7 @@ def recognised(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> Dat
         return docs.limit(0)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(fitted)  # bounded by WORDS and LANGUAGES
-    key = f"{spark.sparkContext.applicationId}-{id(sent)}"
+    key = uuid.uuid4().hex
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = model(key, lambda: sent.value).predict(b.column("text").to_pylist())
