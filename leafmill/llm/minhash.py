@@ -9,15 +9,22 @@ similarity s share a table's key somewhere with probability (1 - (1 - s^2)^M)^2:
 
 Candidates: documents with equal sets are one class from the start. In each bucket a class is paired with the bucket's
 smallest id and with the two classes before it in the order of further MinHash values, so near copies stand side by
-side even where a common passage fills a bucket; pairs grow with the rows, never with a bucket's square. Buckets over
-``HOT`` rows are cut by that same order. Pairs that agree in fewer than half of all MinHash values are left out (a true
-link does so with a chance of about one in a million); the rest are joined with their full sets.
+side even where a common passage fills a bucket; these pairs grow with the rows, never with a bucket's square. Buckets
+over ``HOT`` rows are cut by that same order. Pairs that agree in too few MinHash values (``least_same``; a true link
+does so with a chance of at most one in a million) are left out; the rest are joined with their full sets.
+
+The rest: that covers every pair of buckets of up to three classes. Larger buckets whose classes are still in different
+components are compared whole, block against block inside the tasks, each pair in the first table it shares. Only
+links that join two components leave a task, so rows stay linear in a block where its comparisons are not.
 
 Components: alternating large-star and small-star steps on stored edge tables, until they no longer change.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,6 +36,10 @@ SHINGLE = 5
 M = 7
 #: Rows of a bucket beyond which it is cut in the order of further MinHash values.
 HOT = 20_000
+#: Classes in a bucket of which all pairs are candidates: each meets the two before it.
+FEW = 3
+#: About so many rows of a larger bucket are in one block.
+BLOCK = 512
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -90,8 +101,8 @@ def signatures(docs: DataFrame, m: int = M) -> DataFrame:
     return scan_with(only(docs, "doc_id", "text"), schema, make)
 
 
-def table_rows(classes: DataFrame, m: int = M) -> DataFrame:
-    """key, ord, rep: one row for each class and table. ``ord`` orders a bucket by other MinHash values."""
+def table_rows(classes: DataFrame, m: int = M, *also: str) -> DataFrame:
+    """key, ord, rep, t: one row for each class and table t. ``ord`` orders a bucket by other MinHash values."""
 
     def part(i: int, n: int = 4) -> F.Column:
         return F.substring("sig", i * 4 + 1, n)
@@ -99,12 +110,12 @@ def table_rows(classes: DataFrame, m: int = M) -> DataFrame:
     # one hash of each collection is a pair of MinHash values; the two collections are the halves of the signature
     a = F.array(*[part(2 * i, 8) for i in range(m)])
     b = F.array(*[part(2 * (m + i), 8) for i in range(m)])
-    rows = classes.select("rep", a.alias("a"), b.alias("b"))
-    rows = rows.select("rep", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))).alias("t"))
+    rows = classes.select("rep", *also, a.alias("a"), b.alias("b"))
+    rows = rows.select("rep", *also, "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))).alias("t"))
     i, j = F.floor(F.col("t") / m).cast("int"), (F.col("t") % m).cast("int")
     key = F.xxhash64("t", F.get("a", i), F.get("b", j))
     further = F.concat(F.get("a", (i + 1) % m), F.get("b", (j + 1) % m), F.get("a", (i + 2) % m))
-    return rows.select(key.alias("key"), F.conv(F.hex(F.concat(*[F.substring(further, 4 * k + 1, 1) for k in range(6)])), 16, 10).cast("bigint").alias("ord"), "rep")
+    return rows.select(key.alias("key"), F.conv(F.hex(F.concat(*[F.substring(further, 4 * k + 1, 1) for k in range(6)])), 16, 10).cast("bigint").alias("ord"), "rep", "t", *also)
 
 
 def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
@@ -129,35 +140,52 @@ def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
     return rows.select(F.explode(full).alias("e")).select("e.a", "e.b").distinct()
 
 
+def least_same(percent: int, m: int = M) -> int:
+    """MinHash values in which a pair must agree: half of them, or fewer where a true link that shares a table (four
+    values) would be left out with a chance of over one in a million."""
+    n, p, below, k = 4 * (m - 1), percent / 100, 0.0, 0
+    while k + 4 < 2 * m and (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= 1e-6:
+        k += 1
+    return k + 4
+
+
+def alike_enough(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([p, q])
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, set (sorted shingle hashes) of the documents in ``ids``; staged."""
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+
+    def one(b: pa.RecordBatch) -> dict:
+        return {"doc_id": b.column("doc_id"), "set": [s.tobytes() for s in shingle_sets(b.column("text").to_pylist())]}
+
+    return stage(scan_with(texts, "doc_id bigint, set binary", lambda: (one, None)), "sets", compression="none")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, m: int = M) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     sigs = classes.select("rep", "sig")
+    same = least_same(percent, m)
 
     def alike(b: pa.RecordBatch) -> dict | None:
         x = np.frombuffer(b"".join(b.column("s1").to_pylist()), "<u4").reshape(-1, 4 * m)
         y = np.frombuffer(b"".join(b.column("s2").to_pylist()), "<u4").reshape(-1, 4 * m)
-        ok = (x == y).sum(axis=1) >= 2 * m
+        ok = (x == y).sum(axis=1) >= same
         return {"a": b.column("a").to_numpy()[ok], "b": b.column("b").to_numpy()[ok]}
 
     with_sigs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("s1")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("s2")), "b")
     near = stage(scan_with(with_sigs.select("a", "b", "s1", "s2"), "a bigint, b bigint", lambda: (alike, None)), "near")
     wanted = stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, wanted.count()), "doc_id", "left_semi")
-
-    def sets_of(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column("doc_id"), "set": [s.tobytes() for s in shingle_sets(b.column("text").to_pylist())]}
-
     # read twice below, once for each end of a pair
-    sets = stage(scan_with(texts, "doc_id bigint, set binary", lambda: (sets_of, None)), "sets", compression="none")
+    sets = sets_of(docs, wanted)
 
     def overlap(b: pa.RecordBatch) -> dict:
-        ok = []
-        for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist()):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            inter = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * inter >= percent * (len(both) - inter))
+        ok = [alike_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist())]
         keep = np.array(ok, bool)
         return {"a": b.column("a").to_numpy()[keep], "b": b.column("b").to_numpy()[keep]}
 
@@ -168,6 +196,112 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return out
 
 
+def open_pairs(x: dict, same: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block pair's rows, most alike first: of two components, alike in ``same`` values, first met in this table."""
+    sig, root, half, rep = np.frombuffer(b"".join(x["sig"]), "<u4").reshape(-1, 4 * m), x["root"], x["half"], x["rep"]
+    t, crossed = int(x["t"][0]), x["i"][0] != x["j"][0]
+    found = []
+    left, right = (np.flatnonzero(half == 0), np.flatnonzero(half == 1)) if crossed else (np.arange(len(rep)),) * 2
+    for k in range(0, len(left), 64):
+        p = left[k : k + 64]
+        # one value after another: small arrays stay in the cache
+        count = np.zeros((len(p), len(right)), np.int8)
+        for v in range(4 * m):
+            count += sig[p, v][:, None] == sig[right, v][None, :]
+        ok = (count >= same) & (root[p][:, None] != root[right][None, :])
+        if not crossed:
+            ok &= rep[p][:, None] < rep[right][None, :]
+        a, b = np.nonzero(ok)
+        if len(a):
+            eq = sig[p[a]] == sig[right[b]]
+            eq = eq[:, ::2] & eq[:, 1::2]
+            first = eq[:, :m].argmax(axis=1) * m + eq[:, m:].argmax(axis=1) == t
+            found.append(np.stack([count[a, b][first].astype(np.int64), p[a[first]], right[b[first]]]))
+    n, a, b = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1)
+    order = np.argsort(-n, kind="stable")
+    return a[order], b[order]
+
+
+def in_groups(df: DataFrame, schema: str, one: Callable[[dict], dict | None]) -> DataFrame:
+    """``one`` for the rows of each block pair (key, i, j), as a dict of columns."""
+    by = ["key", "i", "j"]
+
+    def make():
+        kept: list[pa.Table] = []
+
+        def whole(t: pa.Table) -> dict | None:
+            cols = {c: t.column(c).to_pylist() if c in ("sig", "set") else t.column(c).to_numpy() for c in t.column_names}
+            change = np.zeros(max(0, len(t) - 1), bool)
+            for c in by:
+                change |= cols[c][1:] != cols[c][:-1]
+            at = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+            out = [x for a, b in zip(at, at[1:]) if b - a > 1 and (x := one({c: v[a:b] for c, v in cols.items()}))]
+            return {c: [y for x in out for y in x[c]] for c in out[0]} if out else None
+
+        def batch(b: pa.RecordBatch) -> dict | None:
+            t = pa.concat_tables([*kept, pa.Table.from_batches([b])])
+            # the last group may go on in the next batch
+            last = t.slice(len(t) - 1)
+            same = np.ones(len(t), bool)
+            for c in by:
+                same &= t.column(c).to_numpy() == last.column(c)[0].as_py()
+            n = int(same.argmax())
+            kept[:] = [t.slice(n)]
+            return whole(t.slice(0, n)) if n else None
+
+        return batch, lambda: whole(kept[0]) if kept else None
+
+    return scan_with(df.repartition(*by).sortWithinPartitions(*by), schema, make)
+
+
+def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, m: int = M, block: int = BLOCK) -> DataFrame:
+    """a < b: components (by their roots) that a pair of some large bucket still links; staged."""
+    same = least_same(percent, m)
+    rooted = stage(classes.select("rep", "sig").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("root", "rep").alias("root")), "rooted")
+    # buckets that are settled or covered by pairs take no part in any join
+    rows = table_rows(rooted, m, "root")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    mixed = stage(mixed.where((F.col("n") > FEW) & (F.col("r1") != F.col("r2"))).select("key", "n"), "mixed")
+    rows = rows.join(broadcast_if_small(mixed, mixed.count()), "key").join(rooted.select("rep", "sig"), "rep")
+    # rows of block x meet each block y in the block pair (least, greatest)
+    g = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), g - 1)))
+    rows = rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("half"), F.col("t").cast("int").alias("t"), "rep", "root", "sig")
+    kept = ("key", "i", "j", "half", "t", "rep", "root", "sig")
+
+    def met(x: dict) -> dict | None:
+        if (x["root"] == x["root"][0]).all():
+            return None
+        a, b = open_pairs(x, same, m)
+        k = np.union1d(a, b)
+        return {c: [x[c][i] for i in k] for c in kept} if len(k) else None
+
+    def linked(x: dict) -> dict | None:
+        up: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while r in up:
+                r = up[r]
+            return r
+
+        sets = [np.frombuffer(s, np.uint64) for s in x["set"]]
+        out = []
+        for p, q in zip(*(v.tolist() for v in open_pairs(x, same, m))):
+            r, s = find(int(x["root"][p])), find(int(x["root"][q]))
+            if r != s and 100 * min(len(sets[p]), len(sets[q])) >= percent * max(len(sets[p]), len(sets[q])) and alike_enough(sets[p], sets[q], percent):
+                up[max(r, s)] = min(r, s)
+                out.append((min(r, s), max(r, s)))
+        return {"a": [e[0] for e in out], "b": [e[1] for e in out]} if out else None
+
+    schema = "key bigint, i int, j int, half int, t int, rep bigint, root bigint, sig binary"
+    near = stage(in_groups(rows, schema, met), "open")
+    wanted = stage(near.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = sets_of(docs, wanted)
+    whole = near.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "rep").select(*kept, "set")
+    out = stage(in_groups(whole, "a bigint, b bigint", linked).distinct(), "links")
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of the edges (a < b)."""
     state = stage(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u <> v").distinct(), "edges")
@@ -203,6 +337,9 @@ def near_groups(docs: DataFrame, percent: int = 85, m: int = M, hot: int = HOT)
     links = confirmed(docs, classes, pairs, percent, m)
     unstage(pairs)
     roots = components(links)
+    joined = components(missing_links(docs, classes, roots, percent, m)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    every = classes.select(F.col("rep").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("was"))
+    roots = every.join(joined, "was", "left").select("node", F.coalesce("now", "was").alias("root")).where("node <> root")
     grouped = classes.join(roots, F.col("rep") == F.col("node"), "left").select("g1", "g2", "n_shingles", "copies", F.coalesce("root", "rep").alias("root"), "rep").where("copies > 1 or root <> rep")
     grouped = stage(grouped.select("g1", "g2", "n_shingles", "root"), "groups")
     out = signed.drop("sig").join(broadcast_if_small(grouped, grouped.count()), ["g1", "g2", "n_shingles"], "left")

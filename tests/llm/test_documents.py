@@ -60,6 +60,28 @@ def test_near_groups_equal_brute_force(spark, hot):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s[i]), find(i), find(i) == i) for i in range(len(s))}
 
 
+def star(copies, words=304, seed=3):
+    """Copies of one base, each with its own run of changed words: 0.86 like the base, less like each other; the base's id is the largest."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**9)}" for _ in range(words)]
+    out = []
+    for i in range(copies):
+        x, at = list(base), r.randrange(5, words - 25)
+        x[at : at + 18] = [f"c{i}x{k}" for k in range(18)]
+        out.append(" ".join(x))
+    return [*out, " ".join(base)]
+
+
+@pytest.mark.parametrize("hot,base_first", [(20_000, False), (100, True)])
+def test_copies_of_one_base_are_all_found(spark, hot, base_first):
+    texts = star(600)
+    ids = [*range(1, 601), 0] if base_first else None
+    got = minhash.near_groups(table(spark, texts, ids), hot=hot).collect()
+    base, s = sets(texts[-1]), [sets(t) for t in texts]
+    assert all(100 * len(x & base) >= 85 * len(x | base) for x in s)
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_near_groups_of_nothing_and_repeats(spark):
     assert minhash.near_groups(table(spark, [])).count() == 0
     got = minhash.near_groups(table(spark, ["a b c", "a b c", "a b c"], [5, 5, None])).collect()
