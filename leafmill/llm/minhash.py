@@ -134,7 +134,7 @@ def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
     rows = rows.select("rep", "top", F.min("rep").over(whole).alias("low"), F.lag("rep", 1).over(near).alias("p1"), F.lag("rep", 2).over(near).alias("p2"))
     rows = rows.where("low <> rep or top <> rep")
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = F.array(pair(F.col("low"), F.col("rep")), pair(F.col("p1"), F.col("rep")), pair(F.col("p2"), F.col("rep")), pair(F.col("top"), F.col("low")))
+    pairs = F.array(pair(F.col("low"), F.col("rep")), pair(F.col("p1"), F.col("rep")), pair(F.col("p2"), F.col("rep")), pair(F.col("top"), F.col("low")), pair(F.col("top"), F.col("rep")))
     full = F.filter(pairs, lambda x: x["a"] < x["b"])
     # least and greatest skip nulls, so a missing partner gives a pair of one
     return rows.select(F.explode(full).alias("e")).select("e.a", "e.b").distinct()

@@ -82,6 +82,15 @@ def test_copies_of_one_base_are_all_found(spark, hot, base_first):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_slices_take_no_partner_from_the_smallest(spark):
+    # one value agrees in all tables, the rest differ: every bucket holds all classes
+    r = random.Random(5)
+    sig = lambda: b"".join(bytes([r.randrange(256)]) * 4 if k % 4 else bytes(4) for k in range(28))
+    rows = [(i, bytearray(bytes(8) + sig()[8:56] + bytes(8) + sig()[64:])) for i in range(60)]
+    pairs = minhash.candidates(spark.createDataFrame(rows, "rep bigint, sig binary"), hot=10).collect()
+    assert {x["b"] for x in pairs if x["a"] == 0} == set(range(1, 60))
+
+
 def test_near_groups_of_nothing_and_repeats(spark):
     assert minhash.near_groups(table(spark, [])).count() == 0
     got = minhash.near_groups(table(spark, ["a b c", "a b c", "a b c"], [5, 5, None])).collect()
