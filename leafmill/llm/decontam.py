@@ -1,10 +1,14 @@
 """Benchmark decontamination by spaced seeds.
 
 Words (runs of letters, digits and underscores, lower-cased) are hashed. Each mask looks at ``len(mask)`` words in a
-row and ignores the places marked 0, so a substituted word there doesn't hide the passage. Equal seeds of a benchmark
-item and a document put both on one diagonal; there the item's words are compared with the document's, word by word,
-and the passage counts when, in some stretch of ``STRETCH`` words (the whole item if it is shorter, but no less than
-``LEAST`` words), at least ``SHARE`` of the words agree.
+row and ignores the places marked 0. Equal seeds of a benchmark item and a document put both on one diagonal; there the
+item's words are compared with the document's, word by word (places beyond the document's edges differ), and the passage
+counts when, in some stretch of ``STRETCH`` words (the whole item if it is shorter), at least ``SHARE`` of the words
+agree. Items under ``LEAST`` words must agree wholly.
+
+No passage that would count is missed: n words of which s differ leave s + 1 runs of equal words, and so n - 3 s - 2
+equal triples at least. That is 1 or more for n >= 9 and s = n / 4; for 8 words only the pattern 11011011 has none,
+which the second mask hits. Diagonals with fewer equal triples than that are not compared.
 
 Scale: the benchmark is taken in blocks of a bounded number of words (usually one); each block's words and seeds are
 sent to the workers and all documents pass it once. Texts are never shuffled. Items of equal words are looked for once
@@ -13,6 +17,7 @@ and reported under their smallest id. A bitmap turns away nearly all document po
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import Cache, broadcast_if_small, held, mix, odd, only, scan, stage, starts_of, word_hashes
 
-#: The fifth and sixth hold where every fifth or every fourth word is another.
-MASKS = ("1101100111", "1110010111", "1011011011", "11111111", "1011110111", "1011101110")
+#: The third and fourth serve items of one and two words only, the second those that may have no equal triple.
+MASKS = ("111", "11011", "1", "11")
 LEAST = 8
 STRETCH = 20
 SHARE = 0.75
@@ -54,19 +59,32 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def masks_for(n: int, least: int, stretch: int, share: float) -> tuple[list[int], int]:
+    """(masks for items of n words, seeds of theirs that a passage has on its diagonal at least)."""
+    if n < 3:
+        return [n + 1], 1
+    need = min(n, stretch)
+    triples = need - 3 * (need - math.ceil(share * need) if n >= least else 0) - 2
+    return ([0], triples) if triples > 0 else ([0, 1], 1)
+
+
 class Block:
     """A block of benchmark items: their words one after another, and all seeds sorted."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], masks: tuple[str, ...] = MASKS):
-        self.ids, self.masks = np.array(ids, np.int64), masks
+    def __init__(self, ids: list[int], items: list[np.ndarray], stretch: int = STRETCH, share: float = SHARE, least: int = LEAST):
+        self.ids = np.array(ids, np.int64)
         self.words, self.at = np.concatenate([*items, np.zeros(0, np.uint64)]), starts_of([len(x) for x in items])
-        keys, item, place = [], [], []
-        for m, mask in enumerate(masks):
-            for i, x in enumerate(items):
-                s = seeds(x, mask, m)
+        keys, item, place, used = [], [], [], set()
+        self.least_seeds = np.ones(len(items), np.int64)
+        for i, x in enumerate(items):
+            which, self.least_seeds[i] = masks_for(len(x), least, stretch, share)
+            used.update(which)
+            for m in which:
+                s = seeds(x, MASKS[m], m)
                 keys.append(s)
                 item.append(np.full(len(s), i, np.int64))
                 place.append(np.arange(len(s), dtype=np.int64))
+        self.used = sorted(used)
         keys, item, place = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in (keys, item, place))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order].astype(np.uint64), item[order], place[order]
@@ -74,31 +92,36 @@ class Block:
         self.bits[self.keys >> np.uint64(42)] = True
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        """(item, diagonal) of every common seed, each pair once; a diagonal is document place less item place."""
+        """(item, diagonal) of the common seeds where they are enough, each pair once; a diagonal is document place less item place."""
         found = []
-        for m, mask in enumerate(self.masks):
-            s = seeds(h, mask, m)
+        shift = 1 << 32
+        for m in self.used:
+            s = seeds(h, MASKS[m], m)
             at = np.flatnonzero(self.bits[s >> np.uint64(42)])
             if len(at):
                 lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
                 n = hi - lo
                 if n.any():
                     k = np.repeat(lo - starts_of(n)[:-1], n) + np.arange(int(n.sum()))
-                    found.append(np.stack([self.item[k], np.repeat(at, n) - self.place[k]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                    found.append(self.item[k] * shift + np.repeat(at, n) - self.place[k] + shift // 2)
+        if not found:
+            return np.zeros((0, 2), np.int64)
+        both, n = np.unique(np.concatenate(found), return_counts=True)
+        both = both[n >= self.least_seeds[both // shift]]
+        return np.stack([both // shift, both % shift - shift // 2], axis=1)
 
     def overlap(self, h: np.ndarray, i: int, diagonal: int, stretch: int, share: float, least: int) -> tuple[int, int] | None:
         """(words that agree, words compared) in the best stretch on the diagonal, if enough agree."""
         x = self.words[self.at[i] : self.at[i + 1]]
         need = min(len(x), stretch)
-        if need < least:
-            return None
         a, b = max(0, -diagonal), min(len(x), len(h) - diagonal)
-        if b - a < need:
+        if b <= a:
             return None
-        same = starts_of((x[a:b] == h[a + diagonal : b + diagonal]).astype(np.int64))
+        agree = np.zeros(len(x), np.int64)
+        agree[a:b] = x[a:b] == h[a + diagonal : b + diagonal]
+        same = starts_of(agree)
         best = int((same[need:] - same[:-need]).max())
-        return (best, need) if best >= share * need else None
+        return (best, need) if best >= (share if len(x) >= least else 1) * need else None
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
@@ -109,7 +132,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
     for r in rows.toLocalIterator():
         x = hashes_of(words_of(r["text"]))
         key = x.tobytes()
-        if len(x) < LEAST or key in seen:
+        if not len(x) or key in seen:
             continue
         seen.add(key)
         ids.append(r["item_id"])
@@ -126,8 +149,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, n_same, n_compared: one row for each document row and benchmark item that it holds.
 
-    Clean documents have no row; nor have null, empty and wordless texts, null ids and items under ``least`` words (too
-    few to tell). Repeated rows each get theirs. An empty table on either side gives no rows. Other columns are ignored.
+    Clean documents have no row; nor have null, empty and wordless texts, null ids and items without words. Items
+    under ``least`` words are looked for exactly. Repeated rows each get theirs. An empty table on either side gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, n_same int, n_compared int"
@@ -143,7 +166,7 @@ def _finder(sent, stretch: int, share: float, least: int):
 
     def one(b: pa.RecordBatch) -> dict | None:
         if not made:
-            made.append(Block(*sent.value))
+            made.append(Block(*sent.value, stretch, share, least))
         block, rows = made[0], []
         words, counts = [], []
         for x in b.column("text").to_pylist():

@@ -1,11 +1,13 @@
 """Deduplication, filters and shards against plain models and planted cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,25 @@ def test_decontamination(spark):
     assert got == {(20, 0), (21, 1), (22, 2), (23, 3), (24, 1), (27, 2)}
     assert {x["doc_id"] for x in decontam.clean(d, b).collect()} == {*range(20), 25, 26}
     assert decontam.overlaps(d, b.where("item_id < 0")).count() == 0 and decontam.overlaps(table(spark, []), b).count() == 0
+
+
+@pytest.mark.parametrize("n,off", [(8, 1), (8, 2), (9, 2), (10, 2), (12, 3), (15, 3), (16, 4), (20, 5)])
+def test_every_accepted_pattern_is_found(n, off):
+    item, before = np.arange(1, n + 1, dtype=np.uint64), np.arange(500, 503, dtype=np.uint64)
+    block = decontam.Block([7], [item])
+    for k, places in enumerate(itertools.combinations(range(n), off)):
+        x = item.copy()
+        x[list(places)] = 10_000 + np.arange(off, dtype=np.uint64)
+        assert [0, 3] in block.hits(np.concatenate([before, x])).tolist(), places
+    assert block.overlap(np.concatenate([before, x]), 0, 3, 20, 0.75, 8) == (n - off, n)
+
+
+def test_excerpts_at_document_edges_and_short_items(spark):
+    r = random.Random(9)
+    w = [f"w{i}" for i in range(40)]
+    items = [" ".join(w), "seven short words that must agree wholly", "two words", "one"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    filler = prose(r, 30)
+    docs = [" ".join(w[10:25]), filler + " " + " ".join(w[:15]), " ".join(w[-16:]) + " " + filler, " ".join(w[10:24]), filler + " Seven short words, that must agree wholly", "seven short words that may agree wholly", "two, words", "One", filler]
+    got = {(x["doc_id"], x["item_id"], x["n_same"]) for x in decontam.overlaps(table(spark, docs), b).collect()}
+    assert got == {(0, 0, 15), (1, 0, 15), (2, 0, 16), (4, 1, 7), (6, 2, 2), (7, 3, 1)}
