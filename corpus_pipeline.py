@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group."""
-    gone = stage(minhash.near_groups(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = stage(minhash.near_groups(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -28,3 +28,15 @@ def test_registered():
 
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_copies_of_four_fifths_go(spark, tmp_path):
+    from leafmill.llm import minhash
+
+    w = [f"w{i}" for i in range(270)]
+    x = list(w)
+    for i in (30, 80, 130, 180, 230):
+        x[i] = f"other{i}"
+    docs = spark.createDataFrame([(0, " ".join(w)), (1, " ".join(x)), (2, "quite another text of a few words")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
+    assert minhash.least_same(80) <= minhash.least_same(85) <= 14
