@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import only, scan, stage, text_or_empty, tokenizer_path
+from leafmill.llm.common import only, scan, stage, starts_of, text_or_empty, tokenizer_path
 from leafmill.llm.tokens import bpe
+from leafmill.llm.words import spread
 
 #: Pieces that one task packs together. More pieces leave fewer open sequences; memory is about 100 bytes a piece.
 GROUP = 32_768
@@ -30,12 +31,14 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
-def cut(n: int, most: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n ids: one if it fits, else a first remainder and full ones."""
-    if n <= most:
-        return [(0, n)]
-    first = n % most
-    return ([(0, first)] if first else []) + [(s, most) for s in range(first, n, most)]
+def cut(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of all pieces of documents of n >= 1 ids: one if it fits, else a first remainder
+    and full ones."""
+    k = -(-n // most)
+    doc = np.repeat(np.arange(len(n)), k)
+    piece = spread(np.zeros(len(n), np.int64), k)
+    first = (n - (k - 1) * most)[doc]
+    return doc, piece, np.where(piece > 0, first + (piece - 1) * most, 0), np.where(piece > 0, most, first)
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +73,15 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int, end_id: int) -> DataFrame:
     """One row for each piece of each document; a null text counts as empty, so it has the end id alone."""
-    end = int(end_id).to_bytes(4, "little")
 
     def one(b: pa.RecordBatch) -> dict:
-        doc, piece, start, length, crc = [], [], [], [], []
-        texts = b.column("text").to_pylist()
-        for d, ids in zip(b.column("doc_id").to_pylist(), bpe(tokenizer).encode(texts)):
-            ids += end
-            for k, (s, n) in enumerate(cut(len(ids) // 4, most)):
-                doc.append(d)
-                piece.append(k)
-                start.append(s)
-                length.append(n)
-                crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
-        return {"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+        ids, n = bpe(tokenizer).encode(b.column("text"))
+        at = starts_of(n)
+        raw = memoryview(np.insert(ids, at[1:], end_id).astype("<u4").tobytes())
+        doc, piece, start, length = cut(n + 1, most)
+        begin = (starts_of(n + 1)[doc] + start) * 4
+        crc = [zlib.crc32(raw[i:j]) for i, j in zip(begin.tolist(), (begin + length * 4).tolist())]
+        return {"doc_id": b.column("doc_id").take(pa.array(doc)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
     return scan(only(docs, "doc_id", text_or_empty().alias("text")), PIECES, one)
 

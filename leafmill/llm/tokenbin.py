@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import only, scan, scan_with, stage, starts_of, text_or_empty, tokenizer_path, unstage
 from leafmill.llm.tokens import bpe
+from leafmill.llm.words import binary_array, spread, text_bytes
 
 MOST_BITS = 16
 EVERY = 128
@@ -86,7 +87,7 @@ def encode_table(widths: np.ndarray) -> np.ndarray:
     return canonical(widths).astype(np.uint64) | widths.astype(np.uint64) << np.uint64(56)
 
 
-def encode(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+def encode(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The bits of runs of ids (``counts`` of them each, one after another), and each run's checkpoints."""
     both = np.take(codes, ids)
     w = (both >> np.uint64(56)).view(np.int64)
@@ -104,10 +105,11 @@ def encode(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[list
         got = np.bitwise_or.reduceat(wide, heads)
         words[k[heads]] |= got >> np.uint64(32)
         words[k[heads] + 1] |= got & np.uint64(0xFFFFFFFF)
-    raw = words.astype(">u4").tobytes()
-    starts, lengths = (base[:-1] * 4).tolist(), ((size + 7) // 8).tolist()
-    first = first.tolist()
-    return [raw[i : i + n] for i, n in zip(starts, lengths)], [at[i:j:EVERY] - at[i] for i, j in zip(first[:-1], first[1:])]
+    raw, length = words.astype(">u4").view(np.uint8), (size + 7) // 8
+    marked = -(-counts // EVERY)
+    ids_at = np.repeat(first[:-1], marked) + spread(np.zeros(len(counts), np.int64), marked) * EVERY
+    marks = (at[ids_at] - np.repeat(begin[:-1], marked)).astype("<u4").view(np.uint8)
+    return binary_array(raw[spread(base[:-1] * 4, length)], starts_of(length)).cast(pa.binary()), binary_array(marks, starts_of(marked * 4)).cast(pa.binary())
 
 
 def decode(bits: np.ndarray, at: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -132,10 +134,6 @@ def decode(bits: np.ndarray, at: np.ndarray, counts: np.ndarray, table: tuple[np
     return out
 
 
-def _arrays(column: pa.Array, dtype: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=dtype) for x in column.to_pylist()]
-
-
 @lru_cache(maxsize=2)
 def _coder(widths: bytes) -> tuple:
     w = np.frombuffer(widths, np.uint8)
@@ -145,19 +143,17 @@ def _coder(widths: bytes) -> tuple:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     """doc_id and ids (binary, little-endian, 16 bits each where the vocabulary allows), the end id last; one more row
     at each task's end has a null ``ids`` and the task's counts of ids."""
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    end = int(end_id).to_bytes(4, "little")
+    kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def make():
         counts = np.zeros(vocabulary, np.int64)
 
         def one(b: pa.RecordBatch) -> dict:
-            texts = [raw + end for raw in bpe(tokenizer).encode(b.column("text").to_pylist())]
-            whole = np.frombuffer(b"".join(texts), "<u4")
+            ids, n = bpe(tokenizer).encode(b.column("text"))
+            whole = np.insert(ids, starts_of(n)[1:], end_id)
             counts.__iadd__(np.bincount(whole, minlength=vocabulary))
-            raw, at = whole.astype(kind).tobytes(), (starts_of([len(x) // 4 for x in texts]) * np.dtype(kind).itemsize).tolist()
-            out = [raw[i:j] for i, j in zip(at[:-1], at[1:])]
-            return {"doc_id": b.column("doc_id"), "ids": out, "counts": [None] * len(out)}
+            out = binary_array(whole.astype(kind).view(np.uint8), starts_of((n + 1) * kind.itemsize)).cast(pa.binary())
+            return {"doc_id": b.column("doc_id"), "ids": out, "counts": pa.nulls(len(out), pa.binary())}
 
         def last() -> dict | None:
             return {"doc_id": [None], "ids": [None], "counts": [counts.astype("<i8").tobytes()]} if counts.any() else None
@@ -218,10 +214,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     def one(b: pa.RecordBatch) -> dict:
         codes = _coder(widths)[0]
-        runs = b.column("ids").to_pylist()
-        n = np.array([len(x) // np.dtype(kind).itemsize for x in runs], np.int64)
-        bits, marks = encode(np.frombuffer(b"".join(runs), kind), n, codes)
-        marks = [m.astype("<u4").tobytes() for m in marks]
+        raw, at = text_bytes(b.column("ids"))
+        n = np.diff(at) // np.dtype(kind).itemsize
+        bits, marks = encode(raw.view(kind), n, codes)
         return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_ids": n, "bits": bits, "marks": marks}
 
     rows = staged.where("ids is not null").select(bucket_of("doc_id", bounds).cast("int").alias("shard"), "doc_id", "ids")
@@ -234,7 +229,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """shard, doc_id, ids (binary, little-endian unsigned 32-bit) of every document in a file."""
-    return _decoded(spark, path, "shard int, doc_id bigint, ids binary", lambda b, ids: {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "ids": [x.astype("<u4").tobytes() for x in ids]})
+    def of(b: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> dict:
+        return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "ids": binary_array(ids.astype("<u4").view(np.uint8), starts_of(n * 4)).cast(pa.binary())}
+
+    return _decoded(spark, path, "shard int, doc_id bigint, ids binary", of)
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, of) -> DataFrame:
@@ -243,25 +241,24 @@ def _decoded(spark: SparkSession, path: str, schema: str, of) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> dict:
         table = _coder(widths)[1]
-        n = b.column("n_ids").to_numpy()
-        blobs = b.column("bits").to_pylist()
-        marks = _arrays(b.column("marks"), "<u4")
-        base = starts_of([len(x) for x in blobs])[:-1] * 8
-        at = np.concatenate([m.astype(np.int64) + s for m, s in zip(marks, base)]) if marks else np.zeros(0, np.int64)
-        runs = np.concatenate([np.minimum(EVERY, k - np.arange(0, k, EVERY)) for k in n]) if len(n) else np.zeros(0, np.int64)
-        ids = decode(np.frombuffer(b"".join(blobs) + b"\0\0\0\0", np.uint8), at, runs, table)
-        to = starts_of(n)
-        return of(b, [ids[i:j] for i, j in zip(to[:-1], to[1:])])
+        n = b.column("n_ids").to_numpy().astype(np.int64)
+        bits, base = text_bytes(b.column("bits"))
+        marks, mark_at = text_bytes(b.column("marks"))
+        marked = np.diff(mark_at) // 4
+        at = marks.view("<u4").astype(np.int64) + np.repeat(base[:-1] * 8, marked)
+        runs = np.minimum(EVERY, np.repeat(n, marked) - spread(np.zeros(len(n), np.int64), marked) * EVERY)
+        return of(b, decode(np.concatenate([bits, np.zeros(4, np.uint8)]), at, runs, table), n)
 
     return scan(spark.read.schema(FILE).parquet(f"{path}/ids"), schema, one)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the file alone, decoded."""
-    rows = _decoded(
-        spark, path, "shard int, doc_id bigint, n_tokens bigint, ids_crc32 bigint",
-        lambda b, ids: {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]},
-    )
+    def of(b: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> dict:
+        raw, at = memoryview(ids.astype("<u4").tobytes()), (starts_of(n) * 4).tolist()
+        return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_tokens": n, "ids_crc32": [zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:])]}
+
+    rows = _decoded(spark, path, "shard int, doc_id bigint, n_tokens bigint, ids_crc32 bigint", of)
     sums = spark.read.schema(FILE).parquet(f"{path}/ids").groupBy("shard").agg(F.sum("n_ids").alias("n"))
     sums = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))  # one row for each shard
     inside = Window.partitionBy("shard").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,23 +1,29 @@
 """Token ids, token files, packing and counts against the libraries and plain models."""
 
+import functools
 import heapq
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from leafmill.llm import packing, tokenbin, tokencount, tokens
+from leafmill.llm import packing, tokenbin, tokencount, tokens, words
 from leafmill.llm.common import tokenizer_path
 
 ODD = ["", None, " ", "a", "a  b", "a \n b", "\n\n", "tab\tx", "a\x1fb\x00c", "　 x", "é\nÉ <|endoftext|>\nz", "it's 'll we'll 12a.", "日本語 ☃☃ mixed", "x" * 5000, "word " * 3000 + "end"]
 
 
-def whole(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = whole.__dict__.setdefault("t", Tokenizer.from_file(tokenizer_path()))
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def whole(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def docs(spark, texts=ODD, **more):
@@ -25,11 +31,35 @@ def docs(spark, texts=ODD, **more):
     return spark.createDataFrame(rows, "doc_id bigint, text string, ids string, shard int, bits binary")
 
 
+SIGNS = ["a", "Zq", " ", "  ", "\n", "\n\n", "\t", " \n", "1", "42", "'s", "'", "’s", "é", "É", "ß", "×", "÷", "ª", "²", "½", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\x1f", "\x00", "漢字", "ж", "Ω", "\u0301", "!?", "$$$", "<|endoftext|>", "<|endo", "😀", "\u200b", "\ufeff", "\r\n", "\x0b", "ɏ", "ɐ", "ʰ", "_", "…"]
+
+
+def encoded(texts):
+    ids, n = tokens.bpe(tokenizer_path()).encode(pa.array(texts, pa.string()))
+    at = np.concatenate([[0], np.cumsum(n)])
+    return [ids[i:j].tolist() for i, j in zip(at, at[1:])]
+
+
 def test_words_equal_whole_texts():
     r = random.Random(1)
     made = ["".join(r.choice(["the", "réeux", " ", " ", "\n", ".", "Ab9", "'s", "ß", "日", "\t", ",", "  "]) for _ in range(40)) for _ in range(300)]
-    got = tokens.bpe(tokenizer_path()).encode(made + ODD)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole(t) for t in made + ODD]
+    made += ["".join(r.choice(SIGNS) for _ in range(r.randrange(14))) for _ in range(20_000)]
+    assert encoded(made + ODD) == [whole(t) for t in made + ODD]
+    assert encoded([]) == [] and encoded(["", None]) == [[], []]
+
+
+def test_a_full_store_starts_anew():
+    s = words.Store(lambda ws: (np.concatenate([[len(w)] * len(w) for w in ws]), [len(w) for w in ws]), "<u4", most=300)
+    for _ in range(3):
+        for k in range(40):
+            ws = [b"x" * (1 + (k + j) % 9) for j in range(5)]
+            flat, start, count = s.find(ws)
+            assert [flat[i : i + n].tolist() for i, n in zip(start, count)] == [[len(w)] * len(w) for w in ws]
+        s.clear()
+    s = words.Store(lambda ws: (np.arange(len(ws)), [1] * len(ws)), "<i8", most=100)
+    s.find([b"%d" % i for i in range(50)])
+    s.find([b"a"])
+    assert len(s.k1) == 1
 
 
 def test_code_widths_are_best_and_limited():
