@@ -32,7 +32,7 @@ _HARD = byte_set(b"'\x1c\x1d\x1e\x1f", range(0xC0, 0xC3), range(0xCA, 256))
 #: U+00D7 and U+00F7 are C3 97 and C3 B7: signs among the letters.
 _SIGNS = (0x97, 0xB7)
 #: White space beyond ASCII, and separators that some classes count as such; by first byte.
-_WIDE = [x.encode() for x in "\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"]
+_WIDE = [chr(i).encode() for i in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _SPLIT = "\x1f"
 
 

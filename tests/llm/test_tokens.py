@@ -144,7 +144,7 @@ def test_counts_equal_the_library(spark):
     v = tokencount.vocabulary(tokenizer_path("piece_bpe_32k.model"))
     t = Tokenizer(models.Unigram(v, unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
-    texts = [x for x in ODD if x] + [" a", "a▁b", "<unk> <s> <0x0A>", "ß" * 9]
+    texts = [x for x in ODD if x] + [" a", "  b ", "a▁b", "<unk> <s> <0x0A>", "ß" * 9]
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(docs(spark, texts + [None, ""])).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)} | {len(texts): 0, len(texts) + 1: 0}
 
@@ -156,5 +156,5 @@ def test_ties_take_the_earliest_start(scores):
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *scores[:-1]], unk_id=0, byte_fallback=False))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
     c = tokencount.UnigramCounter([("<unk>", 0.0), *scores[:-1]])
-    for x in ("ab", "ba", "aab", "abab", "bb"):
-        assert c.texts([x])[0][0] == len(t.encode(x).ids)
+    for x in ("ab", "ba", "aab", "abab", "bb", "xy", "axyza", "x", "xx a yx", "é漢x"):
+        assert c.texts(pa.array([x]))[0][0] == len(t.encode(x).ids), x
