@@ -8,7 +8,7 @@ second) keys one of M x M tables, so ``4 M`` MinHash values serve M^2 tables of
 similarity s share a table's key somewhere with probability (1 - (1 - s^2)^M)^2: 0.9998 at s = 0.85 and M = 7.
 
 Candidates: documents with equal sets are one class from the start. In each bucket a class is paired with the bucket's
-smallest id and with the two classes before it in the order of further MinHash values, so near copies stand side by
+smallest class number and with the two classes before it in the order of further MinHash values, so near copies stand side by
 side even where a common passage fills a bucket; these pairs grow with the rows, never with a bucket's square. Buckets
 over ``HOT`` rows are cut by that same order. Pairs that agree in too few MinHash values (``least_same``; a true link
 does so with a chance of at most one in a million) are left out; the rest are joined with their full sets.
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, broadcast_if_small, held, mix, odd, only, scan_with, stage, starts_of, unstage, word_hashes
+from leafmill.llm.common import broadcast_if_small, mix, odd, only, scan_with, stage, starts_of, unstage
+from leafmill.llm.words import BLANK, LOWER, distinct, runs, text_bytes, word_hashes
 
 SHINGLE = 5
 M = 7
@@ -42,15 +43,12 @@ FEW = 3
 BLOCK = 512
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    cache = held("words", lambda: Cache(word_hashes))
-    words, counts = [], []
-    for x in texts:
-        w = x.encode().lower().split() if x else []
-        words += w
-        counts.append(len(w))
-    h = np.array(cache.values_of(words), dtype=np.uint64) if words else np.zeros(0, np.uint64)
+    raw, at = text_bytes(texts)
+    words, counts = runs(LOWER[raw], at, ~BLANK)
+    words, which = distinct(words)
+    h = word_hashes(words)[which]
     by = odd(SHINGLE + 1, 7)
     n = len(h)
     rolled = np.zeros(n, np.uint64)
@@ -73,32 +71,52 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digest of each set, in two halves."""
+    n = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(n)
+    g1, g2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(full):
+        flat, at = np.concatenate([sets[i] for i in full]), starts_of(n[full])[:-1]
+        g1[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
+        g2[full] = np.bitwise_xor.reduceat(mix(flat * np.uint64(0x2545F4914F6CDD1D)), at)
+    return g1.view(np.int64), g2.view(np.int64)
+
+
+def text_hash() -> F.Column:
+    return F.xxhash64("text").alias("text_hash")
+
+
+def class_id() -> F.Column:
+    """The number of an equal-sets class."""
+    return F.xxhash64("g1", "g2", "n_shingles")
+
+
 def signatures(docs: DataFrame, m: int = M) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest g1, g2, and its 4 m MinHash values (32 bits each)."""
-    schema = "doc_id bigint, n_shingles bigint, g1 bigint, g2 bigint, sig binary"
+    """doc_id, text_hash (Spark's xxhash64 of the text), n_shingles, the set's 128-bit digest g1, g2, and its 4 m MinHash
+    values (32 bits each)."""
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, g1 bigint, g2 bigint, sig binary"
 
     def make():
         by, plus = odd(4 * m, 101), odd(4 * m, 202)
 
         def one(b: pa.RecordBatch) -> dict:
-            sets = shingle_sets(b.column("text").to_pylist())
+            sets = shingle_sets(b.column("text"))
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            g1, g2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            g1, g2 = digests(sets)
             sig: list[bytes | None] = [None] * len(n)
             if len(full):
                 flat, at = np.concatenate([sets[i] for i in full]), starts_of(n[full])[:-1]
-                g1[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
-                g2[full] = np.bitwise_xor.reduceat(mix(flat * np.uint64(0x2545F4914F6CDD1D)), at)
                 low = np.stack([np.minimum.reduceat(flat * by[k] + plus[k], at) for k in range(4 * m)], axis=1)
                 low = (mix(low) >> np.uint64(32)).astype("<u4")
                 for i, x in zip(full, low):
                     sig[i] = x.tobytes()
-            return {"doc_id": b.column("doc_id"), "n_shingles": n, "g1": g1.view(np.int64), "g2": g2.view(np.int64), "sig": sig}
+            return {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "n_shingles": n, "g1": g1, "g2": g2, "sig": sig}
 
         return one, None
 
-    return scan_with(only(docs, "doc_id", "text"), schema, make)
+    return scan_with(only(docs, "doc_id", "text", text_hash()), schema, make)
 
 
 def table_rows(classes: DataFrame, m: int = M, *also: str) -> DataFrame:
@@ -157,14 +175,21 @@ def alike_enough(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(both) - inter)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, set (sorted shingle hashes) of the documents in ``ids``; staged."""
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, set (sorted shingle hashes) of the classes in ``wanted`` (rep), each from the text of its smallest id; staged.
+
+    The sets are known by their digests, so another text under the same id does no harm."""
+    n = wanted.count()
+    ids = classes.select("rep", F.col("doc").alias("doc_id")).join(broadcast_if_small(wanted, n), "rep", "left_semi").select("doc_id").distinct()
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, n), "doc_id", "left_semi")
 
     def one(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column("doc_id"), "set": [s.tobytes() for s in shingle_sets(b.column("text").to_pylist())]}
+        sets = shingle_sets(b.column("text"))
+        g1, g2 = digests(sets)
+        return {"g1": g1, "g2": g2, "n_shingles": [len(s) for s in sets], "set": [s.tobytes() for s in sets]}
 
-    return stage(scan_with(texts, "doc_id bigint, set binary", lambda: (one, None)), "sets", compression="none")
+    rows = scan_with(texts, "g1 bigint, g2 bigint, n_shingles bigint, set binary", lambda: (one, None)).select(class_id().alias("rep"), "set")
+    return stage(rows.join(broadcast_if_small(wanted, n), "rep", "left_semi").dropDuplicates(["rep"]), "sets", compression="none")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, m: int = M) -> DataFrame:
@@ -180,16 +205,16 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 
     with_sigs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("s1")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("s2")), "b")
     near = stage(scan_with(with_sigs.select("a", "b", "s1", "s2"), "a bigint, b bigint", lambda: (alike, None)), "near")
-    wanted = stage(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = stage(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
     # read twice below, once for each end of a pair
-    sets = sets_of(docs, wanted)
+    sets = sets_of(docs, classes, wanted)
 
     def overlap(b: pa.RecordBatch) -> dict:
         ok = [alike_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist())]
         keep = np.array(ok, bool)
         return {"a": b.column("a").to_numpy()[keep], "b": b.column("b").to_numpy()[keep]}
 
-    whole = near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("s1")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("s2")), "b")
+    whole = near.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("s1")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("s2")), "b")
     out = stage(scan_with(whole.select("a", "b", "s1", "s2"), "a bigint, b bigint", lambda: (overlap, None)).distinct(), "links")
     for x in (near, wanted, sets):
         unstage(x)
@@ -295,10 +320,11 @@ def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent
 
     schema = "key bigint, i int, j int, half int, t int, rep bigint, root bigint, sig binary"
     near = stage(in_groups(rows, schema, met), "open")
-    wanted = stage(near.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = sets_of(docs, wanted)
-    whole = near.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "rep").select(*kept, "set")
-    out = stage(in_groups(whole, "a bigint, b bigint", linked).distinct(), "links")
+    wanted = stage(near.select("rep").distinct(), "wanted")
+    sets = sets_of(docs, classes, wanted)
+    out = stage(in_groups(near.join(sets, "rep").select(*kept, "set"), "a bigint, b bigint", linked).distinct(), "links")
+    for x in (rooted, mixed, near, wanted, sets):
+        unstage(x)
     return out
 
 
@@ -325,23 +351,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = 85, m: int = M, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row.
+    """doc_id, n_shingles, component_id, kept, text_hash of each row.
 
     Rows without words, and rows of a null doc_id, link to nothing. Equal sets always link. Rows that repeat a doc_id
-    and text give equal rows. An empty table gives none. Other columns are ignored.
+    and text give equal rows; rows of one doc_id and different texts are judged each by its text. An empty table gives
+    none. Other columns are ignored.
     """
     signed = stage(signatures(docs, m), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("g1", "g2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    classes = stage(classes, "classes")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("g1", "g2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = stage(classes.withColumn("rep", class_id()), "classes")
     pairs = stage(candidates(classes, m, hot), "pairs")
     links = confirmed(docs, classes, pairs, percent, m)
     unstage(pairs)
     roots = components(links)
-    joined = components(missing_links(docs, classes, roots, percent, m)).select(F.col("node").alias("was"), F.col("root").alias("now"))
-    every = classes.select(F.col("rep").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("was"))
-    roots = every.join(joined, "was", "left").select("node", F.coalesce("now", "was").alias("root")).where("node <> root")
-    grouped = classes.join(roots, F.col("rep") == F.col("node"), "left").select("g1", "g2", "n_shingles", "copies", F.coalesce("root", "rep").alias("root"), "rep").where("copies > 1 or root <> rep")
-    grouped = stage(grouped.select("g1", "g2", "n_shingles", "root"), "groups")
+    more = missing_links(docs, classes, roots, percent, m)
+    joined = components(more).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    for x in (links, more):
+        unstage(x)
+    # classes of components of several
+    known = roots.select("node", F.col("root").alias("was"))
+    ends = roots.select(F.col("root").alias("node")).unionByName(joined.select(F.explode(F.array("was", "now")).alias("node"))).distinct()
+    known = known.unionByName(ends.join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("was")))
+    known = known.join(joined, "was", "left").select(F.col("node").alias("rep"), F.coalesce("now", "was").alias("root"))
+    of = stage(known.join(classes.select("rep", "doc"), "rep").select("rep", "root", "doc"), "rooted")
+    least = of.groupBy("root").agg(F.min("doc").alias("low"))
+    of = of.join(broadcast_if_small(least, of.count()), "root").select("rep", "low")
+    grouped = classes.join(of, "rep", "left").where("copies > 1 or low is not null").select("g1", "g2", "n_shingles", F.coalesce("low", "doc").alias("component"))
+    grouped = stage(grouped, "groups")
+    unstage(classes)
     out = signed.drop("sig").join(broadcast_if_small(grouped, grouped.count()), ["g1", "g2", "n_shingles"], "left")
-    comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
