@@ -9,9 +9,10 @@ D is the discount. P is shared by both classes: the share of distinct words (con
 with bx among those beginning with b. Where a class has not seen b, it is P itself. So a rare expression has the same
 probability in both classes, and variants of a toxic stem still meet the stem.
 
-A word's value is the sum of log P_toxic - log P_ordinary over its characters, the difference of the two
-log-likelihoods. A text's features are the difference normalised by its number of words and the sum of what its words
-have above ``NOISE``. A logistic curve over them gives the score; a text without words has the curve's value at 0, 0.
+Words are what stands between white space and signs that join words, without signs at their ends; a longer one than
+``LONGEST`` characters counts as several, one after another, so every character of a text counts. A word's value is the
+sum of log P_toxic - log P_ordinary over its characters, the difference of the two log-likelihoods. A text's features
+are the difference normalised by its number of words and the sum of what its words have above ``NOISE``. A logistic curve over them gives the score; a text without words has the curve's value at 0, 0.
 
 Counts cover all labelled rows of the folds for counting (crc32(doc_id) mod 4 of 0 or 1) and are summed on the
 executors; they grow with the input. Fold 3 fits the curve, on about ``FIT_ROWS`` labelled rows chosen by a hash; fold
@@ -23,6 +24,7 @@ characters; texts pass all blocks in one chain of scans, with nothing shuffled.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, fold_of, held, held_out, only, scan, scan_with, stage, starts_of, unstage
+from leafmill.llm.common import fold_of, held, held_out, only, scan, scan_with, stage, starts_of, unstage
 from leafmill.llm.langid import letters
+from leafmill.llm.words import BLANK, Store, distinct, runs, sums, text_bytes
 
 D = 0.75
 RARE = 3
 NOISE = 1.0
-#: Longer words count by this many first characters.
+#: Longer words are cut into several of at most this many characters.
 LONGEST = 24
 FIT_ROWS = 20_000
 BLOCK = 4_000_000
@@ -45,8 +48,18 @@ END = "\n"
 PREDICT = 0.3
 
 
-def expressions(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+#: Signs between two words; others (stars, dollars, apostrophes) may stand for letters.
+_JOINT = re.compile(r"[^\w*$@'\u2019]+|_+")
+
+
+def expressions(run: bytes) -> list[str]:
+    """The words of a run between white space."""
+    out = []
+    for x in run.decode("utf-8", "replace").lower().split():
+        for w in [x] if x.isalpha() else _JOINT.split(x):
+            if w := letters(w):
+                out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return out
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -56,20 +69,23 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         seen = (Counter(), Counter())
 
         def rows() -> dict:
-            both = set(seen[0]) | set(seen[1])
-            out = Counter(), Counter()
-            for c, n in zip(seen, out):
-                for w, k in c.items():
-                    n[letters(w)[:LONGEST]] += k
-            words = [w for w in set(out[0]) | set(out[1]) if w]
-            del both
+            words = list(set(seen[0]) | set(seen[1]))
+            out = {"word": words, "t": [seen[1][w] for w in words], "o": [seen[0][w] for w in words]}
             for c in seen:
                 c.clear()
-            return {"word": words, "t": [out[1][w] for w in words], "o": [out[0][w] for w in words]}
+            return out
 
         def one(b: pa.RecordBatch) -> dict | None:
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                seen[1 if y else 0].update(expressions(text))
+            raw, at = text_bytes(b.column("text"))
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
+            words, per = runs(raw, at, ~BLANK)
+            words, which = distinct(words)
+            n = np.bincount(which * 2 + np.repeat(toxic, per), minlength=2 * len(words)).reshape(-1, 2).tolist()
+            for run, counts in zip(words, n):
+                for w in expressions(run):
+                    for c, k in zip(seen, counts):
+                        if k:
+                            c[w] += k
             return rows() if len(seen[0]) + len(seen[1]) > 500_000 else None
 
         return one, rows
@@ -115,7 +131,7 @@ class Values:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, part: int, parts: int):
         self.keys, self.steps, self.part, self.parts = keys, values, part, parts
-        self.cache = Cache(self.fill, most=400_000)
+        self.store = Store(self.fill, "<f4")
 
     def look(self, begins: list[str]) -> np.ndarray:
         """The values of beginnings; nan where the block has none."""
@@ -125,11 +141,17 @@ class Values:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.steps[at], np.nan)
 
-    def fill(self, raw: list[str]) -> list[float]:
+    def fill(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run between white space: its words, their summed values and what they have above NOISE."""
+        found = list(map(expressions, raw))
+        n = np.array([len(x) for x in found], np.int64)
+        v = self.values([w for x in found for w in x])
+        return np.stack([n, sums(v, n), sums(np.maximum(v - NOISE, 0), n)], axis=1).reshape(-1), np.full(len(raw), 3)
+
+    def values(self, words: list[str]) -> np.ndarray:
         """Each word's steps up to the first beginning that isn't known; there, each class's rest for the unseen, where
         that lowers the value."""
-        words = [letters(w)[:LONGEST] for w in raw]
-        mine = [i for i, w in enumerate(words) if w and part_of(w, self.parts) == self.part]
+        mine = [i for i, w in enumerate(words) if part_of(w, self.parts) == self.part]
         out = np.zeros(len(words))
         if mine:
             marked = [words[i] + END for i in mine]
@@ -141,7 +163,7 @@ class Values:
             stop = np.flatnonzero(known < np.diff(at))
             total[stop] += np.minimum(np.nan_to_num(self.look([marked[i][: known[i]] + END + END for i in stop])), 0.0)
             out[mine] = total
-        return out.tolist()
+        return out
 
 
 def part_of(word: str, parts: int) -> int:
@@ -157,7 +179,7 @@ def features(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame
     second = F.when((F.length("begin") > 1) & (F.substring("begin", 2, 1) != END), F.ascii(F.substring("begin", 2, 1))).otherwise(7)
     # one character alone starts words of any part
     cols = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumns({"n": F.lit(0).cast("bigint"), "total": F.lit(0.0), "above": F.lit(0.0)})
+    rows = docs.withColumns({"n": F.lit(0.0), "total": F.lit(0.0), "above": F.lit(0.0)})
     kinds = dict(rows.dtypes)
     for part in range(parts):
         mine = table if parts == 1 else table.where((F.length("begin") == 1) | (F.pmod(first * 31 + second, F.lit(parts)) == part) | F.endswith("begin", F.lit(END + END)) & (F.length("begin") <= 3))
@@ -175,17 +197,14 @@ def features(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame
 def _adder(sent, part: int, parts: int, out: list[str], key: str):
     def one(b: pa.RecordBatch) -> dict:
         values = held(f"toxic {key}", lambda: Values(*sent.value, part, parts))
-        words, counts = [], []
-        for x in b.column("text").to_pylist():
-            w = expressions(x)
-            words += w
-            counts.append(len(w))
-        v, at = np.array(values.cache.values_of(words) if words else [], np.float64), starts_of(counts)
-        over = np.concatenate([[0.0], np.cumsum(np.maximum(v - NOISE, 0))])
-        whole = np.concatenate([[0.0], np.cumsum(v)])
-        add = {"total": whole[at[1:]] - whole[at[:-1]], "above": over[at[1:]] - over[at[:-1]]}
-        got = {c: b.column(c) for c in out if c not in ("n", "total", "above")}
-        return got | {"n": np.array(counts, np.int64)} | {c: b.column(c).to_numpy() + x for c, x in add.items()}
+        raw, at = text_bytes(b.column("text"))
+        words, per = runs(raw, at, ~BLANK)
+        words, which = distinct(words)
+        v = values.store.rows(words, 3)
+        add = {c: sums(v[which, k].astype(np.float64), per) for k, c in enumerate(("n", "total", "above"))}
+        add["n"] = add["n"] if part == 0 else np.zeros(b.num_rows)  # every part counts the words
+        got = {c: b.column(c) for c in out if c not in add}
+        return got | {c: b.column(c).to_numpy() + x for c, x in add.items()}
 
     return one
 
@@ -228,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rare: in
     fit = features(rows.join(wanted, "doc_id").select("doc_id", "text", "toxic"), table).select("n", "total", "above", "toxic").toPandas()  # bounded by fit_rows
     y = (fit["toxic"].to_numpy() > 0).astype(float)
     w = fit_curve(shape(*[fit[c].to_numpy(np.float64) for c in ("n", "total", "above")]), y) if 0 < y.sum() < len(y) else np.zeros(4)
-    size, above = F.greatest("n", F.lit(1)), F.greatest("above", F.lit(0.0))
+    size, above = F.greatest("n", F.lit(1.0)), F.greatest("above", F.lit(0.0))
     z = w[0] + w[1] * F.greatest(F.least(F.col("total") / size, F.lit(2.0)), F.lit(-2.0)) + w[2] * F.log1p(above) + w[3] * F.sqrt(above / size)
     out = features(rows, table).select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
