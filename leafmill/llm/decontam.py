@@ -4,31 +4,34 @@ Words (runs of letters, digits and underscores, lower-cased) are hashed. Each ma
 row and ignores the places marked 0. Equal seeds of a benchmark item and a document put both on one diagonal; there the
 item's words are compared with the document's, word by word (places beyond the document's edges differ), and the passage
 counts when, in some stretch of ``STRETCH`` words (the whole item if it is shorter), at least ``SHARE`` of the words
-agree. Items under ``LEAST`` words must agree wholly.
+agree. Items under ``LEAST`` words must agree wholly; they are looked for by a mask of their own length.
 
-No passage that would count is missed: n words of which s differ leave s + 1 runs of equal words, and so n - 3 s - 2
-equal triples at least. That is 1 or more for n >= 9 and s = n / 4; for 8 words only the pattern 11011011 has none,
-which the second mask hits. Diagonals with fewer equal triples than that are not compared.
+No passage that would count is missed: for each length of 8 to 20 words, every pattern of differing words that the rule
+accepts was enumerated (``least_hits`` does it again for the lengths at hand), and the two masks together fit between
+differing words at 2 to 9 places at least, 7 of them for 20 words. Diagonals with fewer common seeds aren't compared.
 
-Scale: the benchmark is taken in blocks of a bounded number of words (usually one); each block's words and seeds are
-sent to the workers and all documents pass it once. Texts are never shuffled. Items of equal words are looked for once
-and reported under their smallest id. A bitmap turns away nearly all document positions before the search.
+Scale: items are hashed and those of equal words brought together (under their smallest id) on the executors. The driver
+takes them in blocks of a bounded number of words (usually one); each block is sent to the workers and all documents pass
+it once. Texts are never shuffled. A bitmap of a size that fits the block turns away nearly all places of a document.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Cache, broadcast_if_small, held, mix, odd, only, scan, stage, starts_of, word_hashes
+from leafmill.llm.common import broadcast_if_small, held, mix, odd, only, scan, stage, starts_of
+from leafmill.llm.words import LOWER, WORDLIKE, binary_array, distinct, runs, spread, sums, text_bytes, word_hashes
 
-#: The third and fourth serve items of one and two words only, the second those that may have no equal triple.
-MASKS = ("111", "11011", "1", "11")
+MASKS = ("1101", "100011")
 LEAST = 8
 STRETCH = 20
 SHARE = 0.75
@@ -37,21 +40,25 @@ BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def word_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words one after another, and how many each text has."""
+    raw, at = text_bytes(texts)
+    found, per = runs(LOWER[raw], at, WORDLIKE)
+    found, which = distinct(found)
+    # a run of ASCII is a word as it stands; others may hold signs beyond ASCII
+    words = [[w] if w.isascii() else [x.encode() for x in _WORD.findall(w.decode("utf-8", "replace").lower())] for w in found]
+    n = np.array([len(x) for x in words], np.int64)
+    h = word_hashes([x for ws in words for x in ws])
+    count = n[which]
+    return h[spread(starts_of(n)[:-1][which], count)], sums(count, per)
 
 
-def hashes_of(words: list[str]) -> np.ndarray:
-    cache = held("terms", lambda: Cache(lambda ws: word_hashes([w.encode("utf-8", "replace") for w in ws])))
-    return np.array(cache.values_of(words), dtype=np.uint64) if words else np.zeros(0, np.uint64)
-
-
-def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """The seed at each place of ``h`` from which the mask fits."""
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    by = odd(len(mask), 1000 + salt)
+    by = odd(len(mask), int(mask, 2))
     out = np.zeros(n, np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
@@ -59,13 +66,29 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def masks_for(n: int, least: int, stretch: int, share: float) -> tuple[list[int], int]:
+@lru_cache(maxsize=256)
+def least_hits(n: int, off: int) -> int:
+    """The common seeds that n words have at least, of which ``off`` differ, by looking at every pattern."""
+    if math.comb(n, off) > 500_000:
+        raise ValueError(f"too many patterns of {off} of {n} words to prove the masks")
+    places = np.array(list(itertools.combinations(range(n), off)), np.int64).reshape(-1, off)
+    same = np.ones((len(places), n), bool)
+    same[np.arange(len(places))[:, None], places] = False
+    hits = np.zeros(len(places), np.int64)
+    for mask in MASKS:
+        for p in range(n - len(mask) + 1):
+            hits += same[:, [p + k for k, c in enumerate(mask) if c == "1"]].all(axis=1)
+    if not hits.min():
+        raise ValueError(f"the masks can miss {off} of {n} words that differ")
+    return int(hits.min())
+
+
+def masks_for(n: int, least: int, stretch: int, share: float) -> tuple[list[str], int]:
     """(masks for items of n words, seeds of theirs that a passage has on its diagonal at least)."""
-    if n < 3:
-        return [n + 1], 1
+    if n < least:
+        return ["1" * n], 1
     need = min(n, stretch)
-    triples = need - 3 * (need - math.ceil(share * need) if n >= least else 0) - 2
-    return ([0], triples) if triples > 0 else ([0, 1], 1)
+    return list(MASKS), least_hits(need, need - math.ceil(share * need))
 
 
 class Block:
@@ -74,35 +97,38 @@ class Block:
     def __init__(self, ids: list[int], items: list[np.ndarray], stretch: int = STRETCH, share: float = SHARE, least: int = LEAST):
         self.ids = np.array(ids, np.int64)
         self.words, self.at = np.concatenate([*items, np.zeros(0, np.uint64)]), starts_of([len(x) for x in items])
-        keys, item, place, used = [], [], [], set()
+        keys, item, place, used = [], [], [], {}
         self.least_seeds = np.ones(len(items), np.int64)
         for i, x in enumerate(items):
             which, self.least_seeds[i] = masks_for(len(x), least, stretch, share)
-            used.update(which)
             for m in which:
-                s = seeds(x, MASKS[m], m)
+                used[m] = None
+                s = seeds(x, m)
                 keys.append(s)
                 item.append(np.full(len(s), i, np.int64))
                 place.append(np.arange(len(s), dtype=np.int64))
-        self.used = sorted(used)
+        self.used = list(used)
         keys, item, place = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in (keys, item, place))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order].astype(np.uint64), item[order], place[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.keys >> np.uint64(42)] = True
+        # 16 marks for each key
+        width = max(16, (16 * len(keys)).bit_length())
+        self.low = np.uint64(64 - width)
+        self.bits = np.zeros(1 << width, bool)
+        self.bits[self.keys >> self.low] = True
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """(item, diagonal) of the common seeds where they are enough, each pair once; a diagonal is document place less item place."""
         found = []
         shift = 1 << 32
         for m in self.used:
-            s = seeds(h, MASKS[m], m)
-            at = np.flatnonzero(self.bits[s >> np.uint64(42)])
+            s = seeds(h, m)
+            at = np.flatnonzero(self.bits[s >> self.low])
             if len(at):
                 lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
                 n = hi - lo
                 if n.any():
-                    k = np.repeat(lo - starts_of(n)[:-1], n) + np.arange(int(n.sum()))
+                    k = spread(lo, n)
                     found.append(self.item[k] * shift + np.repeat(at, n) - self.place[k] + shift // 2)
         if not found:
             return np.zeros((0, 2), np.int64)
@@ -124,56 +150,55 @@ class Block:
         return (best, need) if best >= (share if len(x) >= least else 1) * need else None
 
 
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """item_id (the smallest of equal ones), words (hashes, binary); staged, by item_id."""
+
+    def one(b: pa.RecordBatch) -> dict:
+        h, n = word_lists(b.column("text"))
+        return {"item_id": b.column("item_id"), "words": binary_array(h.astype("<u8").view(np.uint8), starts_of(n * 8)).cast(pa.binary())}
+
+    rows = scan(only(benchmark, "item_id", "text").where("text is not null and item_id is not null"), "item_id bigint, words binary", one)
+    rows = rows.where(F.octet_length("words") > 0).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    return stage(rows.select("item_id", "words"), "items").orderBy("item_id")
+
+
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
-    """The benchmark's items, block after block; ids ascend."""
-    rows = only(benchmark, "item_id", "text").where("text is not null and item_id is not null").orderBy("item_id")
+    """The benchmark's distinct items, block after block; ids ascend."""
     ids, items, n = [], [], 0
-    seen: set[bytes] = set()
-    for r in rows.toLocalIterator():
-        x = hashes_of(words_of(r["text"]))
-        key = x.tobytes()
-        if not len(x) or key in seen:
-            continue
-        seen.add(key)
+    for r in distinct_items(benchmark).toLocalIterator():
         ids.append(r["item_id"])
-        items.append(x)
-        n += len(x)
+        items.append(np.frombuffer(bytes(r["words"]), "<u8").astype(np.uint64))
+        n += len(items[-1])
         if n >= most:
             yield ids, items
             ids, items, n = [], [], 0
-            seen = set()
     if ids:
         yield ids, items
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, share: float = SHARE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, n_same, n_compared: one row for each document row and benchmark item that it holds.
 
     Clean documents have no row; nor have null, empty and wordless texts, null ids and items without words. Items
-    under ``least`` words are looked for exactly. Repeated rows each get theirs. An empty table on either side gives no rows. Other columns are ignored.
+    under ``least`` words are looked for exactly. Items of equal words count as the one of the smallest id, however many
+    blocks there are. Repeated rows each get theirs. An empty table on either side gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, n_same int, n_compared int"
     out = spark.createDataFrame([], schema)
-    for ids, items in blocks(benchmark):
-        sent = spark.sparkContext.broadcast((ids, items))  # bounded by BLOCK_WORDS
+    for ids, items in blocks(benchmark, block_words):
+        sent = spark.sparkContext.broadcast((ids, items))  # bounded by block_words and one item
         out = out.unionByName(scan(only(docs, "doc_id", "text").where("text is not null and doc_id is not null"), schema, _finder(sent, stretch, share, least)))
     return out
 
 
 def _finder(sent, stretch: int, share: float, least: int):
-    made: list[Block] = []
+    key = uuid.uuid4().hex
 
     def one(b: pa.RecordBatch) -> dict | None:
-        if not made:
-            made.append(Block(*sent.value, stretch, share, least))
-        block, rows = made[0], []
-        words, counts = [], []
-        for x in b.column("text").to_pylist():
-            w = words_of(x)
-            words += w
-            counts.append(len(w))
-        h, at = hashes_of(words), starts_of(counts)
+        block = held(f"benchmark {key}", lambda: Block(*sent.value, stretch, share, least))
+        h, counts = word_lists(b.column("text"))
+        at = starts_of(counts)
         # all documents of the batch at once; seeds across two documents are turned away on the diagonal
         found = block.hits(h)
         if not len(found):
