@@ -1,7 +1,7 @@
 """Shards of near equal bytes, tokens and rows: vector bin packing by the dot product with residual capacity.
 
-Documents of equal text form a group and stay together, unless a group holds more than half a shard of any measure;
-such a group is cut into as many parts as needed, by a hash of doc_id. Groups are placed largest first, each on the
+Documents of equal text form a group and stay together, unless a group holds more than a whole shard's share of any
+measure; such a group is cut into as few parts as fit, by a hash of doc_id, and ``group_parts`` says so. Groups are placed largest first, each on the
 shard for which the dot product of its (bytes, tokens, rows) shares with the shard's residual capacity is highest.
 
 Scale: the few heavy groups (at most 3 * 64 * shards of them can hold a 64th of a shard each) are placed on the driver.
@@ -41,7 +41,7 @@ def place(loads: np.ndarray, free: np.ndarray) -> np.ndarray:
 
 
 def balanced(docs: DataFrame, shards: int = 8, tokens: F.Column | None = None, cell: int = CELL) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens of each row.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens, group_parts of each row.
 
     Size is the text's UTF-8 bytes plus 1. Tokens are words between spaces unless given. A null text counts as empty;
     all empty texts are one group. Repeated rows are rows of one group. An empty table gives none. A null doc_id is
@@ -61,7 +61,7 @@ def balanced(docs: DataFrame, shards: int = 8, tokens: F.Column | None = None, c
     total = np.array([max(got[m] or 0, 1) for m in MEASURES], np.float64)
     share = F.greatest(*[F.col(m) / float(t) for m, t in zip(MEASURES, total)])
     heavy = groups.withColumn("share", share).where(F.col("share") > 1 / (64 * shards)).toPandas()  # bounded by 3 * 64 * shards
-    heavy["parts"] = np.ceil(heavy["share"] * 2 * shards).clip(lower=1).astype(int)
+    heavy["parts"] = np.ceil(heavy["share"] * shards).clip(lower=1).astype(int)
 
     # a part of a cut group is known by doc_id's hash; the parts' own sizes are summed again
     big = spark.createDataFrame([(int(a), int(b), int(p)) for a, b, p in zip(heavy.h1, heavy.h2, heavy.parts)], "h1 bigint, h2 bigint, parts int")
@@ -85,8 +85,8 @@ def balanced(docs: DataFrame, shards: int = 8, tokens: F.Column | None = None, c
     light = groups.join(F.broadcast(big), ["h1", "h2"], "left_anti").withColumn("cell", F.pmod("h1", F.lit(cells)))
     light = light.groupBy("cell").applyInPandas(one, "h1 bigint, h2 bigint, shard int")
     at = spark.createDataFrame([(int(a), int(b), int(p), int(s)) for a, b, p, s in zip(pieces.h1, pieces.h2, pieces.part, pieces.shard)], "h1 bigint, h2 bigint, part int, shard int")
-    placed = of_big.join(F.broadcast(at), ["h1", "h2", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard")
-    rest = rows.join(F.broadcast(big), ["h1", "h2"], "left_anti").join(light, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "tokens", "shard")
+    placed = of_big.join(F.broadcast(at), ["h1", "h2", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard", "parts")
+    rest = rows.join(F.broadcast(big), ["h1", "h2"], "left_anti").join(light, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "tokens", "shard", F.lit(1).alias("parts"))
     return slotted(placed.unionByName(rest))
 
 
@@ -100,5 +100,5 @@ def slotted(rows: DataFrame, law: str = "bytes") -> DataFrame:
     rows = rows.join(F.broadcast(before), ["shard", "_p"])
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "tokens",
+        F.lit(None).cast("int").alias("grown_shard"), "tokens", F.col("parts").alias("group_parts"),
     )
