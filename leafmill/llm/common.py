@@ -1,8 +1,9 @@
-"""Shared pieces: staged tables in the shared folder, Arrow scans, bounded word caches."""
+"""Shared pieces: staged tables in the shared folder, Arrow scans, one model at a time in a worker."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,18 +16,19 @@ from pyspark.sql import types as T
 
 from leafmill.plans.ship import ship
 
-#: Entries a worker's word cache may hold before it starts anew (about 100 bytes each).
-CACHE_ENTRIES = 700_000
 #: Rows (and so bytes, as every row has a fixed small width) a side may have to be broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The folder all executors and the driver share: ``spark.checkpoint.dir``; where that is unset a temporary one, in local
+    mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="leafmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -107,40 +109,6 @@ def held(key: str, make: Callable[[], object]):
     return _held[key]
 
 
-class Cache:
-    """Word to value, filled by ``fill(list of words) -> list of values``.
-
-    Two generations of at most half of ``most`` entries each: when the young one is full it replaces the old one, and
-    words that are met again move over.
-    """
-
-    def __init__(self, fill: Callable[[list], list], most: int = CACHE_ENTRIES):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.fill, self.half = fill, max(1, most // 2)
-
-    def values_of(self, words: list) -> list:
-        got = list(map(self.young.get, words))
-        if None in got:
-            new = list({w for w, v in zip(words, got) if v is None})
-            if len(self.young) > self.half:
-                self.old, self.young = self.young, {}
-            found = list(map(self.old.get, new))
-            fresh = [w for w, v in zip(new, found) if v is None]
-            local = {w: v for w, v in zip(new, found) if v is not None}
-            local.update(zip(fresh, self.fill(fresh) if fresh else []))
-            self.young.update(local)
-            got = [local[w] if v is None else v for w, v in zip(words, got)]
-        return got
-
-
-def word_hashes(words: list[bytes]) -> list[int]:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest
-    return [h(w) for w in words]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on uint64."""
     x = x ^ (x >> np.uint64(30))

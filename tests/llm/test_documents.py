@@ -96,7 +96,31 @@ def test_slices_take_no_partner_from_the_smallest(spark):
 def test_near_groups_of_nothing_and_repeats(spark):
     assert minhash.near_groups(table(spark, [])).count() == 0
     got = minhash.near_groups(table(spark, ["a b c", "a b c", "a b c"], [5, 5, None])).collect()
-    assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in got) == [(False, 5, True), (False, 5, True), (True, None, True)] or len(got) == 3
+    assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in got) == [(False, 5, True), (False, 5, True), (True, None, True)]
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    r = random.Random(7)
+    a, b, c = (prose(r, 200) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(3, a), (5, near), (5, b), (7, c), (7, b)]
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_groups(table(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    n = [len(sets(t)) for _, t in rows]
+    assert got == {(3, n[0], 3, True), (5, n[1], 3, False), (5, n[2], 5, True), (7, n[3], 7, True), (7, n[4], 5, False)}
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words and its near copy, in every operator on pairs or scores."""
+    r = random.Random(12)
+    w = prose(r, 200_000).split()
+    x = list(w)
+    for i in range(0, len(x), 4000):
+        x[i] = "changed"
+    d = table(spark, [" ".join(w), " ".join(x), "short", None, ""])
+    assert [(i["doc_id"], i["component_id"]) for i in minhash.near_groups(d).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)]
+    b = spark.createDataFrame([(0, " ".join(w[150_000:150_030]))], "item_id bigint, text string")
+    assert {(i["doc_id"], i["item_id"]) for i in decontam.overlaps(d, b).collect()} == {(0, 0), (1, 0)}
+    assert sharding.balanced(d).count() == 5 and linedup.line_report(d).count() == 5 and fingerprint.edited_and_next(d).count() == 5
 
 
 def test_components_of_a_chain(spark):
@@ -168,6 +192,25 @@ def test_shards(spark, texts):
         assert all(len({r["shard"] for r in got if texts[r["doc_id"]] == t}) == 1 for t in texts)
 
 
+def test_a_group_is_cut_only_beyond_a_shard(spark):
+    rows = ["big " * 100] * 70 + [f"text {i} " * 50 for i in range(1000)]
+    got = sharding.balanced(table(spark, rows)).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 70}) == 1 and {r["group_parts"] for r in got} == {1}
+    rows = ["big " * 100] * 700 + [f"text {i} " * 50 for i in range(1000)]
+    got = sharding.balanced(table(spark, rows)).collect()
+    assert {r["group_parts"] for r in got if r["doc_id"] < 700} == {4} and len({r["shard"] for r in got if r["doc_id"] < 700}) == 4
+
+
+def test_placement_by_the_dot_product():
+    r = np.random.default_rng(2)
+    loads, free = r.random((60, 3)) / 60, np.full((5, 3), 0.2)
+    left, got = free.copy(), sharding.place(loads, free)
+    for v, k in zip(loads, got):
+        dots = [sum(w * a * b for w, a, b in zip(sharding.WEIGHTS, row, v)) for row in left]
+        assert dots[k] == pytest.approx(max(dots))
+        left[k] -= v
+
+
 def test_language(spark):
     r = random.Random(2)
     vocab = {"aa": ["the", "and", "house", "water"], "bb": ["der", "und", "haus", "wasser"], "cc": ["eau", "maison", "les", "des"]}
@@ -181,6 +224,18 @@ def test_language(spark):
     assert {x["lang_pred"] for x in langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_small_languages_and_long_words_are_learned(spark):
+    """Seventy languages, one of them tiny, one of words of over sixty characters."""
+    r = random.Random(3)
+    sign = [chr(0x4E00 + 40 * k) for k in range(70)]
+    rows = [(k * 100 + i, " ".join(sign[k] + r.choice(WORDS) for _ in range(12)), f"l{k:02}") for k in range(70) for i in range(6 if k == 69 else 10)]
+    rows += [(8000 + i, " ".join("".join(chr(0x3041 + r.randrange(30)) for _ in range(90)) for _ in range(3)), "long") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(d).collect()}
+    assert got == {i: k for i, _, k in rows}
+    assert langid.recognised(d.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     rows, marks = [], []
@@ -203,6 +258,15 @@ def test_toxicity(spark):
     assert none == {0.5}
 
 
+def test_every_character_of_a_long_run_counts(spark):
+    assert toxicity.expressions("Good/vile-x, f*ck…don't_go 12 ".encode()) == ["good", "vile", "x", "f*ck", "don't", "go"]
+    assert toxicity.expressions(b"ab" * 30) == ["ab" * 12, "ab" * 12, "ab" * 6]
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=30)) + (" vileword" if i % 2 else "")) for i in range(200)]
+    d = spark.createDataFrame([*rows, (900, "alpha/beta/gamma/delta/vileword"), (901, "alpha/beta/gamma/delta/epsilon")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")).collect()}
+    assert got[900] > 0.5 > got[901]
+
+
 def test_toxicity_blocks_agree(spark):
     d = spark.createDataFrame([(i, "vile words and others é " * (i % 3 + 1)) for i in range(30)], "doc_id bigint, text string")
     m = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
@@ -242,6 +306,15 @@ def test_every_accepted_pattern_is_found(n, off):
     assert block.overlap(np.concatenate([before, x]), 0, 3, 20, 0.75, 8) == (n - off, n)
 
 
+def test_blocks_give_the_same_rows(spark):
+    r = random.Random(11)
+    items = [prose(r, 12), prose(r, 30)]
+    b = spark.createDataFrame([(1, items[0]), (2, items[1]), (3, items[0]), (4, items[1].upper())], "item_id bigint, text string")
+    d = table(spark, [prose(r, 300) + " " + items[0], items[1], items[0], items[0], prose(r, 5000) + " " + items[1]])
+    rows = [sorted(map(tuple, decontam.overlaps(d, b, block_words=n).collect())) for n in (10**6, 1)]
+    assert rows[0] == rows[1] and {(x[0], x[1]) for x in rows[0]} == {(0, 1), (1, 2), (2, 1), (3, 1), (4, 2)}
+
+
 def test_excerpts_at_document_edges_and_short_items(spark):
     r = random.Random(9)
     w = [f"w{i}" for i in range(40)]
