@@ -15,29 +15,47 @@ LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognised language."""
+    """Keeps documents with a recognised language.
+
+    Null and empty texts, and texts without a letter, go. Repeated rows are judged alike. Where no document has a label,
+    every text with a letter stays. An empty table gives none.
+    """
     return langid.recognised(docs, LEAST_SHARE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated three-line passages; documents that lose all their text that way go."""
+    """Removes repeated three-line passages; documents that lose all their text that way go.
+
+    Null and empty texts stay as they are, and so do rows of a null doc_id. Of equal passages the first by (doc_id,
+    position) stays; rows that repeat a doc_id and text count as one document. An empty table gives none.
+    """
     out = linedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
-    gone = stage(minhash.near_groups(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """Keeps the document with the smallest id of each near-duplicate group.
+
+    Rows are taken out by id and text, so a different text under the same id is judged alone; rows that repeat both stay
+    together. Texts without words and rows of a null doc_id stay. An empty table gives none.
+    """
+    gone = stage(minhash.near_groups(docs, percent=80).where("not kept").select("doc_id", F.col("text_hash").alias("_text")).distinct(), "gone")
+    out = docs.withColumn("_text", F.xxhash64("text")).join(broadcast_if_small(gone, gone.count()), ["doc_id", "_text"], "left_anti")
+    return out.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark passage."""
+    """Removes documents that hold a benchmark passage.
+
+    Null and empty texts and rows of a null doc_id stay. Rows of one doc_id are judged together. An empty table on
+    either side takes nothing away.
+    """
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all remaining documents into sequences of 1024 ids."""
+    """Packs all remaining documents into sequences of 1024 ids; null and empty texts hold the end id alone. Repeated rows
+    are packed each; an empty table gives none."""
     return packing.best_fit(docs)
 
 
