@@ -9,8 +9,9 @@ from leafmill.functions.text import preview, strip
 
 CLOZE = r"\{\{c[0-9]+::[^}]+\}\}"
 CLOZE_INNER = r"\{\{c[0-9]+::(.*?)\}\}"
-#: Words that point to something to look at; only the last four suffice without an image.
-VISUAL = ("figure", "table", "chart", "graph", "diagram", "image", "illustration", "plot", "visualization", "shown in", "depicted")
+#: Words that point to something to look at, and those of them that suffice without an image.
+VISUAL = ("figure", "fig.", "table", "chart", "graph", "diagram", "image", "picture", "plot", "illustration", "exhibit")
+NAMED = ("figure", "table", "chart", "graph")
 STRATEGIES = {
     "key_points": ("Basic", "Key Point", "key-points"),
     "cloze_definitions": ("Cloze", "Definition", "cloze-definitions"),
@@ -112,7 +113,7 @@ def figure_chunks(chunks: DataFrame, images: DataFrame) -> DataFrame:
     i = images.select(F.col("doc_id").alias("_d"), F.col("page_num").alias("_p")).distinct()
     on_pages = (F.col("doc_id") == F.col("_d")) & F.col("_p").between(F.col("start_page"), F.col("end_page"))
     near = chunks.where(any_of(VISUAL)).join(i, on_pages, "left_semi")
-    alone = chunks.where(any_of(VISUAL[:4])).join(i, on_pages, "left_anti")
+    alone = chunks.where(any_of(NAMED)).join(i, on_pages, "left_anti")
     return near.unionByName(alone)
 
 
@@ -133,6 +134,12 @@ def reviewed(cards: DataFrame, reviews: DataFrame, least: float = 7.0, allow_edi
     )
 
 
+def of_quality(cards: DataFrame, least: dict[str, float | None]) -> DataFrame:
+    """Cards whose review score reaches their strategy's least; cards without a score, and strategies without one, stay."""
+    floor = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(float(x))) for s, x in least.items() if x is not None], F.lit(None).cast("double"))
+    return cards.where(F.coalesce(F.col("review_score") >= floor, F.lit(True)))
+
+
 def mock_responses(chunks: DataFrame, strategy: str = "key_points", most: int = 2) -> DataFrame:
     """A deterministic stand-in for a model: one card for each of the first lines of a chunk, as JSON."""
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: strip(x) != ""), 1, most)

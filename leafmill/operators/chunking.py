@@ -187,13 +187,13 @@ def by_sections(sections: DataFrame, pages: DataFrame, target: int = 4000, budge
     return out.unionByName(rest)
 
 
-def smart(pages: DataFrame, headings: DataFrame, sections: DataFrame, budget: int = 2000, overlap: int = 200, target: int = 4000) -> DataFrame:
+def smart(pages: DataFrame, headings: DataFrame, sections: DataFrame, budget: int = 2000, overlap: int = 200, target: int = 4000, paragraph: int | None = None) -> DataFrame:
     """Three sections or more: by sections. Else pages packed with an overlap of words, and a new chunk at each heading.
 
     The overlap carries text from run to run, so the fold's state holds the open chunk's text.
     """
     rich = sections.groupBy("doc_id").count().where("count >= 3").select("doc_id")
-    first = by_sections(sections.join(rich, "doc_id", "left_semi"), pages.join(rich, "doc_id", "left_semi"), target, budget)
+    first = by_sections(sections.join(rich, "doc_id", "left_semi"), pages.join(rich, "doc_id", "left_semi"), target, paragraph or budget)
     top = headings.where("level <= 2").groupBy("doc_id", F.col("page").alias("page_num")).agg(F.min_by("text", "ord").alias("head"))
     p = pages.join(rich, "doc_id", "left_anti").join(top, ["doc_id", "page_num"], "left").select("doc_id", F.struct("page_num", strip(F.coalesce("raw_text", F.lit(""))).alias("t"), "head").alias("x")).where("x.t <> ''")
     p = p.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("u"))
@@ -226,6 +226,11 @@ def smart(pages: DataFrame, headings: DataFrame, sections: DataFrame, budget: in
     return first.unionByName(_counts(numbered(c)))
 
 
+def chunk_texts(mode: str, texts: DataFrame, start_page: int = 1, **how) -> DataFrame:
+    """``chunk`` of texts (doc_id, text) that are one page each."""
+    return chunk(mode, texts.select("doc_id", F.lit(start_page).alias("page_num"), F.col("text").alias("raw_text")), **how)
+
+
 def chunk(mode: str, pages: DataFrame, headings: DataFrame | None = None, sections: DataFrame | None = None, budget: int = 2000, overlap: int = 200, least: int = 100, most: int = 4000, token_budget: int = 8000, trim: bool = True) -> DataFrame:
     """Chunks of all documents under one of ``MODES``; figures and highlights are cut as smart."""
     if mode not in MODES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,31 @@ from leafmill.functions.text import strip, title_case
 STRUCTURES = ("flat", "predefined", "by_chapter", "by_theme")
 
 
+#: The fields of the note types that cards are made with, in order.
+NOTE_FIELDS = {"Basic": ("Front", "Back", "Source", "Page", "Section", "Tags", "Extra"), "Cloze": ("Text", "Extra", "Source", "Page", "Section", "Tags")}
+STYLE = ".card { font-family: sans-serif; font-size: 16px; padding: 1em; } .source { color: #777; font-size: 12px; } .cloze { font-weight: bold; }"
+
+
+def note_types(prefix: str = "Leafmill") -> list[dict]:
+    """The default note types: name, model_id, kind, fields, templates, css. The id is a hash of name and fields, so it is the
+    same in every run."""
+    out = []
+    for kind, fields in NOTE_FIELDS.items():
+        name = f"{prefix} {kind}"
+        asked = "{{Front}}" if kind == "Basic" else "{{cloze:Text}}"
+        below = '{{#Section}}<div class="source">{{Section}}</div>{{/Section}}<div class="source">{{Source}} {{Page}}</div>'
+        shown = f"{asked}<hr>{{{{Back}}}}" if kind == "Basic" else asked
+        number = int.from_bytes(hashlib.sha256("\x1f".join([name, *fields]).encode()).digest()[:4], "big") % (1 << 30) + (1 << 30)
+        template = {"name": "Card 1", "qfmt": asked + below, "afmt": shown + "{{#Extra}}<div>{{Extra}}</div>{{/Extra}}" + below}
+        out.append({"name": name, "model_id": number, "kind": kind, "fields": list(fields), "templates": [template], "css": STYLE})
+    return out
+
+
+def math_content(text: Column) -> Column:
+    """Formulas stay as they are: both delimiters are the deck's own."""
+    return text
+
+
 def deck_of(name: str, structure: str = "flat") -> Column:
     """The deck of a row: its section's or its strategy's, under the main deck; the main deck where it has none."""
     part = {"by_chapter": F.col("section"), "by_theme": title_case(F.replace(F.col("strategy"), F.lit("_"), F.lit(" ")))}.get(structure)

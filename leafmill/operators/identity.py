@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import collapse
 from leafmill.plans.ship import ship
+from leafmill.plans.store import numbered
 
 
 def normal_content() -> Column:
@@ -46,12 +47,11 @@ def known_ids(cards: DataFrame) -> DataFrame:
 def persistent_ids(cards: DataFrame, known: DataFrame, salt: str) -> DataFrame:
     """Adds id: the known one of the card's key, else ``salt_`` and the next number, in order of first appearance.
 
-    Only new keys are numbered together, in one ordered pass over (key, first place); cards that share a key share an id.
+    Only new keys are numbered, by ranges of their first places; cards that share a key share an id.
     """
-    last = known.select(F.max(F.regexp_extract("id", rf"^{salt}_([0-9]+)$", 1).try_cast("int")).alias("last"))
+    last = known.select(F.max(F.regexp_extract("id", rf"^{salt}_([0-9]+)$", 1).try_cast("bigint")).alias("last"))
     c = cards.withColumn("_key", persistence_key())
     firsts = c.join(known.select(F.col("key").alias("_key")), "_key", "left_anti").groupBy("_key").agg(F.min("card_ord").alias("_at"))
-    # numbering: ranges of first places, then a short table of their sizes
-    new = firsts.crossJoin(F.broadcast(last)).select("_key", F.format_string(salt + "_%06d", (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.orderBy("_at"))).cast("int")).alias("_new"))
+    new = numbered(firsts, "_at", "_nth").crossJoin(F.broadcast(last)).select("_key", F.format_string(salt + "_%06d", F.coalesce("last", F.lit(0)).cast("bigint") + F.col("_nth")).alias("_new"))
     out = c.join(known.select(F.col("key").alias("_key"), F.col("id").alias("_old")), "_key", "left").join(new, "_key", "left")
     return out.withColumn("id", F.coalesce("_old", "_new")).drop("_key", "_old", "_new")

@@ -51,6 +51,12 @@ def sections(heads: DataFrame) -> DataFrame:
     return g.select("doc_id", (F.col("grp") - 1).cast("int").alias("sec_no"), "title", "start_page", F.coalesce("deep", "start_page").alias("end_page"))
 
 
+def detected(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headings, sections and chapters of laid-out text."""
+    heads = headings(spans)
+    return heads, sections(heads), chapters(heads)
+
+
 def chapters(heads: DataFrame) -> DataFrame:
     """doc_id, ord, title, page, level of headings that look like chapters."""
     low = F.lower("text")

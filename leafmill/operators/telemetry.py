@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 #: Price for 1000 tokens in and out; other models cost the first.
 PRICES = {"gpt-4-1106-preview": (0.01, 0.03), "gpt-4": (0.03, 0.06), "gpt-3.5-turbo": (0.001, 0.002)}
+#: Context length in tokens, whether JSON mode and a seed are supported.
+ABILITIES = {"gpt-4-1106-preview": (128000, True, True), "gpt-4": (8192, False, False), "gpt-3.5-turbo": (16385, True, False)}
+
+
+def models(spark) -> DataFrame:
+    """model, context_length, price_in, price_out, supports_json, supports_seed."""
+    return spark.createDataFrame([(m, n, *PRICES[m], json, seed) for m, (n, json, seed) in ABILITIES.items()], "model string, context_length int, price_in double, price_out double, supports_json boolean, supports_seed boolean")
+
+
+def supports(model: str, what: str) -> bool:
+    """Whether a model supports ``json`` or ``seed``; unknown models support neither."""
+    return ABILITIES.get(model, (0, False, False))[{"json": 1, "seed": 2}[what]]
+
+
+def used(cards: DataFrame) -> DataFrame:
+    """strategies, note_types: the distinct ones, in order."""
+    return cards.agg(F.sort_array(F.collect_set("strategy")).alias("strategies"), F.sort_array(F.collect_set("note_type")).alias("note_types"))
 
 
 def model_prices(spark) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -43,39 +44,48 @@ def build(
     (document, chunk, strategy, place); that order decides which of two near duplicates stays.
     """
     c = config or Config()
-    k = c.chunking
-    if k.mode in ("sections", "smart", "figures", "highlights") and (headings is None or sections is None):
-        mode = "pages"  # nothing is known of the documents' structure
-    else:
-        mode = k.mode
-    chunks = chunking.chunk(mode, pages, headings, sections, k.tokens_per_chunk, k.overlap_tokens, k.min_chunk_tokens, k.max_chunk_tokens, k.token_budget, k.trim_terminal)
+    p, g = c.pipeline, c.generate
+    k, dup, hall = p.ingestion.chunking, p.deduplication, p.hallucination
+    mode = k.mode
+    if mode in ("sections", "smart", "figures", "highlights") and (headings is None or sections is None):
+        warnings.warn(f"nothing is known of the documents' structure, so they are cut by pages instead of {mode!r}", UserWarning, stacklevel=2)
+        mode = "pages"
+    chunks = chunking.chunk(mode, pages, headings, sections, k.tokens_per_chunk, k.overlap_tokens, k.min_chunk_tokens, k.max_chunk_tokens, k.token_budget, k.enable_trimming)
     if "section" not in chunks.columns:
         chunks = chunks.withColumn("section", F.lit(None).cast("string"))
     name = F.col("source_pdf") if paths is not None else F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     chunks = (chunks.join(paths, "doc_id", "left") if paths is not None else chunks).withColumn("source_pdf", name)
     out = None
-    for number, strategy in enumerate(c.strategies.enabled()):
+    for number, strategy in enumerate(g.strategies.enabled()):
         got = cd.parse_responses(settle(responses(chunks, strategy, images))).withColumn("_s", F.lit(number))
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("no strategy is enabled")
-    out = cd.with_provenance(out, chunks, c.model.name)
-    if c.checks.require_citations or c.checks.verify_quotes:
-        out = cd.verified(out, chunks, c.checks.require_citations, c.checks.verify_quotes, c.checks.drop_on_failure)
+    out = cd.with_provenance(out, chunks, p.llm.model)
+    if hall.require_citations or hall.verify_quotes:
+        out = cd.verified(out, chunks, hall.require_citations, hall.verify_quotes, hall.drop_on_failure)
     out = dedup.first_of(out.withColumn("card_ord", ordinal()), F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), "strategy", F.lower("front"), cd.without_cloze(F.col("cloze_text"))))
-    if c.review.enabled and reviews is not None:
-        out = cd.reviewed(out, settle(reviews(out)), c.review.min_score, c.review.allow_edits)
+    if p.review.enabled and reviews is not None:
+        out = cd.reviewed(out, settle(reviews(out)), p.review.min_score, p.review.allow_edits)
+    if any(getattr(g.strategies, s).min_score is not None for s in g.strategies.enabled()) and "review_score" in out.columns:
+        out = cd.of_quality(out, {s: getattr(g.strategies, s).min_score for s in g.strategies.enabled()})
     out = settle(out)
-    if c.dedup.enabled:
-        out = dedup.deduplicated(out, index if c.dedup.persistent else None, fuzzy=c.dedup.fuzzy_threshold, embedding=c.dedup.embedding_threshold, policy=c.dedup.policy)
-    if c.ids.strategy == "persistent":
+    if dup.enabled:
+        vectors = dup.embedding_threshold if "embedding" in out.columns else 0.0
+        if dup.scope_within_run:
+            out = dedup.within_run(out, dup.fuzzy_threshold, vectors, dup.policy.upper())
+        if dup.scope_persistent and index is not None:
+            out = dedup.against_index(out, index)[0]
+    if g.ids.strategy == "persistent":
         known = known_ids if known_ids is not None else out.sparkSession.createDataFrame([], "key string, id string")
-        out = identity.persistent_ids(out, known, c.ids.salt)
+        out = identity.persistent_ids(out, known, g.ids.salt)
     else:
-        out = identity.content_ids(out, c.ids.salt)
-    return cd.finalised(out, c.decks.name, now).drop("_s", "valid")
+        out = identity.content_ids(out, g.ids.salt)
+    return cd.finalised(out, g.anki.deck_name, now).drop("_s", "valid")
 
 
 def ordinal() -> Column:
-    """One number that sorts like (doc_id, chunk_index, strategy, card_no), for up to a million chunks a document."""
-    return ((F.col("doc_id") * 1_000_000 + F.col("chunk_index")) * 8 + F.col("_s")) * 32 + F.least(F.col("card_no"), F.lit(31))
+    """One number that sorts like (doc_id, chunk_index, strategy, card_no): 19, 9, 2 and 8 digits, so no two rows share it."""
+    digits = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
+    low = F.col("chunk_index").cast("decimal(9,0)") * digits(10) + (F.col("_s") * 10**8 + F.col("card_no")).cast("decimal(10,0)")
+    return (F.col("doc_id").cast("decimal(19,0)") * digits(19) + low).cast("decimal(38,0)")

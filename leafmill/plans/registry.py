@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators import cards as cd
 from leafmill.operators import chunking as ch
-from leafmill.operators import deck, dedup, identity, profile, registry, retrieval, structure, telemetry, validate
+from leafmill.operators import deck, dedup, generation, identity, profile, registry, retrieval, structure, telemetry, validate
 from leafmill.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,12 +54,12 @@ def run_ctes(units: str, budget: int, carry: int, name: str = "runs", joint: int
         start, cur = "i - 1", f"p1 + {joint} + len"
     else:
         start, cur = "CASE WHEN kept // 4 <= T THEN i - CASE WHEN i - s >= 2 THEN 2 ELSE 1 END ELSE i END", "CASE WHEN kept // 4 <= T THEN kept ELSE len END"
-    return f"""{name}_p(k, i, s, cur, p1, p2) AS (
-      SELECT k, i, CAST(0 AS BIGINT), CAST(len AS BIGINT), CAST(len AS BIGINT), CAST(0 AS BIGINT) FROM {units} WHERE i = 0
-      UNION ALL SELECT k, i, CAST(CASE WHEN o THEN {start} ELSE s END AS BIGINT), CAST(CASE WHEN o THEN {cur} ELSE cur + {joint} + len END AS BIGINT), CAST(len AS BIGINT), p1
+    return f"""{name}_p(k, i, s, cur, p1, p2, opened) AS (
+      SELECT k, i, CAST(0 AS BIGINT), CAST(len AS BIGINT), CAST(len AS BIGINT), CAST(0 AS BIGINT), TRUE FROM {units} WHERE i = 0
+      UNION ALL SELECT k, i, CAST(CASE WHEN o THEN {start} ELSE s END AS BIGINT), CAST(CASE WHEN o THEN {cur} ELSE cur + {joint} + len END AS BIGINT), CAST(len AS BIGINT), p1, o
       FROM (SELECT u.k, u.i, u.len, p.s, p.cur, p.p1, {budget} AS T, (p.cur + {joint} + u.len) // 4 > {budget} AS o, CASE WHEN u.i - p.s >= 2 THEN p.p2 + {joint} + p.p1 ELSE p.p1 END + {joint} + u.len AS kept
             FROM {name}_p p JOIN {units} u ON u.k = p.k AND u.i = p.i + 1)),
-    {name} AS (SELECT k, s, i AS e FROM (SELECT k, s, i, lead(s) OVER (PARTITION BY k ORDER BY i) AS nxt, lead(i) OVER (PARTITION BY k ORDER BY i) AS ni FROM {name}_p) WHERE ni IS NULL OR nxt <> s)"""
+    {name} AS (SELECT k, s, i AS e FROM (SELECT k, s, i, lead(opened) OVER (PARTITION BY k ORDER BY i) AS closed FROM {name}_p) WHERE coalesce(closed, TRUE))"""
 
 
 def joined(units: str, runs: str, joint: str = "chr(10) || chr(10)") -> str:
@@ -88,19 +88,24 @@ def chunk_digest(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), F.col("start_page").cast("bigint").alias("start_page"), F.col("end_page").cast("bigint").alias("end_page"), F.col("token_count").cast("bigint").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"), *more)
 
 
-# pages over the budget are cut on their own, before the run that was open when they came
-PAGES_CHUNK_SQL = f"""{v.ctes('pages')},
-pg AS (SELECT doc_id, page_num, {strip('raw_text')} AS t FROM pages WHERE {strip('raw_text')} <> ''),
-small AS (SELECT doc_id AS k, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS i, page_num, t, length(t) AS len FROM pg WHERE length(t) // 4 <= {PAGE_BUDGET}),
-large AS (SELECT row(doc_id, page_num) AS k, t FROM pg WHERE length(t) // 4 > {PAGE_BUDGET}),
-{run_ctes('small', PAGE_BUDGET, 0)},
-a AS (SELECT j.k AS doc_id, j.text, x.page_num AS start_page, y.page_num AS end_page, coalesce(z.page_num, 2147483647) AS o1, 1 AS o2, 0 AS o3 FROM ({joined('small', 'runs')}) j
-  JOIN small x ON x.k = j.k AND x.i = j.s JOIN small y ON y.k = j.k AND y.i = j.e LEFT JOIN small z ON z.k = j.k AND z.i = j.e + 1),
-{paragraph_ctes('large', PAGE_BUDGET)},
-{run_ctes('para', PAGE_BUDGET, 2, 'cut')},
-b AS (SELECT k[1] AS doc_id, text, k[2] AS start_page, k[2] AS end_page, k[2] AS o1, 0 AS o2, s AS o3 FROM ({joined('para', 'cut')})),
-c AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o1, o2, o3) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM c
+def pages_ctes(budget: int, n: str = "pk", keep: str = "TRUE") -> str:
+    """CTE ``n`` (doc_id, text, start_page, end_page, o1, o2, o3) of the page packing of documents that ``keep`` holds for.
+
+    Pages over the budget are cut on their own, before the run that was open when they came."""
+    return f"""{n}_g AS (SELECT doc_id, page_num, {strip('raw_text')} AS t FROM pages WHERE {strip('raw_text')} <> '' AND {keep}),
+{n}_small AS (SELECT doc_id AS k, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS i, page_num, t, length(t) AS len FROM {n}_g WHERE length(t) // 4 <= {budget}),
+{n}_large AS (SELECT row(doc_id, page_num) AS k, t FROM {n}_g WHERE length(t) // 4 > {budget}),
+{run_ctes(n + '_small', budget, 0, n + '_runs')},
+{n}_a AS (SELECT j.k AS doc_id, j.text, x.page_num AS start_page, y.page_num AS end_page, coalesce(z.page_num, 2147483647) AS o1, 1 AS o2, 0 AS o3 FROM ({joined(n + '_small', n + '_runs')}) j
+  JOIN {n}_small x ON x.k = j.k AND x.i = j.s JOIN {n}_small y ON y.k = j.k AND y.i = j.e LEFT JOIN {n}_small z ON z.k = j.k AND z.i = j.e + 1),
+{paragraph_ctes(n + '_large', budget, n + '_para')},
+{run_ctes(n + '_para', budget, 2, n + '_cut')},
+{n}_b AS (SELECT k[1] AS doc_id, text, k[2] AS start_page, k[2] AS end_page, k[2] AS o1, 0 AS o2, s AS o3 FROM ({joined(n + '_para', n + '_cut')})),
+{n} AS (SELECT * FROM {n}_a UNION ALL SELECT * FROM {n}_b)"""
+
+
+PAGES_CHUNK_SQL = f"""{v.ctes('pages')}, {pages_ctes(PAGE_BUDGET)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o1, o2, o3) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM pk
 """
 
 
@@ -193,20 +198,40 @@ def section_text_rangejoin(spark, sf):
     return ch.section_text(structure.sections(v.headings(spark, sf)), v.pages(spark, sf)).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("sec_no", "start_page", "end_page")], F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("chunk_sections", f"""{v.ctes('pages', 'headings')}, {SECT_SQL}, {SECTION_TEXT}, src AS (SELECT row(doc_id, sec_no) AS k, t FROM sp WHERE length(t) // 4 > {SPLIT_TARGET}), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', SPLIT_TARGET, 2, 'cut')},
-c AS (SELECT k[1] AS doc_id, k[2] AS sec_no, row_number() OVER (PARTITION BY k ORDER BY s, e) AS j, text FROM ({joined('para', 'cut')}) UNION ALL SELECT doc_id, sec_no, 0, t FROM sp WHERE length(t) // 4 <= {SPLIT_TARGET})
-SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.sec_no, j) - 1 AS chunk_index, count(*) OVER (PARTITION BY c.doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, title AS section, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5
-FROM c JOIN sections s ON s.doc_id = c.doc_id AND s.sec_no = c.sec_no""")
+def section_ctes(which: str = "TRUE") -> str:
+    """CTE ``sc`` (doc_id, o, start_page, end_page, section, text): chunks of the sections' texts."""
+    return f"""src AS (SELECT row(doc_id, sec_no) AS k, t FROM sp WHERE length(t) // 4 > {SPLIT_TARGET} AND {which}), {paragraph_ctes('src', PARA_BUDGET)}, {run_ctes('para', SPLIT_TARGET, 2, 'cut')},
+sj AS (SELECT k[1] AS doc_id, k[2] AS sec_no, row_number() OVER (PARTITION BY k ORDER BY s, e) AS j, text FROM ({joined('para', 'cut')}) UNION ALL SELECT doc_id, sec_no, 0, t FROM sp WHERE length(t) // 4 <= {SPLIT_TARGET} AND {which}),
+sc AS (SELECT sj.doc_id, row(sj.sec_no, j, 0) AS o, start_page, end_page, title AS section, text FROM sj JOIN sections s ON s.doc_id = sj.doc_id AND s.sec_no = sj.sec_no)"""
+
+
+CHUNKED = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page, section, CAST(length(text) // 4 AS BIGINT) AS token_count, md5(text) AS text_md5 FROM c"
+
+
+@query("chunk_sections", f"""{v.ctes('pages', 'headings')}, {SECT_SQL}, {SECTION_TEXT}, {section_ctes()}, {pages_ctes(PARA_BUDGET, 'pk', 'doc_id NOT IN (SELECT doc_id FROM sections)')},
+c AS (SELECT * FROM sc UNION ALL SELECT doc_id, row(o1, o2, o3), start_page, end_page, NULL, text FROM pk) {CHUNKED}""")
 def chunk_sections(spark, sf):
-    s = structure.sections(v.headings(spark, sf))
-    p = v.pages(spark, sf).join(s.select("doc_id").distinct(), "doc_id", "left_semi")
-    return chunk_digest(ch.by_sections(s, p, SPLIT_TARGET, PARA_BUDGET), "section")
+    return chunk_digest(ch.by_sections(structure.sections(v.headings(spark, sf)), v.pages(spark, sf), SPLIT_TARGET, PARA_BUDGET), "section")
+
 
+# the open chunk's text is carried from page to page; what a page closes comes out with it
+SMART_SQL = rf"""rich AS (SELECT doc_id FROM sections GROUP BY doc_id HAVING count(*) >= 3), {section_ctes('doc_id IN (SELECT doc_id FROM rich)')},
+hd AS (SELECT doc_id, page, arg_min(text, ord) AS head FROM headings WHERE level <= 2 GROUP BY doc_id, page),
+up AS (SELECT p.doc_id AS k, row_number() OVER (PARTITION BY p.doc_id ORDER BY page_num) - 1 AS i, page_num, {strip('raw_text')} AS t, head FROM pages p LEFT JOIN hd ON hd.doc_id = p.doc_id AND hd.page = p.page_num WHERE {strip('raw_text')} <> '' AND p.doc_id NOT IN (SELECT doc_id FROM rich)),
+st(k, i, text, a, b, sec, done, da, db, dsec) AS (
+  SELECT k, i, t, page_num, page_num, head, CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS VARCHAR) FROM up WHERE i = 0
+  UNION ALL SELECT k, i, CASE WHEN headed THEN t WHEN over THEN tail || chr(10) || chr(10) || t ELSE pot END, CASE WHEN headed OR over THEN page_num ELSE a END, page_num, CASE WHEN headed THEN head ELSE coalesce(sec, head) END,
+    CASE WHEN headed OR over THEN {strip('open')} END, CASE WHEN headed OR over THEN a END, CASE WHEN headed OR over THEN b END, CASE WHEN headed OR over THEN sec END
+  FROM (SELECT u.k, u.i, u.t, u.page_num, u.head, s.text AS open, s.a, s.b, s.sec, s.text || chr(10) || chr(10) || u.t AS pot, u.head IS NOT NULL AS headed, u.head IS NULL AND length(s.text || chr(10) || chr(10) || u.t) // 4 > {PAGE_BUDGET} AS over,
+    array_to_string(list_filter(string_split_regex(s.text, '\s+'), lambda w: w <> '')[-50:], ' ') AS tail FROM st s JOIN up u ON u.k = s.k AND u.i = s.i + 1)),
+sm AS (SELECT k AS doc_id, row(i, 0, 0) AS o, da AS start_page, db AS end_page, dsec AS section, done AS text FROM st WHERE done IS NOT NULL
+  UNION ALL SELECT k, row(i, 1, 0), a, b, sec, {strip('text')} FROM (SELECT *, max(i) OVER (PARTITION BY k) AS m FROM st) WHERE i = m)"""
 
-@query("chunk_smart")
+
+@query("chunk_smart", f"{v.ctes('pages', 'headings')}, {SECT_SQL}, {SECTION_TEXT}, {SMART_SQL}, c AS (SELECT * FROM sc UNION ALL SELECT * FROM sm) {CHUNKED}")
 def chunk_smart(spark, sf):
     h = v.headings(spark, sf)
-    return chunk_digest(ch.smart(v.pages(spark, sf), h, structure.sections(h).where("doc_id % 2 = 0"), PAGE_BUDGET, 200, SPLIT_TARGET), "section")
+    return chunk_digest(ch.smart(v.pages(spark, sf), h, structure.sections(h), PAGE_BUDGET, 200, SPLIT_TARGET, PARA_BUDGET), "section")
 
 
 # ---- structure and profile -----------------------------------------------------------------------------------------
@@ -336,7 +361,7 @@ def quote_verification(spark, sf):
 
 
 @query("figure_chunk_semijoin", f"""{v.ctes('papers')}, im AS (SELECT doc_id, 1 + doc_id % 2 AS p FROM documents WHERE doc_id % 3 = 0), t AS (SELECT doc_id, lower(text) AS x FROM papers),
-w AS (SELECT *, list_bool_or([contains(x, w) FOR w IN [{', '.join("'" + w + "'" for w in cd.VISUAL)}]]) AS any_word, list_bool_or([contains(x, w) FOR w IN [{', '.join("'" + w + "'" for w in cd.VISUAL[:4])}]]) AS named FROM t)
+w AS (SELECT *, list_bool_or([contains(x, w) FOR w IN ['figure', 'fig.', 'table', 'chart', 'graph', 'diagram', 'image', 'picture', 'plot', 'illustration', 'exhibit']]) AS any_word, list_bool_or([contains(x, w) FOR w IN ['figure', 'table', 'chart', 'graph']]) AS named FROM t)
 SELECT doc_id FROM w WHERE any_word AND (named OR doc_id IN (SELECT doc_id FROM im WHERE p = 1))""")
 def figure_chunk_semijoin(spark, sf):
     p = v.papers(spark, sf).withColumns({"start_page": F.lit(1), "end_page": F.lit(1)})
@@ -362,6 +387,17 @@ def review_metrics(spark, sf):
     return telemetry.review_metrics(r.select("score", (F.col("edit_front") != "").alias("edited")))
 
 
+RESPONSES = """SELECT doc_id AS card_ord, 'card' || CAST(doc_id AS VARCHAR(20)) AS id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[7]' WHEN 3 THEN '{"issues": ["no score"]}' WHEN 4 THEN '{"score": "8.5"}'
+  WHEN 5 THEN '{"score": "high"}' WHEN 6 THEN '{"id": "other", "score": 6, "issues": ["vague", "long"], "edited": {"front": " better ' || CAST(doc_id AS VARCHAR(20)) || ' "}}' ELSE '{"score": 9.25, "issues": [], "edited": null}' END AS content FROM documents"""
+
+
+@query("review_parse", f"""WITH r AS ({RESPONSES}), v AS (SELECT *, CASE WHEN json_valid(content) AND json_type(content) = 'OBJECT' THEN content END AS j FROM r), s AS (SELECT *, TRY_CAST(j->>'$.score' AS DOUBLE) AS s FROM v)
+SELECT card_ord, CASE WHEN s IS NULL THEN id ELSE coalesce(j->>'$.id', id) END AS id, coalesce(s, 5.0) AS score, CASE WHEN s IS NULL THEN 'no usable review' ELSE coalesce(array_to_string(CAST(j->'$.issues' AS VARCHAR[]), ','), '') END AS issues, CASE WHEN s IS NOT NULL THEN trim(j->>'$.edited.front') END AS edit_front FROM s""")
+def review_parse(spark, sf):
+    r = generation.parse_reviews(v._sql(spark, RESPONSES, documents=v.table(spark, sf, "documents")))
+    return r.select("card_ord", "id", "score", F.array_join("issues", ",").alias("issues"), "edit_front")
+
+
 @query("truncate_text", """SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...[truncated]' ELSE text END AS head, CASE WHEN length(text) > 400 THEN '[truncated]...' || right(text, 400) ELSE text END AS tail, CASE WHEN length(text) > 400 THEN substr(text, 1, 200) || '...[middle truncated]...' || right(text, 200) ELSE text END AS both FROM documents""")
 def truncate_text(spark, sf):
     t = F.col("text")
@@ -400,12 +436,12 @@ def content_hash_blake2b(spark, sf):
 PKEY = "concat_ws('|', source_pdf, CAST(page_start AS VARCHAR), core_concept, note_type, strategy)"
 
 
-@query("persistent_ids", f"""{C}, k AS (SELECT *, {PKEY} AS key FROM cards), old AS (SELECT key, 'salt_' || lpad(CAST(max(card_ord) + 1 AS VARCHAR), 6, '0') AS id FROM k WHERE card_ord < 200 AND card_ord % 2 = 0 GROUP BY key),
+@query("persistent_ids", f"""{C}, k AS (SELECT *, {PKEY} AS key FROM cards), old AS (SELECT key, 'salt_' || lpad(CAST(max(card_ord) + 1 AS VARCHAR), 6, '0') AS id FROM k WHERE note_type = 'Cloze' GROUP BY key),
 mx AS (SELECT max(CAST(substr(id, 6) AS INT)) AS m FROM old), n AS (SELECT key, min(card_ord) AS f FROM k WHERE key NOT IN (SELECT key FROM old) GROUP BY key),
 new AS (SELECT key, 'salt_' || lpad(CAST(m + row_number() OVER (ORDER BY f) AS VARCHAR), 6, '0') AS id FROM n, mx) SELECT card_ord, coalesce(old.id, new.id) AS id FROM k LEFT JOIN old ON old.key = k.key LEFT JOIN new ON new.key = k.key""")
 def persistent_ids(spark, sf):
     c = cards(spark, sf)
-    old = identity.known_ids(c.where("card_ord < 200 and card_ord % 2 = 0").withColumn("id", F.format_string("salt_%06d", F.col("card_ord") + 1)))
+    old = identity.known_ids(c.where("note_type = 'Cloze'").withColumn("id", F.format_string("salt_%06d", F.col("card_ord") + 1)))
     return identity.persistent_ids(c.drop("id"), old, "salt").select("card_ord", "id")
 
 
@@ -425,10 +461,10 @@ def dedup_cloze(spark, sf):
     return dedup.by_cloze(cards(spark, sf)).select("card_ord")
 
 
-@query("dedup_persistent_antijoin", f"{C}, h AS (SELECT card_ord, md5({collapse('lower(' + CMP + ')')}) AS h FROM cards) SELECT min(card_ord) AS card_ord FROM h WHERE h NOT IN (SELECT h FROM h WHERE card_ord % 5 = 0) GROUP BY h")
+@query("dedup_persistent_antijoin", f"{C}, h AS (SELECT card_ord, difficulty, md5({collapse('lower(' + CMP + ')')}) AS h FROM cards) SELECT min(card_ord) AS card_ord FROM h WHERE h NOT IN (SELECT h FROM h WHERE difficulty = 'vague') GROUP BY h")
 def dedup_persistent_antijoin(spark, sf):
     c = cards(spark, sf)
-    old = c.where("card_ord % 5 = 0").select(dedup.content_hash(dedup.comparison_text()).alias("content_hash"))
+    old = c.where("difficulty = 'vague'").select(dedup.content_hash(dedup.comparison_text()).alias("content_hash"))
     return dedup.against_index(c, old)[0].select("card_ord")
 
 
@@ -455,15 +491,20 @@ def rag_topk_cosine(spark, sf):
     return hits(spark, sf, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("rag_context", f"""{TOP}, t AS (SELECT doc_id, substr(text, 1, 300) AS text, 1 + doc_id % 9 AS p FROM documents),
+@query("rag_context", f"""{TOP}, t AS (SELECT doc_id, text, 1 + doc_id % 9 AS p FROM documents),
 c AS (SELECT query_id, string_agg('[Context from p.' || CAST(p AS VARCHAR) || '-' || CAST(p + 1 AS VARCHAR) || ']: ' || substr(text, 1, 200) || '...', chr(10) || chr(10) ORDER BY rank) AS x FROM r JOIN t ON t.doc_id = r.vec_id WHERE rank <= 3 AND score > 0.2 GROUP BY query_id)
 SELECT t.doc_id AS chunk_id, md5(text || coalesce(chr(10) || chr(10) || '--- Additional Context ---' || chr(10) || x, '')) AS text_md5 FROM t LEFT JOIN c ON c.query_id = t.doc_id""")
 def rag_context(spark, sf):
     p = (1 + F.col("doc_id") % 9).cast("int")
-    c = v.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(300)).alias("text"), p.alias("start_page"), (p + 1).alias("end_page"))
+    c = v.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", p.alias("start_page"), (p + 1).alias("end_page"))
     return retrieval.with_context(c, hits(spark, sf, 3), 3, 0.2).select("chunk_id", F.md5(F.col("context_text").cast("binary")).alias("text_md5"))
 
 
+@query("rag_stats", "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dimensions, CAST(5 AS BIGINT) AS k FROM embeddings")
+def rag_stats(spark, sf):
+    return retrieval.index_stats(v.table(spark, sf, "embeddings")).withColumns({c: F.col(c).cast("bigint") for c in ("dimensions", "k")})
+
+
 @query("dedup_embedding_pairs", f"WITH {UNIT} SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.e, b.e), 6) >= 0.5")
 def dedup_embedding_pairs(spark, sf):
     return retrieval.similar_pairs(v.table(spark, sf, "embeddings"), 0.5)
@@ -506,7 +547,7 @@ def card_stats(spark, sf):
     return validate.statistics(cards(spark, sf))
 
 
-@query("metadata_completeness", C + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {_blank('CAST(' + f + ' AS VARCHAR)')} THEN 0.0 ELSE 1.0 END) * 100, 6) AS percent FROM cards" for f in ("source_pdf", "page_start", "page_end", "section", "ref_citation", "strategy")))
+@query("metadata_completeness", C + " " + " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {_blank('CAST(' + f + ' AS VARCHAR)')} THEN 0.0 ELSE 1.0 END) * 100, 6) AS percent FROM cards" for f in ("source_pdf", "page_start", "page_end", "section", "ref_citation", "strategy", "core_concept")))
 def metadata_completeness(spark, sf):
     return validate.completeness(cards(spark, sf)).withColumn("percent", F.round("percent", 6))
 
@@ -516,6 +557,41 @@ def media_antijoin(spark, sf):
     return validate.missing_media(cards(spark, sf), spark.createDataFrame([("a0.png",)], "name string"))
 
 
+@query("validate_entry", f"{VALIDATE_SQL.replace('SELECT * FROM i WHERE n > 0', '')}, k AS (SELECT * FROM i WHERE n > 0) SELECT count(*) FILTER (WHERE severity = 'error') = 0 AS valid, count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings, (SELECT count(*) FROM cards) AS total_rows, (SELECT string_agg(DISTINCT note_type, ',' ORDER BY note_type) FROM cards) AS note_types, (SELECT count(*) FROM (SELECT DISTINCT {strip('x')} AS x FROM (SELECT unnest(string_split(media, ';')) AS x FROM cards)) WHERE x <> '') AS media_files FROM k")
+def validate_entry(spark, sf):
+    r = validate.report(cards(spark, sf), spark.createDataFrame([("a0.png",), ("b.png",)], "name string"))
+    return r.withColumn("note_types", F.array_join("note_types", ","))
+
+
+@query("validate_rows", f"""{C}, m AS (SELECT card_ord, note_type, CASE WHEN card_ord % 13 = 0 THEN 'x' WHEN card_ord % 17 = 0 THEN repeat('long', 30) ELSE id END AS id, CASE WHEN card_ord % 9 = 0 THEN repeat('{{{{c1::a}}}} ', 7) ELSE cloze_text END AS cloze_text FROM cards),
+r AS (SELECT *, row_number() OVER (ORDER BY card_ord) - 1 AS row, CAST(len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) AS BIGINT) AS n FROM m)
+SELECT row, 'short_id' AS rule, id AS detail FROM r WHERE id <> '' AND length(id) < 4 UNION ALL SELECT row, 'long_id', substr(id, 1, 20) FROM r WHERE length(id) > 100 UNION ALL SELECT row, 'many_cloze', CAST(n AS VARCHAR) FROM r WHERE note_type = 'Cloze' AND n > 5""")
+def validate_rows(spark, sf):
+    o = F.col("card_ord")
+    c = cards(spark, sf).withColumns({
+        "id": F.when(o % 13 == 0, "x").when(o % 17 == 0, F.repeat(F.lit("long"), F.lit(30))).otherwise(F.col("id")),
+        "cloze_text": F.when(o % 9 == 0, F.repeat(F.lit("{{c1::a}} "), F.lit(7))).otherwise(F.col("cloze_text")),
+    })
+    return validate.row_warnings(c).withColumn("row", F.col("row").cast("bigint"))
+
+
+RULES = " UNION ALL ".join(
+    [f"SELECT '{t}' AS note_type, '{f}' AS field, 'empty' AS rule, count(*) AS n FROM cards WHERE note_type = '{t}' AND {_blank(f)}" for t, f in (("Basic", "front"), ("Basic", "back"), ("Cloze", "cloze_text"))]
+    + [f"SELECT '{t}', '{f}', 'too_long', count(*) FROM cards WHERE note_type = '{t}' AND length({f}) > {n}" for t, f, n in (("Basic", "front", 500), ("Basic", "back", 1000), ("Basic", "extra", 500), ("Cloze", "cloze_text", 800), ("Cloze", "extra", 500))]
+    + [f"SELECT 'Cloze', 'cloze_text', 'no_cloze', count(*) FROM cards WHERE note_type = 'Cloze' AND NOT {_blank('cloze_text')} AND len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) = 0"]
+)
+
+
+@query("note_type_rules", f"{C} SELECT * FROM ({RULES}) WHERE n > 0")
+def note_type_rules(spark, sf):
+    return validate.broken_rules(cards(spark, sf))
+
+
+@query("strategies_used", f"{C} SELECT string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies, string_agg(DISTINCT note_type, ',' ORDER BY note_type) AS note_types FROM cards")
+def strategies_used(spark, sf):
+    return telemetry.used(cards(spark, sf)).select(*[F.array_join(c, ",").alias(c) for c in ("strategies", "note_types")])
+
+
 @query("deck_name_check", rf"""WITH n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'A::B' WHEN 1 THEN ' lead' WHEN 2 THEN 'fine name' WHEN 3 THEN ' ' ELSE 'a/b' END AS name FROM documents) SELECT doc_id, {strip('name')} <> '' AND {strip('name')} = name AND NOT regexp_matches(name, '[<>:"|?*/\\]') AS ok FROM n""")
 def deck_name_check(spark, sf):
     k = F.col("doc_id") % 5
@@ -566,8 +642,8 @@ def preview_projection(spark, sf):
     return p.select("card_ord", F.coalesce("short_id", F.lit("")).alias("short_id"), "side_a", "tags")
 
 
-REG = "reg AS (SELECT 'f' || CAST(doc_id AS VARCHAR(20)) AS key, doc_id % 4 <> 0 AS enabled, CASE WHEN doc_id % 2 = 0 THEN 'textbook' ELSE 'unknown' END AS doc_type, doc_id % 90 AS page_count, CASE WHEN doc_id % 3 = 0 THEN 'smart' ELSE NULL END AS override_mode, CASE WHEN doc_id % 5 = 0 THEN 'sections' ELSE NULL END AS heuristic_mode, CASE WHEN doc_id % 7 = 0 THEN 1500 ELSE NULL END AS heuristic_tokens FROM documents WHERE doc_id < 600)"
-SCAN = "scan AS (SELECT 'f' || CAST(doc_id AS VARCHAR(20)) AS key, 'research_paper' AS doc_type, doc_id % 80 + 1 AS page_count, 'day2' AS last_scanned FROM documents WHERE doc_id >= 400)"
+REG = "reg AS (SELECT 'f' || CAST(doc_id AS VARCHAR(20)) AS key, doc_id % 4 <> 0 AS enabled, CASE WHEN doc_id % 2 = 0 THEN 'textbook' ELSE 'unknown' END AS doc_type, doc_id % 90 AS page_count, CASE WHEN doc_id % 3 = 0 THEN 'smart' ELSE NULL END AS override_mode, CASE WHEN doc_id % 5 = 0 THEN 'sections' ELSE NULL END AS heuristic_mode, CASE WHEN doc_id % 7 = 0 THEN 1500 ELSE NULL END AS heuristic_tokens FROM documents)"
+SCAN = "scan AS (SELECT CASE WHEN doc_id % 3 = 1 THEN 'new' ELSE 'f' END || CAST(doc_id AS VARCHAR(20)) AS key, 'research_paper' AS doc_type, doc_id % 80 + 1 AS page_count, 'day2' AS last_scanned FROM documents)"
 
 
 def _reg(spark, sf):
@@ -594,6 +670,16 @@ def registry_type_counts(spark, sf):
 COST = "tokens_in / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.03 WHEN 'gpt-3.5-turbo' THEN 0.001 ELSE 0.01 END + tokens_out / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.06 WHEN 'gpt-3.5-turbo' THEN 0.002 ELSE 0.03 END"
 
 
+@query("model_registry", "SELECT * FROM (VALUES ('gpt-4-1106-preview', 128000, 0.01, 0.03, TRUE, TRUE), ('gpt-4', 8192, 0.03, 0.06, FALSE, FALSE), ('gpt-3.5-turbo', 16385, 0.001, 0.002, TRUE, FALSE)) t(model, context_length, price_in, price_out, supports_json, supports_seed)")
+def model_registry(spark, sf):
+    return telemetry.models(spark)
+
+
+@query("llm_usage", f"{v.ctes('calls')} SELECT CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, count(*) AS api_calls, count(*) FILTER (WHERE cached) AS cache_hits, count(*) FILTER (WHERE cached) / greatest(count(*), 1) AS cache_hit_rate FROM calls")
+def llm_usage(spark, sf):
+    return generation.usage(v.calls(spark, sf))
+
+
 @query("model_cost", f"{v.ctes('calls')} SELECT model, count(*) AS calls, round(sum(CAST({COST} AS DOUBLE)), 4) AS cost FROM calls GROUP BY model")
 def model_cost(spark, sf):
     return telemetry.with_cost(v.calls(spark, sf)).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))

@@ -6,16 +6,17 @@ import glob
 import os
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import truncate_tokens
+from leafmill.functions.text import clean_text, truncate_tokens, truncate_words
 
 #: What every card table has besides its note type's own fields.
 PROVENANCE = (
-    "id", "deck", "note_type", "tags", "media", "source_pdf", "page_start", "page_end", "section", "subsection", "ref_citation", "llm_model", "llm_version",
-    "strategy", "template_version", "created_at", "updated_at", "original_text", "longtext", "my_notes",
+    "id", "note_type", "deck", "tags", "media", "source_pdf", "page_start", "page_end", "section", "ref_citation", "llm_model", "llm_version", "strategy",
+    "template_version", "created_at", "updated_at", "core_concept", "longtext", "original_text", "my_notes",
 )
 SYSTEM_PROMPTS = {
     "key_points": "You write question-and-answer cards from a text. Use only what the text says and cite its page.",
@@ -87,8 +88,28 @@ def prompts(folder: str) -> dict[str, Prompt]:
     return out
 
 
+def template_files(folder: str) -> list[str]:
+    """Names of the template files (``*.j2``) of a folder, in order; none where there is no such folder."""
+    return sorted(os.path.basename(p) for p in glob.glob(os.path.join(folder, "*.j2")))
+
+
+def template_file(folder: str, name: str) -> Prompt:
+    """A template file as a prompt; an unknown name is an error."""
+    with open(os.path.join(folder, name), encoding="utf-8") as f:
+        return Prompt(os.path.splitext(name)[0], f.read())
+
+
+def _filtered(value: Column, how: str) -> Column:
+    if how == "clean_text":
+        return clean_text(value)
+    if m := re.fullmatch(r"truncate_words(?:\((\d+)\))?", how):
+        return truncate_words(value, int(m[1] or 100))
+    raise KeyError(f"no text filter {how!r}")
+
+
 def render(prompt: Prompt, **context: Column | str | int) -> Column:
-    """The template with ``{{ name }}`` replaced by columns or values; an unknown name is an error.
+    """The template with ``{{ name }}`` replaced by columns or values; an unknown name is an error. Behind a name may stand
+    ``| clean_text`` or ``| truncate_words(n)``.
 
     Cloze marks such as ``{{c1::text}}`` aren't names and stay.
     """
@@ -96,12 +117,14 @@ def render(prompt: Prompt, **context: Column | str | int) -> Column:
     if prompt.max_chunk_tokens and isinstance(values.get("chunk_text"), Column):
         values["chunk_text"] = truncate_tokens(values["chunk_text"], prompt.max_chunk_tokens, prompt.truncation_strategy)
     parts: list[Column] = []
-    for i, piece in enumerate(re.split(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}", prompt.template)):
+    for i, piece in enumerate(re.split(r"\{\{\s*([A-Za-z_]\w*(?:\s*\|\s*\w+(?:\(\d+\))?)*)\s*\}\}", prompt.template)):
+        name, *how = (x.strip() for x in piece.split("|")) if i % 2 else ("",)
         if i % 2 == 0:
             parts.append(F.lit(piece))
-        elif piece not in values:
-            raise KeyError(f"prompt {prompt.name!r} needs {piece!r}")
+        elif name not in values:
+            raise KeyError(f"prompt {prompt.name!r} needs {name!r}")
         else:
-            x = values[piece]
-            parts.append(F.coalesce(x.cast("string"), F.lit("")) if isinstance(x, Column) else F.lit(str(x)))
+            x = values[name]
+            x = F.coalesce(x.cast("string"), F.lit("")) if isinstance(x, Column) else F.lit(str(x))
+            parts.append(reduce(_filtered, how, x))
     return F.concat(*parts)

@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from leafmill.functions.text import strip
 from leafmill.plans.ship import ship
 
+#: What is kept of a file's metadata.
+METADATA = ("title", "author", "subject", "creator", "producer", "creation_date", "modification_date")
 PAGES = "path string, page_num int, raw_text string"
+#: The columns of a saved card table.
 CARD_COLUMNS = (
-    "id", "deck", "note_type", "tags", "media", "front", "back", "cloze_text", "extra", "source_pdf", "page_start", "page_end", "section", "subsection",
-    "ref_citation", "llm_model", "llm_version", "strategy", "template_version", "created_at", "updated_at", "original_text", "longtext", "my_notes",
+    "id", "deck", "note_type", "tags", "media", "front", "back", "cloze_text", "extra", "source_pdf", "page_start", "page_end", "section", "ref_citation",
+    "llm_model", "llm_version", "strategy", "template_version", "created_at", "updated_at", "core_concept", "longtext", "original_text", "my_notes",
 )
 
 
@@ -53,12 +56,16 @@ def extract(spark: SparkSession, paths: list[str], extractor: Callable[[str, byt
 
 
 def metadata(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """path, title, author of each file; the title is the file's stem where the extractor gave none."""
+    """path and the columns of ``METADATA`` for each file; ``found`` has those that an extractor gave, by path. The title is
+    the file's stem where none was given, the others are empty."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     out = files.select("path")
+    have = set()
     if found is not None:
-        return out.join(found, "path", "left").withColumn("title", F.coalesce("title", stem))
-    return out.withColumns({"title": stem, "author": F.lit(None).cast("string")})
+        have = set(found.columns)
+        out = out.join(found, "path", "left")
+    given = lambda c, other: F.coalesce(F.col(c), other) if c in have else other
+    return out.select("path", *[given(c, stem if c == "title" else F.lit("")).alias(c) for c in METADATA])
 
 
 def cards_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -77,5 +84,14 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(T._parse_datatype_string(schema)).json(path)
 
 
+def vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """A saved index of vectors; no rows where nothing is there."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return spark.createDataFrame([], "vec_id bigint, embedding array<double>")
+    return spark.read.parquet(path)
+
+
 def dedup_index(spark: SparkSession, path: str) -> DataFrame:
     return json_rows(spark, path, "content_hash string")

@@ -51,6 +51,32 @@ def save_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").json(path) if index.columns == ["content_hash"] else index.write.mode("overwrite").parquet(path)
 
 
+def _path(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def clear_cache(spark, path: str) -> int:
+    """Deletes a table of cached responses; the number of its rows (0 where there is none)."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return 0
+    n = spark.read.parquet(path).count()
+    fs.delete(p, True)
+    return n
+
+
+def backup(spark, path: str, suffix: str = ".bak") -> str | None:
+    """Copies a file or folder beside itself, over an older copy; the copy's path, or None where there is nothing."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    to, _ = _path(spark, path + suffix)
+    fs.delete(to, True)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, fs, to, False, spark._jsparkSession.sessionState().newHadoopConf())
+    return path + suffix
+
+
 def save_manifest(data: dict, path: str, now: str | None = None) -> None:
     from datetime import datetime
 

@@ -238,3 +238,35 @@ def test_text_functions(spark):
     d = spark.createDataFrame([("  a 　\u001c",), ("",), (None,)], "x string")
     assert rows(d.select(text.strip(F.col("x")))) == [("a",), ("",), (None,)]
     assert rows(spark.createDataFrame([("abcdefghij",)], "x string").select(text.truncate_tokens(F.col("x"), 2), text.truncate_tokens(F.col("x"), 2, "start"), text.truncate_tokens(F.col("x"), 2, "middle"))) == [("abcdefgh...[truncated]", "[truncated]...cdefghij", "abcd...[middle truncated]...ghij")]
+
+
+def test_figure_words(spark):
+    chunks = spark.createDataFrame([(1, "see Fig. 2"), (2, "a picture of it"), (3, "exhibit A"), (4, "as depicted, shown in a visualization"), (5, "Table 1"), (6, "diagram")], "doc_id bigint, text string").withColumns({"start_page": F.lit(1), "end_page": F.lit(2)})
+    images = spark.createDataFrame([(i, 2) for i in range(1, 6)], "doc_id bigint, page_num int")
+    assert {r["doc_id"] for r in cards.figure_chunks(chunks, images).collect()} == {1, 2, 3, 5}
+    assert {r["doc_id"] for r in cards.figure_chunks(chunks, images.limit(0)).collect()} == {5}
+
+
+def test_an_overlong_first_paragraph(spark):
+    d = spark.createDataFrame([(1, "x" * 5492 + "\n\n" + "y" * 20, 1)], "doc_id bigint, text string, page_count int")
+    assert [(len(r["text"]), r["section"]) for r in chunking.entire(d, 900, 2000).orderBy("chunk_index").collect()] == [(5492, "Document Part 1"), (5514, "Document Part 2")]
+
+
+def test_saved_columns_and_completeness(spark):
+    from leafmill.operators import validate
+    from leafmill.sources import files, sinks
+
+    c = spark.createDataFrame([("a", "k")], "id string, core_concept string")
+    assert "core_concept" in files.CARD_COLUMNS and "subsection" not in files.CARD_COLUMNS and len(files.CARD_COLUMNS) == 24
+    assert sinks.card_columns(c).first()["core_concept"] == "k" and [r["field"] for r in validate.completeness(c).collect()] == ["core_concept"]
+
+
+def test_alike_vectors_in_blocks(spark):
+    from leafmill.operators import retrieval
+
+    r = random.Random(1)
+    v = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(6)]) for i in range(90)]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    n = lambda x: sum(a * a for a in x) ** 0.5
+    want = {(i, j) for i, a in v for j, b in v if i < j and n(a) and n(b) and round(sum(x * y for x, y in zip(a, b)) / n(a) / n(b), 6) >= 0.8}
+    assert {(x["i"], x["j"]) for x in retrieval.similar_pairs(df, 0.8, block=17).collect()} == want
