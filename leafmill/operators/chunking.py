@@ -134,40 +134,58 @@ def trim_terminal(text: Column) -> Column:
     return strip(F.regexp_replace(text, rf"(?is)\n\s*({names})\s*\n.*$", "\n"))
 
 
+def detected_sections(text: Column) -> Column:
+    """array<struct<title,start_line,text>>: lines between section headings; what comes first is "Beginning". Sections
+    without text are left out."""
+    heads = "|".join(f"(?:{h})" for h in SECTION_HEADS)
+
+    def cut(lines: Column, starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(starts, k + 1), F.size(lines))
+            title = F.when(at < 0, F.lit("Beginning")).otherwise(strip(F.get(lines, at)))
+            body = F.array_join(F.slice(lines, at + 2, F.greatest(until - at - 1, F.lit(0))), "\n")
+            return F.struct(title.alias("title"), F.greatest(at, F.lit(0)).alias("start_line"), strip(body).alias("text"))
+
+        return F.filter(F.transform(starts, one), lambda x: x["text"] != "")
+
+    def places(lines: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: strip(F.get(lines, i)).rlike(rf"^(?:{heads})\s*$"))
+        return F.concat(F.array(F.lit(-1)), found)
+
+    return let(F.split(text, "\n"), lambda lines: let(places(lines), lambda starts: cut(lines, starts)))
+
+
 def section_boundaries(docs: DataFrame) -> DataFrame:
-    """doc_id, sec_no, title, start_line, text: lines between section headings; what comes first is "Beginning".
+    """doc_id, sec_no, title, start_line, text of the detected sections; sec_no counts those that have text, from 0."""
+    return docs.where("text is not null").select("doc_id", F.posexplode(detected_sections(F.col("text"))).alias("sec_no", "x")).select("doc_id", "sec_no", "x.*")
 
-    Sections without text are left out; sec_no counts those that stay, from 0.
-    """
-    heads = "|".join(f"(?:{h})" for h in SECTION_HEADS)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("head", strip(F.col("line")).rlike(rf"^(?:{heads})\s*$"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.withColumn("grp", F.sum(F.col("head").cast("int")).over(w))
-    secs = lines.groupBy("doc_id", "grp").agg(
-        F.max(F.when(F.col("head"), strip(F.col("line")))).alias("title"), F.max(F.when(F.col("head"), F.col("line_no"))).alias("start_line"),
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))).alias("u"),
-    )
-    secs = secs.select("doc_id", "grp", F.coalesce("title", F.lit("Beginning")).alias("title"), F.coalesce("start_line", F.lit(0)).alias("start_line"), strip(F.array_join(F.transform("u", lambda x: x["line"]), "\n")).alias("text")).where("text <> ''")
-    return secs.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("grp")) - 1).alias("sec_no"), "title", "start_line", "text")
+
+def _indexed(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
+    """One row for each chunk of a document's array (structs), numbered by its place: nothing is shuffled or sorted."""
+    rows = df.withColumn("_c", chunks).select(*keep, F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "_x"))
+    return _counts(rows.select(*keep, "chunk_index", "total_chunks", "_x.*"))
 
 
 def entire(docs: DataFrame, budget: int = 8000, tpc: int = 2000, trim: bool = True) -> DataFrame:
-    """doc_id, page_count, text -> one chunk where it fits, else chunks of detected sections or of paragraphs."""
-    d = docs.withColumn("text", trim_terminal(F.col("text")) if trim else strip(F.col("text"))).where("text <> ''")
-    fits = tokens(F.col("text")) <= budget
-    one = d.where(fits).select("doc_id", "page_count", "text", F.lit("Entire Document").alias("section"), F.lit(0).alias("_ord"))
-    large = d.where(~fits)
-    secs = section_boundaries(large).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec_no", "title", "text"))).alias("u"))
-    large = large.join(secs, "doc_id", "left")
-    many = F.coalesce(F.size("u") > 1, F.lit(False))
-    runs = large.where(many).select("doc_id", "page_count", "u", F.posexplode(pack_runs(F.transform("u", lambda x: F.length(x["text"])), budget)).alias("_ord", "r"))
-    part = F.slice("u", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1)
-    by_section = runs.select("doc_id", "page_count", F.array_join(F.transform(part, lambda x: x["text"]), "\n\n").alias("text"), F.array_join(F.transform(part, lambda x: x["title"]), " + ").alias("section"), "_ord")
-    parts = large.where(~many).select("doc_id", "page_count", F.posexplode(packed_texts(paragraphs(F.col("text"), tpc), budget, carry=1)).alias("_ord", "text"))
-    by_part = parts.select("doc_id", "page_count", "text", F.format_string("Document Part %d", F.col("_ord") + 1).alias("section"), "_ord")
-    out = one.unionByName(by_section).unionByName(by_part)
-    return _counts(numbered(out)).withColumn("start_page", F.lit(1)).withColumnRenamed("page_count", "end_page")
+    """doc_id, page_count, text (one row a document) -> one chunk where it fits, else chunks of detected sections or of
+    paragraphs. Each document is cut in its own row."""
+    text = trim_terminal(F.col("text")) if trim else strip(F.col("text"))
+    piece = lambda t, s: F.struct(t.alias("text"), s.alias("section"))
+
+    def by_sections_of(u: Column) -> Column:
+        def one(r: Column) -> Column:
+            part = F.slice(u, r["s"] + 1, r["e"] - r["s"] + 1)
+            return piece(F.array_join(F.transform(part, lambda x: x["text"]), "\n\n"), F.array_join(F.transform(part, lambda x: x["title"]), " + "))
+
+        return F.transform(pack_runs(F.transform(u, lambda x: F.length(x["text"])), budget), one)
+
+    def by_parts(t: Column) -> Column:
+        return F.transform(packed_texts(paragraphs(t, tpc), budget, carry=1), lambda x, i: piece(x, F.concat(F.lit("Document Part "), (i + 1).cast("string"))))
+
+    d = docs.select("doc_id", "page_count", text.alias("text")).where("text <> ''")
+    t = F.col("text")
+    chunks = F.when(tokens(t) <= budget, F.array(piece(t, F.lit("Entire Document")))).otherwise(let(detected_sections(t), lambda u: F.when(F.size(u) > 1, by_sections_of(u)).otherwise(by_parts(t))))
+    return _indexed(d, chunks, "doc_id", "page_count").withColumn("start_page", F.lit(1)).withColumnRenamed("page_count", "end_page")
 
 
 def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
@@ -179,10 +197,18 @@ def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def by_sections(sections: DataFrame, pages: DataFrame, target: int = 4000, budget: int = 2000) -> DataFrame:
-    """Sections' texts, split where too long. Documents without sections are packed by pages."""
-    t = section_text(sections, pages)
-    t = t.select("doc_id", "sec_no", F.col("title").alias("section"), "start_page", "end_page", F.posexplode(split_text(F.col("text"), target, budget)).alias("j", "text"))
-    out = _counts(numbered(t.select("doc_id", "section", "start_page", "end_page", "text", F.struct("sec_no", "j").alias("_ord"))))
+    """Sections' texts, split where too long. Documents without sections are packed by pages.
+
+    A document's pages and sections meet in one row, so a page is sent once, however many sections it lies in."""
+    p = pages.select("doc_id", "page_num", strip(F.coalesce("raw_text", F.lit(""))).alias("t")).where("t <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "t"))).alias("u"))
+    s = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec_no", "title", "start_page", "end_page"))).alias("v"))
+
+    def cut(x: Column) -> Column:
+        inside = F.filter("u", lambda p: p["page_num"].between(x["start_page"], x["end_page"]))
+        of = lambda t: F.struct(x["title"].alias("section"), x["start_page"].alias("start_page"), x["end_page"].alias("end_page"), t.alias("text"))
+        return let(F.array_join(F.transform(inside, lambda p: p["t"]), "\n\n"), lambda t: F.transform(F.when(t == "", F.array().cast("array<string>")).otherwise(split_text(t, target, budget)), of))
+
+    out = _indexed(s.join(p, "doc_id"), F.flatten(F.transform("v", cut)), "doc_id")
     rest = by_pages(pages.join(sections.select("doc_id").distinct(), "doc_id", "left_anti"), budget).withColumn("section", F.lit(None).cast("string"))
     return out.unionByName(rest)
 
