@@ -324,3 +324,135 @@ def test_excerpts_at_document_edges_and_short_items(spark):
     docs = [" ".join(w[10:25]), filler + " " + " ".join(w[:15]), " ".join(w[-16:]) + " " + filler, " ".join(w[10:24]), filler + " Seven short words, that must agree wholly", "seven short words that may agree wholly", "two, words", "One", filler]
     got = {(x["doc_id"], x["item_id"], x["n_same"]) for x in decontam.overlaps(table(spark, docs), b).collect()}
     assert got == {(0, 0, 15), (1, 0, 15), (2, 0, 16), (4, 1, 7), (6, 2, 2), (7, 3, 1)}
+
+
+def test_small_table_has_all_its_links(spark):
+    """The documents of the small test table, with links found by brute force through an index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    s = {i: sets(t) for i, t in rows}
+    root = {i: i for i in s}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    held = {}
+    for i, x in s.items():
+        for g in x:
+            held.setdefault(g, []).append(i)
+    together = {}
+    for ids in held.values():
+        for i, j in itertools.combinations(ids, 2):
+            together[i, j] = together.get((i, j), 0) + 1
+    links = [(i, j) for (i, j), n in together.items() if 100 * n >= 85 * (len(s[i]) + len(s[j]) - n)]
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    assert links and {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()} == {i: find(i) for i in s}
+
+
+def test_language_scores_equal_a_plain_model(spark):
+    """Words by their shares, unseen ones by the mean of their longest known n-grams, on a small sample."""
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choice(WORDS)[: r.randint(1, 6)] + ("o" if i % 2 else "e") for _ in range(8)), "ab"[i % 2]) for i in range(60)]
+    known = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {k: {} for k in "ab"}
+    for t, k in known:
+        for w in t.split():
+            counts[k][w] = counts[k].get(w, 0) + 1
+    tables = [counts, *({k: {} for k in "ab"} for _ in range(langid.LONGEST))]
+    for k, c in counts.items():
+        for w, n in c.items():
+            p = f" {w} "
+            for m in range(1, langid.LONGEST + 1):
+                for i in range(len(p) - m + 1):
+                    tables[m][k][p[i : i + m]] = tables[m][k].get(p[i : i + m], 0) + n**0.5
+
+    def value(m, g):
+        total = {k: sum(tables[m][k].values()) + langid.DAMP for k in "ab"}
+        return [np.log1p(tables[m][k].get(g, 0) / total[k] * max(total.values()) / langid.FLOOR) for k in "ab"]
+
+    def word(w):
+        if any(w in c for c in counts.values()):
+            return value(0, w)
+        p = f" {w} "
+        for m in range(langid.LONGEST, 0, -1):
+            grams = [p[i : i + m] for i in range(len(p) - m + 1) if any(p[i : i + m] in tables[m][k] for k in "ab")]
+            if grams:
+                return np.mean([value(m, g) for g in grams], axis=0)
+        return [0.0, 0.0]
+
+    texts = ["alphae betao", "zzzz", "gamme gammo gam", "alphaoalphae 12 (beto)", "ome" * 40]
+    d = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(texts))], "doc_id bigint, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.identify(d).collect()}
+    for i, t in [(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(texts)]:
+        v = [word(w) for w in map(langid.letters, t.lower().split()) if w]
+        mean = np.mean(v, axis=0)
+        e = np.exp((mean - mean.max()) * min(len(v), langid.CERTAIN))
+        assert got[i][0] == "ab"[int(mean.argmax())] or abs(mean[0] - mean[1]) < 1e-6, t
+        assert got[i][1] == pytest.approx(e.max() / e.sum(), abs=1e-5), t
+
+
+def test_word_values_equal_a_plain_model(spark):
+    """The two classes' probabilities of words, character by character, from counts of beginnings."""
+    r = random.Random(5)
+    make = lambda bad: " ".join(r.choice(["vile", "vilest", "vim", "good", "goose"]) if r.random() < (0.4 if bad else 0.05) else r.choice(WORDS) for _ in range(30))
+    rows = [(i, make(i % 2), i % 2) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    table = toxicity.steps(toxicity.word_counts(d), rare=2)
+    n, types = ({}, {}), {}
+    for _, t, y in rows:
+        for w in t.split():
+            for k in range(len(w) + 2):
+                b = (w + "\n")[:k]
+                n[y][b] = n[y].get(b, 0) + 1
+    for w in {w for _, t, _ in rows for w in t.split()}:
+        for k in range(len(w) + 2):
+            types[(w + "\n")[:k]] = types.get((w + "\n")[:k], 0) + 1
+    kids = {}
+    for b in types:
+        if b:
+            kids.setdefault(b[:-1], []).append(b)
+
+    def p(y, b, x):
+        shared = (types[b + x] + 1) / (types[b] + len(kids[b]) + 1)
+        if not n[y].get(b):
+            return shared
+        return (max(n[y].get(b + x, 0) - toxicity.D, 0) + toxicity.D * sum(c in n[y] for c in kids[b]) * shared) / n[y][b]
+
+    got = {x["begin"]: x["value"] for x in table.where(~F.endswith("begin", F.lit("\n\n"))).collect()}
+    want = {b: np.log(p(1, b[:-1], b[-1])) - np.log(p(0, b[:-1], b[-1])) for b in types if b and n[1].get(b[:-1], 0) >= 2}
+    assert set(got) >= set(want) and all(got[b] == pytest.approx(v, abs=1e-9) for b, v in want.items())
+    per = {x["doc_id"]: x for x in toxicity.features(d.drop("toxic"), table).collect()}
+    for i, t, _ in rows:
+        v = [sum(want[(w + "\n")[:k]] for k in range(1, len(w) + 2)) if all((w + "\n")[:k] in want for k in range(1, len(w) + 2)) else None for w in t.split()]
+        if None not in v:
+            assert per[i]["total"] == pytest.approx(sum(v), abs=1e-3) and per[i]["above"] == pytest.approx(sum(max(x - toxicity.NOISE, 0) for x in v), abs=1e-3)
+
+
+CLASHES = "doc_id bigint, text string, lang string, key string, word string, h bigint, n int, t int, begin string, score double, toxic int, shard int, part int, gone int, _lines string"
+
+
+def test_clashing_columns_repeats_ties_and_nothing(spark):
+    r = random.Random(31)
+    texts = [prose(r, 40) + " vile" * (i % 2) for i in range(12)]
+    rows = [(i, t, "ab"[i % 2], "k", "w", 1, 2, 3, "b", 0.5, 1, 2, 3, 4, "l") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, "null id", None, *rows[0][3:]), (50, None, "a", *rows[0][3:]), (51, "", "b", *rows[0][3:])]
+    d, labels = spark.createDataFrame(rows, CLASHES), spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    bench = spark.createDataFrame([(1, texts[5])], "item_id bigint, text string")
+    none, no_bench, no_labels = d.limit(0), bench.limit(0), labels.limit(0)
+    asked = {
+        "op1": lambda x: minhash.near_groups(x), "op2": lambda x: fingerprint.edited_and_next(x), "op5": lambda x: toxicity.score(x, labels), "op6": lambda x: sharding.balanced(x),
+        "op7": lambda x: linedup.line_report(x), "op8": lambda x: langid.identify(x),
+    }
+    for name, f in asked.items():
+        got = f(d).collect()
+        assert len(got) == len(rows), name
+        same = [tuple(v for k, v in x.asDict().items() if k not in ("slot", "edited_sha256", "edited_fingerprint", "near_edited", "near_next")) for x in got if x["doc_id"] == 0]
+        assert len(same) == 3 and len(set(same)) == 1, name
+        assert f(none).count() == 0, name
+    assert sorted(x["doc_id"] for x in decontam.overlaps(d, bench).collect()) == [5] and decontam.overlaps(d, no_bench).count() == 0
+    assert decontam.clean(d, bench).count() == len(rows) - 1 and decontam.clean(none, bench).count() == 0
+    assert {x["score"] for x in toxicity.score(d, no_labels).collect()} == {0.5}
