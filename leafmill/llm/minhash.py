@@ -13,8 +13,9 @@ side even where a common passage fills a bucket; these pairs grow with the rows,
 over ``HOT`` rows are cut by that same order. Pairs that agree in too few MinHash values (``least_same``; a true link
 does so with a chance of at most one in a million) are left out; the rest are joined with their full sets.
 
-The rest: that covers every pair of buckets of up to three classes. Larger buckets whose classes are still in different
-components are compared whole, block against block inside the tasks, each pair in the first table it shares. Only
+The rest: that covers every pair of buckets of up to three classes. What larger buckets may still hide is looked for in
+the M larger buckets that share one hash of the first collection: where classes of different components meet, they are
+compared whole, block against block inside the tasks, each pair that shares a table in the first bucket it shares. Only
 links that join two components leave a task, so rows stay linear in a block where its comparisons are not.
 
 Components: alternating large-star and small-star steps on stored edge tables, until they no longer change.
@@ -119,8 +120,8 @@ def signatures(docs: DataFrame, m: int = M) -> DataFrame:
     return scan_with(only(docs, "doc_id", "text", text_hash()), schema, make)
 
 
-def table_rows(classes: DataFrame, m: int = M, *also: str) -> DataFrame:
-    """key, ord, rep, t: one row for each class and table t. ``ord`` orders a bucket by other MinHash values."""
+def table_rows(classes: DataFrame, m: int = M) -> DataFrame:
+    """key, ord, rep: one row for each class and table. ``ord`` orders a bucket by other MinHash values."""
 
     def part(i: int, n: int = 4) -> F.Column:
         return F.substring("sig", i * 4 + 1, n)
@@ -128,12 +129,12 @@ def table_rows(classes: DataFrame, m: int = M, *also: str) -> DataFrame:
     # one hash of each collection is a pair of MinHash values; the two collections are the halves of the signature
     a = F.array(*[part(2 * i, 8) for i in range(m)])
     b = F.array(*[part(2 * (m + i), 8) for i in range(m)])
-    rows = classes.select("rep", *also, a.alias("a"), b.alias("b"))
-    rows = rows.select("rep", *also, "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))).alias("t"))
+    rows = classes.select("rep", a.alias("a"), b.alias("b"))
+    rows = rows.select("rep", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))).alias("t"))
     i, j = F.floor(F.col("t") / m).cast("int"), (F.col("t") % m).cast("int")
     key = F.xxhash64("t", F.get("a", i), F.get("b", j))
     further = F.concat(F.get("a", (i + 1) % m), F.get("b", (j + 1) % m), F.get("a", (i + 2) % m))
-    return rows.select(key.alias("key"), F.conv(F.hex(F.concat(*[F.substring(further, 4 * k + 1, 1) for k in range(6)])), 16, 10).cast("bigint").alias("ord"), "rep", "t", *also)
+    return rows.select(key.alias("key"), F.conv(F.hex(F.concat(*[F.substring(further, 4 * k + 1, 1) for k in range(6)])), 16, 10).cast("bigint").alias("ord"), "rep")
 
 
 def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
@@ -222,7 +223,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 
 
 def open_pairs(x: dict, same: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block pair's rows, most alike first: of two components, alike in ``same`` values, first met in this table."""
+    """Pairs of a block pair's rows, most alike first: of two components, alike in ``same`` values, with a table in common,
+    first met in this bucket."""
     sig, root, half, rep = np.frombuffer(b"".join(x["sig"]), "<u4").reshape(-1, 4 * m), x["root"], x["half"], x["rep"]
     t, crossed = int(x["t"][0]), x["i"][0] != x["j"][0]
     found = []
@@ -240,7 +242,7 @@ def open_pairs(x: dict, same: int, m: int) -> tuple[np.ndarray, np.ndarray]:
         if len(a):
             eq = sig[p[a]] == sig[right[b]]
             eq = eq[:, ::2] & eq[:, 1::2]
-            first = eq[:, :m].argmax(axis=1) * m + eq[:, m:].argmax(axis=1) == t
+            first = eq[:, t] & (eq[:, :m].argmax(axis=1) == t) & eq[:, m:].any(axis=1)
             found.append(np.stack([count[a, b][first].astype(np.int64), p[a[first]], right[b[first]]]))
     n, a, b = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1)
     order = np.argsort(-n, kind="stable")
@@ -283,11 +285,13 @@ def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent
     """a < b: components (by their roots) that a pair of some large bucket still links; staged."""
     same = least_same(percent, m)
     rooted = stage(classes.select("rep", "sig").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("root", "rep").alias("root")), "rooted")
-    # buckets that are settled or covered by pairs take no part in any join
-    rows = table_rows(rooted, m, "root")
+    # a class has one row for each hash of the first collection, m instead of m^2
+    first = F.array(*[F.substring("sig", 8 * i + 1, 8) for i in range(m)])
+    rows = rooted.select("rep", "root", "sig", F.posexplode(first).alias("t", "_a")).select(F.xxhash64("t", "_a").alias("key"), "t", "rep", "root", "sig")
+    # buckets that are settled or covered by pairs go no further
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     mixed = stage(mixed.where((F.col("n") > FEW) & (F.col("r1") != F.col("r2"))).select("key", "n"), "mixed")
-    rows = rows.join(broadcast_if_small(mixed, mixed.count()), "key").join(rooted.select("rep", "sig"), "rep")
+    rows = rows.join(broadcast_if_small(mixed, mixed.count()), "key")
     # rows of block x meet each block y in the block pair (least, greatest)
     g = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), g - 1)))
