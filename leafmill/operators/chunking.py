@@ -90,9 +90,11 @@ def _counts(df: DataFrame) -> DataFrame:
     return df.withColumn("token_count", tokens(F.col("text"))).withColumn("char_count", F.length("text")).withColumn("word_count", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
 
 
-def _exploded(df: DataFrame, texts: Column, *keep: str) -> DataFrame:
-    out = df.select(*keep, F.posexplode(texts).alias("_ord", "text"))
-    return _counts(out)
+def _gathered(pages: DataFrame, blank: bool = False) -> DataFrame:
+    """doc_id, u: each document's pages (page_num, t) in order; the one shuffle of the texts."""
+    t = F.coalesce("raw_text", F.lit(""))
+    p = pages.select("doc_id", "page_num", (t if blank else strip(t)).alias("t"))
+    return (p if blank else p.where("t <> ''")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "t"))).alias("u"))
 
 
 def by_pages(pages: DataFrame, budget: int = 2000) -> DataFrame:
@@ -101,31 +103,36 @@ def by_pages(pages: DataFrame, budget: int = 2000) -> DataFrame:
     Pages are packed in order; blank pages are skipped. A page over the budget is split on its own and does not close
     the run around it: its pieces come before the run that was open when it was met.
     """
-    p = pages.select("doc_id", "page_num", strip(F.coalesce("raw_text", F.lit(""))).alias("t")).where("t <> ''")
-    large = p.where(tokens(F.col("t")) > budget)
-    small = p.where(tokens(F.col("t")) <= budget).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "t"))).alias("u"))
-    runs = small.select("doc_id", "u", F.explode(pack_runs(F.transform("u", lambda x: F.length(x["t"])), budget)).alias("r"))
-    part = F.slice("u", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1)
-    runs = runs.select("doc_id", part.alias("u"), F.coalesce(F.get("u", F.col("r.e") + 1)["page_num"], F.lit(2**31 - 1)).alias("closed"))
-    runs = runs.select("doc_id", F.array_join(F.transform("u", lambda x: x["t"]), "\n\n").alias("text"), F.get("u", F.lit(0))["page_num"].alias("start_page"), F.element_at("u", -1)["page_num"].alias("end_page"), F.struct(F.col("closed").alias("at"), F.lit(1).alias("k"), F.lit(0).alias("j")).alias("_ord"))
-    cut = large.select("doc_id", "page_num", F.posexplode(split_text(F.col("t"), budget, budget)).alias("j", "text"))
-    cut = cut.select("doc_id", "text", F.col("page_num").alias("start_page"), F.col("page_num").alias("end_page"), F.struct(F.col("page_num").alias("at"), F.lit(0).alias("k"), "j").alias("_ord"))
-    return _counts(numbered(runs.unionByName(cut)))
+
+    def piece(at: Column, kind: int, j: Column, text: Column, first: Column, last: Column) -> Column:
+        return F.struct(F.struct(at.alias("at"), F.lit(kind).alias("k"), j.alias("j")).alias("_ord"), text.alias("text"), first.alias("start_page"), last.alias("end_page"))
+
+    def run(u: Column, r: Column) -> Column:
+        part = F.slice(u, r["s"] + 1, r["e"] - r["s"] + 1)
+        closed = F.coalesce(F.get(u, r["e"] + 1)["page_num"], F.lit(2**31 - 1))
+        return piece(closed, 1, F.lit(0), F.array_join(F.transform(part, lambda x: x["t"]), "\n\n"), F.get(u, r["s"])["page_num"], F.get(u, r["e"])["page_num"])
+
+    fits = lambda x: tokens(x["t"]) <= budget
+    runs = let(F.filter("u", fits), lambda u: F.transform(pack_runs(F.transform(u, lambda x: F.length(x["t"])), budget), lambda r: run(u, r)))
+    cut = F.flatten(F.transform(F.filter("u", lambda x: ~fits(x)), lambda x: F.transform(split_text(x["t"], budget, budget), lambda t, j: piece(x["page_num"], 0, j, t, x["page_num"], x["page_num"]))))
+    return _indexed(_gathered(pages), F.array_sort(F.concat(runs, cut)), "doc_id").drop("_ord")
 
 
 def by_paragraphs(pages: DataFrame, budget: int = 2000, least: int = 100) -> DataFrame:
     """Paragraphs packed page by page; what is left of a page goes unless it has ``least`` tokens or is the last page."""
-    last = F.max("page_num").over(Window.partitionBy("doc_id"))
-    p = pages.select("doc_id", "page_num", F.coalesce("raw_text", F.lit("")).alias("t"), last.alias("last"))
-    p = p.select("doc_id", "page_num", "last", F.posexplode(let(packed_texts(paragraphs(F.col("t"), budget), budget), lambda x: F.transform(x, lambda c, i: F.struct(c.alias("text"), (i == F.size(x) - 1).alias("rest"))))).alias("j", "c"))
-    p = p.where(~F.col("c.rest") | (F.col("page_num") == F.col("last")) | (tokens(F.col("c.text")) >= least))
-    return _counts(numbered(p.select("doc_id", F.col("c.text").alias("text"), F.col("page_num").alias("start_page"), F.col("page_num").alias("end_page"), F.struct("page_num", "j").alias("_ord"))))
+
+    def of_page(x: Column) -> Column:
+        last = x["page_num"] == F.element_at("u", -1)["page_num"]
+        kept = lambda t, i, texts: (i < F.size(texts) - 1) | last | (tokens(t) >= least)
+        page = lambda t: F.struct(t.alias("text"), x["page_num"].alias("start_page"), x["page_num"].alias("end_page"))
+        return let(packed_texts(paragraphs(x["t"], budget), budget), lambda texts: F.transform(F.filter(texts, lambda t, i: kept(t, i, texts)), page))
+
+    return _indexed(_gathered(pages, blank=True), F.flatten(F.transform("u", of_page)), "doc_id")
 
 
 def full_text(pages: DataFrame) -> DataFrame:
     """doc_id, text: all pages with text, in order."""
-    p = pages.where(strip(F.coalesce("raw_text", F.lit(""))) != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", F.col("raw_text").alias("t")))).alias("u"))
-    return p.select("doc_id", F.array_join(F.transform("u", lambda x: strip(x["t"])), "\n\n").alias("text"))
+    return _gathered(pages).select("doc_id", F.array_join(F.transform("u", lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def trim_terminal(text: Column) -> Column:
@@ -200,7 +207,7 @@ def by_sections(sections: DataFrame, pages: DataFrame, target: int = 4000, budge
     """Sections' texts, split where too long. Documents without sections are packed by pages.
 
     A document's pages and sections meet in one row, so a page is sent once, however many sections it lies in."""
-    p = pages.select("doc_id", "page_num", strip(F.coalesce("raw_text", F.lit(""))).alias("t")).where("t <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "t"))).alias("u"))
+    p = _gathered(pages)
     s = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec_no", "title", "start_page", "end_page"))).alias("v"))
 
     def cut(x: Column) -> Column:

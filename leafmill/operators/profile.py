@@ -16,16 +16,11 @@ DOI = rf"(?i){EDGE}doi:\s*10\.[0-9]{{4,}}/[^\s]+"
 def features(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     """doc_id, page_count, toc_present, chapters_detected, abstract_present, references_present, two_column_layout,
     has_doi, doc_type. The first page and the last five are looked at; ``toc``: doc_id of documents with an outline."""
-    n = pages.groupBy("doc_id").agg(F.max("page_num").cast("int").alias("page_count"))
-    first = F.col("page_num") == 1
-    p = pages.join(n, "doc_id").withColumn("t", F.coalesce("raw_text", F.lit("")))
-
-    def seen(pattern: str, where: Column) -> Column:
-        return F.coalesce(F.bool_or(where & F.col("t").rlike(pattern)), F.lit(False))
-
-    f = p.groupBy("doc_id", "page_count").agg(
-        seen(CHAPTER, first).alias("chapters_detected"), seen(ABSTRACT, first).alias("abstract_present"), seen(REFERENCES, F.col("page_num") > F.col("page_count") - 5).alias("references_present"), seen(DOI, first).alias("has_doi"),
-    )
+    first, t = F.col("page_num") == 1, F.coalesce("raw_text", F.lit(""))
+    # texts are looked at where they are; only what was found is shuffled
+    flags = pages.select("doc_id", "page_num", *[(first & t.rlike(p)).alias(n) for n, p in (("chapters_detected", CHAPTER), ("abstract_present", ABSTRACT), ("has_doi", DOI))], F.when(t.rlike(REFERENCES), F.col("page_num")).alias("_refs"))
+    f = flags.groupBy("doc_id").agg(F.max("page_num").cast("int").alias("page_count"), *[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("chapters_detected", "abstract_present", "has_doi")], F.max("_refs").alias("_refs"))
+    f = f.withColumn("references_present", F.coalesce(F.col("_refs") > F.col("page_count") - 5, F.lit(False))).drop("_refs")
     if toc is not None:
         f = f.join(toc.select("doc_id", F.lit(True).alias("_toc")).distinct(), "doc_id", "left").withColumn("toc_present", F.coalesce("_toc", F.lit(False))).drop("_toc")
     else:
