@@ -12,13 +12,25 @@ probability in both classes, and variants of a toxic stem still meet the stem.
 Words are what stands between white space and signs that join words, without signs at their ends; a longer one than
 ``LONGEST`` characters counts as several, one after another, so every character of a text counts. A word's value is the
 sum of log P_toxic - log P_ordinary over its characters, the difference of the two log-likelihoods. A text's features
-are the difference normalised by its number of words and the sum of what its words have above ``NOISE``. A logistic curve over them gives the score; a text without words has the curve's value at 0, 0.
+are the difference normalised by its number of words, the sum of what its words have above ``NOISE``, and what its pairs
+of words gain, normalised alike. A logistic curve over them gives the score; a text without words has its value at zeros.
+
+Pairs of neighbouring words that the toxic class has ``RARE`` times or more are expressions of their own, with the word
+as the shorter context that both classes back off to:
+
+    P_c(v | u) = max(n_c(uv) - D, 0) / n_c(u) + l_c(u) P_c(v),    l_c(u) = 1 - sum over u's pairs of max(n_c(uv) - D, 0) / n_c(u)
+    P_c(v) = (max(n_c(v) - D, 0) + D K_c P(v)) / N_c
+
+K_c counts the class's distinct words, N_c its words; P(v) is v's share of both classes' words together, one added. A
+word's gain behind u is what log P_toxic(v | u) - log P_ordinary(v | u) has above the same without u; for other words
+behind a u that has pairs that is log l_toxic(u) - log l_ordinary(u), else nothing.
 
 Counts cover all labelled rows of the folds for counting (crc32(doc_id) mod 4 of 0 or 1) and are summed on the
 executors; they grow with the input. Fold 3 fits the curve, on about ``FIT_ROWS`` labelled rows chosen by a hash; fold
 2 is never looked at. The table holds the beginnings that the toxic class has seen ``RARE`` times or more, and what
 follows them. It is sent to the workers in blocks of at most ``BLOCK`` entries, split by the words' first two
-characters; texts pass all blocks in one chain of scans, with nothing shuffled.
+characters; texts pass all blocks in one chain of scans, with nothing shuffled. Pairs are counted by hash: first the toxic
+class's, then, for those often enough, the ordinary ones in blocks of the same size; gains travel with the block of their u.
 """
 
 from __future__ import annotations
@@ -33,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold_of, held, held_out, only, scan, scan_with, stage, starts_of, unstage
+from leafmill.llm.common import broadcast_if_small, fold_of, held, held_out, mix, odd, only, scan, scan_with, stage, starts_of, unstage
 from leafmill.llm.langid import letters
-from leafmill.llm.words import BLANK, Store, distinct, runs, sums, text_bytes
+from leafmill.llm.words import BLANK, Store, distinct, runs, spread, sums, text_bytes
 
 D = 0.75
 RARE = 3
@@ -94,6 +106,126 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
+def word_hash(words: list[str]) -> np.ndarray:
+    return begin_hashes(words)
+
+
+def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    a, b = odd(2, 77)
+    return mix(u * a + mix(v * b))
+
+
+def sequences(store: Store, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a store of words, text after text, and how many each text has."""
+    raw, at = text_bytes(texts)
+    found, per = runs(raw, at, ~BLANK)
+    found, which = distinct(found)
+    flat, start, count = store.find(found)
+    n = count[which]
+    return flat[spread(start[which], n)], sums(n, per)
+
+
+def _hash_fill(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    found = list(map(expressions, runs_))
+    return word_hash([w for x in found for w in x]), np.array([len(x) for x in found], np.int64)
+
+
+def neighbours(counts: np.ndarray) -> np.ndarray:
+    """Places of words that have a word before them in their text."""
+    first = np.zeros(int(counts.sum()) + 1, bool)
+    first[starts_of(counts)] = True
+    return np.flatnonzero(~first[:-1])
+
+
+def toxic_pairs(toxic: DataFrame, rare: int) -> DataFrame:
+    """key, u, v (hashes), c (the code of u's block), t of neighbouring words that toxic texts have ``rare`` times or more;
+    staged. ``toxic``: text."""
+    kind = np.dtype([("h", "<u8"), ("c", "<i8")])
+
+    def fill(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(expressions, runs_))
+        flat = [w for x in found for w in x]
+        out = np.zeros(len(flat), kind)
+        out["h"], out["c"] = word_hash(flat), [code_of(w) for w in flat]
+        return out, np.array([len(x) for x in found], np.int64)
+
+    def make():
+        store = Store(fill, kind)
+
+        def one(b: pa.RecordBatch) -> dict:
+            words, counts = sequences(store, b.column("text"))
+            h, k = words["h"], neighbours(counts)
+            key, at, n = np.unique(pair_keys(h[k - 1], h[k]), return_index=True, return_counts=True)
+            return {"key": key.view(np.int64), "u": h[k - 1][at].view(np.int64), "v": h[k][at].view(np.int64), "c": words["c"][k - 1][at], "t": n}
+
+        return one, None
+
+    rows = scan_with(only(toxic, "text"), "key bigint, u bigint, v bigint, c bigint, t bigint", make)
+    return stage(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in "uvc"], F.sum("t").alias("t")).where(F.col("t") >= rare), "pairs")
+
+
+def _arrow_blocks(table: DataFrame, block: int, *columns: str):
+    """Columns of a stored table, by blocks of rows that one broadcast may hold."""
+    n = table.count()
+    parts = max(1, math.ceil(n / block))
+    for p in range(parts):
+        mine = table if parts == 1 else table.where(F.pmod("key", F.lit(parts)) == p)
+        yield mine.select(*columns).toArrow()
+
+
+def with_ordinary(pairs: DataFrame, ordinary: DataFrame, block: int = BLOCK) -> DataFrame:
+    """key, u, v, c, t, o: how often ordinary texts have the pairs, too; staged."""
+    spark = pairs.sparkSession
+    counted = None
+    for got in _arrow_blocks(pairs, block, "key"):
+        sent = spark.sparkContext.broadcast(np.sort(got["key"].to_numpy().view(np.uint64)))  # 8 bytes an entry, bounded by the block
+
+        def make(sent=sent):
+            store, total = Store(_hash_fill, "<u8"), []
+
+            def one(b: pa.RecordBatch) -> None:
+                keys = sent.value
+                if not total:
+                    total.append(np.zeros(len(keys), np.int64))
+                h, counts = sequences(store, b.column("text"))
+                k = neighbours(counts)
+                key = pair_keys(h[k - 1], h[k])
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                if len(keys):
+                    total[0] += np.bincount(at[keys[at] == key], minlength=len(keys))
+
+            def last() -> dict:
+                some = np.flatnonzero(total[0]) if total else np.zeros(0, np.int64)
+                return {"key": sent.value[some].view(np.int64), "o": total[0][some] if total else some}
+
+            return one, last
+
+        part = scan_with(only(ordinary, "text"), "key bigint, o bigint", make)
+        counted = part if counted is None else counted.unionByName(part)
+    sums_ = counted.groupBy("key").agg(F.sum("o").alias("o"))
+    return stage(pairs.join(sums_, "key", "left").select("key", "u", "v", "c", "t", F.coalesce("o", F.lit(0)).alias("o")), "pairs")
+
+
+def pair_values(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, c, value of each pair; key, c, value of another word behind a first word, whose hash is the key); staged.
+    ``words``: word, t, o."""
+    all_ = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "to"], *[F.count_if(F.col(c) > 0).alias(f"k{c}") for c in "to"], F.count(F.lit(1)).alias("n")).first()
+    w = words.select(F.xxhash64("word").alias("h"), *[F.col(c).cast("double").alias(c) for c in "to"])
+    shared = (F.col("t") + F.col("o") + 1) / float(all_["t"] + all_["o"] + all_["n"] or 1)
+    p = lambda c: (F.greatest(F.col(c) - D, F.lit(0.0)) + D * float(all_[f"k{c}"]) * shared) / float(max(all_[c], 1))
+    ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
+    w = w.join(broadcast_if_small(ends, ends.count()), "h", "left_semi").withColumns({"pt": p("t"), "po": p("o")})
+    x = pairs.select("key", "u", "v", "c", F.col("t").alias("nt"), F.col("o").alias("no"))
+    x = x.join(w.select(F.col("h").alias("u"), F.col("t").alias("ut"), F.col("o").alias("uo")), "u").join(w.select(F.col("h").alias("v"), "pt", "po"), "v")
+    mass = lambda c: F.when(F.col(f"u{c}") > 0, F.greatest(F.col(f"n{c}") - D, F.lit(0.0)) / F.col(f"u{c}")).otherwise(0.0)
+    x = x.withColumns({"mt": mass("t"), "mo": mass("o")})
+    # the pairs of one word: never more than its toxic neighbours, summed before the shuffle
+    rest = x.groupBy("u", "c").agg(*[F.greatest(1 - F.sum(f"m{c}"), F.lit(1e-6)).alias(f"l{c}") for c in "to"])
+    x = x.join(rest, ["u", "c"])
+    gain = F.log(F.col("mt") + F.col("lt") * F.col("pt")) - F.log(F.col("mo") + F.col("lo") * F.col("po")) - (F.log("pt") - F.log("po"))
+    return stage(x.select("key", "c", gain.alias("value")), "gains"), stage(rest.select(F.col("u").alias("key"), "c", (F.log("lt") - F.log("lo")).alias("value")), "rests")
+
+
 def steps(words: DataFrame, rare: int = RARE) -> DataFrame:
     """begin, value: what one more character adds to a word's difference, for beginnings under seen ones."""
     marked = F.concat("word", F.lit(END))
@@ -116,7 +248,9 @@ def steps(words: DataFrame, rare: int = RARE) -> DataFrame:
     unseen = F.log(D * F.col("kt") / F.col("pt")) - F.when(F.col("po") > 0, F.log(D * F.col("ko") / F.col("po"))).otherwise(0.0)
     seen = at.select("begin", value.alias("value"))
     other = at.where("kt > 0").groupBy(F.expr("substring(begin, 1, length(begin) - 1)").alias("b")).agg(F.first(unseen).alias("value")).select(F.concat("b", F.lit(END + END)).alias("begin"), "value")
-    return stage(seen.unionByName(other).where("value is not null"), "steps")
+    out = stage(seen.unionByName(other).where("value is not null"), "steps")
+    unstage(nodes)
+    return out
 
 
 def begin_hashes(begins: list[str]) -> np.ndarray:
@@ -131,7 +265,7 @@ class Values:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, part: int, parts: int):
         self.keys, self.steps, self.part, self.parts = keys, values, part, parts
-        self.store = Store(self.fill, "<f4")
+        self.store = Store(self.fill, np.dtype([("h", "<u8"), ("v", "<f4"), ("mine", "?")]))
 
     def look(self, begins: list[str]) -> np.ndarray:
         """The values of beginnings; nan where the block has none."""
@@ -142,16 +276,18 @@ class Values:
         return np.where(self.keys[at] == h, self.steps[at], np.nan)
 
     def fill(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run between white space: its words, their summed values and what they have above NOISE."""
+        """Of each run between white space: its words' hashes and values, and whether they belong to this block."""
         found = list(map(expressions, raw))
-        n = np.array([len(x) for x in found], np.int64)
-        v = self.values([w for x in found for w in x])
-        return np.stack([n, sums(v, n), sums(np.maximum(v - NOISE, 0), n)], axis=1).reshape(-1), np.full(len(raw), 3)
+        words = [w for x in found for w in x]
+        out = np.zeros(len(words), self.store.kind)
+        mine = [i for i, w in enumerate(words) if part_of(w, self.parts) == self.part]
+        out["h"], out["v"] = word_hash(words), self.values(words, mine)
+        out["mine"][mine] = True
+        return out, np.array([len(x) for x in found], np.int64)
 
-    def values(self, words: list[str]) -> np.ndarray:
+    def values(self, words: list[str], mine: list[int]) -> np.ndarray:
         """Each word's steps up to the first beginning that isn't known; there, each class's rest for the unseen, where
         that lowers the value."""
-        mine = [i for i, w in enumerate(words) if part_of(w, self.parts) == self.part]
         out = np.zeros(len(words))
         if mine:
             marked = [words[i] + END for i in mine]
@@ -166,59 +302,91 @@ class Values:
         return out
 
 
+def code_of(word: str) -> int:
+    return ord(word[0]) * 31 + (ord(word[1]) if len(word) > 1 else 7)
+
+
 def part_of(word: str, parts: int) -> int:
-    return (ord(word[0]) * 31 + (ord(word[1]) if len(word) > 1 else 7)) % parts if parts > 1 else 0
+    return code_of(word) % parts if parts > 1 else 0
+
+
+def lookup(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of a block."""
+    got = table.select("key", F.col("value").cast("float").alias("v")).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got["v"].to_numpy()[order]
+
+
+def found_in(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, which are right) of hashes among sorted keys."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def gains(h: np.ndarray, counts: np.ndarray, pairs: tuple, rests: tuple) -> np.ndarray:
+    """What each word of the texts gains by the word before it."""
+    out, k = np.zeros(len(h)), neighbours(counts)
+    if len(k):
+        at, known = found_in(rests[0], h[k - 1])
+        k, rest = k[known], rests[1][at[known]]
+    if len(k):
+        at, known = found_in(pairs[0], pair_keys(h[k - 1], h[k]))
+        out[k] = rest
+        out[k[known]] = pairs[1][at[known]]
+    return out
 
 
-def features(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` with n, total (the summed difference) and above (what exceeds NOISE, summed); no text."""
+def features(docs: DataFrame, table: DataFrame, pairs: DataFrame | None = None, rests: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` with n, total (the words' summed difference), above (what exceeds NOISE, summed) and gain (what
+    the words before them add, summed); no text."""
     spark = docs.sparkSession
-    n = table.count()
-    parts = max(1, math.ceil(n / block))
+    parts = max(1, *[math.ceil(x.count() / block) for x in (table, pairs) if x is not None])
     first = F.ascii(F.substring("begin", 1, 1))
     second = F.when((F.length("begin") > 1) & (F.substring("begin", 2, 1) != END), F.ascii(F.substring("begin", 2, 1))).otherwise(7)
     # one character alone starts words of any part
     cols = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumns({"n": F.lit(0.0), "total": F.lit(0.0), "above": F.lit(0.0)})
+    rows = docs.withColumns({"n": F.lit(0.0), "total": F.lit(0.0), "above": F.lit(0.0), "gain": F.lit(0.0)})
     kinds = dict(rows.dtypes)
     for part in range(parts):
         mine = table if parts == 1 else table.where((F.length("begin") == 1) | (F.pmod(first * 31 + second, F.lit(parts)) == part) | F.endswith("begin", F.lit(END + END)) & (F.length("begin") <= 3))
         got = mine.select(F.xxhash64("begin").alias("h"), F.col("value").cast("float").alias("v")).toArrow()
         keys = got["h"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order], got["v"].to_numpy()[order]))  # 12 bytes an entry, bounded by the block
+        of_pairs = [(np.zeros(0, np.uint64), np.zeros(0, np.float32)) if x is None else lookup(x if parts == 1 else x.where(F.pmod("c", F.lit(parts)) == part)) for x in (pairs, rests)]
+        sent = spark.sparkContext.broadcast((keys[order], got["v"].to_numpy()[order], *of_pairs))  # 12 bytes an entry, bounded by the block
         del got, keys, order
         last = part == parts - 1
-        out = [*cols, *([] if last else ["text"]), "n", "total", "above"]
+        out = [*cols, *([] if last else ["text"]), "n", "total", "above", "gain"]
         rows = scan(rows, ", ".join(f"`{c}` {kinds[c]}" for c in out), _adder(sent, part, parts, out, uuid.uuid4().hex))
     return rows
 
 
 def _adder(sent, part: int, parts: int, out: list[str], key: str):
     def one(b: pa.RecordBatch) -> dict:
-        values = held(f"toxic {key}", lambda: Values(*sent.value, part, parts))
-        raw, at = text_bytes(b.column("text"))
-        words, per = runs(raw, at, ~BLANK)
-        words, which = distinct(words)
-        v = values.store.rows(words, 3)
-        add = {c: sums(v[which, k].astype(np.float64), per) for k, c in enumerate(("n", "total", "above"))}
-        add["n"] = add["n"] if part == 0 else np.zeros(b.num_rows)  # every part counts the words
+        values = held(f"toxic {key}", lambda: Values(*sent.value[:2], part, parts))
+        words, per = sequences(values.store, b.column("text"))
+        v, more = words["v"].astype(np.float64), gains(words["h"], per, *sent.value[2:])
+        add = {"n": sums(words["mine"].astype(np.float64), per), "total": sums(v, per), "above": sums(np.maximum(v - NOISE, 0), per), "gain": sums(more, per)}
         got = {c: b.column(c) for c in out if c not in add}
         return got | {c: b.column(c).to_numpy() + x for c, x in add.items()}
 
     return one
 
 
-def shape(n: np.ndarray, total: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Columns of the curve: one, the normalised difference, its positive evidence for the text and for each word."""
+def shape(n: np.ndarray, total: np.ndarray, above: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Columns of the curve: one, the normalised difference of the words, its positive evidence for the text and for each
+    word, and what the words before them add, normalised."""
     size = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), np.clip(total / size, -2, 2), np.log1p(np.maximum(above, 0)), np.sqrt(np.maximum(above, 0) / size)], axis=1)
+    return np.stack([np.ones(len(n)), np.clip(total / size, -2, 2), np.log1p(np.maximum(above, 0)), np.sqrt(np.maximum(above, 0) / size), np.clip(gain / size, -2, 2)], axis=1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 1e-2, 1e-2, 1e-2])
+    ridge = np.diag([1e-3, 1e-2, 1e-2, 1e-2, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
@@ -238,16 +406,25 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rare: in
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     rows = docs.select("doc_id", "text")
     labelled = rows.join(marks, "doc_id")
-    words = stage(word_counts(labelled.where(fold_of() < 2).select("text", "toxic")), "words")
+    counted = labelled.where(fold_of() < 2)
+    words = stage(word_counts(counted.select("text", "toxic")), "words")
     table = steps(words, rare)
-    unstage(words)
+    often = toxic_pairs(counted.where("toxic > 0").select("text"), rare)
+    known = with_ordinary(often, counted.where("toxic <= 0").select("text"))
+    pairs = pair_values(known, words)
+    for x in (words, often, known):
+        unstage(x)
     wanted = marks.where(fold_of() == 3)
     n = max(1, wanted.count())
     wanted = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 20)) < min(1.0, fit_rows / n) * (1 << 20))
-    fit = features(rows.join(wanted, "doc_id").select("doc_id", "text", "toxic"), table).select("n", "total", "above", "toxic").toPandas()  # bounded by fit_rows
+    fit = features(rows.join(wanted, "doc_id").select("doc_id", "text", "toxic"), table, *pairs).select("n", "total", "above", "gain", "toxic").toPandas()  # bounded by fit_rows
     y = (fit["toxic"].to_numpy() > 0).astype(float)
-    w = fit_curve(shape(*[fit[c].to_numpy(np.float64) for c in ("n", "total", "above")]), y) if 0 < y.sum() < len(y) else np.zeros(4)
+    w = fit_curve(shape(*[fit[c].to_numpy(np.float64) for c in ("n", "total", "above", "gain")]), y) if 0 < y.sum() < len(y) else np.zeros(5)
     size, above = F.greatest("n", F.lit(1.0)), F.greatest("above", F.lit(0.0))
-    z = w[0] + w[1] * F.greatest(F.least(F.col("total") / size, F.lit(2.0)), F.lit(-2.0)) + w[2] * F.log1p(above) + w[3] * F.sqrt(above / size)
-    out = features(rows, table).select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+    clip = lambda x: F.greatest(F.least(x / size, F.lit(2.0)), F.lit(-2.0))
+    z = w[0] + w[1] * clip(F.col("total")) + w[2] * F.log1p(above) + w[3] * F.sqrt(above / size) + w[4] * clip(F.col("gain"))
+    scored = features(rows, table, *pairs)
+    for x in (table, *pairs):
+        unstage(x)  # the workers have it
+    out = scored.select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
