@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,17 +88,27 @@ def _scanner(schema: str, make: Callable) -> Callable[[Iterator[pa.RecordBatch]]
             return x
 
         for b in batches:
-            # long texts: a few megabytes at a time
-            step = max(1, int(b.num_rows * 4e6 / max(b.nbytes, 1)))
+            # long texts: two megabytes at a time
+            step = max(1, int(b.num_rows * 2e6 / max(b.nbytes, 1)))
             for i in range(0, b.num_rows, step):
                 if (x := one(b.slice(i, step))) is not None:
                     yield out(x)
         if last is not None and (x := last()) is not None:
             yield out(x)
+        _release()
 
     return run
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task, of any operator, with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 _held: dict[str, object] = {}
 
 

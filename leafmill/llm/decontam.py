@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import broadcast_if_small, held, mix, odd, only, scan, stage, starts_of
+from leafmill.llm.common import broadcast_if_small, held, mix, odd, only, scan, stage, starts_of, unstage
 from leafmill.llm.words import LOWER, WORDLIKE, binary_array, distinct, runs, spread, sums, text_bytes, word_hashes
 
 MASKS = ("1101", "100011")
@@ -151,7 +151,7 @@ class Block:
 
 
 def distinct_items(benchmark: DataFrame) -> DataFrame:
-    """item_id (the smallest of equal ones), words (hashes, binary); staged, by item_id."""
+    """item_id (the smallest of equal ones), words (hashes, binary); staged."""
 
     def one(b: pa.RecordBatch) -> dict:
         h, n = word_lists(b.column("text"))
@@ -159,13 +159,14 @@ def distinct_items(benchmark: DataFrame) -> DataFrame:
 
     rows = scan(only(benchmark, "item_id", "text").where("text is not null and item_id is not null"), "item_id bigint, words binary", one)
     rows = rows.where(F.octet_length("words") > 0).groupBy("words").agg(F.min("item_id").alias("item_id"))
-    return stage(rows.select("item_id", "words"), "items").orderBy("item_id")
+    return stage(rows.select("item_id", "words"), "items")
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
     """The benchmark's distinct items, block after block; ids ascend."""
     ids, items, n = [], [], 0
-    for r in distinct_items(benchmark).toLocalIterator():
+    stored = distinct_items(benchmark)
+    for r in stored.orderBy("item_id").toLocalIterator():
         ids.append(r["item_id"])
         items.append(np.frombuffer(bytes(r["words"]), "<u8").astype(np.uint64))
         n += len(items[-1])
@@ -174,6 +175,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
             ids, items, n = [], [], 0
     if ids:
         yield ids, items
+    unstage(stored)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, share: float = SHARE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import broadcast_if_small, only, stage, text_or_empty
+from leafmill.llm.common import broadcast_if_small, only, stage, text_or_empty, unstage
 from leafmill.llm.tokenbin import bucket_of, range_of
 
 
@@ -31,12 +31,14 @@ def digest(canon: Column) -> Column:
 
 def collided(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """Fingerprints under which different canonical texts meet. ``rows``: fingerprint, canon; ``hashes``: a stored table
-    of the fingerprints alone. Rows whose fingerprint is alone aren't shuffled at all when the list of the others is short."""
+    of the fingerprints alone; staged. Rows whose fingerprint is alone aren't shuffled at all when the list of the others is short."""
     twice = stage(hashes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "twice")
     again = rows.join(broadcast_if_small(twice, twice.count()), "fingerprint", "left_semi")
     # partial aggregation: each task sends one row a fingerprint, however many copies it holds
     ends = again.groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
-    return ends.where("a <> b").select("fingerprint")
+    out = stage(ends.where("a <> b").select("fingerprint"), "clash")
+    unstage(twice)
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = only(docs, "doc_id", canonical(text_or_empty()).alias("canon"))
     rows = rows.select("doc_id", digest(F.col("canon")).alias("fingerprint"), "canon")
     plain = stage(rows.drop("canon"), "digests")
-    clash = stage(collided(rows.drop("doc_id"), plain.select("fingerprint")), "clash")
+    clash = collided(rows.drop("doc_id"), plain.select("fingerprint"))
     if clash.isEmpty():
         return plain
     rows = rows.select("doc_id", "fingerprint", F.sha2(F.col("canon"), 256).alias("_sha"))
@@ -113,7 +115,7 @@ def edited_and_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     both = F.array(F.struct(F.col("fingerprint").alias("f"), F.col("_c0").alias("c")), F.struct(F.col("edited_fingerprint").alias("f"), F.col("_c1").alias("c")))
     texts = rows.select(F.explode(both).alias("x")).select(F.col("x.f").alias("fingerprint"), F.col("x.c").alias("canon"))
     hashes = plain.select(F.explode(F.array("fingerprint", "edited_fingerprint")).alias("fingerprint"))
-    clash = stage(collided(texts, hashes), "clash")
+    clash = collided(texts, hashes)
     if not clash.isEmpty():
         plain = rows
         for c, f in (("_c0", "fingerprint"), ("_c1", "edited_fingerprint"), ("_c2", "_next")):

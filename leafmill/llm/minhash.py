@@ -138,7 +138,7 @@ def table_rows(classes: DataFrame, m: int = M) -> DataFrame:
 
 
 def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
-    """Distinct pairs (a < b) of class representatives to be confirmed."""
+    """Distinct pairs (a < b) of class representatives to be confirmed; staged."""
     rows = table_rows(classes, m)
     many = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("top")).where(F.col("n") > hot), "hot")
     k = many.count()
@@ -156,7 +156,9 @@ def candidates(classes: DataFrame, m: int = M, hot: int = HOT) -> DataFrame:
     pairs = F.array(pair(F.col("low"), F.col("rep")), pair(F.col("p1"), F.col("rep")), pair(F.col("p2"), F.col("rep")), pair(F.col("top"), F.col("low")), pair(F.col("top"), F.col("rep")))
     full = F.filter(pairs, lambda x: x["a"] < x["b"])
     # least and greatest skip nulls, so a missing partner gives a pair of one
-    return rows.select(F.explode(full).alias("e")).select("e.a", "e.b").distinct()
+    out = stage(rows.select(F.explode(full).alias("e")).select("e.a", "e.b").distinct(), "pairs")
+    unstage(many)
+    return out
 
 
 def least_same(percent: int, m: int = M) -> int:
@@ -351,7 +353,9 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(state)
         unstage(large)
         state = after
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._leafmill_path = state._leafmill_path
+    return out
 
 
 def near_groups(docs: DataFrame, percent: int = 85, m: int = M, hot: int = HOT) -> DataFrame:
@@ -364,12 +368,13 @@ def near_groups(docs: DataFrame, percent: int = 85, m: int = M, hot: int = HOT)
     signed = stage(signatures(docs, m), "signatures")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("g1", "g2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = stage(classes.withColumn("rep", class_id()), "classes")
-    pairs = stage(candidates(classes, m, hot), "pairs")
+    pairs = candidates(classes, m, hot)
     links = confirmed(docs, classes, pairs, percent, m)
     unstage(pairs)
     roots = components(links)
     more = missing_links(docs, classes, roots, percent, m)
-    joined = components(more).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    again = components(more)
+    joined = again.select(F.col("node").alias("was"), F.col("root").alias("now"))
     for x in (links, more):
         unstage(x)
     # classes of components of several
@@ -377,12 +382,13 @@ def near_groups(docs: DataFrame, percent: int = 85, m: int = M, hot: int = HOT)
     ends = roots.select(F.col("root").alias("node")).unionByName(joined.select(F.explode(F.array("was", "now")).alias("node"))).distinct()
     known = known.unionByName(ends.join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("was")))
     known = known.join(joined, "was", "left").select(F.col("node").alias("rep"), F.coalesce("now", "was").alias("root"))
-    of = stage(known.join(classes.select("rep", "doc"), "rep").select("rep", "root", "doc"), "rooted")
-    least = of.groupBy("root").agg(F.min("doc").alias("low"))
-    of = of.join(broadcast_if_small(least, of.count()), "root").select("rep", "low")
+    of_all = stage(known.join(classes.select("rep", "doc"), "rep").select("rep", "root", "doc"), "rooted")
+    least = of_all.groupBy("root").agg(F.min("doc").alias("low"))
+    of = of_all.join(broadcast_if_small(least, of_all.count()), "root").select("rep", "low")
     grouped = classes.join(of, "rep", "left").where("copies > 1 or low is not null").select("g1", "g2", "n_shingles", F.coalesce("low", "doc").alias("component"))
     grouped = stage(grouped, "groups")
-    unstage(classes)
+    for x in (classes, roots, again, of_all):
+        unstage(x)
     out = signed.drop("sig").join(broadcast_if_small(grouped, grouped.count()), ["g1", "g2", "n_shingles"], "left")
     comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

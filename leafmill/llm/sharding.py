@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import only, stage, text_or_empty
+from leafmill.llm.common import only, stage, text_or_empty, unstage
 from leafmill.plans.ship import ship
 
 CELL = 8_192
@@ -87,7 +87,10 @@ def balanced(docs: DataFrame, shards: int = 8, tokens: F.Column | None = None, c
     at = spark.createDataFrame([(int(a), int(b), int(p), int(s)) for a, b, p, s in zip(pieces.h1, pieces.h2, pieces.part, pieces.shard)], "h1 bigint, h2 bigint, part int, shard int")
     placed = of_big.join(F.broadcast(at), ["h1", "h2", "part"]).select("doc_id", "size", "text_crc32", "tokens", "shard", "parts")
     rest = rows.join(F.broadcast(big), ["h1", "h2"], "left_anti").join(light, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "tokens", "shard", F.lit(1).alias("parts"))
-    return slotted(placed.unionByName(rest))
+    out = slotted(placed.unionByName(rest))
+    for x in (rows, groups):
+        unstage(x)
+    return out
 
 
 def slotted(rows: DataFrame, law: str = "bytes") -> DataFrame:

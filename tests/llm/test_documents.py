@@ -267,11 +267,46 @@ def test_every_character_of_a_long_run_counts(spark):
     assert got[900] > 0.5 > got[901]
 
 
+def test_pairs_gain_what_a_plain_model_says(spark):
+    r = random.Random(17)
+    make = lambda bad: " ".join(r.choice(["go home", "you lot", "home go"]) if r.random() < (0.5 if bad else 0.1) else r.choice(WORDS[:6]) for _ in range(25))
+    rows = [(i, make(i % 2), i % 2) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    words = toxicity.word_counts(d)
+    got = toxicity.pair_values(toxicity.with_ordinary(toxicity.toxic_pairs(d.where("toxic = 1"), 3), d.where("toxic = 0")), words)
+    one, two = ({}, {}), ({}, {})
+    for _, t, y in rows:
+        w = t.split()
+        for x in w:
+            one[y][x] = one[y].get(x, 0) + 1
+        for x in zip(w, w[1:]):
+            two[y][x] = two[y].get(x, 0) + 1
+    all_ = sum(map(len, ({**one[0], **one[1]},))) + sum(one[0].values()) + sum(one[1].values())
+    p = lambda y, v: (max(one[y].get(v, 0) - toxicity.D, 0) + toxicity.D * len(one[y]) * (one[0].get(v, 0) + one[1].get(v, 0) + 1) / all_) / sum(one[y].values())
+    known = {x for x, n in two[1].items() if n >= 3}
+    mass = lambda y, u, v: max(two[y].get((u, v), 0) - toxicity.D, 0) / one[y][u] if one[y].get(u) else 0.0
+    left = lambda y, u: max(1 - sum(mass(y, a, b) for a, b in known if a == u), 1e-6)
+    h = lambda w: toxicity.word_hash([w])
+    keys = {int(toxicity.pair_keys(h(u), h(v)).view(np.int64)[0]): (u, v) for u, v in known}
+    gains = {keys[x["key"]]: x["value"] for x in got[0].collect()}
+    assert set(gains) == known
+    for (u, v), g in gains.items():
+        assert g == pytest.approx(np.log((mass(1, u, v) + left(1, u) * p(1, v)) / (mass(0, u, v) + left(0, u) * p(0, v))) - np.log(p(1, v) / p(0, v)), abs=1e-9)
+    assert {x["key"]: x["value"] for x in got[1].collect()} == pytest.approx({int(h(u).view(np.int64)[0]): np.log(left(1, u) / left(0, u)) for u, _ in known}, abs=1e-9)
+    flat = toxicity.lookup(got[0]), toxicity.lookup(got[1])
+    seen = toxicity.gains(np.concatenate([h(w) for w in ("go", "home", "zz", "go")]), np.array([3, 0, 1]), *flat)
+    assert seen[1] == pytest.approx(gains["go", "home"], abs=1e-5) and seen[0] == seen[3] == 0
+
+
 def test_toxicity_blocks_agree(spark):
     d = spark.createDataFrame([(i, "vile words and others é " * (i % 3 + 1)) for i in range(30)], "doc_id bigint, text string")
     m = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int")
-    t = toxicity.steps(toxicity.word_counts(d.join(m, "doc_id")), rare=1)
-    one, many = ([tuple(r) for r in toxicity.features(d, t, b).orderBy("doc_id").collect()] for b in (10**6, 5))
+    both = d.join(m, "doc_id")
+    words = toxicity.word_counts(both)
+    t = toxicity.steps(words, rare=1)
+    p = toxicity.pair_values(toxicity.with_ordinary(toxicity.toxic_pairs(both.where("toxic = 1"), 1), both.where("toxic = 0"), block=2), words)
+    assert p[0].count() > 4
+    one, many = ([tuple(r) for r in toxicity.features(d, t, *p, block=b).orderBy("doc_id").collect()] for b in (10**6, 5))
     assert [r[:2] for r in one] == [r[:2] for r in many] and all(a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(one, many))
 
 

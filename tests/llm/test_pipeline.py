@@ -40,3 +40,21 @@ def test_near_copies_of_four_fifths_go(spark, tmp_path):
     docs = spark.createDataFrame([(0, " ".join(w)), (1, " ".join(x)), (2, "quite another text of a few words")], "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
     assert minhash.least_same(80) <= minhash.least_same(85) <= 14
+
+
+def test_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
+    text = "some plain words of a document that stands alone in this table for the test of repeated rows"
+    other = "quite another text of other words that has nothing in common with the first one at all here"
+    rows = [(1, text, "en", "s", len(text), 7), (1, text, "en", "s", len(text), 7), (2, text, "en", "s", len(text), 8), (2, other, "en", "s", len(other), 8), (None, other, "en", None, None, 9), (3, None, "en", "s", 0, 1), (4, "", None, "s", 0, 1)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _text bigint"
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, sf = spark.createDataFrame(rows, schema), str(tmp_path)
+    kept = lambda f: sorted((str(r["doc_id"]), r["text"] or "") for r in f(spark, docs, sf).collect())
+    every = sorted((str(r[0]), r[1] or "") for r in rows)
+    assert kept(corpus_pipeline.language) == [x for x in every if x[1]]
+    assert kept(corpus_pipeline.lines) == every and kept(corpus_pipeline.decontaminate) == every
+    # the copy under id 2 goes, its other text stays; rows that repeat id and text stay together
+    assert kept(corpus_pipeline.near_duplicates) == sorted(x for x in every if x != ("2", text))
+    assert corpus_pipeline.pack(spark, docs, sf).count() == len(rows)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), sf).count() == 0

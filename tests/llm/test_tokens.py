@@ -158,3 +158,12 @@ def test_ties_take_the_earliest_start(scores):
     c = tokencount.UnigramCounter([("<unk>", 0.0), *scores[:-1]])
     for x in ("ab", "ba", "aab", "abab", "bb", "xy", "axyza", "x", "xx a yx", "é漢x"):
         assert c.texts(pa.array([x]))[0][0] == len(t.encode(x).ids), x
+
+
+def test_repeats_null_ids_and_nothing(spark):
+    d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "x"), (2, None)], "doc_id bigint, text string")
+    got = packing.best_fit(d, most=16).collect()
+    assert len(got) == 4 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4 and sorted(r["length"] for r in got) == [1, 2, 4, 4]
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(d).collect())
+    assert len(got) == 4 and got[0] == got[1] and ("2", 0) in got
+    assert tokencount.token_counts(d.limit(0)).count() == 0 and packing.best_fit(d.limit(0)).count() == 0
