@@ -270,3 +270,11 @@ def test_alike_vectors_in_blocks(spark):
     n = lambda x: sum(a * a for a in x) ** 0.5
     want = {(i, j) for i, a in v for j, b in v if i < j and n(a) and n(b) and round(sum(x * y for x, y in zip(a, b)) / n(a) / n(b), 6) >= 0.8}
     assert {(x["i"], x["j"]) for x in retrieval.similar_pairs(df, 0.8, block=17).collect()} == want
+
+
+def test_alike_is_the_ratio(spark):
+    r = random.Random(3)
+    texts = ["", "a", "é" * 5] + ["".join(r.choice("abcdeé ") for _ in range(r.randint(1, 40))) for _ in range(60)]
+    pairs = [(a, b if r.random() < 0.5 else a[: len(a) // 2] + a[len(a) // 2 + 1 :]) for a, b in zip(texts, reversed(texts))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.alike(F.col("a"), F.col("b"), 0.85).alias("x")).collect()
+    assert [x["x"] for x in got] == [similarity.indel_ratio(x["a"], x["b"]) >= 0.85 for x in got]
