@@ -258,16 +258,15 @@ def _re(p: str) -> str:
     return p.replace("'", "''")
 
 
-PROFILE_SQL = rf"""{v.ctes('papers')}, pn AS (SELECT doc_id, text, CAST(1 + doc_id % 60 AS INT) AS page_count FROM papers),
-f AS (SELECT doc_id, page_count, regexp_matches(text, '{_re(profile.CHAPTER)}') AS chapters_detected, regexp_matches(text, '{_re(profile.ABSTRACT)}') AS abstract_present, regexp_matches(text, '{_re(profile.REFERENCES)}') AND page_count <= 5 AS references_present, regexp_matches(text, '{_re(profile.DOI)}') AS has_doi, doc_id % 6 = 0 AS toc_present FROM pn),
+PROFILE_SQL = rf"""{v.ctes('papers')}, pl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM papers),
+pp AS (SELECT doc_id, CAST(n // 5 + 1 AS INT) AS page_num, string_agg(line, chr(10) || chr(10) ORDER BY n) AS t FROM pl GROUP BY doc_id, n // 5),
+f AS (SELECT doc_id, max(page_num) AS page_count, bool_or(page_num = 1 AND regexp_matches(t, '{_re(profile.CHAPTER)}')) AS chapters_detected, bool_or(page_num = 1 AND regexp_matches(t, '{_re(profile.ABSTRACT)}')) AS abstract_present,
+  coalesce(max(page_num) FILTER (WHERE regexp_matches(t, '{_re(profile.REFERENCES)}')) > max(page_num) - 5, FALSE) AS references_present, bool_or(page_num = 1 AND regexp_matches(t, '{_re(profile.DOI)}')) AS has_doi, doc_id % 6 = 0 AS toc_present FROM pp GROUP BY doc_id),
 g AS (SELECT *, CASE WHEN 2 * abstract_present::INT + 2 * references_present::INT + 3 * has_doi::INT + (page_count BETWEEN 5 AND 30)::INT >= 4 THEN 'research_paper' WHEN 3 * chapters_detected::INT + 2 * toc_present::INT + 2 * (page_count > 50)::INT >= 4 THEN 'textbook' ELSE 'unknown' END AS doc_type FROM f)"""
 
 
 def _profiles(spark, sf):
-    p = v.papers(spark, sf).withColumn("n", (1 + F.col("doc_id") % 60).cast("int"))
-    pages = p.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(1), "n"))).alias("page_num"), "text")
-    pages = pages.select("doc_id", "page_num", F.when(F.col("page_num") == 1, F.col("text")).otherwise("").alias("raw_text"))
-    return profile.features(pages, v.table(spark, sf, "documents").where("doc_id % 6 = 0").select("doc_id"))
+    return profile.features(v.paged(v.papers(spark, sf)), v.table(spark, sf, "documents").where("doc_id % 6 = 0").select("doc_id"))
 
 
 @query("doc_profile_classify", PROFILE_SQL + " SELECT doc_id, CAST(page_count AS BIGINT) AS page_count, chapters_detected, abstract_present, references_present, has_doi, toc_present, doc_type FROM g")
