@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import only, stage, text_or_empty, unstage
+from leafmill.llm.common import scan, stage, text_or_empty, tokenizer_path, unstage
+from leafmill.llm.tokens import bpe
 from leafmill.plans.ship import ship
 
 CELL = 8_192
@@ -40,21 +42,28 @@ def place(loads: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out
 
 
-def balanced(docs: DataFrame, shards: int = 8, tokens: F.Column | None = None, cell: int = CELL) -> DataFrame:
+def measured(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, tokens, h1, h2 of each row; tokens are counted by the tokenizer, without special ones."""
+    text = text_or_empty()
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    path = tokenizer or tokenizer_path()
+
+    def one(b: pa.RecordBatch) -> dict:
+        return {**{c: b.column(c) for c in ("doc_id", "size", "text_crc32", "h1", "h2")}, "tokens": bpe(path).encode(b.column("text"))[1]}
+
+    return scan(rows, "doc_id bigint, size bigint, text_crc32 bigint, tokens bigint, h1 bigint, h2 bigint", one)
+
+
+def balanced(docs: DataFrame, shards: int = 8, tokenizer: str | None = None, cell: int = CELL) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens, group_parts of each row.
 
-    Size is the text's UTF-8 bytes plus 1. Tokens are words between spaces unless given. A null text counts as empty;
+    Size is the text's UTF-8 bytes plus 1. Tokens are byte-level BPE's unless another tokenizer file is given. A null text counts as empty;
     all empty texts are one group. Repeated rows are rows of one group. An empty table gives none. A null doc_id is
     hashed like any other. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    text = text_or_empty()
-    words = tokens if tokens is not None else F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), words.cast("bigint").alias("tokens"),
-        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
-    )
+    rows = measured(docs, tokenizer)
     rows = stage(rows, "sizes")
     groups = stage(rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
     got = groups.agg(*[F.sum(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("n")).first()

@@ -1,5 +1,6 @@
 """Deduplication, filters and shards against plain models and planted cases."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -13,6 +14,15 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import decontam, fingerprint, langid, linedup, minhash, sharding, toxicity
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    from leafmill.llm.common import tokenizer_path
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu", "nu", "xi", "omi", "pi", "rho", "sigma", "tau", "ups"]
 
 
@@ -182,6 +192,7 @@ def test_shards(spark, texts):
     assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
     for r in got:
         raw = (texts[r["doc_id"]] or "").encode()
+        assert r["tokens"] == len(library().encode(texts[r["doc_id"]] or "").ids)
         assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
     for s in {r["shard"] for r in got}:
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
@@ -189,6 +200,9 @@ def test_shards(spark, texts):
     if len(texts) == 400:
         sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
         assert max(sizes) - min(sizes) <= max(r["size"] for r in got)
+        for c in ("tokens", "rows"):
+            loads = [sum(r[c] if c == "tokens" else 1 for r in got if r["shard"] == s) for s in range(8)]
+            assert max(loads) <= 1.15 * sum(loads) / 8, c
         assert all(len({r["shard"] for r in got if texts[r["doc_id"]] == t}) == 1 for t in texts)
 
 
