@@ -293,7 +293,12 @@ def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent
     # buckets that are settled or covered by pairs go no further
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     mixed = stage(mixed.where((F.col("n") > FEW) & (F.col("r1") != F.col("r2"))).select("key", "n"), "mixed")
-    rows = rows.join(broadcast_if_small(mixed, mixed.count()), "key")
+    k = mixed.count()
+    if not k:
+        for x in (rooted, mixed):
+            unstage(x)
+        return stage(docs.sparkSession.createDataFrame([], "a bigint, b bigint"), "links")
+    rows = rows.join(broadcast_if_small(mixed, k), "key")
     # rows of block x meet each block y in the block pair (least, greatest)
     g = F.ceil(F.col("n") / block).cast("int")
     rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), g - 1)))
