@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontam, fingerprint, langid, linedup, minhash, packing, sharding, tokenbin, tokencount, toxicity
+from leafmill.llm import centroids, decontam, divergence, fingerprint, langid, linedup, minhash, packing, sharding, tokenbin, tokencount, toxicity, windows
 from leafmill.llm.common import shared_dir
 
 
@@ -57,6 +57,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_near_equal_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_equal_windows(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_fingerprints": op2_fingerprints,
@@ -68,5 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_near_equal_packing": op12_near_equal_packing,
+    "op13_centroids": op13_centroids,
+}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": linedup.LINE_SQL,
+    "op11_source_divergence": divergence.AUDIT_SQL,
+    "op13_centroids": centroids.cluster_sql(),
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": linedup.LINE_SQL}
