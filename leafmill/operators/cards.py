@@ -121,16 +121,17 @@ def reviewed(cards: DataFrame, reviews: DataFrame, least: float = 7.0, allow_edi
     """Cards with a score of at least ``least``, with the reviewer's edits.
 
     ``reviews``: card_ord, score, issues, edit_front, edit_back. A card without a review stays as it is; a review
-    without a score counts as 5. An edited front of a cloze card replaces its cloze text.
+    without a score counts as 5. Edits are taken as they stand, empty ones too; null is no edit. An edited front is the
+    front of every card, and the cloze text of cloze cards as well.
     """
-    r = reviews.select("card_ord", F.coalesce("score", F.lit(5.0)).alias("review_score"), "issues", *[strip(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("edit_front", "edit_back")], F.lit(True).alias("_r"))
+    r = reviews.select("card_ord", F.coalesce("score", F.lit(5.0)).alias("review_score"), "issues", F.col("edit_front").alias("_front"), F.col("edit_back").alias("_back"), F.lit(True).alias("_r"))
     out = cards.join(r, "card_ord", "left").where(F.col("_r").isNull() | (F.col("review_score") >= least))
-    front, back = [F.lit(allow_edits) & F.coalesce(F.col(f"_edit_{k}") != "", F.lit(False)) for k in ("front", "back")]
-    cloze = F.col("note_type") == "Cloze"
+    front, back = [F.when(F.lit(allow_edits), F.col(c)) for c in ("_front", "_back")]
     return out.select(
         *[c for c in cards.columns if c not in ("front", "back", "cloze_text")],
-        F.when(front & ~cloze, F.col("_edit_front")).otherwise(F.col("front")).alias("front"), F.when(back, F.col("_edit_back")).otherwise(F.col("back")).alias("back"),
-        F.when(front & cloze, F.col("_edit_front")).otherwise(F.col("cloze_text")).alias("cloze_text"), "review_score", F.col("issues").alias("review_issues"), (front | back).alias("review_edited"),
+        F.coalesce(front, "front").alias("front"), F.coalesce(back, "back").alias("back"),
+        F.when((F.col("note_type") == "Cloze") & front.isNotNull(), front).otherwise(F.col("cloze_text")).alias("cloze_text"),
+        "review_score", F.col("issues").alias("review_issues"), (front.isNotNull() | back.isNotNull()).alias("review_edited"),
     )
 
 
@@ -141,7 +142,7 @@ def of_quality(cards: DataFrame, least: dict[str, float | None]) -> DataFrame:
 
 
 def mock_responses(chunks: DataFrame, strategy: str = "key_points", most: int = 2) -> DataFrame:
-    """A deterministic stand-in for a model: one card for each of the first lines of a chunk, as JSON."""
+    """A deterministic stand-in for a model in tests and dry runs, never used unless given: one card for each of the first lines of a chunk, as JSON."""
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: strip(x) != ""), 1, most)
     if STRATEGIES[strategy][0] == "Cloze":
         one = lambda x: F.struct(F.concat(F.lit("{{c1::"), F.substring_index(x, " ", 1), F.lit("}} is defined.")).alias("cloze_text"), x.alias("extra"))
@@ -150,40 +151,6 @@ def mock_responses(chunks: DataFrame, strategy: str = "key_points", most: int =
     return chunks.select("doc_id", "chunk_index", "start_page", F.lit(strategy).alias("strategy"), F.to_json(F.struct(F.transform(lines, one).alias("cards"))).alias("content"))
 
 
-def generate(chunks: DataFrame, model, strategy: str, prompt: Column) -> DataFrame:
-    """Calls ``model(prompts: list[str]) -> list[str]`` on Arrow batches. The result is neither cheap nor repeatable:
-    write it before it is used twice."""
-    import pyarrow as pa
-
-    rows = chunks.select("doc_id", "chunk_index", "start_page", F.lit(strategy).alias("strategy"), prompt.alias("prompt"))
-    schema = "doc_id bigint, chunk_index int, start_page int, strategy string, content string"
-
-    def run(batches):
-        for b in batches:
-            out = model(b.column("prompt").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.string())], names=["doc_id", "chunk_index", "start_page", "strategy", "content"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def cached_generate(prompts: DataFrame, cache: DataFrame, model) -> tuple[DataFrame, DataFrame]:
-    """(responses of all prompts by key, the new ones): only prompts whose key isn't in ``cache`` (key, content) are sent.
-
-    ``prompts``: prompt, model, params. The key is a SHA-256 of the three.
-    """
-    import pyarrow as pa
-
-    keyed = prompts.withColumn("key", F.sha2(F.concat_ws("\x1f", "prompt", "model", "params"), 256))
-    todo = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "prompt")
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(model(b.column("prompt").to_pylist()), pa.string())], names=["key", "content"])
-
-    new = todo.mapInArrow(run, "key string, content string")
-    return keyed.join(cache.select("key", "content").unionByName(new), "key"), new
-
-
 def finalised(cards: DataFrame, deck: str, now: Column | None = None) -> DataFrame:
     """Adds deck, media, longtext, my_notes and both timestamps."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if now is None else now

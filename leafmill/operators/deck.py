@@ -53,13 +53,13 @@ def decks(cards: DataFrame, name: str, structure: str = "flat") -> DataFrame:
 
 
 def source_info() -> Column:
-    """File name, page or pages, section, with commas."""
+    """struct(source, page, section): the file's name (Unknown where there is none), its page or pages, its section. Pages
+    may be numbers or texts; where no first page is known the range is empty."""
     path = F.coalesce(F.col("source_pdf"), F.lit(""))
-    name = F.when(path == "", "Unknown").otherwise(F.element_at(F.split(path, "/"), -1))
-    a, b = F.col("page_start").cast("string"), F.col("page_end").cast("string")
-    page = F.when(a.isNull(), None).when(b.isNull() | (a == b), F.concat(F.lit("p. "), a)).otherwise(F.concat(F.lit("pp. "), a, F.lit("-"), b))
-    section = F.when(F.coalesce(strip(F.col("section")) != "", F.lit(False)), F.col("section"))
-    return F.concat_ws(", ", name, page, section)
+    name = F.when(path == "", "Unknown").otherwise(F.regexp_extract(path, "([^/]*)/*$", 1))
+    a, b = [F.nullif(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("0")) for c in ("page_start", "page_end")]
+    page = F.when(a.isNull(), "").when(b.isNull() | (a == b), F.concat(F.lit("p. "), a)).otherwise(F.concat(F.lit("pp. "), a, F.lit("-"), b))
+    return F.struct(name.alias("source"), page.alias("page"), F.coalesce(F.col("section"), F.lit("")).alias("section"))
 
 
 def deck_tags(most: int = 20) -> Column:
@@ -70,20 +70,26 @@ def deck_tags(most: int = 20) -> Column:
 
 
 def notes(cards: DataFrame, name: str, structure: str = "flat") -> DataFrame:
-    """guid, deck, model, fields array<string>, tags. Rows of other types than Basic and Cloze make no note."""
-    e = lambda c: F.coalesce(c, F.lit(""))
-    basic = F.array(*map(e, ("front", "back", "extra")), source_info(), *map(e, ("ref_citation", "core_concept", "id")))
-    cloze = F.array(*map(e, ("cloze_text", "extra")), source_info(), *map(e, ("ref_citation", "core_concept", "id")))
-    out = cards.where(F.col("note_type").isin("Basic", "Cloze"))
-    return out.select(F.col("id").alias("guid"), deck_of(name, structure).alias("deck"), F.col("note_type").alias("model"), F.when(F.col("note_type") == "Basic", basic).otherwise(cloze).alias("fields"), deck_tags().alias("tags"))
+    """guid, deck, model, fields array<string>, tags. The fields are those of ``NOTE_FIELDS``, in its order. Rows of other
+    types than Basic and Cloze make no note."""
+    rows = cards.where(F.col("note_type").isin("Basic", "Cloze")).select("*", source_info().alias("_info"), deck_tags().alias("_tags"))
+    text = lambda c: math_content(F.coalesce(c, F.lit("")))
+    about = [F.col("_info.source"), F.col("_info.page"), F.col("_info.section"), F.array_join("_tags", ";")]
+    basic = F.array(text("front"), text("back"), *about, text("extra"))
+    cloze = F.array(text("cloze_text"), text("extra"), *about)
+    return rows.select(
+        F.coalesce("id", F.lit("")).alias("guid"), deck_of(name, structure).alias("deck"), F.col("note_type").alias("model"),
+        F.when(F.col("note_type") == "Basic", basic).otherwise(cloze).alias("fields"), F.col("_tags").alias("tags"),
+    )
 
 
 def previews(cards: DataFrame, n: int = 10, note_type: str | None = None) -> DataFrame:
-    """The first cards as they are shown: both sides cut at 80 characters, three tags, page range, short id."""
+    """The first cards by card_ord as they are shown: both sides cut at 80 characters, three tags, page range, short id. Pages
+    may be numbers or the texts of a saved table."""
     c = cards if note_type is None else cards.where(F.col("note_type") == note_type)
     cloze = F.col("note_type") == "Cloze"
     cut = lambda x: F.when(F.length(x) > 80, F.concat(F.left(x, F.lit(80)), F.lit("..."))).otherwise(x)
     more = F.size("tags") - 3
     tags = F.concat(F.array_join(F.slice("tags", 1, 3), ", "), F.when(more > 0, F.format_string(" (+%d)", more)).otherwise(""))
-    pages = F.when(F.col("page_start").isNotNull(), F.format_string("%d-%d", "page_start", "page_end")).otherwise("")
+    pages = F.when(F.col("page_start").isNotNull(), F.concat(F.col("page_start").cast("string"), F.lit("-"), F.coalesce(F.col("page_end").cast("string"), F.lit("?")))).otherwise("")
     return c.orderBy("card_ord").limit(n).select("card_ord", F.left("id", F.lit(12)).alias("short_id"), "note_type", cut(F.when(cloze, F.col("cloze_text")).otherwise(F.col("front"))).alias("side_a"), cut(F.when(cloze, F.col("extra")).otherwise(F.col("back"))).alias("side_b"), tags.alias("tags"), pages.alias("pages"))

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import strip
 from leafmill.plans.ship import ship
 
 #: A model takes (system prompt or None, prompt) and gives (content, tokens in, tokens out).
@@ -106,7 +105,7 @@ def parse_reviews(rows: DataFrame) -> DataFrame:
     return v.select(
         "card_ord", F.coalesce(F.when(score.isNotNull(), part("id")), "id").alias("id"), F.coalesce(score, F.lit(FALLBACK)).alias("score"),
         F.when(score.isNull(), F.array(F.lit("no usable review"))).otherwise(issues).alias("issues"),
-        *[F.when(score.isNotNull(), strip(part(f"edited.{k}"))).alias(f"edit_{k}") for k in ("front", "back")],
+        *[F.when(score.isNotNull(), part(f"edited.{k}")).alias(f"edit_{k}") for k in ("front", "back")],
     )
 
 

@@ -26,7 +26,9 @@ def _blank(c: str) -> Column:
 def issues(cards: DataFrame, media_files: DataFrame | None = None) -> DataFrame:
     """severity, rule, field, note_type, n: one row for each kind of problem found; none for a sound table.
 
-    All counts come from one pass over the table (duplicates and media have their own). ``media_files``: name.
+    All counts come from one pass over the table (duplicates and media have their own). ``media_files``: name. A field that
+    a note type of the table needs and the table lacks is an error (n: the rows of that type). Content of one to four
+    characters is short, blanks included; empty texts are as good as null ones.
     """
     have = set(cards.columns)
     rows: list[tuple[str, str, str, str]] = []
@@ -42,7 +44,7 @@ def issues(cards: DataFrame, media_files: DataFrame | None = None) -> DataFrame:
     empty = [c for c in REQUIRED if c in have]
     if "id" in have:
         rule("error", "empty_id", "id", "", _blank("id"))
-        rule("warning", "id_length", "id", "", ~_blank("id") & ~F.length("id").between(4, 100))
+        rule("warning", "id_length", "id", "", (F.col("id") != "") & ~F.length(strip(F.col("id").cast("string"))).between(4, 100))
     for c in ("page_start", "page_end"):
         if c in have:
             rule("warning", "page_not_numeric", c, "", ~_blank(c) & F.col(c).cast("string").try_cast("double").isNull())
@@ -54,6 +56,8 @@ def issues(cards: DataFrame, media_files: DataFrame | None = None) -> DataFrame:
             for f in fields:
                 if f in have:
                     rule("error", "empty_field", f, t, (kind == t) & _blank(f))
+                else:
+                    rule("error", "missing_field", f, t, kind == t)
         if "cloze_text" in have:
             rule("error", "no_cloze", "cloze_text", "Cloze", (kind == "Cloze") & ~_blank("cloze_text") & (cloze_count(F.col("cloze_text")) == 0))
             rule("warning", "many_cloze", "cloze_text", "Cloze", (kind == "Cloze") & (cloze_count(F.col("cloze_text")) > 5))
@@ -62,7 +66,7 @@ def issues(cards: DataFrame, media_files: DataFrame | None = None) -> DataFrame:
             rule("warning", "long_content", f, "", F.length(f) > 10_000)
     for f in ("front", "back", "cloze_text"):
         if f in have:
-            rule("warning", "short_content", f, "", F.length(strip(F.col(f))).between(1, 4))
+            rule("warning", "short_content", f, "", F.length(f).between(1, 4))
     for c in empty:
         rows.append(("warning", "empty_column", c, ""))
         counts.append(((F.count(F.lit(1)) > 0) & (F.count(c) == 0)).cast("bigint"))
@@ -122,7 +126,9 @@ def duplicate_ids(cards: DataFrame) -> DataFrame:
 
 
 def media_names(cards: DataFrame) -> DataFrame:
-    return cards.select(F.explode(F.split(F.coalesce("media", F.lit("")), ";")).alias("name")).select(strip(F.col("name")).alias("name")).where("name <> ''").distinct()
+    """Distinct names; ``media`` is a list or a text with semicolons."""
+    each = F.col("media") if dict(cards.dtypes)["media"].startswith("array") else F.split(F.coalesce("media", F.lit("")), ";")
+    return cards.select(F.explode(each).alias("name")).select(strip(F.col("name")).alias("name")).where("name <> ''").distinct()
 
 
 def missing_media(cards: DataFrame, files: DataFrame) -> DataFrame:

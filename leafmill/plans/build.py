@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from leafmill.operators import cards as cd
 from leafmill.operators import chunking, deck
 from leafmill.operators.telemetry import used
+from leafmill.plans.cards import Generator, responses
 from leafmill.plans.config import Config
+from leafmill.plans.store import settle
 from leafmill.sources import files, sinks
 
 
@@ -27,12 +29,13 @@ def build_deck(spark: SparkSession, config: Config, csv_path: str | None = None,
     return {"path": path, "total_cards": made, "skipped": n - made, "decks": [r["deck"] for r in decks.orderBy("deck").collect()], "note_types": kinds["note_types"], "strategies": kinds["strategies"]}
 
 
-def samples(pages: DataFrame, strategies: list[str], budget: int = 2000, most: int = 2) -> DataFrame:
-    """A look before a run: up to ``most`` cards of each strategy from the first chunk of each document's first three pages."""
+def samples(pages: DataFrame, strategies: list[str], budget: int = 2000, most: int = 2, ask: Generator | None = None) -> DataFrame:
+    """A look before a run: up to ``most`` cards of each strategy from the first chunk of each document's first three pages,
+    made as in a run (see ``responses``)."""
     first = chunking.by_pages(pages.where("page_num <= 3"), budget).where("chunk_index = 0")
     out = None
     for s in strategies:
-        got = cd.parse_responses(cd.mock_responses(first, s, most)).withColumn("preview", F.left(F.coalesce(F.nullif("front", F.lit("")), "cloze_text"), F.lit(200)))
+        got = cd.parse_responses(settle(responses(first, s, ask=ask))).where(F.col("card_no") < most).withColumn("preview", F.left(F.coalesce(F.nullif("front", F.lit("")), "cloze_text"), F.lit(200)))
         out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("no strategy is given")

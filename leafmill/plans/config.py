@@ -220,8 +220,7 @@ class Config:
         if flat := sorted(homes.keys() & data.keys()):
             warnings.warn(f"sections {', '.join(flat)} on top are read as parts of 'pipeline' and 'generate'", DeprecationWarning, stacklevel=2)
             for name in flat:
-                home = data.setdefault(homes[name], {})
-                data[homes[name]] = {**home, name: data.pop(name)}
+                data[homes[name]] = {**(data.get(homes[name]) or {}), name: data.pop(name)}
         return _build(cls, data, "")
 
     @classmethod

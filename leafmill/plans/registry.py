@@ -368,22 +368,22 @@ def figure_chunk_semijoin(spark, sf):
     return cd.figure_chunks(p, i).select("doc_id")
 
 
-REVIEWS = """SELECT doc_id AS card_ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) + 0.5 END AS score, CASE WHEN doc_id % 4 = 0 THEN 'edited ' || CAST(doc_id AS VARCHAR(20)) ELSE '' END AS edit_front, CASE WHEN doc_id % 6 = 0 THEN ' back ' ELSE NULL END AS edit_back FROM documents WHERE doc_id % 7 <> 0"""
+REVIEWS = """SELECT doc_id AS card_ord, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) + 0.5 END AS score, CASE WHEN doc_id % 4 = 0 THEN 'edited ' || CAST(doc_id AS VARCHAR(20)) WHEN doc_id % 4 = 1 THEN '' ELSE NULL END AS edit_front, CASE WHEN doc_id % 6 = 0 THEN ' back ' ELSE NULL END AS edit_back FROM documents WHERE doc_id % 7 <> 0"""
 
 
-@query("review_apply", f"""{C}, r AS (SELECT card_ord, coalesce(score, 5.0) AS s, trim(coalesce(edit_front, '')) AS ef, trim(coalesce(edit_back, '')) AS eb FROM ({REVIEWS}))
-SELECT c.card_ord, CASE WHEN ef <> '' AND note_type <> 'Cloze' THEN ef ELSE front END AS front, CASE WHEN eb <> '' THEN eb ELSE back END AS back, CASE WHEN ef <> '' AND note_type = 'Cloze' THEN ef ELSE cloze_text END AS cloze_text, coalesce(s, -1.0) AS score, coalesce(ef <> '', FALSE) OR coalesce(eb <> '', FALSE) AS edited
+@query("review_apply", f"""{C}, r AS (SELECT card_ord, coalesce(score, 5.0) AS s, edit_front AS ef, edit_back AS eb FROM ({REVIEWS}))
+SELECT c.card_ord, coalesce(ef, front) AS front, coalesce(eb, back) AS back, CASE WHEN note_type = 'Cloze' AND ef IS NOT NULL THEN ef ELSE cloze_text END AS cloze_text, coalesce(s, -1.0) AS score, ef IS NOT NULL OR eb IS NOT NULL AS edited
 FROM cards c LEFT JOIN r ON r.card_ord = c.card_ord WHERE s IS NULL OR s >= 7""")
 def review_apply(spark, sf):
     r = v._sql(spark, REVIEWS, documents=v.table(spark, sf, "documents")).withColumn("issues", F.array(F.lit("none")))
     return cd.reviewed(cards(spark, sf), r).select("card_ord", "front", "back", "cloze_text", F.coalesce("review_score", F.lit(-1.0)).alias("score"), F.col("review_edited").alias("edited"))
 
 
-@query("review_metrics", f"""WITH r AS (SELECT coalesce(score, 5.0) >= 7 AS kept, edit_front <> '' AS e FROM ({REVIEWS})), m AS (SELECT count(*) AS reviewed, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE kept AND e) AS edited FROM r)
+@query("review_metrics", f"""WITH r AS (SELECT coalesce(score, 5.0) >= 7 AS kept, coalesce(edit_front <> '', FALSE) AS e FROM ({REVIEWS})), m AS (SELECT count(*) AS reviewed, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE kept AND e) AS edited FROM r)
 SELECT *, round_even(dropped / greatest(reviewed, 1), 3) AS drop_rate, round_even(edited / greatest(reviewed, 1), 3) AS edit_rate FROM m""")
 def review_metrics(spark, sf):
     r = v._sql(spark, REVIEWS, documents=v.table(spark, sf, "documents"))
-    return telemetry.review_metrics(r.select("score", (F.col("edit_front") != "").alias("edited")))
+    return telemetry.review_metrics(r.select("score", F.coalesce(F.col("edit_front") != "", F.lit(False)).alias("edited")))
 
 
 RESPONSES = """SELECT doc_id AS card_ord, 'card' || CAST(doc_id AS VARCHAR(20)) AS id, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[7]' WHEN 3 THEN '{"issues": ["no score"]}' WHEN 4 THEN '{"score": "8.5"}'
@@ -391,7 +391,7 @@ RESPONSES = """SELECT doc_id AS card_ord, 'card' || CAST(doc_id AS VARCHAR(20))
 
 
 @query("review_parse", f"""WITH r AS ({RESPONSES}), v AS (SELECT *, CASE WHEN json_valid(content) AND json_type(content) = 'OBJECT' THEN content END AS j FROM r), s AS (SELECT *, TRY_CAST(j->>'$.score' AS DOUBLE) AS s FROM v)
-SELECT card_ord, CASE WHEN s IS NULL THEN id ELSE coalesce(j->>'$.id', id) END AS id, coalesce(s, 5.0) AS score, CASE WHEN s IS NULL THEN 'no usable review' ELSE coalesce(array_to_string(CAST(j->'$.issues' AS VARCHAR[]), ','), '') END AS issues, CASE WHEN s IS NOT NULL THEN trim(j->>'$.edited.front') END AS edit_front FROM s""")
+SELECT card_ord, CASE WHEN s IS NULL THEN id ELSE coalesce(j->>'$.id', id) END AS id, coalesce(s, 5.0) AS score, CASE WHEN s IS NULL THEN 'no usable review' ELSE coalesce(array_to_string(CAST(j->'$.issues' AS VARCHAR[]), ','), '') END AS issues, CASE WHEN s IS NOT NULL THEN j->>'$.edited.front' END AS edit_front FROM s""")
 def review_parse(spark, sf):
     r = generation.parse_reviews(v._sql(spark, RESPONSES, documents=v.table(spark, sf, "documents")))
     return r.select("card_ord", "id", "score", F.array_join("issues", ",").alias("issues"), "edit_front")
@@ -521,11 +521,16 @@ def _blank(c: str) -> str:
 
 
 VALIDATE_SQL = f"{C}, i AS (" + " UNION ALL ".join([
-    _rule("error", "empty_id", "id", "", _blank("id")), _rule("warning", "id_length", "id", "", f"NOT {_blank('id')} AND NOT length(id) BETWEEN 4 AND 100"),
+    _rule("error", "empty_id", "id", "", _blank("id")), _rule("warning", "id_length", "id", "", f"id <> '' AND NOT length({strip('id')}) BETWEEN 4 AND 100"),
+    *[f"SELECT 'warning', 'empty_column', '{c}', '', CAST(count(*) > 0 AND count({c}) = 0 AS BIGINT) FROM cards" for c in ("id", "deck", "note_type", "tags", "media")],
+    *[_rule("warning", "page_not_numeric", c, "", f"trim(CAST({c} AS VARCHAR)) <> '' AND TRY_CAST({c} AS DOUBLE) IS NULL") for c in ("page_start", "page_end")],
+    _rule("error", "missing_note_type", "note_type", "", "note_type IS NULL"),
     _rule("warning", "unknown_note_type", "note_type", "", "note_type NOT IN ('Basic', 'Cloze')"),
     *[_rule("error", "empty_field", f, t, f"note_type = '{t}' AND {_blank(f)}") for t, f in (("Basic", "front"), ("Basic", "back"), ("Cloze", "cloze_text"))],
     _rule("error", "no_cloze", "cloze_text", "Cloze", f"note_type = 'Cloze' AND NOT {_blank('cloze_text')} AND len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) = 0"),
-    *[_rule("warning", "short_content", f, "", f"length({strip(f)}) BETWEEN 1 AND 4") for f in ("front", "back", "cloze_text")],
+    _rule("warning", "many_cloze", "cloze_text", "Cloze", f"note_type = 'Cloze' AND len(regexp_extract_all(cloze_text, '{CLOZE_RE}')) > 5"),
+    *[_rule("warning", "long_content", f, "", f"length({f}) > 10000") for f in ("front", "back", "cloze_text", "extra")],
+    *[_rule("warning", "short_content", f, "", f"length({f}) < 5 AND {f} <> ''") for f in ("front", "back", "cloze_text")],
     "SELECT 'error', 'duplicate_id', 'id', '', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM cards GROUP BY id)",
     f"SELECT 'warning', 'missing_media', 'media', '', count(*) FROM (SELECT DISTINCT {strip('x')} AS x FROM (SELECT unnest(string_split(media, ';')) AS x FROM cards)) WHERE x <> '' AND x NOT IN ('a0.png', 'b.png')",
 ]) + ") SELECT * FROM i WHERE n > 0"
@@ -598,7 +603,9 @@ def deck_name_check(spark, sf):
 
 
 DECK = "CASE WHEN coalesce(trim(section), '') <> '' THEN 'D::' || section ELSE 'D' END"
-INFO = "concat_ws(', ', CASE WHEN source_pdf = '' THEN 'Unknown' ELSE string_split(source_pdf, '/')[-1] END, CASE WHEN page_end IS NULL OR page_end = page_start THEN 'p. ' || CAST(page_start AS VARCHAR) ELSE 'pp. ' || CAST(page_start AS VARCHAR) || '-' || CAST(page_end AS VARCHAR) END, section)"
+# source, page and section, each a field of its own
+SOURCE = "CASE WHEN coalesce(source_pdf, '') = '' THEN 'Unknown' ELSE string_split(source_pdf, '/')[-1] END"
+PAGE = "CASE WHEN page_start IS NULL OR page_start = 0 THEN '' WHEN page_end IS NULL OR page_end = 0 OR page_end = page_start THEN 'p. ' || CAST(page_start AS VARCHAR) ELSE 'pp. ' || CAST(page_start AS VARCHAR) || '-' || CAST(page_end AS VARCHAR) END"
 TAGS = f"""dt AS (SELECT card_ord, unnest(string_split(tags, ';')) AS t, unnest(range(len(string_split(tags, ';')))) AS i FROM cards UNION ALL SELECT card_ord, 'strategy:' || strategy, 100 FROM cards UNION ALL SELECT card_ord, 'type:' || note_type, 101 FROM cards),
 du AS (SELECT card_ord, lower(replace({strip('t')}, ' ', '_')) AS t, min(i) AS i FROM dt WHERE {strip('t')} <> '' GROUP BY 1, 2), dtags AS (SELECT card_ord, string_agg(t, ',' ORDER BY i) AS tags FROM du GROUP BY card_ord)"""
 
@@ -613,9 +620,9 @@ def deck_themes(spark, sf):
     return cards(spark, sf).select("card_ord", deck.deck_of("D", "by_theme").alias("deck"))
 
 
-@query("source_info", f"{C} SELECT card_ord, {INFO} AS source FROM cards")
+@query("source_info", f"{C} SELECT card_ord, {SOURCE} AS source, {PAGE} AS page, coalesce(section, '') AS section FROM cards")
 def source_info(spark, sf):
-    return cards(spark, sf).select("card_ord", deck.source_info().alias("source"))
+    return cards(spark, sf).select("card_ord", deck.source_info().alias("i")).select("card_ord", "i.*")
 
 
 @query("deck_tags", f"{C}, {TAGS} SELECT card_ord, tags FROM dtags")
@@ -623,15 +630,17 @@ def deck_tags(spark, sf):
     return tagged(spark, sf).select("card_ord", F.array_join(deck.deck_tags(), ",").alias("tags"))
 
 
-@query("build_notes", f"""{C}, {TAGS} SELECT c.card_ord, {DECK} AS deck, note_type AS model, CASE note_type WHEN 'Basic' THEN concat_ws('~', front, back, coalesce(extra, ''), {INFO}, ref_citation, core_concept, coalesce(id, '')) ELSE concat_ws('~', cloze_text, coalesce(extra, ''), {INFO}, ref_citation, core_concept, coalesce(id, '')) END AS fields, d.tags FROM cards c JOIN dtags d ON d.card_ord = c.card_ord WHERE note_type IN ('Basic', 'Cloze')""")
+NOTE_SQL = f"""SELECT c.card_ord, {DECK} AS deck, note_type AS model, CASE note_type
+  WHEN 'Basic' THEN list_value(front, back, {SOURCE}, {PAGE}, coalesce(section, ''), replace(d.tags, ',', ';'), coalesce(extra, ''))
+  ELSE list_value(cloze_text, coalesce(extra, ''), {SOURCE}, {PAGE}, coalesce(section, ''), replace(d.tags, ',', ';')) END AS f, d.tags
+  FROM cards c JOIN dtags d ON d.card_ord = c.card_ord WHERE note_type IN ('Basic', 'Cloze')"""
+
+
+@query("build_notes", f"{C}, {TAGS} SELECT card_ord, deck, model, array_to_string(f, '~') AS fields, tags FROM ({NOTE_SQL})")
 def build_notes(spark, sf):
-    c = tagged(spark, sf).where(F.col("note_type").isin("Basic", "Cloze"))
-    # the notes carry no ordinal; it rides along as the id here
-    n = deck.notes(c.withColumns({"_id": F.coalesce("id", F.lit("")), "id": F.col("card_ord").cast("string")}), "D", "by_chapter")
-    ids = c.select(F.col("card_ord").cast("string").alias("guid"), "card_ord", F.coalesce("id", F.lit("")).alias("_id"))
-    n = n.join(ids, "guid")
-    whole = F.concat(F.slice("fields", 1, F.size("fields") - 1), F.array("_id"))
-    return n.select("card_ord", "deck", "model", F.array_join(whole, "~").alias("fields"), F.array_join("tags", ",").alias("tags"))
+    # the notes carry no ordinal; it is given as their id here
+    n = deck.notes(tagged(spark, sf).withColumn("id", F.col("card_ord").cast("string")), "D", "by_chapter")
+    return n.select(F.col("guid").cast("bigint").alias("card_ord"), "deck", "model", F.array_join("fields", "~").alias("fields"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("preview_projection", f"""{C} SELECT card_ord, coalesce(substr(id, 1, 12), '') AS short_id, CASE WHEN length(a) > 80 THEN substr(a, 1, 80) || '...' ELSE a END AS side_a, array_to_string(t[1:3], ', ') || CASE WHEN len(t) > 3 THEN ' (+' || CAST(len(t) - 3 AS VARCHAR) || ')' ELSE '' END AS tags

@@ -6,12 +6,12 @@ import glob
 import os
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_text, truncate_tokens, truncate_words
+from leafmill.functions import template
+from leafmill.functions.text import truncate_tokens
 
 #: What every card table has besides its note type's own fields.
 PROVENANCE = (
@@ -52,6 +52,7 @@ class Prompt:
     parameters: dict = field(default_factory=dict)
     max_chunk_tokens: int | None = None
     truncation_strategy: str = "end"
+    folder: str = ""
 
 
 def _files(folder: str) -> list[dict]:
@@ -70,19 +71,48 @@ def _files(folder: str) -> list[dict]:
 
 
 def note_types(folder: str) -> dict[str, NoteType]:
-    return {d["name"]: NoteType(d["name"], [f["name"] if isinstance(f, dict) else f for f in d.get("fields", [])], d.get("csv_fields_order", []), str(d.get("version", "1.0"))) for d in _files(folder)}
+    """By name. Fields are a list or a mapping; the order of the columns stands at the top or under ``rendering``."""
+    def names(fields) -> list[str]:
+        return [f["name"] if isinstance(f, dict) else f for f in fields or []]  # of a mapping these are its keys
+
+    out = {}
+    for d in _files(folder):
+        order = (d.get("rendering") or {}).get("csv_fields_order") or d.get("csv_fields_order") or []
+        out[d["name"]] = NoteType(d["name"], names(d.get("fields")), list(order), str(d.get("version", "1.0")))
+    return out
 
 
 def _version(x: str) -> tuple:
     return tuple(int(p) for p in re.findall(r"\d+", x))
 
 
+def _found(folder: str, name: str) -> str | None:
+    """A template file under the folder, its ``templates`` folder, or named from the folder above."""
+    for place in (folder, os.path.join(folder, "templates"), os.path.dirname(os.path.abspath(folder))):
+        if os.path.isfile(path := os.path.join(place, name)):
+            return path
+    return None
+
+
+def _read(folder: str, name: str) -> str:
+    path = _found(folder, name)
+    if path is None:
+        raise FileNotFoundError(f"no template file {name!r} in {folder!r}")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def prompts(folder: str) -> dict[str, Prompt]:
-    """By name; of two files with one name the higher version counts."""
+    """By name; of two files with one name the higher version counts. A template stands in the file or in the one that
+    ``template_file`` names; a prompt with neither can't be rendered."""
     out: dict[str, Prompt] = {}
     for d in _files(folder):
         defaults = {k: (x.get("default") if isinstance(x, dict) else x) for k, x in (d.get("parameters") or {}).items()}
-        p = Prompt(d["name"], d.get("template", ""), str(d.get("version", "1.0")), d.get("note_type", ""), d.get("safety_rule", ""), defaults, d.get("max_chunk_tokens"), d.get("truncation_strategy", "end"))
+        limits = {**d, **(d.get("token_limits") or {})}
+        template, file = d.get("template") or "", d.get("template_file")
+        if not template and file and _found(folder, file):
+            template = _read(folder, file)
+        p = Prompt(d["name"], template, str(d.get("version", "1.0")), d.get("note_type", ""), d.get("safety_rule", ""), defaults, limits.get("max_chunk_tokens"), limits.get("truncation_strategy", "end"), folder)
         if p.name not in out or _version(p.version) >= _version(out[p.name].version):
             out[p.name] = p
     return out
@@ -95,36 +125,21 @@ def template_files(folder: str) -> list[str]:
 
 def template_file(folder: str, name: str) -> Prompt:
     """A template file as a prompt; an unknown name is an error."""
-    with open(os.path.join(folder, name), encoding="utf-8") as f:
-        return Prompt(os.path.splitext(name)[0], f.read())
-
-
-def _filtered(value: Column, how: str) -> Column:
-    if how == "clean_text":
-        return clean_text(value)
-    if m := re.fullmatch(r"truncate_words(?:\((\d+)\))?", how):
-        return truncate_words(value, int(m[1] or 100))
-    raise KeyError(f"no text filter {how!r}")
-
-
-def render(prompt: Prompt, **context: Column | str | int) -> Column:
-    """The template with ``{{ name }}`` replaced by columns or values; an unknown name is an error. Behind a name may stand
-    ``| clean_text`` or ``| truncate_words(n)``.
-
-    Cloze marks such as ``{{c1::text}}`` aren't names and stay.
-    """
-    values: dict[str, Column | str | int] = {**prompt.parameters, **context, "safety_rule": prompt.safety_rule}
-    if prompt.max_chunk_tokens and isinstance(values.get("chunk_text"), Column):
-        values["chunk_text"] = truncate_tokens(values["chunk_text"], prompt.max_chunk_tokens, prompt.truncation_strategy)
-    parts: list[Column] = []
-    for i, piece in enumerate(re.split(r"\{\{\s*([A-Za-z_]\w*(?:\s*\|\s*\w+(?:\(\d+\))?)*)\s*\}\}", prompt.template)):
-        name, *how = (x.strip() for x in piece.split("|")) if i % 2 else ("",)
-        if i % 2 == 0:
-            parts.append(F.lit(piece))
-        elif name not in values:
-            raise KeyError(f"prompt {prompt.name!r} needs {name!r}")
-        else:
-            x = values[name]
-            x = F.coalesce(x.cast("string"), F.lit("")) if isinstance(x, Column) else F.lit(str(x))
-            parts.append(reduce(_filtered, how, x))
-    return F.concat(*parts)
+    return Prompt(os.path.splitext(os.path.basename(name))[0], _read(folder, name), folder=folder)
+
+
+def render(prompt: Prompt, **context: object) -> Column:
+    """The prompt as a column. Values are columns or Python values; the prompt's own parameters and its safety rule are
+    known too. A text over ``max_chunk_tokens`` is cut first. A name that nothing gives, or a prompt without a template, is
+    an error. The language is that of ``leafmill.functions.template``."""
+    if not prompt.template:
+        raise ValueError(f"prompt {prompt.name!r} has no template")
+    values: dict[str, object] = {**prompt.parameters, **context, "safety_rule": prompt.safety_rule}
+    for name in ("chunk_text", "chunk"):
+        if prompt.max_chunk_tokens and isinstance(values.get(name), Column):
+            values[name] = truncate_tokens(values[name], prompt.max_chunk_tokens, prompt.truncation_strategy)
+    try:
+        out = template.compiled(template.parse(prompt.template), values, lambda name: _read(prompt.folder, name))
+    except KeyError as e:
+        raise KeyError(f"prompt {prompt.name!r} needs {e.args[0]!r}") from e
+    return out if isinstance(out, Column) else F.lit(out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,9 +68,25 @@ def metadata(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return out.select("path", *[given(c, stem if c == "title" else F.lit("")).alias(c) for c in METADATA])
 
 
+def with_ordinals(rows: DataFrame, name: str = "card_ord") -> DataFrame:
+    """Adds each row's place, 0, 1, ..., in the files that ``rows`` is read from: files in order of their path, the parts that
+    a large file is read in by where they begin, rows as they stand.
+
+    ``rows`` has to be a file source as read. Rows of a part have rising ids, so one pass that counts each part and finds
+    its least id gives every part's first place; only one row for each part of a file moves.
+    """
+    seen = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_begin"), F.monotonically_increasing_id().alias("_row"))
+    parts = seen.groupBy("_file", "_begin").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_begin")) - F.col("_n")
+    parts = parts.select("_file", "_begin", (before - F.col("_first")).alias("_shift"))
+    return seen.join(parts, ["_file", "_begin"]).select(*[F.col(c) for c in rows.columns], (F.col("_row") + F.col("_shift")).alias(name))
+
+
 def cards_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A card table as written: all text, with tags and media as lists; empty cells are null."""
+    """A card table as written: all text, with tags and media as lists and ``card_ord``, the row's place in the saved order
+    from 0; empty cells are null."""
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path, schema=None, inferSchema=False)
+    header = with_ordinals(header)
     lists = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), strip), lambda t: t != "")
     return header.withColumns({c: lists(c) for c in ("tags", "media") if c in header.columns})
 

@@ -272,9 +272,73 @@ def test_alike_vectors_in_blocks(spark):
     assert {(x["i"], x["j"]) for x in retrieval.similar_pairs(df, 0.8, block=17).collect()} == want
 
 
-def test_alike_is_the_ratio(spark):
+def test_search_in_cells_is_exact_and_leaves_cells_out(spark):
+    import numpy as np
+
+    from leafmill.operators import retrieval
+
+    r = np.random.default_rng(4)
+    middle = r.normal(size=(12, 16))
+    v = np.concatenate([middle[np.arange(600) % 12] + 0.05 * r.normal(size=(600, 16)), np.repeat(middle[:1], 150, axis=0), np.zeros((3, 16)), r.normal(size=(40, 16))])
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.where(n > 0, v / np.maximum(n, 1e-300), 0.0)
+    s = np.round(u @ u.T, 9)
+    asked = [*range(0, 793, 37), 750, 751]
+    q = df.where(F.col("vec_id").isin(asked)).withColumnRenamed("vec_id", "query_id")
+    index = retrieval.CellIndex(df, pivots=24, block=50)
+    got = {}
+    for x in retrieval.top_k(q, index, 4, block=50).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], round(x["score"], 6)))
+    assert got == {i: [(int(k), round(float(s[i, k]), 6)) for k in np.lexsort((np.arange(len(v)), -s[i]))[:4]] for i in asked}
+    read = {x["query_id"]: x["cells"] / x["of"] for x in retrieval.cells_read(q, index, 4, block=50).collect()}
+    assert np.median(list(read.values())) < 0.5 and read[750] == 1.0  # a zero vector has no direction to prune by
+    t = np.round(u @ u.T, 6)
+    for least in (0.9, 0.3, -0.2):
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(t >= least)) if i < j}
+        assert {(x["i"], x["j"]) for x in retrieval.similar_pairs(df, least, block=64).collect()} == want
+    assert retrieval.top_k(q.limit(0), df, 2).count() == 0 and retrieval.top_k(q, df.limit(0), 2).count() == 0 and retrieval.similar_pairs(df.limit(0), 0.5).count() == 0
+
+
+def near_copies_of(r, words, n, sizes):
+    out = []
+    for _ in range(n):
+        x = " ".join(r.choice(words) for _ in range(r.choice(sizes)))
+        out.append(x)
+        for _ in range(r.randint(0, 3)):
+            y = list(x)
+            for _ in range(r.randint(0, max(1, len(y) // 12))):
+                k = r.randrange(len(y) + 1)
+                y[k : k + r.randint(0, 1)] = r.choice("abcé ")
+            out.append("".join(y))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.85, 0.6, 0.99, 1.0])
+def test_near_texts_equal_brute_force(spark, least):
+    r = random.Random(8)
+    texts = sorted({"", "a", "b", "ab", *near_copies_of(r, ["alpha", "beta", "gamma", "été", "x"], 25, [1, 2, 5, 20, 60])})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "card_ord long, text string").withColumn("card_ord", F.col("card_ord").cast("decimal(38,0)"))
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similarity.indel_ratio(a, b) >= least}
+    # small blocks, so that bands are cut into many
+    got = [(int(x["i"]), int(x["j"])) for x in dedup.near_texts(df, least, block_chars=900).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_by_text_and_vector(spark):
+    rows = [(0, "the same words here", [1.0, 0.0]), (1, "the same words her", [0.0, 1.0]), (2, "quite another text", [1.0, 0.01]), (3, "the same words here!", [1.0, 0.0]), (4, "no vector", None)]
+    df = spark.createDataFrame(rows, "card_ord bigint, text string, embedding array<double>")
+    pairs = lambda *a: {tuple(x) for x in dedup.near_pairs(df, *a).collect()}
+    assert pairs(0.85) == {(0, 1), (0, 3), (1, 3)}
+    assert pairs(0.85, 0.9, "OR") == {(0, 1), (0, 3), (1, 3), (0, 2), (2, 3)}
+    assert pairs(0.85, 0.9, "AND") == {(0, 3)}
+    assert pairs(0.0, 0.9) == {(0, 2), (0, 3), (2, 3)} and pairs(0.0) == set()
+
+
+def test_given_up_comparisons_are_the_ratio():
     r = random.Random(3)
-    texts = ["", "a", "é" * 5] + ["".join(r.choice("abcdeé ") for _ in range(r.randint(1, 40))) for _ in range(60)]
-    pairs = [(a, b if r.random() < 0.5 else a[: len(a) // 2] + a[len(a) // 2 + 1 :]) for a, b in zip(texts, reversed(texts))]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.alike(F.col("a"), F.col("b"), 0.85).alias("x")).collect()
-    assert [x["x"] for x in got] == [similarity.indel_ratio(x["a"], x["b"]) >= 0.85 for x in got]
+    texts = ["", "a", "é" * 5] + ["".join(r.choice("abcdeé ") for _ in range(r.randint(1, 300))) for _ in range(80)]
+    for a, b in zip(texts, reversed(texts)):
+        for other in (b, a[: len(a) // 2] + a[len(a) // 2 + 3 :]):
+            for least in (0.5, 0.85):
+                assert similarity.reaches(a, other, least) == (similarity.indel_ratio(a, other) >= least)

@@ -7,7 +7,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import deck, generation
+from leafmill.operators import cards, deck, generation
 from leafmill.plans import build, templates
 from leafmill.plans import cards as plan
 from leafmill.plans.config import Config, Llm
@@ -71,7 +71,7 @@ def test_sources(spark, tmp_path):
 
 def test_whole_chain_and_files(spark, tmp_path):
     pages = spark.createDataFrame([(d, p, "\n\n".join(f"doc {d} page {p} line {i} has words of its own {hashlib.md5(f'{d}{p}{i}'.encode()).hexdigest()}" for i in range(3))) for d in (1, 2) for p in (1, 2)], "doc_id bigint, page_num int, raw_text string")
-    out = plan.build(pages, Config.from_dict({"pipeline": {"ingestion": {"chunking": {"mode": "pages", "tokens_per_chunk": 100}}, "deduplication": {"fuzzy_threshold": 0.97}}, "generate": {"strategies": {"figure_based": {"enabled": False}}}}), now=F.lit("now")).persist()
+    out = plan.build(pages, Config.from_dict({"pipeline": {"ingestion": {"chunking": {"mode": "pages", "tokens_per_chunk": 100}}, "deduplication": {"fuzzy_threshold": 0.97}}, "generate": {"strategies": {"figure_based": {"enabled": False}}}}), now=F.lit("now"), ask=cards.mock_responses).persist()
     assert out.count() > 4 and out.select("id").distinct().count() == out.count() and set(r["note_type"] for r in out.collect()) == {"Basic", "Cloze"}
     sinks.save_cards(out, str(tmp_path / "csv"), single=True)
     back = files.cards_csv(spark, str(tmp_path / "csv"))
@@ -210,5 +210,7 @@ def test_deck_from_a_saved_table(spark, tmp_path):
 
 def test_samples(spark):
     pages = spark.createDataFrame([(1, 1, "first line\nsecond\nthird"), (1, 9, "late"), (2, 1, "other")], "doc_id bigint, page_num int, raw_text string")
-    got = build.samples(pages, ["key_points", "cloze_definitions"])
+    with pytest.raises(ValueError):
+        build.samples(pages, ["key_points"])  # nobody is there to ask
+    got = build.samples(pages, ["key_points", "cloze_definitions"], ask=cards.mock_responses)
     assert {(r["doc_id"], r["strategy"]): r["count"] for r in got.groupBy("doc_id", "strategy").count().collect()} == {(1, "key_points"): 2, (1, "cloze_definitions"): 2, (2, "key_points"): 1, (2, "cloze_definitions"): 1}
