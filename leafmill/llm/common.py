@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +44,40 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafmill_path = path
+    _open.append(path)
     return out
 
 
+#: Staged tables of this process that nobody has deleted.
+_open: list[str] = []
+
+
+def staged() -> int:
+    """How many staged tables there are now: what ``clear`` takes as the place to begin at."""
+    return len(_open)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the staged tables made since. Only for when everything that reads them has been written or collected: a lazy
+    result reads its staged tables until then."""
+    for path in _open[since:]:
+        delete(spark, path)
+    del _open[since:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes a staged table that no later plan reads."""
     path = getattr(df, "_leafmill_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        delete(df.sparkSession, path)
+        if path in _open:
+            _open.remove(path)
 
 
 def only(docs: DataFrame, *columns: str | Column) -> DataFrame:
@@ -160,6 +185,29 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bits of the map that ``maybe_among`` sends to all tasks (8 MB).
+ID_BITS = 1 << 26
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str, bits: int = ID_BITS) -> DataFrame:
+    """``rows`` whose ``column`` may be among the ids, and few others: a bitmap of the ids' hashes, set by an aggregate and of a
+    fixed size, turns the rest away before anything is shuffled. What remains has still to be joined."""
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = ids.select(place.alias("b")).groupBy(F.shiftright("b", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 31))")).alias("mask")).toArrow()  # bits / 32 rows at most
+    seen = np.zeros(bits >> 5, np.uint32)
+    seen[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(seen)
+    ship(spark)
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        b = at.to_numpy()
+        return pd.Series((sent.value[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1)
+
+    return rows.where(may(place))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -31,41 +31,46 @@ def _window_hashes(lines: Column, width: int) -> Column:
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, pos, h1, h2."""
-    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    return lines.select("doc_id", F.explode(_window_hashes(F.col("lines"), width)).alias("w")).select("doc_id", "w.pos", "w.h1", "w.h2")
+    """doc_id, text_id (a hash of the text), pos, h1, h2."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.split("text", "\n").alias("lines"))
+    return lines.select("doc_id", "text_id", F.explode(_window_hashes(F.col("lines"), width)).alias("w")).select("doc_id", "text_id", "w.pos", "w.h1", "w.h2")
 
 
 def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, gone: the positions (from 0) of the lines that later occurrences cover."""
-    keys = windows(docs, width).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    """doc_id, text_id, gone: the positions (from 0) of the lines that later occurrences cover."""
+    place = F.struct("doc_id", "text_id", "pos")
+    keys = windows(docs, width).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     keys = stage(keys.where("n > 1").select("h1", "h2", "first"), "windows")
     later = windows(docs, width).join(broadcast_if_small(keys, keys.count(), BROADCAST_ROWS), ["h1", "h2"])
-    later = later.where(F.struct("doc_id", "pos") > F.col("first"))
+    later = later.where(place > F.col("first"))
     # covered positions merge as a set
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + (width - 1))))).alias("gone"))
+    return later.groupBy("doc_id", "text_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + (width - 1))))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """The input rows with ``text`` without covered lines, and with ``n_lines``, ``n_removed``.
 
     Null texts stay null (0 lines); empty texts stay empty (1 line). A document that loses all its lines has the empty
-    text. Lines are compared byte by byte as they stand. Rows that repeat a doc_id count as one document: they should
-    be made unique before. A null doc_id is never joined, so such rows keep all lines. Other columns pass through.
+    text. Lines are compared byte by byte as they stand. Rows that repeat a doc_id and text count as one document;
+    different texts under one doc_id are documents of their own, the one with the smaller hash first. A null doc_id is never
+    joined, so such rows keep all lines. An empty table gives none. Other columns pass through; n_lines and n_removed of the
+    input are replaced.
     """
-    gone = covered(docs.where("text is not null and doc_id is not null").select("doc_id", "text"), width).select(F.col("doc_id").alias("_of"), "gone")
-    rows = docs.withColumn("_lines", F.split("text", "\n")).drop("text")
-    rows = rows.join(gone, F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    at = F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone"))
-    rows = rows.withColumn("_kept", at)
-    text = F.when(F.col("_kept").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines"))
-    out = rows.withColumn("text", text).withColumn("n_lines", n).withColumn("n_removed", F.when(F.col("_kept").isNull(), 0).otherwise(n - F.size("_kept")))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    known = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    gone = covered(known, width).select(F.col("doc_id").alias("_of"), F.col("text_id").alias("_hash"), "gone")
+    # the input's columns travel as one, so no name of theirs meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.split("text", "\n").alias("lines"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(gone, (F.col("id") == F.col("_of")) & (F.col("hash") == F.col("_hash")), "left")
+    kept = F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))
+    rows = rows.select("row", "lines", kept.alias("kept"))
+    text = F.when(F.col("kept").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    n = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, text_md5 of what stays."""
+    """doc_id, n_lines, n_removed, text_md5 of what stays, for each row; nulls, repeats and empty tables as in ``dedup_lines``."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
