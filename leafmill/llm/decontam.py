@@ -37,6 +37,8 @@ STRETCH = 20
 SHARE = 0.75
 #: Words of the benchmark that one block may hold.
 BLOCK_WORDS = 2_000_000
+#: Diagonals, or words compared, that are held at a time.
+SLICE = 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -110,7 +112,11 @@ class Block:
         self.used = list(used)
         keys, item, place = (np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in (keys, item, place))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order].astype(np.uint64), item[order], place[order]
+        keys, item, place = keys[order].astype(np.uint64), item[order], place[order]
+        # places in a row with one seed, as repeated words have them, are one entry with a length
+        first = run_starts(keys, item, place)
+        self.keys, self.item, self.place = keys[first], item[first], place[first]
+        self.length = np.diff(np.append(first, len(keys)))
         # 16 marks for each key
         width = max(16, (16 * len(keys)).bit_length())
         self.low = np.uint64(64 - width)
@@ -118,36 +124,94 @@ class Block:
         self.bits[self.keys >> self.low] = True
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        """(item, diagonal) of the common seeds where they are enough, each pair once; a diagonal is document place less item place."""
-        found = []
-        shift = 1 << 32
+        """(item, diagonal) of the common seeds where they are enough, each pair once; a diagonal is document place less item place.
+
+        A run of L equal seeds of the documents and one of M of an item share the L + M - 1 diagonals between them, with
+        up to min(L, M) seeds each: so repeated words cost what they are long, not their product. Runs are taken a bounded
+        number of diagonals at a time, and only distinct ones are kept.
+        """
+        found, shift = [np.zeros((2, 0), np.int64)], 1 << 32
         for m in self.used:
             s = seeds(h, m)
             at = np.flatnonzero(self.bits[s >> self.low])
-            if len(at):
-                lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
-                n = hi - lo
-                if n.any():
-                    k = spread(lo, n)
-                    found.append(self.item[k] * shift + np.repeat(at, n) - self.place[k] + shift // 2)
-        if not found:
-            return np.zeros((0, 2), np.int64)
-        both, n = np.unique(np.concatenate(found), return_counts=True)
+            if not len(at):
+                continue
+            first = run_starts(s[at], at)
+            at, size = at[first], np.diff(np.append(first, len(at)))
+            lo, hi = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
+            at, size, lo, n = (x[hi > lo] for x in (at, size, lo, hi - lo))
+            # pairs of a run and an entry, as many at a time as have SLICE diagonals
+            pairs, done, step = starts_of(n), 0, SLICE
+            while done < pairs[-1]:
+                p = np.arange(done, min(done + step, int(pairs[-1])))
+                run = np.searchsorted(pairs, p, "right") - 1
+                entry = lo[run] + p - pairs[run]
+                upto = max(1, int(np.searchsorted(np.cumsum(size[run] + self.length[entry] - 1), SLICE, "right")))
+                found.append(self._diagonals(at[run[:upto]], size[run[:upto]], entry[:upto], shift))
+                if sum(x.shape[1] for x in found) > SLICE:
+                    found = [counted(found)]
+                done, step = done + min(upto, len(p)), max(16, min(SLICE, 4 * upto))
+        both, n = counted(found)
         both = both[n >= self.least_seeds[both // shift]]
         return np.stack([both // shift, both % shift - shift // 2], axis=1)
 
-    def overlap(self, h: np.ndarray, i: int, diagonal: int, stretch: int, share: float, least: int) -> tuple[int, int] | None:
-        """(words that agree, words compared) in the best stretch on the diagonal, if enough agree."""
-        x = self.words[self.at[i] : self.at[i + 1]]
-        need = min(len(x), stretch)
-        a, b = max(0, -diagonal), min(len(x), len(h) - diagonal)
-        if b <= a:
-            return None
-        agree = np.zeros(len(x), np.int64)
-        agree[a:b] = x[a:b] == h[a + diagonal : b + diagonal]
-        same = starts_of(agree)
-        best = int((same[need:] - same[:-need]).max())
-        return (best, need) if best >= (share if len(x) >= least else 1) * need else None
+    def _diagonals(self, at: np.ndarray, size: np.ndarray, entry: np.ndarray, shift: int) -> np.ndarray:
+        """Diagonals (with their items) and their common seeds of runs of the documents, each with an entry."""
+        length = self.length[entry]
+        wide = size + length - 1
+        step = spread(np.zeros(len(wide), np.int64), wide)
+        weight = np.minimum(np.minimum(step + 1, np.repeat(wide, wide) - step), np.repeat(np.minimum(size, length), wide))
+        first = self.item[entry] * shift + at - self.place[entry] - length + 1 + shift // 2
+        return counted([np.stack([np.repeat(first, wide) + step, weight])])
+
+    def overlaps(self, h: np.ndarray, at: np.ndarray, found: np.ndarray, stretch: int, share: float, least: int) -> dict[tuple[int, int], tuple[int, int]]:
+        """(document, item) -> (words that agree, words compared) in the best stretch, if enough agree. ``at``: where the documents
+        begin in h. All diagonals of an item are compared as one matrix, a bounded part at a time."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        order = np.argsort(found[:, 0], kind="stable")
+        items, first = np.unique(found[order, 0], return_index=True)
+        for i, diagonals in zip(items.tolist(), np.split(found[order, 1], first[1:])):
+            x = self.words[self.at[i] : self.at[i + 1]]
+            need = min(len(x), stretch)
+            enough = (share if len(x) >= least else 1) * need
+            # the documents that the item's words would span on each diagonal
+            begin = np.searchsorted(at, np.maximum(diagonals, 0), "right") - 1
+            end = np.searchsorted(at, np.minimum(diagonals + len(x), at[-1]), "left")
+            doc, d = spread(begin, np.maximum(end - begin, 0)), np.repeat(diagonals, np.maximum(end - begin, 0))
+            best = np.zeros(len(at), np.int64)
+            step = max(1, SLICE // len(x))
+            for k in range(0, len(d), step):
+                place = d[k : k + step, None] + np.arange(len(x))
+                own = doc[k : k + step, None]
+                same = (place >= at[own]) & (place < at[own + 1])
+                same &= h[np.clip(place, 0, len(h) - 1)] == x
+                sums_ = np.zeros((len(same), len(x) + 1), np.int32)
+                np.cumsum(same, axis=1, out=sums_[:, 1:])
+                np.maximum.at(best, doc[k : k + step], (sums_[:, need:] - sums_[:, :-need]).max(axis=1))
+            for k in np.flatnonzero(best >= max(enough, 1)).tolist():
+                out[k, i] = (int(best[k]), need)
+        return out
+
+
+def run_starts(keys: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Where runs begin of equal keys (and equal further columns but the last) whose last column counts up by one."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    new = (keys[1:] != keys[:-1]) | (np.diff(places[-1]) != 1)
+    for c in places[:-1]:
+        new |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def counted(found: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys and their summed weights of (keys, weights)."""
+    keys, weight = np.concatenate(found, axis=1)
+    order = np.argsort(keys, kind="stable")
+    keys, weight = keys[order], weight[order]
+    if not len(keys):
+        return np.zeros((2, 0), np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return np.stack([keys[first], np.add.reduceat(weight, first)])
 
 
 def distinct_items(benchmark: DataFrame) -> DataFrame:
@@ -187,11 +251,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, shar
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, n_same int, n_compared int"
+    rows = only(docs, "doc_id", "text").where("text is not null and doc_id is not null")
     out = spark.createDataFrame([], schema)
+    waiting = None
     for ids, items in blocks(benchmark, block_words):
+        if waiting is not None:  # of several blocks only one is with the workers at a time
+            out = out.unionByName(stage(waiting[0], "overlaps"))
+            waiting[1].destroy()
         sent = spark.sparkContext.broadcast((ids, items))  # bounded by block_words and one item
-        out = out.unionByName(scan(only(docs, "doc_id", "text").where("text is not null and doc_id is not null"), schema, _finder(sent, stretch, share, least)))
-    return out
+        waiting = scan(rows, schema, _finder(sent, stretch, share, least)), sent
+    return out if waiting is None else out.unionByName(waiting[0])
 
 
 def _finder(sent, stretch: int, share: float, least: int):
@@ -205,14 +274,7 @@ def _finder(sent, stretch: int, share: float, least: int):
         found = block.hits(h)
         if not len(found):
             return None
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, d in found.tolist():
-            first = int(np.searchsorted(at, max(d, 0), "right")) - 1
-            last = int(np.searchsorted(at, min(d + int(block.at[i + 1] - block.at[i]), int(at[-1])), "left"))
-            for k in range(first, last):  # one document, or those that the item's words would span
-                got = block.overlap(h[at[k] : at[k + 1]], i, d - int(at[k]), stretch, share, least)
-                if got and got > best.get((k, i), (0, 0)):
-                    best[k, i] = got
+        best = block.overlaps(h, at, found, stretch, share, least)
         ids = b.column("doc_id").to_pylist()
         rows = [(ids[k], int(block.ids[i]), *x) for (k, i), x in sorted(best.items())]
         return {n: [r[j] for r in rows] for j, n in enumerate(("doc_id", "item_id", "n_same", "n_compared"))}
