@@ -15,8 +15,9 @@ does so with a chance of at most one in a million) are left out; the rest are jo
 
 The rest: that covers every pair of buckets of up to three classes. What larger buckets may still hide is looked for in
 the M larger buckets that share one hash of the first collection: where classes of different components meet, they are
-compared whole, block against block inside the tasks, each pair that shares a table in the first bucket it shares. Only
-links that join two components leave a task, so rows stay linear in a block where its comparisons are not.
+compared whole, block against block inside the tasks, each pair that shares a table in the first bucket it shares. A class
+is sent to one task for each block of its bucket, at most ``BLOCKS`` times: the rows that move are linear in a bucket (up to
+4 million classes), its comparisons are not. Only links that join two components leave a task.
 
 Components: alternating large-star and small-star steps on stored edge tables, until they no longer change.
 """
@@ -40,8 +41,9 @@ M = 7
 HOT = 20_000
 #: Classes in a bucket of which all pairs are candidates: each meets the two before it.
 FEW = 3
-#: About so many rows of a larger bucket are in one block.
-BLOCK = 512
+#: About so many rows of a larger bucket are in one block; of a bucket that would have over BLOCKS of them, its BLOCKS-th part,
+#: up to MOST rows. So a class is sent BLOCKS times at most, however large its bucket is.
+BLOCK, BLOCKS, MOST = 512, 64, 65_536
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -283,6 +285,11 @@ def in_groups(df: DataFrame, schema: str, one: Callable[[dict], dict | None]) ->
     return scan_with(df.repartition(*by).sortWithinPartitions(*by), schema, make)
 
 
+def block_count(n: F.Column, block: int = BLOCK) -> F.Column:
+    """Into how many blocks a bucket of n rows is cut."""
+    return F.ceil(n / F.least(F.greatest(F.ceil(n / BLOCKS), F.lit(block)), F.lit(max(block, MOST)))).cast("int")
+
+
 def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, m: int = M, block: int = BLOCK) -> DataFrame:
     """a < b: components (by their roots) that a pair of some large bucket still links; staged."""
     same = least_same(percent, m)
@@ -300,7 +307,7 @@ def missing_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, percent
         return stage(docs.sparkSession.createDataFrame([], "a bigint, b bigint"), "links")
     rows = rows.join(broadcast_if_small(mixed, k), "key")
     # rows of block x meet each block y in the block pair (least, greatest)
-    g = F.ceil(F.col("n") / block).cast("int")
+    g = block_count(F.col("n"), block)
     rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), g - 1)))
     rows = rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("half"), F.col("t").cast("int").alias("t"), "rep", "root", "sig")
     kept = ("key", "i", "j", "half", "t", "rep", "root", "sig")
