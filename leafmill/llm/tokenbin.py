@@ -196,7 +196,8 @@ def bucket_of(column: str, bounds: list) -> F.Column:
     return F.when(F.col(column).isNull() | (k == 0), 0).otherwise((k - 1) * step + F.size(F.filter(tail, lambda x: x <= F.col(column))))
 
 
-FILE = "shard int, doc_id bigint, n_ids int, bits binary, marks binary"
+#: ids_crc32: of all ids as little-endian unsigned 32-bit integers.
+FILE = "shard int, doc_id bigint, n_ids int, ids_crc32 bigint, bits binary, marks binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, vocabulary: int = 50257, shards: int | None = None) -> None:
@@ -217,10 +218,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         raw, at = text_bytes(b.column("ids"))
         n = np.diff(at) // np.dtype(kind).itemsize
         bits, marks = encode(raw.view(kind), n, codes)
-        return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_ids": n, "bits": bits, "marks": marks}
+        whole, ends = memoryview(raw.view(kind).astype("<u4").tobytes()), (starts_of(n) * 4).tolist()
+        return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_ids": n, "ids_crc32": [zlib.crc32(whole[i:j]) for i, j in zip(ends, ends[1:])], "bits": bits, "marks": marks}
 
     rows = staged.where("ids is not null").select(bucket_of("doc_id", bounds).cast("int").alias("shard"), "doc_id", "ids")
-    rows = scan(rows, FILE, one).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("bits"))
+    rows = scan(rows, FILE, one).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids_crc32", "n_ids")
     rows.write.option("compression", "none").parquet(f"{path}/ids")
     unstage(staged)
     w = np.frombuffer(widths, np.uint8)
@@ -253,7 +255,11 @@ def _decoded(spark: SparkSession, path: str, schema: str, of) -> DataFrame:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the file alone, decoded."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the file alone, decoded.
+
+    ``start`` is the place in the file, whose rows stand in the order of (doc_id, ids_crc32, n_ids): texts of one doc_id
+    follow by their checksums, and rows that are equal may stand either way. An empty file gives no rows.
+    """
     def of(b: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> dict:
         raw, at = memoryview(ids.astype("<u4").tobytes()), (starts_of(n) * 4).tolist()
         return {"shard": b.column("shard"), "doc_id": b.column("doc_id"), "n_tokens": n, "ids_crc32": [zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:])]}
