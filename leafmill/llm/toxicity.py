@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold_of, held, held_out, only, scan, scan_with, stage, starts_of, unstage
+from leafmill.llm.common import BROADCAST_ROWS, fold_of, held, held_out, maybe_among, only, scan, scan_with, stage, starts_of, unstage
 from leafmill.llm.langid import letters
 from leafmill.llm.words import BLANK, Store, distinct, runs, sums, text_bytes
 
@@ -230,6 +230,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def labelled(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with their marks. Few marks are broadcast; with more, unlabelled texts are turned away before the shuffle."""
+    n = marks.count()
+    return rows.join(F.broadcast(marks), "doc_id") if n <= BROADCAST_ROWS else maybe_among(rows, marks, "doc_id").join(marks, "doc_id")
+
+
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rare: int = RARE) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``.
 
@@ -239,14 +245,13 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rare: in
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     rows = docs.select("doc_id", "text")
-    labelled = rows.join(marks, "doc_id")
-    words = stage(word_counts(labelled.where(fold_of() < 2).select("text", "toxic")), "words")
+    words = stage(word_counts(labelled(rows, marks.where(fold_of() < 2)).select("text", "toxic")), "words")
     table = steps(words, rare)
     unstage(words)
     wanted = marks.where(fold_of() == 3)
     n = max(1, wanted.count())
     wanted = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 20)) < min(1.0, fit_rows / n) * (1 << 20))
-    fit = features(rows.join(wanted, "doc_id").select("doc_id", "text", "toxic"), table).select("n", "total", "above", "toxic").toPandas()  # bounded by fit_rows
+    fit = features(labelled(rows, wanted).select("doc_id", "text", "toxic"), table).select("n", "total", "above", "toxic").toPandas()  # bounded by fit_rows
     y = (fit["toxic"].to_numpy() > 0).astype(float)
     w = fit_curve(shape(*[fit[c].to_numpy(np.float64) for c in ("n", "total", "above")]), y) if 0 < y.sum() < len(y) else np.zeros(4)
     size, above = F.greatest("n", F.lit(1.0)), F.greatest("above", F.lit(0.0))
