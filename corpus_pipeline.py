@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontam, langid, linedup, minhash, packing
-from leafmill.llm.common import broadcast_if_small, shared_dir, stage
+from leafmill.llm.common import broadcast_if_small, clear, delete, shared_dir, stage, staged
 
 #: Documents whose language is known with less than this share are rejected.
 LEAST_SHARE = 0.5
@@ -29,8 +29,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, and so do rows of a null doc_id. Of equal passages the first by (doc_id,
     position) stays; rows that repeat a doc_id and text count as one document. An empty table gives none.
     """
-    out = linedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    out = linedup.dedup_lines(rows).where("n_removed = 0 or n_removed < n_lines")
+    now = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     together. Texts without words and rows of a null doc_id stay. An empty table gives none.
     """
     gone = stage(minhash.near_groups(docs, percent=80).where("not kept").select("doc_id", F.col("text_hash").alias("_text")).distinct(), "gone")
-    out = docs.withColumn("_text", F.xxhash64("text")).join(broadcast_if_small(gone, gone.count()), ["doc_id", "_text"], "left_anti")
-    return out.select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("_text"))
+    return rows.join(broadcast_if_small(gone, gone.count()), ["doc_id", "_text"], "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +74,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        mark, path = staged(), f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # what the stage was made from is read no more; only the last stage's table stays
+        clear(spark, mark)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -1,5 +1,6 @@
 """Deduplication, filters and shards against plain models and planted cases."""
 
+import collections
 import functools
 import hashlib
 import itertools
@@ -186,6 +187,12 @@ def test_lines(spark):
     assert linedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    rows = [(0, "a\nb\nc"), (1, "a\nb\nc\nx"), (1, "p\nq\nr\ns"), (1, "p\nq\nr\ns"), (2, "p\nq\nr\nt"), (None, "a\nb\nc"), (None, None)]
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert got == sorted([(0, "a\nb\nc", 0), (1, "x", 3), (1, "p\nq\nr\ns", 0), (1, "p\nq\nr\ns", 0), (2, "t", 3), (None, "a\nb\nc", 0), (None, None, 0)], key=repr)
+
+
 @pytest.mark.parametrize("texts", [[], ["same"] * 200 + ["x" * i for i in range(60)], [None, "", "a"], [f"text {i} " * (i % 9 + 1) for i in range(400)]])
 def test_shards(spark, texts):
     got = sharding.balanced(table(spark, texts)).collect()
@@ -317,7 +324,7 @@ def test_every_accepted_pattern_is_found(n, off):
         x = item.copy()
         x[list(places)] = 10_000 + np.arange(off, dtype=np.uint64)
         assert [0, 3] in block.hits(np.concatenate([before, x])).tolist(), places
-    assert block.overlap(np.concatenate([before, x]), 0, 3, 20, 0.75, 8) == (n - off, n)
+    assert block.overlaps(np.concatenate([before, x]), np.array([0, n + 3]), np.array([[0, 3]]), 20, 0.75, 8) == {(0, 0): (n - off, n)}
 
 
 def test_blocks_give_the_same_rows(spark):
@@ -329,6 +336,91 @@ def test_blocks_give_the_same_rows(spark):
     assert rows[0] == rows[1] and {(x[0], x[1]) for x in rows[0]} == {(0, 1), (1, 2), (2, 1), (3, 1), (4, 2)}
 
 
+def overlaps_by_brute_force(docs, items):
+    """(doc_id, item_id, n_same, n_compared) of every item, by comparing it at every place of every document."""
+    words = lambda t: [x.encode() for x in re.findall(r"\w+", (t or "").lower())]
+    least_id = {}
+    for i, t in items:
+        if i is not None and words(t):
+            least_id[tuple(words(t))] = min(i, least_id.get(tuple(words(t)), i))
+    out = []
+    for d, t in docs:
+        h = words(t)
+        if d is None or not h:
+            continue
+        for x, i in least_id.items():
+            need = min(len(x), 20)
+            best = 0
+            for shift in range(-len(x) + 1, len(h)):
+                same = [0 <= k + shift < len(h) and h[k + shift] == w for k, w in enumerate(x)]
+                best = max(best, max(sum(same[k : k + need]) for k in range(len(x) - need + 1)))
+            if best >= (0.75 if len(x) >= 8 else 1) * need:
+                out.append((d, i, best, need))
+    return sorted(out)
+
+
+def test_overlaps_equal_brute_force(spark):
+    r = random.Random(21)
+    few = ["ja", "nein", "so"]
+    items = [(i, " ".join(r.choice(few if i % 2 else WORDS) for _ in range(r.choice([1, 3, 8, 9, 20, 21, 35])))) for i in range(14)]
+    items += [(50, "ja " * 30), (51, "ja nein " * 12), (52, "JA " * 30), (53, None), (None, "ja ja ja ja ja ja ja ja"), (54, "...")]
+    docs = [(i, " ".join(r.choice(few if i % 2 else WORDS) for _ in range(r.randint(0, 70)))) for i in range(14)]
+    for i in range(10):
+        x = r.choice(items[:14])[1].split()
+        for _ in range(r.randint(0, len(x) // 4)):
+            x[r.randrange(len(x))] = "other"
+        docs.append((30 + i, f"{prose(r, r.randint(0, 5))} {' '.join(x)} {prose(r, 3)}"))
+    docs += [(60, "ja " * 90), (61, "nein ja " * 40), (62, "ja " * 10 + "so " + "ja " * 25), (63, ""), (64, None), (None, items[2][1]), (65, "ja " * 14)]
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_words=120)
+    assert sorted(map(tuple, got.collect())) == overlaps_by_brute_force(docs, items)
+
+
+def test_slices_change_nothing(monkeypatch):
+    r = np.random.default_rng(3)
+    items = [r.integers(1, 4, n).astype(np.uint64) for n in (8, 20, 33, 50, 90)] + [np.full(40, 2, np.uint64)]
+    h = np.concatenate([r.integers(1, 4, 300), np.full(60, 2), np.tile([1, 2], 40)]).astype(np.uint64)
+    at = np.array([0, 111, 111, 300, len(h)])
+
+    def run():
+        block = decontam.Block(list(range(6)), items)
+        found = block.hits(h)
+        return sorted(map(tuple, found.tolist())), block.overlaps(h, at, found, 20, 0.75, 8)
+
+    whole = run()
+    # every pair of places, one by one
+    block, by = decontam.Block(list(range(6)), items), collections.Counter()
+    for m in block.used:
+        for i, x in enumerate(items):
+            for p, s in enumerate(decontam.seeds(h, m)):
+                by.update((i, p - q) for q, t in enumerate(decontam.seeds(x, m)) if s == t)
+    assert whole[0] == sorted(k for k, n in by.items() if n >= block.least_seeds[k[0]])
+    monkeypatch.setattr(decontam, "SLICE", 7)
+    assert run() == whole
+
+
+def test_repeated_words_take_little_memory():
+    """An item of 1,000 and a document of 200,000 equal words, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from leafmill.llm import decontam
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+block = decontam.Block([1], [np.full(1000, 77, np.uint64)])
+h = np.full(200_000, 77, np.uint64)
+found = block.hits(h)
+got = block.overlaps(h, np.array([0, len(h)]), found, 20, 0.75, 8)
+assert got == {(0, 0): (20, 20)} and len(found) > 199_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=300, check=True)
+    assert int(out.stdout) < 300
+
+
 def test_excerpts_at_document_edges_and_short_items(spark):
     r = random.Random(9)
     w = [f"w{i}" for i in range(40)]
@@ -470,3 +562,45 @@ def test_clashing_columns_repeats_ties_and_nothing(spark):
     assert sorted(x["doc_id"] for x in decontam.overlaps(d, bench).collect()) == [5] and decontam.overlaps(d, no_bench).count() == 0
     assert decontam.clean(d, bench).count() == len(rows) - 1 and decontam.clean(none, bench).count() == 0
     assert {x["score"] for x in toxicity.score(d, no_labels).collect()} == {0.5}
+
+
+def test_only_labelled_texts_are_shuffled(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [prose(r, 20) for _ in range(400)]
+    docs, marks = table(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(0, 400, 40)], "doc_id bigint, toxic int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = toxicity.labelled(docs.select("doc_id", "text"), marks)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().toString() and sorted(x["doc_id"] for x in few.collect()) == list(range(0, 400, 40))
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 3)
+        many = toxicity.labelled(docs.select("doc_id", "text"), marks)
+        assert {(x["doc_id"], x["text"], x["toxic"]) for x in many.collect()} == {(x["doc_id"], x["text"], x["toxic"]) for x in few.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    from leafmill.llm.common import maybe_among
+
+    kept = {x["doc_id"] for x in maybe_among(docs, marks, "doc_id").collect()}
+    assert kept >= set(range(0, 400, 40)) and len(kept) < 20
+    assert maybe_among(docs, marks.limit(0), "doc_id").count() == 0
+
+
+def test_a_class_is_sent_to_a_bounded_number_of_blocks(spark):
+    n = [1, 512, 513, 4096, 32_768, 100_000, 4_000_000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n bigint").select(minhash.block_count(F.col("n"))).collect()]
+    assert got == [1, 1, 2, 8, 64, 64, 64]
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    from leafmill.llm import common
+
+    mark = common.staged()
+    a, b = common.stage(spark.range(3), "a"), common.stage(spark.range(4), "b")
+    folder = a._leafmill_path
+    assert os.path.isdir(folder)
+    common.unstage(a)
+    assert not os.path.isdir(folder) and b.count() == 4 and common.staged() == mark + 1
+    common.clear(spark, mark)
+    assert common.staged() == mark and not os.path.isdir(b._leafmill_path)

@@ -27,7 +27,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_near_copies_of_four_fifths_go(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
     text = "some plain words of a document that stands alone in this table for the test of repeated rows"
     other = "quite another text of other words that has nothing in common with the first one at all here"
     rows = [(1, text, "en", "s", len(text), 7), (1, text, "en", "s", len(text), 7), (2, text, "en", "s", len(text), 8), (2, other, "en", "s", len(other), 8), (None, other, "en", None, None, 9), (3, None, "en", "s", 0, 1), (4, "", None, "s", 0, 1)]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _text bigint"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_removed bigint"
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, sf = spark.createDataFrame(rows, schema), str(tmp_path)
     kept = lambda f: sorted((str(r["doc_id"]), r["text"] or "") for r in f(spark, docs, sf).collect())

@@ -167,3 +167,19 @@ def test_repeats_null_ids_and_nothing(spark):
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(d).collect())
     assert len(got) == 4 and got[0] == got[1] and ("2", 0) in got
     assert tokencount.token_counts(d.limit(0)).count() == 0 and packing.best_fit(d.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_lie_in_the_files_order(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i // 5, " ".join(r.choice(["one", "two", "three"]) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(3, "twice")] * 2 + [(None, "x"), (None, None)]
+    tokenbin.write(spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path / "f"), shards=3)
+    stored = []
+    for x in sorted((tmp_path / "f/ids").glob("part-*"), key=lambda p: p.name):
+        stored += spark.read.parquet(str(x)).select("shard", "doc_id", "ids_crc32", "n_ids").toPandas().itertuples(index=False)
+    stored.sort(key=lambda x: x.shard)  # shards lie one after another, each in the order of its file
+    at, want = 0, []
+    for x in stored:
+        want.append((None if x.doc_id != x.doc_id else int(x.doc_id), at, x.n_ids, x.ids_crc32))
+        at += x.n_ids
+    got = tokenbin.index(spark, str(tmp_path / "f")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and at == sum(len(whole(t)) + 1 for _, t in rows)
