@@ -93,10 +93,11 @@ def load_manifest(path: str) -> dict:
 
 
 def save_package(notes: DataFrame, decks: DataFrame, path: str) -> None:
-    """Notes and decks as Parquet under one folder; an empty deck package is an error."""
-    if notes.isEmpty():
-        raise ValueError("no notes to package")
+    """Notes and decks as Parquet under one folder; an empty deck package is an error. Notes are made once: what was written
+    is looked at, not made again to be counted."""
     notes.write.mode("overwrite").parquet(f"{path}/notes")
+    if notes.sparkSession.read.schema(notes.schema).parquet(f"{path}/notes").isEmpty():
+        raise ValueError("no notes to package")
     decks.write.mode("overwrite").parquet(f"{path}/decks")
 
 
