@@ -16,6 +16,16 @@ def models(spark) -> DataFrame:
     return spark.createDataFrame([(m, n, *PRICES[m], json, seed) for m, (n, json, seed) in ABILITIES.items()], "model string, context_length int, price_in double, price_out double, supports_json boolean, supports_seed boolean")
 
 
+def models_used(calls: DataFrame) -> DataFrame:
+    """model, calls, context_length (0: unknown model), supports_json, supports_seed, too_long (calls over the context)."""
+    j = calls.join(F.broadcast(models(calls.sparkSession).drop("price_in", "price_out")), "model", "left")
+    known = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    return j.groupBy("model").agg(
+        F.count(F.lit(1)).alias("calls"), F.coalesce(F.max("context_length"), F.lit(0)).alias("context_length"), known("supports_json"), known("supports_seed"),
+        F.count_if(F.col("tokens_in") + F.col("tokens_out") > F.col("context_length")).alias("too_long"),
+    )
+
+
 def supports(model: str, what: str) -> bool:
     """Whether a model supports ``json`` or ``seed``; unknown models support neither."""
     return ABILITIES.get(model, (0, False, False))[{"json": 1, "seed": 2}[what]]

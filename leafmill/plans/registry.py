@@ -678,9 +678,11 @@ def registry_type_counts(spark, sf):
 COST = "tokens_in / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.03 WHEN 'gpt-3.5-turbo' THEN 0.001 ELSE 0.01 END + tokens_out / 1000.0 * CASE model WHEN 'gpt-4' THEN 0.06 WHEN 'gpt-3.5-turbo' THEN 0.002 ELSE 0.03 END"
 
 
-@query("model_registry", "SELECT * FROM (VALUES ('gpt-4-1106-preview', 128000, 0.01, 0.03, TRUE, TRUE), ('gpt-4', 8192, 0.03, 0.06, FALSE, FALSE), ('gpt-3.5-turbo', 16385, 0.001, 0.002, TRUE, FALSE)) t(model, context_length, price_in, price_out, supports_json, supports_seed)")
+@query("model_registry", f"""{v.ctes('calls')}, m AS (SELECT * FROM (VALUES ('gpt-4-1106-preview', 128000, TRUE, TRUE), ('gpt-4', 8192, FALSE, FALSE), ('gpt-3.5-turbo', 16385, TRUE, FALSE)) t(model, context_length, json, seed))
+SELECT c.model, count(*) AS calls, coalesce(max(context_length), 0) AS context_length, coalesce(bool_or(json), FALSE) AS supports_json, coalesce(bool_or(seed), FALSE) AS supports_seed, count(*) FILTER (WHERE tokens_in + tokens_out > context_length) AS too_long FROM calls c LEFT JOIN m ON m.model = c.model GROUP BY c.model""")
 def model_registry(spark, sf):
-    return telemetry.models(spark)
+    """What the models that were called can do, and how many calls are beyond their context."""
+    return telemetry.models_used(v.calls(spark, sf))
 
 
 @query("llm_usage", f"{v.ctes('calls')} SELECT CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, count(*) AS api_calls, count(*) FILTER (WHERE cached) AS cache_hits, count(*) FILTER (WHERE cached) / greatest(count(*), 1) AS cache_hit_rate FROM calls")

@@ -15,7 +15,7 @@ FROM documents
 """
 HEADINGS = """
 SELECT doc_id, line_no AS ord, line || CASE WHEN line_no % 6 = 0 THEN ' Part' ELSE '' END AS text, CAST(floor(line_no / 5) AS INT) + 1 AS page,
-  CAST(CASE WHEN line_no % 4 = 0 THEN 1 + doc_id % 3 ELSE 3 END AS INT) AS level FROM lines WHERE line_no % 2 = 0
+  CAST(CASE WHEN line_no % 4 = 0 THEN 1 + doc_id % 3 ELSE 3 END AS INT) AS level FROM lines
 """
 SPANS = """
 SELECT doc_id, CAST(floor(line_no / 5) AS INT) + 1 AS page_num, 0 AS block_no, line_no, CAST(k AS INT) AS span_no, CASE WHEN k = 0 THEN substr(line, 1, 20) ELSE substr(line, 21) END AS text,
@@ -24,8 +24,8 @@ SELECT doc_id, CAST(floor(line_no / 5) AS INT) + 1 AS page_num, 0 AS block_no, l
 CARDS = """
 SELECT doc_id AS card_ord, CASE WHEN doc_id % 50 = 49 THEN NULL WHEN doc_id % 61 = 0 THEN '' ELSE 'card' || CAST(doc_id % 900 AS VARCHAR(20)) END AS id,
   CASE WHEN doc_id % 97 = 96 THEN 'Other' WHEN doc_id % 3 = 0 THEN 'Cloze' ELSE 'Basic' END AS note_type,
-  CASE WHEN doc_id % 3 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS front, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 41 = 0 THEN ' ' ELSE split_part(text, chr(10), 2) END AS back,
-  CASE WHEN doc_id % 3 <> 0 THEN '' WHEN doc_id % 39 = 0 THEN 'none here' ELSE '{{c1::' || split_part(text, ' ', 1) || '}} ' || split_part(text, chr(10), 1) END AS cloze_text,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS front, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 41 = 0 THEN ' ' ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS back,
+  CASE WHEN doc_id % 3 <> 0 THEN '' WHEN doc_id % 39 = 0 THEN 'none here' ELSE '{{c1::' || split_part(text, ' ', 1) || '}} ' || text END AS cloze_text,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'extra ' || CAST(doc_id % 10 AS VARCHAR(20)) END AS extra, CASE WHEN doc_id % 8 = 7 THEN '' ELSE 'in/f' || CAST(doc_id % 7 AS VARCHAR(20)) || '.pdf' END AS source_pdf,
   CAST(doc_id % 9 + 1 AS INT) AS page_start, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE CAST(doc_id % 9 + 1 + doc_id % 2 AS INT) END AS page_end, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'S' || CAST(doc_id % 4 AS VARCHAR(20)) END AS section,
   CASE WHEN doc_id % 3 = 0 THEN 'cloze_definitions' ELSE 'key_points' END AS strategy, 'C' || CAST(doc_id % 50 AS VARCHAR(20)) AS core_concept, CASE WHEN doc_id % 4 = 1 THEN 'vague' WHEN doc_id % 4 = 2 THEN 'hard' ELSE 'easy' END AS difficulty,
