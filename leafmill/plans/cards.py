@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators import cards as cd
-from leafmill.operators import chunking, dedup, generation, identity
+from leafmill.operators import chunking, dedup, generation, identity, large
 from leafmill.plans.config import Config
 from leafmill.plans.store import settle, stored
 from leafmill.plans.templates import Prompt, render, system_prompt
@@ -87,10 +87,11 @@ def responses(chunks: DataFrame, strategy: str, images: DataFrame | None = None,
 def build(
     pages: DataFrame, config: Config | None = None, headings: DataFrame | None = None, sections: DataFrame | None = None, images: DataFrame | None = None,
     reviews: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None, known_ids: DataFrame | None = None, paths: DataFrame | None = None, now: Column | None = None,
-    ask: Generator | None = None, new_index: str | None = None,
+    ask: Generator | None = None, new_index: str | None = None, large_documents: bool = False,
 ) -> DataFrame:
     """All cards of all documents.
 
+    ``large_documents``: cut documents that no row holds (see ``operators.large``), the same chunks at more shuffles.
     ``paths``: doc_id, source_pdf. ``ask``: what strategies without a registered generator are asked of, such as ``Asking``.
     ``new_index``: where the index with this run's cards is written (as a whole; not the folder ``index`` is read from). Generated responses are stored before anything reads them twice. Cards are numbered by
     (document, chunk, strategy, place); that order decides which of two near duplicates stays.
@@ -102,7 +103,7 @@ def build(
     if mode in ("sections", "smart", "figures", "highlights") and (headings is None or sections is None):
         warnings.warn(f"nothing is known of the documents' structure, so they are cut by pages instead of {mode!r}", UserWarning, stacklevel=2)
         mode = "pages"
-    chunks = chunking.chunk(mode, pages, headings, sections, k.tokens_per_chunk, k.overlap_tokens, k.min_chunk_tokens, k.max_chunk_tokens, k.token_budget, k.enable_trimming)
+    chunks = (large if large_documents else chunking).chunk(mode, pages, headings, sections, k.tokens_per_chunk, k.overlap_tokens, k.min_chunk_tokens, k.max_chunk_tokens, k.token_budget, k.enable_trimming)
     if "section" not in chunks.columns:
         chunks = chunks.withColumn("section", F.lit(None).cast("string"))
     name = F.col("source_pdf") if paths is not None else F.concat(F.lit("doc"), F.col("doc_id").cast("string"))

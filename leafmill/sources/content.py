@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import BLANK_SIGNS, is_blank
 from leafmill.operators import profile, structure
 from leafmill.plans.ship import ship
 from leafmill.plans.store import settle
@@ -43,6 +45,7 @@ class Content:
     chapters: DataFrame
     hashes: DataFrame
     profiles: DataFrame
+    textless: DataFrame
 
 
 def _rows(path: str, found: dict, images: bool, first: int, last: int | None):
@@ -64,10 +67,29 @@ def _rows(path: str, found: dict, images: bool, first: int, last: int | None):
             yield path, "image", i["page_num"], i["image_index"], json.dumps({k: i.get(k) for k in ("width", "height", "rects")}), i["content"]
 
 
-def extract(spark: SparkSession, paths: list[str], extractor: Callable[[str, bytes], dict], pattern: str = "*.pdf", images: bool = True, first: int = 1, last: int | None = None) -> Content:
+def _recognised(path: str, content: bytes, found: dict, ocr: Callable[[str, bytes], list[str]]) -> dict:
+    """What was found, with recognised page texts where no page has any; a failing recognition leaves it as it is."""
+    pages = found.get("pages") or []
+    if any((p.get("raw_text") or "").strip(BLANK_SIGNS) for p in pages):
+        return found
+    try:
+        texts = ocr(path, content)
+    except Exception:  # noqa: BLE001  as without recognition
+        return found
+    more = max(len(pages), len(texts))
+    return {**found, "pages": [{**(pages[i] if i < len(pages) else {}), **({"raw_text": texts[i]} if i < len(texts) else {})} for i in range(more)]}
+
+
+def extract(
+    spark: SparkSession, paths: list[str], extractor: Callable[[str, bytes], dict], pattern: str = "*.pdf", images: bool = True, first: int = 1, last: int | None = None,
+    ocr_fallback: bool = False, ocr: Callable[[str, bytes], list[str]] | None = None,
+) -> Content:
     """All tables of the files, by ``doc_id`` (a hash of the path). Each file is read by the extractor once and what it gave
     is stored; a file that can't be read has no rows. Images under 100 x 100 are left out; an image's box is its first
-    place on the page, else the page's."""
+    place on the page, else the page's.
+
+    ``ocr_fallback``: files without text on any page are read by ``ocr``, which gives a text for each page; without it they
+    are warned of. ``textless`` (doc_id, path) are the files that have none in the end, among the pages asked for."""
     ship(spark)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths).select("path", "content")
 
@@ -78,7 +100,11 @@ def extract(spark: SparkSession, paths: list[str], extractor: Callable[[str, byt
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 try:
-                    rows = list(_rows(path, extractor(path, content.as_py()), images, first, last))
+                    raw = content.as_py()
+                    found = extractor(path, raw)
+                    if ocr_fallback and ocr:
+                        found = _recognised(path, raw, found, ocr)
+                    rows = list(_rows(path, found, images, first, last))
                 except Exception:  # noqa: BLE001  one bad file must not end the scan
                     continue
                 names = ["path", "kind", "page_num", "no", "data", "content"]
@@ -95,4 +121,7 @@ def extract(spark: SparkSession, paths: list[str], extractor: Callable[[str, byt
     bounds = pages.select("doc_id", "page_num", F.col("bbox").alias("_page"))
     found = found.join(bounds, ["doc_id", "page_num"], "left").withColumn("bbox", F.coalesce(F.get("rects", F.lit(0)), "_page")).drop("rects", "_page")
     heads, sections, chapters = structure.detected(spans)
-    return Content(files, pages, blocks, spans, found, heads, sections, chapters, structure.text_hash(pages), profile.features(pages, files.where("toc").select("doc_id")))
+    textless = files.select("doc_id", "path").join(pages.where(~is_blank(F.col("raw_text"))).select("doc_id"), "doc_id", "left_anti")
+    if ocr_fallback and not ocr and (n := textless.count()):
+        warnings.warn(f"{n} files have no text, and nothing is given to recognise it", UserWarning, stacklevel=2)
+    return Content(files, pages, blocks, spans, found, heads, sections, chapters, structure.text_hash(pages), profile.features(pages, files.where("toc").select("doc_id")), textless)

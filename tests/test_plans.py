@@ -7,7 +7,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import cards, deck, generation
+from leafmill.operators import cards, chunking, deck, generation, retrieval, telemetry
 from leafmill.plans import build, templates
 from leafmill.plans import cards as plan
 from leafmill.plans.config import Config, Llm
@@ -156,6 +156,65 @@ def test_extraction_of_everything(spark, tmp_path):
     assert content.extract(spark, [str(tmp_path / "in")], extractor, images=False, first=2).images.count() == 0
 
 
+def test_recognised_texts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("full", "scan", "none", "torn"):
+        (tmp_path / f"in/{name}.pdf").write_text(name)
+
+    def extractor(path, raw):
+        return {"pages": {b"full": [{"raw_text": "said"}, {"raw_text": ""}], b"scan": [{"raw_text": " \u3000\n", "rotation": 90}], b"none": [], b"torn": [{"raw_text": None}]}[raw]}
+
+    def ocr(path, raw):
+        if raw == b"torn":
+            raise OSError("no engine")
+        return {b"scan": ["read", "more"], b"none": []}[raw]
+
+    name = lambda r: r["path"].rsplit("/", 1)[1][:-4]
+    read = lambda **how: content.extract(spark, [str(tmp_path / "in")], extractor, **how)
+    with pytest.warns(UserWarning, match="3 files have no text"):
+        c = read(ocr_fallback=True)
+    assert sorted(map(name, c.textless.collect())) == ["none", "scan", "torn"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert sorted(map(name, read(ocr=ocr).textless.collect())) == ["none", "scan", "torn"]  # not asked for
+        c = read(ocr_fallback=True, ocr=ocr)
+    assert sorted(map(name, c.textless.collect())) == ["none", "torn"]
+    assert sorted((name(r), r["page_num"], r["raw_text"], r["rotation"]) for r in c.pages.where("raw_text > ''").collect()) == [("full", 1, "said", None), ("scan", 1, "read", 90), ("scan", 2, "more", None)]
+    assert {name(r): r["page_count"] for r in c.files.collect()} == {"full": 2, "scan": 2, "none": 0, "torn": 1}
+
+
+def test_small_parts(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "ab"), (2, ""), (3, "abc")], "chunk_id bigint, text string")
+    got = retrieval.embedded(chunks, lambda texts: [[len(t), 1] if t else None for t in texts])
+    assert sorted((r["vec_id"], r["embedding"]) for r in got.collect()) == [(1, [2.0, 1.0]), (3, [3.0, 1.0])]
+    scored = spark.createDataFrame([(1, "a", 4.0), (2, "a", 5.0), (3, "a", None), (4, "b", 1.0), (5, "c", 1.0)], "card_ord bigint, strategy string, review_score double")
+    kept = cards.of_quality(scored, {"a": 5, "b": None})
+    assert sorted(r["card_ord"] for r in kept.collect()) == [2, 3, 4, 5] and cards.of_quality(scored, {}).count() == 5
+    asked = spark.createDataFrame([("k1", 1), ("k2", 2), ("k2", 3), ("k1", 4)], "key string, n int")
+    hits, todo = generation.split_cached(asked, spark.createDataFrame([("k1", "kept"), ("k9", "other")], "key string, content string"))
+    assert sorted((r["n"], r["content"]) for r in hits.collect()) == [(1, "kept"), (4, "kept")] and [r["key"] for r in todo.collect()] == ["k2"]
+    events = spark.sql("SELECT * FROM VALUES ('scan', timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 00:00:09'), ('scan', timestamp'2024-01-02 00:00:00', timestamp'2024-01-02 00:00:01.5'), ('open', timestamp'2024-01-01 00:00:00', NULL) t(phase, start, end)")
+    assert {r["phase"]: r["seconds"] for r in telemetry.phases(events).collect()} == {"scan": 1.5, "open": None}
+    images = spark.createDataFrame([("b.png", bytearray(b"2"), 1), ("a.png", bytearray(b"1"), 2)], "filename string, content binary, page_num int")
+    sinks.save_images(images, str(tmp_path / "images"))
+    assert sinks.export_images(spark, str(tmp_path / "images"), str(tmp_path / "out")) == ["a.png", "b.png"] and (tmp_path / "out/a.png").read_bytes() == b"1"
+    sinks.save_index(spark.createDataFrame([("h1",), ("h2",)], "content_hash string"), str(tmp_path / "index"))
+    assert sorted(r["content_hash"] for r in files.dedup_index(spark, str(tmp_path / "index")).collect()) == ["h1", "h2"]
+
+
+@pytest.mark.parametrize("mode", chunking.MODES)
+def test_texts_cut_in_every_mode(spark, mode):
+    texts = spark.createDataFrame([(1, "One para.\n\nAnother para of it."), (2, None), (3, " \n ")], "doc_id bigint, text string")
+    none = {"headings": spark.createDataFrame([], "doc_id bigint, ord int, text string, page int, level int"), "sections": spark.createDataFrame([], "doc_id bigint, sec_no int, title string, start_page int, end_page int")}
+    got = chunking.chunk_texts(mode, texts, 4, least=1, **none).collect()
+    assert {r["doc_id"] for r in got} == {1} and "\n\n".join(r["text"] for r in sorted(got, key=lambda r: r["chunk_index"])) == "One para.\n\nAnother para of it."
+    if mode != "entire":
+        assert {(r["start_page"], r["end_page"]) for r in got} == {(4, 4)}
+    if mode not in ("pages", "paragraphs", "entire"):
+        with pytest.raises(ValueError):
+            chunking.chunk_texts(mode, texts)
+
+
 def test_model_calls(spark):
     waits, said = [], iter([ValueError("down"), ("no json", 1, 1), ('{"a": 1}', 2, 3)])
 

@@ -147,7 +147,7 @@ def test_state_keeps_the_first_of_each_content(spark, tmp_path):
 def test_large_documents_give_the_same_chunks(spark, budget):
     r = random.Random(7)
     page = lambda: "\n\n".join(" ".join(r.choice(["word", "other", "sentence. Next"]) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 4)))
-    rows = [(d, p, r.choice([None, "", "  \n", page(), page(), page(), page()])) for d in range(6) for p in range(1, r.choice([2, 5, 60]))]
+    rows = [(d, p, r.choice([None, "", "  \n", page(), page(), page(), page()])) for d in [*range(6), None] for p in range(1, r.choice([2, 5, 60]))]
     df = spark.createDataFrame(rows, "doc_id bigint, page_num int, raw_text string").repartition(5)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # runs go on from batch to batch
@@ -160,3 +160,27 @@ def test_large_documents_give_the_same_chunks(spark, budget):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert large.by_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("budget,overlap", [(5, 200), (30, 16), (100, 2), (100, 0)])
+def test_large_documents_by_sections_and_smart(spark, budget, overlap):
+    r = random.Random(budget + overlap)
+    page = lambda: "\n\n".join(" ".join(r.choice(["word", "other\u00a0x", "sentence. Next"]) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 4)))
+    rows = [(d, p, r.choice([None, "", "  \n", page(), page(), page(), page()])) for d in [*range(7), None] for p in range(1, {0: 2, 1: 5}.get(d, 40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, page_num int, raw_text string").repartition(5)
+    # none, few and many sections; overlapping ones, one twice, one beyond the pages, one backwards, one without an end
+    secs = [(d, k, f"S{k}", a, b) for d, n in ((0, 1), (1, 3), (2, 2), (3, 9), (4, 5)) for k in range(n) for a in [r.randint(1, 30)] for b in [r.choice([a, a + 3, 2_000_000_000, a - 2])]]
+    secs += [secs[-1], (4, 77, None, 1, None), (4, 77, None, 1, 2), (9, 1, "no pages", 1, 2)]
+    sections = spark.createDataFrame(secs, "doc_id bigint, sec_no int, title string, start_page int, end_page int")
+    headings = spark.createDataFrame([(d, o, f"H{o}", r.randint(1, 40), r.choice([1, 2, 3])) for d in range(7) for o in range(r.randint(0, 12))], "doc_id bigint, ord int, text string, page int, level int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for mode in ("sections", "smart"):
+            a, b = (m.chunk(mode, df, headings, sections, budget, overlap, most=2 * budget) for m in (large, chunking))
+            assert set(a.columns) == set(b.columns)
+            rows_of = lambda x: sorted(json.dumps([y[c] for c in sorted(b.columns)]) for y in x.collect())  # noqa: E731, B023
+            assert len(got := rows_of(a)) > 20 and got == rows_of(b)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert large.smart(df.limit(0), headings, sections).count() == 0
