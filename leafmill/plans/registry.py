@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.functions.similarity import indel
 from leafmill.operators import cards as cd
 from leafmill.operators import chunking as ch
 from leafmill.operators import deck, dedup, generation, identity, profile, registry, retrieval, structure, telemetry, validate
@@ -469,10 +470,61 @@ def dedup_persistent_antijoin(spark, sf):
 
 @query("dedup_fuzzy")
 def dedup_fuzzy(spark, sf):
-    """Too many pairs for SQL; tested against a sequential pass on small tables."""
+    """Too many long pairs for SQL (``dedup_fuzzy_prompts`` has it); tested against a sequential pass on small tables."""
     return dedup.within_run(cards(spark, sf)).select("card_ord")
 
 
+#: Bits of a word in the SQL for common subsequences; one more holds the carry.
+WORD = 120
+ONES = f"(({2**WORD - 1})::HUGEINT)"
+
+
+def near_ctes(cards: str, least: float = 0.85) -> str:
+    """CTEs ``first`` (i, t: the first card of each comparison text) and ``pairs`` (i, j, ratio) of those that reach ``least``.
+
+    Lengths and counts of characters (by code modulo 64) bound the ratio from above. What they let pass is measured bit by bit: for each
+    character of one text, words of bits that stand for the places of the other are added up, with the carry from word to word;
+    the places without a bit at the end are the common subsequence."""
+    added = "(z[1] + (z[1] & coalesce(z[2], 0::HUGEINT)) + acc[-1])"
+    word = f"list_append(list_append(acc[:-2], ({added} & {ONES}) | (z[1] & xor(coalesce(z[2], 0::HUGEINT), {ONES}))), {added} >> {WORD})"
+    step = f"list_reduce(list_zip(v, masks[c]), lambda acc, z: {word}, [0::HUGEINT])[:-2]"
+    full = f"list_transform(range((n + {WORD - 1}) // {WORD}), lambda x: {ONES})"
+    free = f"list_reduce(string_split(other, ''), lambda v, c: {step}, {full})"
+    return f"""first AS MATERIALIZED (SELECT min(card_ord) AS i, {CMP} AS t, length({CMP}) AS n FROM {cards} GROUP BY ALL),
+chars AS (SELECT i, unnest(string_split(t, '')) AS c, unnest(range(n)) AS p FROM first),
+counts AS (SELECT i, list(q ORDER BY k) AS h FROM (SELECT f.i, k, count(c) AS q FROM first f CROSS JOIN (SELECT unnest(range(64)) AS k) s LEFT JOIN chars c ON c.i = f.i AND unicode(c.c) % 64 = k GROUP BY f.i, k) GROUP BY i),
+bound AS MATERIALIZED (SELECT x.i, y.i AS j, x.n + y.n AS total FROM (SELECT * FROM first JOIN counts USING (i)) x JOIN (SELECT * FROM first JOIN counts USING (i)) y ON x.i < y.i AND 2 * least(x.n, y.n) >= {least} * (x.n + y.n)
+  WHERE 2 * list_sum(list_transform(list_zip(x.h, y.h), lambda z: least(z[1], z[2]))) >= {least} * (x.n + y.n)),
+words AS (SELECT i, c, p // {WORD} AS w, sum(1::HUGEINT << CAST(p % {WORD} AS INT)) AS bits FROM chars GROUP BY ALL),
+masks AS MATERIALIZED (SELECT i, map_from_entries(list(row(c, m))) AS masks FROM (SELECT i, c, list(coalesce(bits, 0::HUGEINT) ORDER BY w) AS m FROM
+  (SELECT a.i, a.c, s.w, b.bits FROM (SELECT DISTINCT i, c FROM words) a JOIN (SELECT i, unnest(range((n + {WORD - 1}) // {WORD})) AS w FROM first) s ON s.i = a.i LEFT JOIN words b ON b.i = a.i AND b.c = a.c AND b.w = s.w) GROUP BY i, c) GROUP BY i),
+pairs AS MATERIALIZED (SELECT i, j, ratio FROM (SELECT i, j, 2.0 * ({WORD} * len(v) - list_sum(list_transform(v, lambda x: bit_count(x)))) / total AS ratio FROM
+  (SELECT i, j, total, {free} AS v FROM (SELECT b.i, b.j, b.total, x.n, y.t AS other, m.masks FROM bound b JOIN first x ON x.i = b.i JOIN first y ON y.i = b.j JOIN masks m ON m.i = b.i))) WHERE ratio >= {least})"""
+
+
+T, P = v.ctes("turn_cards"), v.ctes("turn_cards", "prompts")
+
+
+@query("turn_cards", f"{T} SELECT card_ord, source_pdf, page_start, page_end, md5({CMP}) AS text_md5 FROM turn_cards")
+def turn_cards(spark, sf):
+    return v.turn_cards(spark, sf).select("card_ord", "source_pdf", "page_start", "page_end", F.md5(dedup.comparison_text().cast("binary")).alias("text_md5"))
+
+
+@query("near_prompts", f"{P}, {near_ctes('prompts')} SELECT i, j, round(ratio, 6) AS ratio FROM pairs")
+def near_prompts(spark, sf):
+    c = dedup.first_of(v.prompts(spark, sf).withColumn("text", dedup.comparison_text()), F.col("text")).select("card_ord", "text")
+    side = lambda k: c.select(F.col("card_ord").alias(k), F.col("text").alias(f"_{k}"))
+    return dedup.near_texts(c).join(side("i"), "i").join(side("j"), "j").select("i", "j", F.round(indel(F.col("_i"), F.col("_j")), 6).alias("ratio"))
+
+
+@query("dedup_fuzzy_prompts", f"""{P}, {near_ctes('prompts')}, o AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY i) AS k FROM first), near AS MATERIALIZED (SELECT j, list(i) AS earlier FROM pairs GROUP BY j),
+greedy(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.k, CASE WHEN list_has_any(coalesce(near.earlier, []), kept) THEN kept ELSE list_append(kept, o.i) END FROM greedy g JOIN o ON o.k = g.k + 1 LEFT JOIN near ON near.j = o.i)
+SELECT unnest(kept) AS card_ord FROM (SELECT kept FROM greedy ORDER BY k DESC LIMIT 1)""")
+def dedup_fuzzy_prompts(spark, sf):
+    """Each prompt in order against those kept before it."""
+    return dedup.within_run(v.prompts(spark, sf)).select("card_ord")
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 UNIT = "nrm AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS e FROM nrm)"

@@ -33,6 +33,16 @@ SELECT doc_id AS card_ord, CASE WHEN doc_id % 50 = 49 THEN NULL WHEN doc_id % 61
   CASE WHEN doc_id % 12 = 0 THEN '' ELSE 'p. ' || CAST(doc_id % 9 + 1 AS VARCHAR(20)) END AS page_citation, 'p. ' || CAST(doc_id % 9 + 1 AS VARCHAR(20)) AS ref_citation
 FROM documents
 """
+#: Every user turn is a card, with the assistant's answer where one follows. Those of two conversations in three come again without some letters:
+#: once close to the first, once so far that only the close one still resembles it.
+TURNS = """
+SELECT (conv_id * 1000000 + turn) * 3 + k AS card_ord, 'Basic' AS note_type, CASE k WHEN 0 THEN text WHEN 1 THEN translate(text, 'en', '') ELSE translate(text, 'enta', '') END AS front,
+  answer AS back, '' AS cloze_text, CAST(NULL AS VARCHAR(20)) AS extra,
+  'conv' || CAST(conv_id AS VARCHAR(20)) AS source_pdf, CAST(turn + 1 AS INT) AS page_start, CAST(turn + 2 AS INT) AS page_end
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') ELSE '' END AS answer FROM conversations) t
+CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) v WHERE role = 'user' AND (k = 0 OR conv_id % 3 <> 0)
+"""
+PROMPTS = "SELECT card_ord, note_type, front, '' AS back, cloze_text, extra FROM turn_cards"
 CALLS = """
 SELECT event_type AS strategy, CASE WHEN user_id % 3 = 0 THEN 'gpt-4' WHEN user_id % 3 = 1 THEN 'gpt-3.5-turbo' ELSE 'other' END AS model, CAST(user_id % 500 AS BIGINT) AS tokens_in, CAST(event_id % 300 AS BIGINT) AS tokens_out,
   event_id % 4 = 0 AS cached, CAST(event_id % 3 AS BIGINT) AS cards, event_id FROM events
@@ -88,6 +98,15 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, CARDS, documents=table(spark, sf_dir, "documents"))
 
 
+def turn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, TURNS, conversations=table(spark, sf_dir, "conversations"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards' questions alone."""
+    return _sql(spark, PROMPTS, turn_cards=turn_cards(spark, sf_dir))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, CALLS, events=table(spark, sf_dir, "events"))
 
@@ -99,7 +118,7 @@ PAGES_SQL = "SELECT doc_id, CAST(line_no // 5 + 1 AS INT) AS page_num, string_ag
 
 def ctes(*names: str) -> str:
     """WITH clauses for the named views and those they need."""
-    all_ = {"lines": LINES_SQL, "pages": PAGES_SQL, "papers": PAPERS, "headings": HEADINGS, "spans": SPANS, "cards": CARDS, "calls": CALLS}
+    all_ = {"lines": LINES_SQL, "pages": PAGES_SQL, "papers": PAPERS, "headings": HEADINGS, "spans": SPANS, "cards": CARDS, "turn_cards": TURNS, "prompts": PROMPTS, "calls": CALLS}
     needs = {"pages": ["lines"], "headings": ["lines"], "spans": ["lines"]}
     order: list[str] = []
     for n in names:
