@@ -325,6 +325,17 @@ def test_near_texts_equal_brute_force(spark, least):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_blocks_of_single_texts_hold_the_same_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    texts = sorted({"", *near_copies_of(r, ["alpha", "beta", "été"], 8, [2, 30])})
+    df = spark.createDataFrame(list(enumerate(texts)), "card_ord long, text string")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similarity.indel_ratio(a, b) >= 0.85}
+    monkeypatch.setattr(dedup, "BLOCK_MICROSECONDS", 1)  # no two texts are compared within it
+    got = [tuple(x) for x in dedup.near_texts(df).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    assert dedup.near_texts(df.limit(0)).count() == 0
+
+
 def test_near_pairs_by_text_and_vector(spark):
     rows = [(0, "the same words here", [1.0, 0.0]), (1, "the same words her", [0.0, 1.0]), (2, "quite another text", [1.0, 0.01]), (3, "the same words here!", [1.0, 0.0]), (4, "no vector", None)]
     df = spark.createDataFrame(rows, "card_ord bigint, text string, embedding array<double>")
@@ -342,3 +353,4 @@ def test_given_up_comparisons_are_the_ratio():
         for other in (b, a[: len(a) // 2] + a[len(a) // 2 + 3 :]):
             for least in (0.5, 0.85):
                 assert similarity.reaches(a, other, least) == (similarity.indel_ratio(a, other) >= least)
+                assert similarity.reaches(a, other, least, similarity.places(a)) == (similarity.indel_ratio(a, other) >= least)

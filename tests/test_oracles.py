@@ -47,6 +47,19 @@ def test_same_rows(name, spark, con):
     assert len(a) > 0 or name in ("dedup_embedding_pairs",)
 
 
+@pytest.mark.parametrize("rows", [
+    [],
+    [(1, 0, "user", None), (1, 1, "assistant", "no question"), (1, 2, "user", "unanswered"), (1, 3, "user", ""), (1, 4, None, "x"), (2, 0, "system", "s"), (2, 1, "user", "unanswered"), (3, 0, "user", "enta enta enta"), (3, 1, "assistant", None)],
+])
+def test_prompts_of_odd_conversations(rows, spark, tmp_path):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("turn_cards", "near_prompts", "dedup_fuzzy_prompts"):
+        compare(registry.QUERIES[name](spark, str(tmp_path)).toPandas(), c.execute(registry.ORACLES[name]).df())
+
+
 def compare(a, b):
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
