@@ -354,3 +354,53 @@ def test_given_up_comparisons_are_the_ratio():
             for least in (0.5, 0.85):
                 assert similarity.reaches(a, other, least) == (similarity.indel_ratio(a, other) >= least)
                 assert similarity.reaches(a, other, least, similarity.places(a)) == (similarity.indel_ratio(a, other) >= least)
+
+
+def test_unrelated_texts_are_given_up_early():
+    import random
+
+    from leafmill.functions import similarity
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *k):
+            Asked.n += 1
+            return super().get(*k)
+
+    some = random.Random(7)
+    text = lambda n: "".join(some.choice("etaoinshrdlu ") for _ in range(n))
+    for n in (200, 2000):
+        a, b = text(n), text(n)
+        Asked.n = 0
+        assert not similarity.reaches(a, b, 0.85, Asked(similarity.places(a)))
+        assert Asked.n < 0.36 * n
+
+
+@pytest.mark.parametrize("letters", ["ab", "etaoinshrdlu ", "aé漢\U0001f600 \n"])
+@pytest.mark.parametrize("least", [0.5, 0.85])
+def test_blocks_give_the_pairs_of_a_comparison_one_by_one(letters, least):
+    import random
+
+    import pandas as pd
+
+    from leafmill.functions import similarity
+
+    some = random.Random(11)
+    texts = {"": None}
+    for n in (1, 62, 63, 64, 126, 127, 200, 300) * 2:
+        t = "".join(some.choice(letters) for _ in range(n))
+        for share in (0, 0.1, 0.2, 0.35):
+            texts["".join(some.choice(letters) + c if r < share / 2 else "" if r < share else c for c in t for r in [some.random()])] = None
+    texts = list(texts)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if similarity.indel_ratio(texts[i], texts[j]) >= least}
+    side = lambda y, ids: pd.DataFrame({"a": 0, "x": 0, "b": 0, "y": y, "id": ids, "text": [texts[i] for i in ids]})
+    for alone in (1, 10**9):  # all pairs at a time, or one after another
+        similarity.PAIRS_A_WORD, before = alone, similarity.PAIRS_A_WORD
+        try:
+            whole = similarity.block_pairs(least)(side(0, range(len(texts))), side(0, range(len(texts))))
+            parts = similarity.block_pairs(least)(side(1, range(0, len(texts), 2)), side(1, range(1, len(texts), 2)))
+        finally:
+            similarity.PAIRS_A_WORD = before
+        assert set(map(tuple, whole.values.tolist())) == want and len(whole) == len(want)
+        assert set(map(tuple, parts.values.tolist())) == {p for p in want if (p[0] + p[1]) % 2}
