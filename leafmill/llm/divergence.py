@@ -1,6 +1,6 @@
 """How far each source's wording lies from the other sources of its language: a plain relational audit.
 
-Terms are regular-expression matches, exploded and counted for each (lang, source, term). A language keeps the terms
+Terms are runs of bytes that belong to them, counted for each (lang, source, term). A language keeps the terms
 that at least ``LEAST_DOCS`` of its documents hold. Its groups are crossed with its kept terms, so that terms a group
 never uses count as zero; a self-join on (lang, term) then compares every two groups, and sums and ranks are windows
 and aggregates over that. Shares are integers, in thousand-millionths with 1 added, so everything is exact.
@@ -14,40 +14,69 @@ is symmetric. Its rows grow with the square of the number of sources of one lang
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import broadcast_if_small, stage, unstage
+from leafmill.llm.words import LOWER, byte_set, runs, text_bytes
+from leafmill.plans.ship import ship
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 10
 TOP_TERMS = 10
 UNIT = 1_000_000_000
 #: Over how many hash parts a language's terms are dealt where its groups can't be broadcast.
 SALTS = 64
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of terms; those of characters beyond ASCII are all among them.
+TERM_BYTES = byte_set(range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100))
+#: Bytes of rows that are cut and counted at a time.
+SLICE_BYTES = 8 << 20
+#: Below this, shares fit whole numbers of 64 bits.
+PLAIN = 9_000_000_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold the term). A group without terms has one row with a null
-    term, so every occurring group is there."""
+    term, so every occurring group is there. Terms are cut on the bytes of a batch and counted in it before they move."""
     def read(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("")).alias(c)
 
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _UPPER.lower())
-    rows = docs.select(read("lang"), read("source"), F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("terms"))
-    each = rows.select("lang", "source", "terms", F.posexplode_outer("terms").alias("at", "term"))
-    # terms stand in order: the first of equal ones counts the document
-    first = F.when((F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term")), 1).otherwise(0)
-    return each.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.sum(first).alias("docs"))
+    ship(docs.sparkSession)
+    each = docs.select(read("lang"), read("source"), read("text")).mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each slice of a batch, and a row without a term for each group in it."""
+    for batch in (b.slice(k, step) for b in batches for step in [max(1, int(b.num_rows * SLICE_BYTES / max(b.nbytes, 1)))] for k in range(0, b.num_rows, step)):
+        names = [batch.column(c).dictionary_encode() for c in ("lang", "source")]
+        lang, source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in names)
+        group, member = np.unique(lang * len(names[1].dictionary) + source, return_inverse=True)
+        raw, at = text_bytes(batch.column("text"))
+        words, count = runs(LOWER[raw], at, TERM_BYTES)
+        coded = words.dictionary_encode()
+        terms = max(1, len(coded.dictionary))
+        # a row for each term of a document, then for each term of a group
+        held, times = np.unique(np.repeat(np.arange(len(count)), count) * terms + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        keys, place = np.unique(member[held // terms] * terms + held % terms, return_inverse=True)
+        n, rows = np.bincount(place, times, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+        of, none = np.concatenate([keys // terms, np.arange(len(group))]), np.zeros(len(group), np.int64)
+        term = pa.concat_arrays([coded.dictionary.take(pa.array(keys % terms)).cast(pa.string()), pa.nulls(len(group), pa.string())])
+        columns = [x.dictionary.take(pa.array(k[of])) for x, k in zip(names, (group // len(names[1].dictionary), group % len(names[1].dictionary)))]
+        yield pa.RecordBatch.from_arrays([*columns, term, pa.array(np.concatenate([n, none])), pa.array(np.concatenate([rows, none]))], names=["lang", "source", "term", "n", "docs"])
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(UNIT * (n + 2) / (total + 2 * kept)), exact."""
+    """1 + floor(UNIT * (n + 2) / (total + 2 * kept)), exact; in decimals where 64 bits don't hold it."""
     def wide(c: Column) -> Column:
         return c.cast("decimal(20,0)")
 
-    return (1 + F.call_function("div", wide(n + 2) * F.lit(UNIT).cast("decimal(10,0)"), wide(total + 2 * kept))).cast("bigint")
+    plain = F.call_function("div", (n + 2) * F.lit(UNIT).cast("bigint"), total + 2 * kept)
+    exact = F.call_function("div", wide(n + 2) * F.lit(UNIT).cast("decimal(10,0)"), wide(total + 2 * kept))
+    return (1 + F.when(n < PLAIN, plain).otherwise(exact)).cast("bigint")
 
 
 def divergence(p: Column, q: Column) -> Column:

@@ -260,3 +260,21 @@ def test_same_rows_as_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect()) and want
+
+
+def test_terms_are_counted_before_they_leave_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["Éa b-B b", "b", None, "", "x1y", "É"]
+    batch = pa.RecordBatch.from_pydict({"lang": ["l", "l", "l", "m", "l", "l"], "source": ["s", "s", "t", "s", "s", "t"], "text": pa.array(texts, pa.string())})
+    want = {("l", "s", "Éa"): (1, 1), ("l", "s", "b"): (4, 2), ("l", "s", "x"): (1, 1), ("l", "s", "y"): (1, 1), ("l", "t", "É"): (1, 1)}
+    for size in (divergence.SLICE_BYTES, 1):
+        monkeypatch.setattr(divergence, "SLICE_BYTES", size)
+        rows = [r for out in divergence._counted(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()]
+        got = collections.defaultdict(lambda: (0, 0))
+        for r in rows:
+            k = (r["lang"], r["source"], r["term"])
+            got[k] = (got[k][0] + r["n"], got[k][1] + r["docs"])
+        assert {k: x for k, x in got.items() if k[2] is not None} == want
+        assert {k[:2] for k in got if k[2] is None} == {("l", "s"), ("l", "t"), ("m", "s")}
+        assert size == 1 or len(rows) == len(want) + 3
