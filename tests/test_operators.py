@@ -404,3 +404,45 @@ def test_blocks_give_the_pairs_of_a_comparison_one_by_one(letters, least):
             similarity.PAIRS_A_WORD = before
         assert set(map(tuple, whole.values.tolist())) == want and len(whole) == len(want)
         assert set(map(tuple, parts.values.tolist())) == {p for p in want if (p[0] + p[1]) % 2}
+
+
+def test_texts_of_one_length_go_to_few_tasks(spark, monkeypatch):
+    texts = [f"text {i:04}" for i in range(200)]  # one band
+    df = spark.createDataFrame(list(enumerate(texts)), "card_ord long, text string")
+
+    def sizes(least):
+        import pandas as pd
+
+        return lambda a, b: pd.DataFrame({"i": [len(a)], "j": [len(b)]})
+
+    monkeypatch.setattr(dedup, "block_pairs", sizes)
+    monkeypatch.setattr(dedup, "BLOCK_MICROSECONDS", 1)  # however long the comparisons are meant to take
+    sent = sum(x["i"] + x["j"] for x in dedup.near_texts(df).collect())
+    most = max(2, round(0.75 * spark.sparkContext.defaultParallelism**0.5))
+    assert len(texts) <= sent <= most * len(texts)  # 13,600 before
+
+
+@pytest.mark.parametrize("letters", ["etaoinshrdlucmfwypvbgkjqxz .,", "ab", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))])
+def test_characters_apart_lose_no_pair(letters):
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    some = random.Random(4)
+    often = [1 / (k + 2) for k in range(len(letters))]
+    draw = lambda n: some.choices(letters, often, k=n)
+    texts = {}
+    for n in (900, 1100, 1300) * 6:
+        t = draw(n)
+        for share in (0, 0.07, 0.145, 0.155, 0.25):  # some just reach 0.85, others just fail
+            texts["".join(draw(1)[0] if some.random() < share else c for c in t)] = None
+    texts = list(texts)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if similarity.indel_ratio(texts[i], texts[j]) >= 0.85}
+    packed = [zlib.compress(t.encode()) for t in texts]
+    side = lambda y, ids: pd.DataFrame({"a": 0, "x": 0, "b": 0, "y": y, "id": ids, "text": [packed[i] for i in ids]})
+    alone = similarity.block_pairs(0.85)(side(0, range(len(texts))), side(0, range(0)))
+    assert want and sorted(map(tuple, alone.values.tolist())) == sorted(want)
+    both = similarity.block_pairs(0.85)(side(1, range(0, len(texts), 2)), side(1, range(1, len(texts), 2)))
+    assert sorted(map(tuple, both.values.tolist())) == sorted(p for p in want if (p[0] + p[1]) % 2)
+    assert np.issubdtype(alone["i"].dtype, np.integer)
