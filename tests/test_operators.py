@@ -446,3 +446,27 @@ def test_characters_apart_lose_no_pair(letters):
     both = similarity.block_pairs(0.85)(side(1, range(0, len(texts), 2)), side(1, range(1, len(texts), 2)))
     assert sorted(map(tuple, both.values.tolist())) == sorted(p for p in want if (p[0] + p[1]) % 2)
     assert np.issubdtype(alone["i"].dtype, np.integer)
+
+
+def test_texts_that_meet_tiles_lose_no_pair_and_few_are_left_to_be_paired(monkeypatch):
+    """Of texts that only have their characters' shares in common, a tile at once turns most away; what reaches 0.85 stays."""
+    import pandas as pd
+
+    some = random.Random(6)
+    letters, often = "etaoinshrdlucmfwypvbgk .,", [1 / (k + 2) for k in range(25)]
+    draw = lambda n: some.choices(letters, often, k=n)
+    texts = {}
+    for k in range(50):
+        t = draw(some.randint(600, 700))
+        for share in (0, 0.145, 0.155):
+            texts["".join(draw(1)[0] if some.random() < share else c for c in t)] = None
+    texts = list(texts)
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity.indel_ratio(texts[i], texts[j]) >= 0.85]
+    paired, by_ranks = [], similarity._by_ranks
+    monkeypatch.setattr(similarity, "_by_ranks", lambda a, b, x, *of: paired.append(len(x)) or by_ranks(a, b, x, *of))
+    side = lambda y, ids: pd.DataFrame({"a": 0, "x": 0, "b": 0, "y": y, "id": ids, "text": [texts[i] for i in ids]})
+    alone = similarity.block_pairs(0.85)(side(0, range(len(texts))), side(0, range(0)))
+    assert want and sorted(map(tuple, alone.values.tolist())) == want
+    assert max(paired) < 0.3 * len(texts) * (len(texts) - 1) / 2
+    both = similarity.block_pairs(0.85)(side(1, range(0, len(texts), 2)), side(1, range(1, len(texts), 2)))
+    assert sorted(map(tuple, both.values.tolist())) == [p for p in want if (p[0] + p[1]) % 2]
